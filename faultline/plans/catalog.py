@@ -181,3 +181,217 @@ SELECT * FROM (
 def q_outlier_topk_per_repo(spark, d):
     s = scored_modules(spark, d).select("repo", "path", "score")
     return scoring.top_k_per_group(s, TOPK_PER_REPO, keys=("repo",))
+
+
+# ---------------------------------------------------------------- J3 / P12 (baseline)
+
+def baseline_snapshot(spark: SparkSession, d: str, before: str = B.BASELINE_CUT) -> DataFrame:
+    """Module metrics as they stood before ``before``: a part exists once a
+    lineitem ships, fan-in counts first-line edges before the cut."""
+    from faultline.operators.baseline import baseline_rows
+    part, li = table(spark, d, "part"), table(spark, d, "lineitem")
+    existing = (li.filter(F.col("l_shipdate") < B.cut(before))
+                .select(F.col("l_partkey").alias("path")).distinct())
+    files = B.part_files(part).join(existing, "path", "left_semi")
+    files = graph.fan_in(files, B.first_line_edges(li, before), keys=())
+    touches = history.touch_frequency(B.lineitem_commits(li, before), keys=())
+    files = history.attach_touches(files, touches, keys=())
+    return baseline_rows(files, before, "0.1.0", keys=("repo",))
+
+
+SQL_BASE = """,
+imp_b AS (
+  SELECT l_orderkey, l_partkey AS src FROM (
+    SELECT l_orderkey, l_partkey, row_number() OVER (
+      PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey) AS rn
+    FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-02-01') WHERE rn = 1),
+fan_b AS (
+  SELECT l.l_partkey AS path, count(DISTINCT i.src) AS fan_in
+  FROM lineitem l JOIN imp_b i USING (l_orderkey)
+  WHERE i.src <> l.l_partkey AND l.l_shipdate < TIMESTAMP '1995-02-01' GROUP BY 1),
+base AS (
+  SELECT f.repo, f.path, f.lines, f.complexity, COALESCE(fan_b.fan_in, 0) AS fan_in
+  FROM files f LEFT JOIN fan_b USING (path)
+  WHERE f.path IN (SELECT l_partkey FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-02-01')),
+dl AS (
+  SELECT s.repo, s.path, b.path IS NULL AS is_new,
+         CASE WHEN b.path IS NULL THEN 0 ELSE s.lines - b.lines END AS lines_delta,
+         CASE WHEN b.path IS NULL THEN 0 ELSE s.complexity - b.complexity END AS complexity_delta,
+         CASE WHEN b.path IS NULL THEN 0 ELSE s.fan_in - b.fan_in END AS fan_in_delta
+  FROM scored s LEFT JOIN base b ON s.repo = b.repo AND s.path = b.path)
+"""
+
+
+def _sql_label(x: str) -> str:
+    return (f"CASE WHEN {x} = 0 THEN '±0' WHEN {x} > 0 THEN '+' || CAST({x} AS VARCHAR) "
+            f"ELSE CAST({x} AS VARCHAR) END")
+
+
+@register("baseline_delta", SQL_MM + SQL_BASE + f"""
+SELECT repo, path, lines_delta, complexity_delta, fan_in_delta, is_new,
+       CASE WHEN is_new THEN 'NEW' ELSE 'Δcomplexity=' || {_sql_label('complexity_delta')}
+            || ' Δlines=' || {_sql_label('lines_delta')} END AS delta_text
+FROM dl
+""")
+def q_baseline_delta(spark, d):
+    from faultline.operators.baseline import delta_vs_baseline
+    cur = module_metrics(spark, d).withColumnRenamed("path", "rel_path")
+    out = delta_vs_baseline(cur, baseline_snapshot(spark, d), keys=("repo",))
+    return out.select("repo", F.col("rel_path").alias("path"), "lines_delta",
+                      "complexity_delta", "fan_in_delta", "is_new", "delta_text")
+
+
+@register("baseline_snapshot", "WITH " + SQL_FILES + SQL_BASE.replace(
+    ",\ndl AS", ",\ndl_unused AS").replace("FROM scored s", "FROM files s") + """,
+tb AS (
+  SELECT l_partkey AS path, count(DISTINCT l_orderkey) AS touches
+  FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-02-01' GROUP BY 1)
+SELECT b.repo, b.path AS rel_path, b.lines, b.complexity, b.fan_in,
+       CAST(len(string_split(f.p_name, ' ')) AS INTEGER) AS export_count,
+       COALESCE(tb.touches, 0) AS touch_count
+FROM base b JOIN files f USING (path) LEFT JOIN tb USING (path)
+""")
+def q_baseline_snapshot(spark, d):
+    return baseline_snapshot(spark, d).drop("created_at", "tool_version")
+
+
+# ---------------------------------------------------------------- F3 / T3 / F4
+
+DRIFT_K, DRIFT_MIN_LINES, DRIFT_MIN_COMPLEXITY = 25, 950, 8
+
+
+@register("drift_candidates", SQL_MM + f"""
+, ranked AS (
+  SELECT path, row_number() OVER (ORDER BY score DESC, path) AS rk
+  FROM scored WHERE NOT has_syntax_errors)
+SELECT s.repo, s.path, CASE WHEN r.rk <= {DRIFT_K} THEN r.rk END AS rank,
+       CASE WHEN s.has_syntax_errors THEN 'broken'
+            WHEN r.rk IS NULL OR r.rk > {DRIFT_K} THEN 'beyond_top'
+            WHEN s.lines >= {DRIFT_MIN_LINES} AND s.complexity >= {DRIFT_MIN_COMPLEXITY}
+              THEN 'candidate'
+            ELSE 'skipped_small' END AS status
+FROM scored s LEFT JOIN ranked r USING (path)
+""")
+def q_drift_candidates(spark, d):
+    from faultline.operators.candidates import classify_all, drift_candidates
+    s = scored_modules(spark, d)
+    top = drift_candidates(s, DRIFT_K, DRIFT_MIN_LINES, DRIFT_MIN_COMPLEXITY)
+    return classify_all(s, top, keys=(), path="path").select(
+        "repo", "path", F.col("rank").cast("long").alias("rank"), "status")
+
+
+# ---------------------------------------------------------------- F5 / F6 / F7
+
+GATE_STRICT_SUFFIX = "3"   # repositories ending in this digit run the gate strictly
+
+
+def _gated(spark, d):
+    from faultline.operators.gate import gate_status
+    files = B.part_files(table(spark, d, "part"))
+    return gate_status(files, DRIFT_MIN_LINES, DRIFT_MIN_COMPLEXITY,
+                       strict=F.col("repo").endswith(GATE_STRICT_SUFFIX))
+
+
+SQL_GATED = "WITH " + SQL_FILES + f""",
+gated AS (
+  SELECT *, lines >= {DRIFT_MIN_LINES} AND complexity >= {DRIFT_MIN_COMPLEXITY} AS flagged,
+         repo LIKE '%{GATE_STRICT_SUFFIX}' AS strict FROM files),
+st AS (
+  SELECT *, CASE WHEN flagged THEN (CASE WHEN strict THEN 'FAIL' ELSE 'WARN' END)
+                 ELSE 'OK' END AS status FROM gated)
+"""
+
+
+@register("gate_status", SQL_GATED + """
+SELECT repo, path, flagged, status,
+       status || '  ' || CAST(path AS VARCHAR) || '  (lines=' || CAST(lines AS VARCHAR)
+       || ', complexity=' || CAST(complexity AS VARCHAR) || ')'
+       || CASE WHEN flagged THEN ' — big/complex enough to warrant a look.' ELSE '' END AS message
+FROM st
+""")
+def q_gate_status(spark, d):
+    return _gated(spark, d).select("repo", "path", "flagged", "status", "message")
+
+
+@register("gate_verdict", SQL_GATED + """
+SELECT repo, count(*) AS n_checked, count(*) FILTER (WHERE flagged) AS n_flagged,
+       COALESCE(bool_or(flagged AND strict), false) AS failed
+FROM st GROUP BY repo
+""")
+def q_gate_verdict(spark, d):
+    from faultline.operators.gate import gate_verdict
+    return gate_verdict(_gated(spark, d), keys=("repo",))
+
+
+@register("changed_files", """
+SELECT l_orderkey AS commit_id, l_returnflag AS status,
+       'src/' || CAST(l_partkey AS VARCHAR) || CASE l_linestatus WHEN 'O' THEN '.ts' ELSE '.js' END
+         AS path
+FROM lineitem
+WHERE l_returnflag IN ('A', 'C', 'M')
+  AND regexp_matches('src/' || CAST(l_partkey AS VARCHAR)
+        || CASE l_linestatus WHEN 'O' THEN '.ts' ELSE '.js' END, '\\.(ts|tsx)$')
+""")
+def q_changed_files(spark, d):
+    from faultline.operators.gate import changed_files
+    return changed_files(B.lineitem_changes(table(spark, d, "lineitem"))).select(
+        "commit_id", "status", "path")
+
+
+# ---------------------------------------------------------------- F1 / P8-P11 on URLs
+
+URL_INCLUDE = [r"/(en|fr)/"]
+URL_EXCLUDE = [r"[?#]", r"\.html$"]
+
+
+@register("path_filters", r"""
+SELECT page_id, url FROM pages
+WHERE regexp_matches(url, '/(en|fr)/') AND NOT regexp_matches(url, '[?#]')
+  AND NOT regexp_matches(url, '\.html$')
+""")
+def q_path_filters(spark, d):
+    from faultline.operators.filters import path_rules
+    pages = table(spark, d, "pages").select("page_id", "url")
+    return path_rules(pages, "url", URL_INCLUDE, URL_EXCLUDE)
+
+
+@register("short_path", r"""
+SELECT page_id,
+  array_to_string(list_slice(string_split_regex(url, '[\\/]'),
+    greatest(len(string_split_regex(url, '[\\/]')) - 2, 1),
+    len(string_split_regex(url, '[\\/]'))), '/') AS short_path,
+  string_split_regex(url, '[\\/]')[-1] AS base_name
+FROM pages
+""")
+def q_short_path(spark, d):
+    from faultline.functions.paths import base_name, short_path
+    return table(spark, d, "pages").select(
+        "page_id", short_path("url").alias("short_path"), base_name("url").alias("base_name"))
+
+
+@register("path_keys", r"""
+WITH p AS (
+  SELECT page_id, url, regexp_extract(url, '^[a-z]+://[^/?#]+', 0) AS root,
+         regexp_extract(url, '^[a-z]+://[^/?#]+(.*)$', 1) AS local_path,
+         regexp_matches(url, '^[a-z]+://[^/?#]+\.net([/?#]|$)') AS case_insensitive
+  FROM pages)
+SELECT page_id,
+  CASE WHEN starts_with(url, root || '/') THEN substr(url, length(root) + 2) ELSE url END
+    AS rel_key,
+  CASE WHEN regexp_matches(local_path, '^/([a-zA-Z])/(.*)$')
+       THEN upper(regexp_extract(local_path, '^/([a-zA-Z])/', 1)) || ':/'
+            || regexp_extract(local_path, '^/[a-zA-Z]/(.*)$', 1)
+       ELSE local_path END AS drive_path,
+  CASE WHEN case_insensitive THEN lower(replace(url, '\', '/')) ELSE replace(url, '\', '/') END
+    AS match_key
+FROM p
+""")
+def q_path_keys(spark, d):
+    from faultline.functions.paths import drive_path, path_key, relative_key
+    url = F.col("url")
+    root = F.regexp_extract(url, r"^[a-z]+://[^/?#]+", 0)
+    local = F.regexp_extract(url, r"^[a-z]+://[^/?#]+(.*)$", 1)
+    ci = url.rlike(r"^[a-z]+://[^/?#]+\.net([/?#]|$)")
+    return table(spark, d, "pages").select(
+        "page_id", relative_key(url, root).alias("rel_key"),
+        drive_path(local).alias("drive_path"), path_key(url, ci).alias("match_key"))

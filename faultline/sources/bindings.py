@@ -79,3 +79,12 @@ def history_brands(part: DataFrame, no_history_suffix: str | None = NO_HISTORY_S
     if no_history_suffix:
         repos = repos.filter(~F.col("repo").endswith(no_history_suffix))
     return repos
+
+
+def lineitem_changes(lineitem: DataFrame) -> DataFrame:
+    """A staged change per lineitem: ``status`` = ``l_returnflag``, the file is
+    ``src/<partkey>.ts`` for open lines and ``.js`` otherwise."""
+    ext = F.when(F.col("l_linestatus") == "O", ".ts").otherwise(".js")
+    return lineitem.select(
+        F.col("l_orderkey").alias("commit_id"), F.col("l_returnflag").alias("status"),
+        F.concat(F.lit("src/"), F.col("l_partkey").cast("string"), ext).alias("path"))
