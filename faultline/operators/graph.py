@@ -67,9 +67,16 @@ def fan_in(files: DataFrame, edges: DataFrame, keys=("repo",), path: str = "path
     as raw rows; the join back to ``files`` is 1:1 on the key.
     """
     keys = list(keys)
-    e = edges.select(*keys, F.col(src).alias("_src"), F.col(dst).alias(path))
-    if drop_self:
-        e = e.filter(F.col("_src") != F.col(path))
-    counts = e.groupBy(*keys, path).agg(F.count_distinct("_src").alias("fan_in"))
+    counts = fan_in_counts(edges, keys, src, dst, drop_self).withColumnRenamed(dst, path)
     return (files.join(counts, [*keys, path], "left")
             .withColumn("fan_in", F.coalesce(F.col("fan_in"), F.lit(0).cast("long"))))
+
+
+def fan_in_counts(edges: DataFrame, keys=("repo",), src: str = "src_path",
+                  dst: str = "dst_path", drop_self: bool = True) -> DataFrame:
+    """``(keys…, dst, fan_in)`` for every target that has an importer."""
+    keys = list(keys)
+    e = edges.select(*keys, F.col(src).alias("_src"), F.col(dst).alias(dst))
+    if drop_self:
+        e = e.filter(F.col("_src") != F.col(dst))
+    return e.groupBy(*keys, dst).agg(F.count_distinct("_src").alias("fan_in"))

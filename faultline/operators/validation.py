@@ -230,3 +230,16 @@ def drift_summary(analyses: DataFrame, keys=("repo",)) -> DataFrame:
         F.count_if(F.size("warnings") > 0).alias("with_warnings"))
     return agg.withColumn("all_failed", (F.col("analyzed") > 0)
                           & (F.col("errored") == F.col("analyzed")))
+
+
+def required_fields(raw, required=None) -> tuple[Column, Column]:
+    """X1+X2 on their own: (is the cleaned text a strict JSON object, the
+    required keys it lacks in the given order). A null value counts as present."""
+    required = REQUIRED_FIELDS if required is None else required
+    cleaned = clean_answer(raw)
+    m = F.from_json(cleaned, "map<string,string>", JSON_OPTS)
+    is_obj = m.isNotNull() & cleaned.rlike(r"(?s)^\{.*\}\z")
+    keys = F.map_keys(m)
+    missing = F.filter(F.array(*[F.lit(k) for k in required]),
+                       lambda k: ~F.coalesce(F.array_contains(keys, k), F.lit(False)))
+    return is_obj, F.when(is_obj, missing)

@@ -395,3 +395,316 @@ def q_path_keys(spark, d):
     return table(spark, d, "pages").select(
         "page_id", relative_key(url, root).alias("rel_key"),
         drive_path(local).alias("drive_path"), path_key(url, ci).alias("match_key"))
+
+
+# ---------------------------------------------------------------- X1-X8, A6, A7 (answers)
+
+def sql_lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def sql_fmt(msg: str, *exprs: str) -> str:
+    """SQL text for a %s/%d message with SQL expressions in the slots."""
+    import re as _re
+    parts = _re.split(r"%[sd]", msg)
+    out = sql_lit(parts[0])
+    for e, p in zip(exprs, parts[1:]):
+        out += f" || CAST(({e}) AS VARCHAR) || " + sql_lit(p)
+    return out
+
+
+# One model answer per part, written as JSON text by string concatenation; the
+# same SQL text builds it in Spark and in the oracle. Part types pick the shape
+# of the split: none, empty, two entries sharing a symbol, one entry with an
+# imported and a local symbol, a string instead of an array, an entry without
+# movedExports. Small sizes get a ```json fence (size <= 3) or trailing text
+# (size 4); sizes >= 45 omit driftSummary.
+RAW_ANSWER_SQL = """
+CASE WHEN p_size <= 3 THEN '```json' || chr(10) ELSE '' END
+|| '{"inferredOriginalPurpose": "' || p_type || '", "currentResponsibilities": ["'
+|| replace(p_name, ' ', '", "') || '"], "hasDrifted": '
+|| CASE WHEN p_size > 20 THEN 'true' ELSE 'false' END
+|| CASE WHEN p_size >= 45 THEN '' ELSE ', "driftSummary": "' || p_name || '"' END
+|| ', "suggestedSplit": ' || CASE p_type
+  WHEN 'ECONOMY' THEN 'null'
+  WHEN 'SMALL' THEN '[]'
+  WHEN 'LARGE' THEN '[{"newFileName": "' || split_part(p_name, ' ', 1)
+    || '.ts", "responsibility": "' || p_type || '", "movedExports": ["'
+    || split_part(p_name, ' ', 1) || '", "' || split_part(p_name, ' ', 2)
+    || '"]}, {"newFileName": "' || split_part(p_name, ' ', 2) || '.ts", "responsibility": "'
+    || p_brand || '", "movedExports": ["' || split_part(p_name, ' ', 2) || '", "' || p_brand
+    || '"]}]'
+  WHEN 'MEDIUM' THEN '[{"newFileName": "core.ts", "responsibility": "core", "movedExports": ["'
+    || split_part(p_name, ' ', 1) || '", "' || p_type || '", "helper"]}]'
+  WHEN 'PROMO' THEN '"none"'
+  ELSE '[{"newFileName": "' || split_part(p_name, ' ', 1) || '.ts", "responsibility": "misc"}]'
+END || '}'
+|| CASE WHEN p_size <= 3 THEN chr(10) || '```' WHEN p_size = 4 THEN ' trailing' ELSE '' END
+"""
+
+
+def part_answers(spark: SparkSession, d: str) -> DataFrame:
+    """``repo, path, raw_text, exported_symbols, imported_symbol_names`` for
+    part answers plus conversation turns (prose, so error rows)."""
+    part = table(spark, d, "part")
+    pa = part.select(
+        F.col("p_brand").alias("repo"),
+        F.concat(F.lit("part/"), F.col("p_partkey").cast("string")).alias("path"),
+        F.expr(RAW_ANSWER_SQL).alias("raw_text"),
+        F.split("p_name", " ").alias("exported_symbols"),
+        F.array("p_brand", "p_type").alias("imported_symbol_names"))
+    conv = table(spark, d, "conversations").select(
+        F.lit("conversations").alias("repo"),
+        F.concat(F.lit("conv/"), F.col("conv_id").cast("string"), F.lit("/"),
+                 F.col("turn").cast("string")).alias("path"),
+        F.col("text").alias("raw_text"),
+        F.array().cast("array<string>").alias("exported_symbols"),
+        F.array().cast("array<string>").alias("imported_symbol_names"))
+    return pa.unionByName(conv)
+
+
+def validated(spark, d):
+    from faultline.operators.validation import validate_answers
+    return validate_answers(part_answers(spark, d))
+
+
+def _sql_validation() -> str:
+    from faultline.operators import validation as V
+    w1, w2 = "split_part(p_name, ' ', 1)", "split_part(p_name, ' ', 2)"
+    contra, noplan = sql_lit(V.MSG_CONTRADICTORY), sql_lit(V.MSG_NO_PLAN)
+    dup = sql_fmt(V.MSG_DUPLICATE, w2, f"{w1} || '.ts, ' || {w2} || '.ts'")
+    imp_brand = sql_fmt(V.MSG_IMPORTED, "1", "p_brand")
+    imp_type = sql_fmt(V.MSG_IMPORTED, "1", "p_type")
+    local = sql_fmt(V.MSG_UNVERIFIED, "1", "'helper'")
+    sep = "' | '"
+    return f"""
+WITH pa AS (
+  SELECT p_brand AS repo, 'part/' || CAST(p_partkey AS VARCHAR) AS path, p_type, p_name,
+         p_brand, p_size, p_size > 20 AS hd, {RAW_ANSWER_SQL} AS raw FROM part),
+pv AS (
+  SELECT repo, path, p_type, p_name, hd,
+    CASE WHEN p_size = 4 THEN {sql_lit(V.MSG_FAILED + V.MSG_PARSE)} || left(raw, 300)
+         WHEN p_size >= 45 THEN {sql_lit(V.MSG_FAILED + V.MSG_MISSING + 'driftSummary'
+                                         + V.MSG_MISSING_RAW)} || left(raw, 500)
+         WHEN hd AND p_type IN ('PROMO', 'STANDARD') THEN {sql_lit(V.MSG_FAILED + V.MSG_BAD_SPLIT)}
+    END AS err,
+    CASE WHEN p_type IN ('ECONOMY', 'SMALL') THEN (CASE WHEN hd THEN {noplan} ELSE NULL END)
+         WHEN NOT hd THEN {contra}
+         WHEN p_type = 'LARGE' THEN {dup} || {sep} || {imp_brand}
+         WHEN p_type = 'MEDIUM' THEN {imp_type} || {sep} || {local}
+    END AS warn,
+    CASE WHEN p_type = 'SMALL' THEN 0 WHEN p_type = 'ECONOMY' OR NOT hd THEN NULL
+         WHEN p_type = 'LARGE' THEN 2 WHEN p_type = 'MEDIUM' THEN 1 END AS n_split
+  FROM pa),
+allv AS (
+  SELECT repo, path, err IS NOT NULL AS is_error,
+    CASE WHEN err IS NULL THEN p_type ELSE 'ERROR' END AS inferred_original_purpose,
+    CASE WHEN err IS NULL THEN hd ELSE false END AS has_drifted,
+    COALESCE(err, p_name) AS drift_summary,
+    CASE WHEN err IS NULL THEN n_split END AS n_split,
+    CASE WHEN err IS NULL THEN COALESCE(warn, '') ELSE '' END AS warnings_text
+  FROM pv
+  UNION ALL
+  SELECT 'conversations', 'conv/' || CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARCHAR),
+    true, 'ERROR', false, {sql_lit(V.MSG_FAILED + V.MSG_PARSE)} || left(text, 300), NULL, ''
+  FROM conversations)
+"""
+
+
+def _validation_view(df: DataFrame) -> DataFrame:
+    return df.select(
+        "repo", "path", "is_error", "inferred_original_purpose", "has_drifted", "drift_summary",
+        F.when(F.col("suggested_split").isNull(), F.lit(None).cast("int"))
+        .otherwise(F.size("suggested_split")).alias("n_split"),
+        F.array_join("warnings", " | ").alias("warnings_text"))
+
+
+@register("validation_full", _sql_validation() + "SELECT * FROM allv")
+def q_validation_full(spark, d):
+    return _validation_view(validated(spark, d))
+
+
+@register("verdict_consistency", _sql_validation() + f"""
+SELECT repo, path, has_drifted,
+  CASE WHEN starts_with(warnings_text, 'Model reported hasDrifted:false') THEN 'contradictory'
+       WHEN starts_with(warnings_text, 'Model reported hasDrifted:true') THEN 'no_plan'
+       ELSE 'consistent' END AS consistency
+FROM allv WHERE NOT is_error
+""")
+def q_verdict_consistency(spark, d):
+    from faultline.operators import validation as V
+    v = validated(spark, d).filter(~F.col("is_error"))
+    first = F.element_at(F.concat("warnings", F.array(F.lit(""))), 1)
+    return v.select("repo", "path", "has_drifted", F.when(first == V.MSG_CONTRADICTORY, "contradictory")
+                    .when(first == V.MSG_NO_PLAN, "no_plan").otherwise("consistent").alias("consistency"))
+
+
+@register("drift_summary", _sql_validation() + """
+SELECT repo, count(*) AS analyzed, count(*) FILTER (WHERE has_drifted) AS drifted,
+       count(*) FILTER (WHERE is_error) AS errored,
+       count(*) FILTER (WHERE warnings_text <> '') AS with_warnings,
+       count(*) > 0 AND count(*) FILTER (WHERE is_error) = count(*) AS all_failed
+FROM allv GROUP BY repo
+""")
+def q_drift_summary(spark, d):
+    from faultline.operators.validation import drift_summary
+    return drift_summary(validated(spark, d), keys=("repo",))
+
+
+@register("json_required", """
+SELECT event_id, true AS is_object,
+       array_to_string(list_filter(['k', 'v'], lambda x: NOT list_contains(json_keys(props), x)),
+                       ', ') AS missing
+FROM events
+""")
+def q_json_required(spark, d):
+    from faultline.operators.validation import required_fields
+    is_obj, missing = required_fields("props", ["k", "v"])
+    return table(spark, d, "events").select("event_id", is_obj.alias("is_object"),
+                                            F.array_join(missing, ", ").alias("missing"))
+
+
+# ---------------------------------------------------------------- A8 / J4 relational
+
+def _line_occurrences(spark, d):
+    li = table(spark, d, "lineitem")
+    return li.select(F.col("l_orderkey").alias("answer"), F.col("l_suppkey").alias("entry"),
+                     F.col("l_partkey").alias("symbol"), "l_returnflag",
+                     F.struct("l_linenumber", "l_suppkey", "l_partkey").alias("pos"))
+
+
+@register("split_duplicates", f"""
+WITH ep AS (
+  SELECT l_orderkey, l_suppkey, min(l_linenumber * 10000000000 + l_partkey) AS e_pos
+  FROM lineitem GROUP BY 1, 2),
+occ AS (
+  SELECT l.l_orderkey, l.l_suppkey, l.l_partkey, l.l_linenumber, ep.e_pos
+  FROM lineitem l JOIN ep USING (l_orderkey, l_suppkey))
+SELECT l_orderkey AS answer, l_partkey AS symbol, count(*) AS n,
+  string_agg(CAST(l_suppkey AS VARCHAR), ', ' ORDER BY e_pos, l_linenumber, l_suppkey, l_partkey)
+    AS files,
+  '"' || CAST(l_partkey AS VARCHAR) || '" appears in multiple suggested files ('
+  || string_agg(CAST(l_suppkey AS VARCHAR), ', ' ORDER BY e_pos, l_linenumber, l_suppkey, l_partkey)
+  || ') — treat this split as a starting point, not a ready-to-execute plan.' AS warning
+FROM occ GROUP BY 1, 2 HAVING count(*) > 1
+""")
+def q_split_duplicates(spark, d):
+    from faultline.operators.splits import split_duplicates
+    return split_duplicates(_line_occurrences(spark, d))
+
+
+def _sql_membership() -> str:
+    from faultline.operators import validation as V
+    imp = sql_fmt(V.MSG_IMPORTED, "n", "symbols")
+    loc = sql_fmt(V.MSG_UNVERIFIED, "n", "symbols")
+    return f"""
+WITH firsts AS (
+  SELECT l_orderkey AS answer, l_partkey AS symbol,
+         min(l_linenumber * 100000000000000 + l_suppkey * 10000000 + l_partkey) AS p
+  FROM lineitem GROUP BY 1, 2),
+ex AS (SELECT DISTINCT l_orderkey AS answer, l_partkey AS symbol FROM lineitem WHERE l_returnflag = 'R'),
+im AS (SELECT DISTINCT l_orderkey AS answer, l_partkey AS symbol FROM lineitem WHERE l_returnflag = 'A'),
+hx AS (SELECT DISTINCT answer FROM ex),
+foreign_s AS (
+  SELECT f.* FROM firsts f WHERE f.answer IN (SELECT answer FROM hx)
+    AND NOT EXISTS (SELECT 1 FROM ex WHERE ex.answer = f.answer AND ex.symbol = f.symbol)),
+kinds AS (
+  SELECT answer, symbol, p,
+    CASE WHEN EXISTS (SELECT 1 FROM im WHERE im.answer = s.answer AND im.symbol = s.symbol)
+         THEN 'imported' ELSE 'unverified' END AS kind
+  FROM foreign_s s),
+g AS (
+  SELECT answer, kind, count(*) AS n,
+         string_agg(CAST(symbol AS VARCHAR), ', ' ORDER BY p) AS symbols
+  FROM kinds GROUP BY 1, 2)
+SELECT answer, kind, n, symbols,
+       CASE WHEN kind = 'imported' THEN {imp} ELSE {loc} END AS warning FROM g
+UNION ALL
+SELECT DISTINCT l_orderkey, 'no_exports', 0, '', {sql_lit(V.MSG_NO_EXPORTS)}
+FROM lineitem WHERE l_orderkey NOT IN (SELECT answer FROM hx)
+"""
+
+
+@register("symbol_membership", _sql_membership())
+def q_symbol_membership(spark, d):
+    from faultline.operators.splits import symbol_membership
+    occ = _line_occurrences(spark, d)
+    return symbol_membership(
+        occ, occ.filter(F.col("l_returnflag") == "R"), occ.filter(F.col("l_returnflag") == "A"))
+
+
+# ---------------------------------------------------------------- P1 / P2 / P14 on documents
+
+# Decision-point tokens both Java regex and RE2 read the same way (no
+# lookaround), for the documents binding; the TypeScript default is
+# faultline.functions.text.DECISION_POINT.
+PORTABLE_MASK = (r"//[^\n]*|/\*[\s\S]*?\*/|'[^'\\\n]*(?:\\.[^'\\\n]*)*'"
+                 r"|" + '"' + r"[^" + '"' + r"\\\n]*(?:\\.[^" + '"' + r"\\\n]*)*" + '"')
+PORTABLE_TOKENS = (r"if[ \t\r\n]*\(|for[ \t\r\n]*\(|while[ \t\r\n]*\(|case[ \t\r\n]"
+                   r"|catch[ \t\r\n]*[({]|&&|\|\||\?\?|\?")
+
+
+@register("line_count", """
+SELECT doc_id, CAST(length(text) - length(replace(text, chr(10), '')) + 1 AS INTEGER) AS lines
+FROM documents
+""")
+def q_line_count(spark, d):
+    from faultline.functions.text import line_count
+    return table(spark, d, "documents").select("doc_id", line_count("text").alias("lines"))
+
+
+@register("decision_points", f"""
+SELECT doc_id, CAST(len(regexp_extract_all(
+  regexp_replace(text, {sql_lit(PORTABLE_MASK)}, ' ', 'g'), {sql_lit(PORTABLE_TOKENS)})) + 1
+  AS INTEGER) AS complexity
+FROM documents
+""")
+def q_decision_points(spark, d):
+    from faultline.functions.text import decision_points
+    masked = F.regexp_replace("text", PORTABLE_MASK, " ")
+    return table(spark, d, "documents").select(
+        "doc_id", decision_points(masked, PORTABLE_TOKENS).alias("complexity"))
+
+
+PROMPT_CAP = 24000
+
+
+@register("prompt_build", f"""
+SELECT doc_id, length(text) > {PROMPT_CAP} AS truncated,
+  'File path: doc/' || CAST(doc_id AS VARCHAR) || chr(10) || 'Exported symbols: '
+  || CAST(to_json([lang, source]) AS VARCHAR) || chr(10)
+  || CASE WHEN lang = 'de' THEN 'Git touch count: unavailable (no git history for this repo)'
+          ELSE 'Git touch count: ' || CAST(n_chars AS VARCHAR)
+               || ' commit(s) have modified this file' END
+  || chr(10) || chr(10) || 'Source:' || chr(10) || '```typescript' || chr(10)
+  || CASE WHEN length(text) > {PROMPT_CAP} THEN left(text, {PROMPT_CAP})
+          || chr(10) || chr(10) || {sql_lit('[TRUNCATED — file continues beyond this point. Base your analysis on what' + "'" + 's shown; note in driftSummary that this was a partial read if it matters.]')}
+          ELSE text END
+  || chr(10) || '```' AS prompt
+FROM documents
+""")
+def q_prompt_build(spark, d):
+    from faultline.functions.prompt import build_prompt
+    docs = table(spark, d, "documents")
+    touch = F.when(F.col("lang") == "de", F.lit(None).cast("long")).otherwise(F.col("n_chars"))
+    return docs.select("doc_id", (F.length("text") > PROMPT_CAP).alias("truncated"),
+                       build_prompt(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")),
+                                    F.array("lang", "source"), F.col("text"), touch,
+                                    PROMPT_CAP).alias("prompt"))
+
+
+# ---------------------------------------------------------------- link fan-in (P4 + A1)
+
+HREF = r'href="([^"]*)"'
+
+
+@register("link_fan_in", f"""
+SELECT target, count(DISTINCT page_id) AS fan_in FROM (
+  SELECT page_id, unnest(regexp_extract_all(html, {sql_lit(HREF)}, 1)) AS target FROM pages)
+GROUP BY target
+""")
+def q_link_fan_in(spark, d):
+    pages = table(spark, d, "pages")
+    edges = pages.select(F.col("page_id").alias("src_path"),
+                         F.explode(F.regexp_extract_all("html", F.lit(HREF), 1)).alias("target"))
+    return graph.fan_in_counts(edges, keys=(), dst="target", drop_self=False)
