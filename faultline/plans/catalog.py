@@ -708,3 +708,29 @@ def q_link_fan_in(spark, d):
     edges = pages.select(F.col("page_id").alias("src_path"),
                          F.explode(F.regexp_extract_all("html", F.lit(HREF), 1)).alias("target"))
     return graph.fan_in_counts(edges, keys=(), dst="target", drop_self=False)
+
+
+# ---------------------------------------------------------------- E1 scan report
+
+@register("scan_report", SQL_MM + SQL_BASE + f"""
+, tops AS (
+  SELECT s.*, d.is_new, d.lines_delta, d.complexity_delta,
+         row_number() OVER (PARTITION BY s.repo ORDER BY s.score DESC, s.path) AS rank
+  FROM scored s JOIN dl d USING (repo, path)),
+flags AS (SELECT repo, bool_or(touch_count IS NOT NULL) AS has_touch_data FROM mm GROUP BY repo)
+SELECT t.repo, t.path, t.rank, CAST(round(t.score) AS INTEGER) AS display_score,
+       t.complexity, t.lines, t.fan_in,
+       CASE WHEN f.has_touch_data THEN COALESCE(CAST(t.touch_count AS VARCHAR), '?') END AS touches,
+       CAST(len(string_split(t.p_name, ' ')) AS INTEGER) AS export_count,
+       CASE WHEN t.is_new THEN 'NEW' ELSE 'Δcomplexity=' || {_sql_label('t.complexity_delta')}
+            || ' Δlines=' || {_sql_label('t.lines_delta')} END AS delta_text,
+       t.has_syntax_errors
+FROM tops t JOIN flags f USING (repo) WHERE t.rank <= {TOPK_PER_REPO}
+""")
+def q_scan_report(spark, d):
+    from faultline.plans.jobs import scan_report
+    res = scan_report(scored_modules(spark, d), baseline_snapshot(spark, d), k=TOPK_PER_REPO,
+                      keys=("repo",), rel_path="path")
+    return res.top.select("repo", "path", "rank", "display_score",
+                          "complexity", "lines", "fan_in", "touches", "export_count",
+                          "delta_text", "has_syntax_errors")
