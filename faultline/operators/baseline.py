@@ -53,15 +53,13 @@ def delta_vs_baseline(current: DataFrame, baseline: DataFrame | None, keys=("rep
                .withColumn("has_baseline", F.coalesce("has_baseline", F.lit(False))))
     else:
         out = out.withColumn("has_baseline", F.lit(True))
-    is_new = F.col("_in_base").isNull()
-    out = (out.withColumn("is_new", is_new & F.col("has_baseline"))
-           .withColumn("lines_delta", F.when(F.col("_in_base"), F.col("lines") - F.col("_b_lines"))
-                       .otherwise(F.lit(0)))
-           .withColumn("complexity_delta",
-                       F.when(F.col("_in_base"), F.col("complexity") - F.col("_b_complexity"))
-                       .otherwise(F.lit(0)))
-           .withColumn("fan_in_delta",
-                       F.when(F.col("_in_base"), F.col("fan_in") - F.col("_b_fan_in"))
-                       .otherwise(F.lit(0).cast("long"))))
-    out = out.withColumn("delta_text", delta_text())
-    return out.drop("_b_lines", "_b_complexity", "_b_fan_in", "_in_base")
+    in_base = F.col("_in_base").isNotNull()
+    out = out.select(
+        *[c for c in out.columns if c not in ("_b_lines", "_b_complexity", "_b_fan_in", "_in_base")],
+        (~in_base & F.col("has_baseline")).alias("is_new"),
+        F.when(in_base, F.col("lines") - F.col("_b_lines")).otherwise(F.lit(0)).alias("lines_delta"),
+        F.when(in_base, F.col("complexity") - F.col("_b_complexity")).otherwise(F.lit(0))
+        .alias("complexity_delta"),
+        F.when(in_base, F.col("fan_in") - F.col("_b_fan_in")).otherwise(F.lit(0).cast("long"))
+        .alias("fan_in_delta"))
+    return out.withColumn("delta_text", delta_text())

@@ -53,11 +53,10 @@ def attach_touches(files: DataFrame, touches: DataFrame, keys=("repo",),
         hist = F.coalesce(F.col("_hist"), F.lit(False))
     else:
         hist = F.lit(has_history)
-    out = out.withColumn(
-        "touch_count",
-        F.when(hist, F.coalesce(F.col("_t"), F.lit(0).cast("long"))).otherwise(
-            F.lit(None).cast("long")))
-    return out.drop("_t", "_hist")
+    touch = F.when(hist, F.coalesce(F.col("_t"), F.lit(0).cast("long"))).otherwise(
+        F.lit(None).cast("long"))
+    return out.select(*[c for c in out.columns if c not in ("_t", "_hist")],
+                      touch.alias("touch_count"))
 
 
 def any_touch(scored: DataFrame, keys=("repo",)) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from faultline.functions import display
 from faultline.operators import graph, history, scoring
 from faultline.sources import bindings as B
-from faultline.sources.driver_tables import table
+from faultline.sources.driver_tables import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -446,14 +446,14 @@ END || '}'
 def part_answers(spark: SparkSession, d: str) -> DataFrame:
     """``repo, path, raw_text, exported_symbols, imported_symbol_names`` for
     part answers plus conversation turns (prose, so error rows)."""
-    part = table(spark, d, "part")
+    part = spread(table(spark, d, "part"))
     pa = part.select(
         F.col("p_brand").alias("repo"),
         F.concat(F.lit("part/"), F.col("p_partkey").cast("string")).alias("path"),
         F.expr(RAW_ANSWER_SQL).alias("raw_text"),
         F.split("p_name", " ").alias("exported_symbols"),
         F.array("p_brand", "p_type").alias("imported_symbol_names"))
-    conv = table(spark, d, "conversations").select(
+    conv = spread(table(spark, d, "conversations")).select(
         F.lit("conversations").alias("repo"),
         F.concat(F.lit("conv/"), F.col("conv_id").cast("string"), F.lit("/"),
                  F.col("turn").cast("string")).alias("path"),
@@ -650,7 +650,7 @@ FROM documents
 """)
 def q_line_count(spark, d):
     from faultline.functions.text import line_count
-    return table(spark, d, "documents").select("doc_id", line_count("text").alias("lines"))
+    return spread(table(spark, d, "documents")).select("doc_id", line_count("text").alias("lines"))
 
 
 @register("decision_points", f"""
@@ -662,7 +662,7 @@ FROM documents
 def q_decision_points(spark, d):
     from faultline.functions.text import decision_points
     masked = F.regexp_replace("text", PORTABLE_MASK, " ")
-    return table(spark, d, "documents").select(
+    return spread(table(spark, d, "documents")).select(
         "doc_id", decision_points(masked, PORTABLE_TOKENS).alias("complexity"))
 
 
@@ -685,7 +685,7 @@ FROM documents
 """)
 def q_prompt_build(spark, d):
     from faultline.functions.prompt import build_prompt
-    docs = table(spark, d, "documents")
+    docs = spread(table(spark, d, "documents"))
     touch = F.when(F.col("lang") == "de", F.lit(None).cast("long")).otherwise(F.col("n_chars"))
     return docs.select("doc_id", (F.length("text") > PROMPT_CAP).alias("truncated"),
                        build_prompt(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")),
@@ -704,7 +704,7 @@ SELECT target, count(DISTINCT page_id) AS fan_in FROM (
 GROUP BY target
 """)
 def q_link_fan_in(spark, d):
-    pages = table(spark, d, "pages")
+    pages = spread(table(spark, d, "pages"))
     edges = pages.select(F.col("page_id").alias("src_path"),
                          F.explode(F.regexp_extract_all("html", F.lit(HREF), 1)).alias("target"))
     return graph.fan_in_counts(edges, keys=(), dst="target", drop_self=False)

@@ -59,8 +59,8 @@ def first_line_edges(lineitem: DataFrame, before: str | None = None) -> DataFram
     order are ever formed.
     """
     li = lineitem if before is None else lineitem.filter(F.col("l_shipdate") < cut(before))
-    importer = li.groupBy("l_orderkey").agg(F.min_by(
-        "l_partkey", F.struct("l_linenumber", "l_suppkey", "l_partkey")).alias("src_path"))
+    importer = li.groupBy("l_orderkey").agg(
+        F.min(F.struct("l_linenumber", "l_suppkey", "l_partkey"))["l_partkey"].alias("src_path"))
     return (li.select("l_orderkey", F.col("l_partkey").alias("dst_path"))
             .join(importer, "l_orderkey").select("src_path", "dst_path"))
 
