@@ -575,7 +575,8 @@ def _line_occurrences(spark, d):
 
 @register("split_duplicates", f"""
 WITH ep AS (
-  SELECT l_orderkey, l_suppkey, min(l_linenumber * 10000000000 + l_partkey) AS e_pos
+  SELECT l_orderkey, l_suppkey,
+         min(l_linenumber * 100000000000000 + l_suppkey * 10000000 + l_partkey) AS e_pos
   FROM lineitem GROUP BY 1, 2),
 occ AS (
   SELECT l.l_orderkey, l.l_suppkey, l.l_partkey, l.l_linenumber, ep.e_pos

@@ -44,7 +44,14 @@ def read_commit_log(spark: SparkSession, path: str, git_root: dict | None = None
 
 def history_repos(spark: SparkSession, path: str) -> DataFrame:
     """Repositories whose log was exported — including empty logs (history
-    exists, nothing touched). Lists files with the ``binaryFile`` source and
-    never reads their content."""
-    files = spark.read.format("binaryFile").load(path).select("path")
-    return files.select(_repo_of(F.regexp_replace("path", "^[a-z]+:", "")).alias("repo")).distinct()
+    exists, nothing touched). Built from the file listing only (the same
+    metadata every file source lists on the driver); no log is read."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    it = fs.listFiles(root, True)
+    names = []
+    while it.hasNext():
+        names.append(it.next().getPath().toUri().getPath())
+    df = spark.createDataFrame([(n,) for n in names], "file string")
+    return df.select(_repo_of(F.col("file")).alias("repo")).distinct()
