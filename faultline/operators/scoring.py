@@ -41,7 +41,7 @@ def top_k(df: DataFrame, k: int, score: str = "score", tiebreak=("path",),
     if rank:
         # k rows at most: numbering them in one partition is bounded by k.
         out = out.withColumn(rank, F.row_number().over(
-            Window.orderBy(*rank_order(score, tiebreak))))
+            Window.orderBy(*rank_order(score, tiebreak))).cast("long"))
     return out
 
 
@@ -56,4 +56,7 @@ def top_k_per_group(df: DataFrame, k: int, keys=("repo",), score: str = "score",
     if k < 0:
         raise ValueError(f"top-k needs k >= 0, got {k}")
     w = Window.partitionBy(*keys).orderBy(*rank_order(score, tiebreak))
-    return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
+    # Filter on the window's own column (so the optimizer inserts the partial
+    # WindowGroupLimit), then widen the rank to bigint.
+    return (df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
+            .withColumn(rank, F.col(rank).cast("long")))
