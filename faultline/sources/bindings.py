@@ -27,7 +27,9 @@ BROKEN_TYPE, BROKEN_MIN_SIZE = "PROMO", 45   # "unparseable" modules
 
 
 def cut(ts: str) -> Column:
-    return F.lit(dt.datetime.fromisoformat(ts)).cast("timestamp_ntz")
+    """A wall-clock cut date (``timestamp_ntz``, independent of time zones)."""
+    dt.date.fromisoformat(ts)   # validate the literal
+    return F.lit(ts).cast("timestamp_ntz")
 
 
 def part_files(part: DataFrame) -> DataFrame:
