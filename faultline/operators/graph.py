@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# Candidate suffixes tried for an extensionless relative specifier, in the
-# order the TypeScript "node" module resolution tries them (fixed values).
-CANDIDATE_SUFFIXES = [".ts", ".tsx", ".d.ts", "/index.ts", "/index.tsx", "/index.d.ts"]
+# Candidates tried for a relative specifier, in the order the TypeScript
+# "node" module resolution tries them (fixed values): the file with a
+# TypeScript extension, then the directory's index file.
+FILE_SUFFIXES = [".ts", ".tsx", ".d.ts"]
+INDEX_SUFFIXES = ["/index.ts", "/index.tsx", "/index.d.ts"]
+JS_EXTENSION = r"\.(js|jsx|mjs|cjs)$"
+TS_EXTENSION = r"\.(ts|tsx|mts|cts)$"
 
 
 def _fold_dots(p: Column) -> Column:
@@ -24,39 +28,53 @@ def _fold_dots(p: Column) -> Column:
     return F.when(p.startswith("/"), F.concat(F.lit("/"), joined)).otherwise(joined)
 
 
-def resolve_imports(files: DataFrame, keys=("repo",), path: str = "path",
-                    specs: str = "imported_from") -> DataFrame:
-    """Import edges ``(keys…, src_path, dst_path)``, one per importer and target.
+def import_rows(files: DataFrame, keys=("repo",), path: str = "path",
+                specs: str = "imported_from") -> DataFrame:
+    """One row per import declaration: ``keys…, src_path, decl_pos, spec``."""
+    return files.select(*keys, F.col(path).alias("src_path"),
+                        F.posexplode(specs).alias("decl_pos", "spec"))
+
+
+def resolve_import_rows(decls: DataFrame, files: DataFrame, keys=("repo",),
+                        path: str = "path") -> DataFrame:
+    """Import edges ``(keys…, src_path, dst_path)`` from declaration rows
+    ``(keys…, src_path, decl_pos, spec)``.
 
     Only relative specifiers (``./``, ``../``) resolve; bare package names and
     path aliases do not (no tsconfig is read). A specifier ending in ``.js``
-    also tries the ``.ts``/``.tsx`` file, as TypeScript's ESM resolution does.
-    Among the candidates of one import declaration the lowest rank that names a
-    scanned file wins. Self-imports are dropped and edges are de-duplicated per
-    importer.
+    tries the sibling ``.ts``/``.tsx``/``.d.ts`` file, as TypeScript does, but
+    not a directory index. Among the candidates of one declaration the lowest
+    rank that names a scanned file wins (``min_by`` per declaration). Self
+    imports are dropped and edges are de-duplicated per importer.
     """
     keys = list(keys)
-    decl = (files.select(*keys, F.col(path).alias("src_path"),
-                         F.posexplode(specs).alias("decl_pos", "spec"))
-            .filter(F.col("spec").startswith("./") | F.col("spec").startswith("../")))
-    src_dir = F.regexp_replace(F.col("src_path"), "/[^/]*$", "")
+    decl = decls.filter(F.col("spec").startswith("./") | F.col("spec").startswith("../"))
+    src_dir = F.regexp_replace(F.col("src_path").cast("string"), "/[^/]*$", "")
     base = _fold_dots(F.concat_ws("/", src_dir, F.col("spec")))
-    stem = F.regexp_replace(base, r"\.(js|jsx|mjs|cjs)$", "")
-    has_ts_ext = base.rlike(r"\.(ts|tsx|mts|cts)$")
+    is_js = base.rlike(JS_EXTENSION)
+    stem = F.when(is_js, F.regexp_replace(base, JS_EXTENSION, "")).otherwise(base)
     cands = F.array(
-        F.when(has_ts_ext, base),
-        *[F.concat(stem, F.lit(s)) for s in CANDIDATE_SUFFIXES])
+        F.when(base.rlike(TS_EXTENSION), base),
+        *[F.concat(stem, F.lit(s)) for s in FILE_SUFFIXES],
+        *[F.when(~is_js, F.concat(base, F.lit(s))) for s in INDEX_SUFFIXES])
     exploded = decl.select(*keys, "src_path", "decl_pos",
                            F.posexplode(cands).alias("rank", "dst_path")).filter(
         F.col("dst_path").isNotNull())
-    targets = files.select(*keys, F.col(path).alias("dst_path"))
+    targets = files.select(*keys, F.col(path).cast("string").alias("dst_path"))
     hits = exploded.join(targets, [*keys, "dst_path"], "inner")
     best = hits.groupBy(*keys, "src_path", "decl_pos").agg(
         F.min_by("dst_path", "rank").alias("dst_path"))
-    return (best.filter(F.col("dst_path") != F.col("src_path"))
+    return (best.filter(F.col("dst_path") != F.col("src_path").cast("string"))
             .select(*keys, "src_path", "dst_path").distinct())
 
 
+def resolve_imports(files: DataFrame, keys=("repo",), path: str = "path",
+                    specs: str = "imported_from") -> DataFrame:
+    """Import edges of scanned files (J1): ``import_rows`` then
+    ``resolve_import_rows`` against the same files."""
+    return resolve_import_rows(import_rows(files, keys, path, specs), files, keys, path)
+
+
 def fan_in(files: DataFrame, edges: DataFrame, keys=("repo",), path: str = "path",
            src: str = "src_path", dst: str = "dst_path",
            drop_self: bool = True) -> DataFrame:

@@ -185,18 +185,42 @@ def q_outlier_topk_per_repo(spark, d):
 
 # ---------------------------------------------------------------- J3 / P12 (baseline)
 
+def module_snapshots(spark: SparkSession, d: str, before: str = B.BASELINE_CUT):
+    """(current module metrics, baseline rows as of ``before``) from shared
+    passes over lineitem: one importer aggregate + one edge join for both
+    snapshots' fan-in, one history aggregate for both touch counts and for
+    when each part first appears."""
+    from faultline.operators.baseline import baseline_rows
+    part, li = table(spark, d, "part"), table(spark, d, "lineitem")
+    files = B.part_files(part)
+    edges = B.first_line_edges_as_of(li, {"baseline": before})
+    fans = graph.fan_in_counts(edges, keys=("snapshot",))
+    hist = history.touch_frequency_as_of(
+        B.lineitem_commits(li, None), {"current": B.TOUCH_CUT, "baseline": before}, keys=())
+
+    def fan(name):
+        return (fans.filter(F.col("snapshot") == name)
+                .select(F.col("dst_path").alias("path"), "fan_in"))
+
+    def with_fan(f, name):
+        return (f.join(fan(name), "path", "left")
+                .withColumn("fan_in", F.coalesce(F.col("fan_in"), F.lit(0).cast("long"))))
+
+    cur_t = hist.select("path", F.col("touches_current").alias("touches"))
+    current = history.attach_touches(
+        with_fan(files, "current"), cur_t, keys=(), history_repos=B.history_brands(part),
+        history_keys=("repo",))
+    existing = hist.filter(F.col("first_seen") < B.cut(before)).select(
+        "path", F.col("touches_baseline").alias("touches"))
+    base = history.attach_touches(with_fan(files.join(existing.select("path"), "path", "left_semi"),
+                                           "baseline"), existing, keys=())
+    return current, baseline_rows(base, before, "0.1.0", keys=("repo",))
+
+
 def baseline_snapshot(spark: SparkSession, d: str, before: str = B.BASELINE_CUT) -> DataFrame:
     """Module metrics as they stood before ``before``: a part exists once a
     lineitem ships, fan-in counts first-line edges before the cut."""
-    from faultline.operators.baseline import baseline_rows
-    part, li = table(spark, d, "part"), table(spark, d, "lineitem")
-    existing = (li.filter(F.col("l_shipdate") < B.cut(before))
-                .select(F.col("l_partkey").alias("path")).distinct())
-    files = B.part_files(part).join(existing, "path", "left_semi")
-    files = graph.fan_in(files, B.first_line_edges(li, before), keys=())
-    touches = history.touch_frequency(B.lineitem_commits(li, before), keys=())
-    files = history.attach_touches(files, touches, keys=())
-    return baseline_rows(files, before, "0.1.0", keys=("repo",))
+    return module_snapshots(spark, d, before)[1]
 
 
 SQL_BASE = """,
@@ -235,8 +259,9 @@ FROM dl
 """)
 def q_baseline_delta(spark, d):
     from faultline.operators.baseline import delta_vs_baseline
-    cur = module_metrics(spark, d).withColumnRenamed("path", "rel_path")
-    out = delta_vs_baseline(cur, baseline_snapshot(spark, d), keys=("repo",))
+    current, base = module_snapshots(spark, d)
+    cur = current.withColumnRenamed("path", "rel_path")
+    out = delta_vs_baseline(cur, base, keys=("repo",))
     return out.select("repo", F.col("rel_path").alias("path"), "lines_delta",
                       "complexity_delta", "fan_in_delta", "is_new", "delta_text")
 
@@ -730,8 +755,31 @@ FROM tops t JOIN flags f USING (repo) WHERE t.rank <= {TOPK_PER_REPO}
 """)
 def q_scan_report(spark, d):
     from faultline.plans.jobs import scan_report
-    res = scan_report(scored_modules(spark, d), baseline_snapshot(spark, d), k=TOPK_PER_REPO,
+    current, base = module_snapshots(spark, d)
+    res = scan_report(scoring.with_score(current), base, k=TOPK_PER_REPO,
                       keys=("repo",), rel_path="path")
     return res.top.select("repo", "path", "rank", "display_score",
                           "complexity", "lines", "fan_in", "touches", "export_count",
                           "delta_text", "has_syntax_errors")
+
+
+# ---------------------------------------------------------------- J1 on written specifiers
+
+SQL_MODULE_PATH = """
+  'src/' || lower({t}) || '/' || CAST({pk} AS VARCHAR)
+  || CASE WHEN {sz} > 40 THEN '/index.ts' WHEN {sz} > 30 THEN '.tsx' ELSE '.ts' END"""
+
+
+@register("import_resolution", "WITH " + SQL_FILES + "," + SQL_FIRST_LINE.replace(
+    "WHERE i.src <> l.l_partkey GROUP BY 1", "WHERE i.src <> l.l_partkey AND l.l_linenumber NOT IN (6, 7) GROUP BY 1")
+    + f"""
+SELECT 'parts' AS repo,
+  {SQL_MODULE_PATH.format(t='p.p_type', pk='p.p_partkey', sz='p.p_size')} AS path,
+  COALESCE(fan.fan_in, 0) AS fan_in
+FROM part p LEFT JOIN fan ON fan.path = p.p_partkey
+""")
+def q_import_resolution(spark, d):
+    part, li = table(spark, d, "part"), table(spark, d, "lineitem")
+    files = B.part_module_files(part)
+    edges = graph.resolve_import_rows(B.first_line_import_decls(li, part), files)
+    return graph.fan_in(files, edges).select("repo", "path", "fan_in")

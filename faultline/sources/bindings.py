@@ -90,3 +90,75 @@ def lineitem_changes(lineitem: DataFrame) -> DataFrame:
     return lineitem.select(
         F.col("l_orderkey").alias("commit_id"), F.col("l_returnflag").alias("status"),
         F.concat(F.lit("src/"), F.col("l_partkey").cast("string"), ext).alias("path"))
+
+
+def first_line_edges_as_of(lineitem: DataFrame, cuts: dict) -> DataFrame:
+    """``snapshot, src_path, dst_path`` for the current state and for each cut.
+
+    One aggregate finds every order's first-line part overall and among the
+    lines before each cut (conditional ``min`` ignores later lines); one join
+    back to the lines then emits each line's edge per snapshot with
+    ``explode`` — one pass instead of one per snapshot.
+    """
+    pos = F.struct("l_linenumber", "l_suppkey", "l_partkey")
+    aggs = [F.min(pos)["l_partkey"].alias("_imp_current")]
+    aggs += [F.min(F.when(F.col("l_shipdate") < cut(c), pos))["l_partkey"].alias(f"_imp_{n}")
+             for n, c in cuts.items()]
+    importer = lineitem.groupBy("l_orderkey").agg(*aggs)
+    lines = lineitem.select("l_orderkey", "l_partkey", "l_shipdate").join(importer, "l_orderkey")
+    snaps = [F.struct(F.lit("current").alias("snapshot"), F.col("_imp_current").alias("src"))]
+    snaps += [F.struct(F.lit(n).alias("snapshot"),
+                       F.when(F.col("l_shipdate") < cut(c), F.col(f"_imp_{n}")).alias("src"))
+              for n, c in cuts.items()]
+    e = lines.select(F.col("l_partkey").alias("dst_path"), F.explode(F.array(*snaps)).alias("s"))
+    return (e.select(F.col("s.snapshot").alias("snapshot"), F.col("s.src").alias("src_path"),
+                     "dst_path").filter(F.col("src_path").isNotNull()))
+
+
+def part_module_path(t: Column, pk: Column, size: Column) -> Column:
+    """Source path of a part as a module: ``src/<type>/<key>.ts``, ``.tsx``
+    for sizes above 30, or a directory ``src/<type>/<key>/index.ts`` above 40."""
+    stem = F.concat(F.lit("src/"), F.lower(t), F.lit("/"), pk.cast("string"))
+    return (F.when(size > 40, F.concat(stem, F.lit("/index.ts")))
+            .when(size > 30, F.concat(stem, F.lit(".tsx")))
+            .otherwise(F.concat(stem, F.lit(".ts"))))
+
+
+def part_module_files(part: DataFrame) -> DataFrame:
+    """``repo, path`` (a source path string) per part."""
+    return part.select(F.lit("parts").alias("repo"),
+                       part_module_path(F.col("p_type"), F.col("p_partkey"), F.col("p_size"))
+                       .alias("path"), F.col("p_partkey").alias("part_key"))
+
+
+def first_line_import_decls(lineitem: DataFrame, part: DataFrame) -> DataFrame:
+    """Import declarations written by each order's first-line part: one per
+    line of the order, as the specifier text a developer would write.
+
+    The specifier is relative to the importer's directory (``./x`` within a
+    type, ``../type/x`` across, one more ``../`` from a directory index);
+    line 2 uses the ``.js`` spelling for file targets, line 6 names a file
+    that does not exist and line 7 a bare package — neither resolves.
+    """
+    pos = F.struct("l_linenumber", "l_suppkey", "l_partkey")
+    importer = lineitem.groupBy("l_orderkey").agg(F.min(pos)["l_partkey"].alias("imp"))
+    lines = lineitem.select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey").join(
+        importer, "l_orderkey")
+    pi = part.select(F.col("p_partkey").alias("imp"), F.lower("p_type").alias("it"),
+                     F.col("p_size").alias("isz"))
+    pt = part.select(F.col("p_partkey").alias("l_partkey"), F.lower("p_type").alias("tt"),
+                     F.col("p_size").alias("tsz"))
+    x = lines.join(pi, "imp").join(pt, "l_partkey")
+    up = F.when(F.col("isz") > 40, F.lit("../")).otherwise(F.lit("./"))
+    same = F.col("it") == F.col("tt")
+    rel = F.when(same, F.concat(up, F.col("l_partkey").cast("string"))).otherwise(
+        F.concat(F.when(F.col("isz") > 40, F.lit("../../")).otherwise(F.lit("../")),
+                 F.col("tt"), F.lit("/"), F.col("l_partkey").cast("string")))
+    spec = (F.when(F.col("l_linenumber") == 7, F.concat(F.lit("pkg-"), F.col("l_partkey").cast("string")))
+            .when(F.col("l_linenumber") == 6, F.concat(F.lit("./missing-"), F.col("l_partkey").cast("string")))
+            .when((F.col("l_linenumber") == 2) & (F.col("tsz") <= 40), F.concat(rel, F.lit(".js")))
+            .otherwise(rel))
+    return x.select(F.lit("parts").alias("repo"),
+                    part_module_path(F.col("it"), F.col("imp"), F.col("isz")).alias("src_path"),
+                    F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey").alias("decl_pos"),
+                    spec.alias("spec"))
