@@ -57,8 +57,7 @@ def scan_report(scored: DataFrame, baseline: DataFrame | None = None,
         "*", display.display_score("score").alias("display_score"),
         F.when(F.col("has_touch_data"), display.touch_display("touch_count")).alias("touches"),
         F.size("exported_symbols").alias("export_count"),
-        paths.short_path(F.col(rel_path if rel_path in d.columns else "path").cast("string"))
-        .alias("short_path"))
+        paths.short_path(F.col("path").cast("string")).alias("short_path"))
     totals = scored.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("files_scanned"),
         F.least(F.count(F.lit(1)), F.lit(k)).alias("shown"),
