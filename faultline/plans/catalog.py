@@ -783,3 +783,113 @@ def q_import_resolution(spark, d):
     files = B.part_module_files(part)
     edges = graph.resolve_import_rows(B.first_line_import_decls(li, part), files)
     return graph.fan_in(files, edges).select("repo", "path", "fan_in")
+
+
+# ---------------------------------------------------------------- P5 on prose and page scripts
+
+# The TypeScript mask without possessive quantifiers: the loops are unrolled
+# (unambiguous), so Java and RE2 match the same spans.
+from faultline.functions import text as _tx  # noqa: E402
+
+PORTABLE_CODE_MASK = _tx.MASK.replace("*+", "*")
+
+
+def _sql_integrity(col: str) -> str:
+    masked = f"regexp_replace({col}, {sql_lit(PORTABLE_CODE_MASK)}, ' ', 'g')"
+    br = f"regexp_replace({masked}, '[^()\\[\\]{{}}]', '', 'g')"
+    fold = (f"list_reduce(list_filter(string_split({br}, ''), lambda x: x <> ''), "
+            "lambda acc, c: CASE WHEN left(acc, 1) = '!' THEN acc "
+            "WHEN c IN ('(', '[', '{') THEN acc || c "
+            "WHEN length(acc) > 1 AND right(acc, 1) = CASE c WHEN ')' THEN '(' "
+            "WHEN ']' THEN '[' ELSE '{' END THEN left(acc, length(acc) - 1) ELSE '!' END, '#')")
+    return (f"(regexp_matches({masked}, '[''\"`]|/\\*') OR {fold} <> '#')")
+
+
+@register("syntax_integrity", f"""
+SELECT doc_id, {_sql_integrity('text')} AS has_syntax_errors FROM documents
+""")
+def q_syntax_integrity(spark, d):
+    masked = F.regexp_replace("text", PORTABLE_CODE_MASK, " ")
+    return spread(table(spark, d, "documents")).select(
+        "doc_id", _tx.has_syntax_errors(masked).alias("has_syntax_errors"))
+
+
+SCRIPT = r"(?s)<script>(.*?)</script>"
+
+
+@register("script_integrity", f"""
+SELECT page_id, pos, {_sql_integrity('code')} AS has_syntax_errors,
+       CAST(len(regexp_extract_all(regexp_replace(code, {sql_lit(PORTABLE_CODE_MASK)}, ' ', 'g'),
+            {sql_lit(PORTABLE_TOKENS)})) + 1 AS INTEGER) AS complexity
+FROM (SELECT page_id, unnest(regexp_extract_all(html, {sql_lit(SCRIPT)}, 1)) AS code,
+             generate_subscripts(regexp_extract_all(html, {sql_lit(SCRIPT)}, 1), 1) - 1 AS pos
+      FROM pages)
+""")
+def q_script_integrity(spark, d):
+    from faultline.functions.text import decision_points
+    pages = spread(table(spark, d, "pages"))
+    scripts = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(SCRIPT), 1))
+                           .alias("pos", "code"))
+    masked = F.regexp_replace("code", PORTABLE_CODE_MASK, " ")
+    return scripts.select("page_id", F.col("pos").cast("long").alias("pos"),
+                          _tx.has_syntax_errors(masked).alias("has_syntax_errors"),
+                          decision_points(masked, PORTABLE_TOKENS).alias("complexity"))
+
+
+# ---------------------------------------------------------------- A3 / A4 / A5 / P15 totals
+
+@register("scan_totals", SQL_MM + f"""
+SELECT repo, count(*) AS files_scanned, least(count(*), {TOPK_PER_REPO}) AS shown,
+       count(*) FILTER (WHERE has_syntax_errors) AS broken,
+       bool_or(touch_count IS NOT NULL) AS has_touch_data,
+       '1995-02-01' AS baseline_date
+FROM mm GROUP BY repo
+""")
+def q_scan_totals(spark, d):
+    from faultline.plans.jobs import scan_report
+    current, base = module_snapshots(spark, d)
+    res = scan_report(scoring.with_score(current), base, k=TOPK_PER_REPO, keys=("repo",),
+                      rel_path="path")
+    return res.totals
+
+
+# ---------------------------------------------------------------- J5 + E4: answers for candidates
+
+ANSWERED_TYPES = "p_type <> 'STANDARD'"   # STANDARD parts got no answer
+
+
+def _answer_rows(part: DataFrame) -> DataFrame:
+    return part.select(
+        F.col("p_brand").alias("repo"),
+        F.concat(F.lit("part/"), F.col("p_partkey").cast("string")).alias("path"),
+        F.expr(RAW_ANSWER_SQL).alias("raw_text"))
+
+
+@register("answer_pairing", SQL_MM + ", " + _sql_validation().strip()[len("WITH "):] + f"""
+, cand AS (
+  SELECT repo, path FROM (
+    SELECT *, row_number() OVER (ORDER BY score DESC, path) AS rk
+    FROM scored WHERE NOT has_syntax_errors)
+  WHERE rk <= {DRIFT_K} AND lines >= {DRIFT_MIN_LINES} AND complexity >= {DRIFT_MIN_COMPLEXITY})
+SELECT c.repo, 'part/' || CAST(c.path AS VARCHAR) AS path,
+  CASE WHEN {ANSWERED_TYPES} THEN a.is_error ELSE true END AS is_error,
+  CASE WHEN {ANSWERED_TYPES} THEN a.inferred_original_purpose ELSE 'ERROR' END
+    AS inferred_original_purpose,
+  CASE WHEN {ANSWERED_TYPES} THEN a.has_drifted ELSE false END AS has_drifted,
+  CASE WHEN {ANSWERED_TYPES} THEN a.drift_summary
+       ELSE 'Analysis failed: No model answer for this file' END AS drift_summary,
+  CASE WHEN {ANSWERED_TYPES} THEN a.n_split END AS n_split,
+  CASE WHEN {ANSWERED_TYPES} THEN a.warnings_text ELSE '' END AS warnings_text
+FROM cand c JOIN part p ON p.p_partkey = c.path
+LEFT JOIN allv a ON a.path = 'part/' || CAST(c.path AS VARCHAR)
+""")
+def q_answer_pairing(spark, d):
+    from faultline.operators.candidates import drift_candidates
+    from faultline.operators.validation import pair_answers, validate_paired
+    cand = (drift_candidates(scored_modules(spark, d), DRIFT_K, DRIFT_MIN_LINES,
+                             DRIFT_MIN_COMPLEXITY)
+            .filter(F.col("status") == "candidate")
+            .select("repo", F.concat(F.lit("part/"), F.col("path").cast("string")).alias("path"),
+                    "exported_symbols", "imported_symbol_names"))
+    responses = _answer_rows(table(spark, d, "part").filter(F.expr(ANSWERED_TYPES)))
+    return _validation_view(validate_paired(pair_answers(cand, responses, keys=("repo",))))

@@ -33,13 +33,15 @@ def cut(ts: str) -> Column:
 
 
 def part_files(part: DataFrame) -> DataFrame:
-    """``repo, path, lines, complexity, exported_symbols, has_syntax_errors``."""
+    """``repo, path, lines, complexity, exported_symbols, imported_symbol_names,
+    has_syntax_errors``."""
     return part.select(
         F.col("p_brand").alias("repo"),
         F.col("p_partkey").alias("path"),
         F.floor("p_retailprice").cast("int").alias("lines"),
         F.col("p_size").alias("complexity"),
         F.split("p_name", " ").alias("exported_symbols"),
+        F.array("p_brand", "p_type").alias("imported_symbol_names"),
         ((F.col("p_type") == BROKEN_TYPE) & (F.col("p_size") >= BROKEN_MIN_SIZE))
         .alias("has_syntax_errors"),
     )
