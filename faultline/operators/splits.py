@@ -23,16 +23,23 @@ def split_duplicates(occ: DataFrame, keys=("answer",), entry: str = "entry",
     ``occ`` holds one row per (entry, symbol) occurrence with a sortable
     ``pos``; entries are ordered by their first position, occurrences within an
     entry by position — the order the split is written in.
+
+    Duplicated (answer, symbol) keys are found first with a hash count (map-side
+    combined); entry positions and ordered file lists are then computed only
+    for the occurrences in those groups and the entries they touch.
     """
     keys = list(keys)
     o = occ.select(*keys, entry, symbol, pos)
-    first = o.groupBy(*keys, entry).agg(F.min(pos).alias("_entry_pos"))
-    o = o.join(first, [*keys, entry])
-    dup = (o.groupBy(*keys, symbol)
-           .agg(F.count(F.lit(1)).alias("n"),
-                F.sort_array(F.collect_list(F.struct("_entry_pos", pos, F.col(entry).alias("e"))))
-                .alias("_occ"))
-           .filter(F.col("n") > 1))
+    dup_keys = (o.groupBy(*keys, symbol).agg(F.count(F.lit(1)).alias("n"))
+                .filter(F.col("n") > 1))
+    dup_occ = o.join(dup_keys, [*keys, symbol], "inner")
+    touched = dup_occ.select(*keys, entry).distinct()
+    first = (o.join(touched, [*keys, entry], "left_semi")
+             .groupBy(*keys, entry).agg(F.min(pos).alias("_entry_pos")))
+    dup = (dup_occ.join(first, [*keys, entry])
+           .groupBy(*keys, symbol, "n")
+           .agg(F.sort_array(F.collect_list(F.struct("_entry_pos", pos, F.col(entry).alias("e"))))
+                .alias("_occ")))
     files = F.array_join(F.transform("_occ", lambda x: x["e"].cast("string")), ", ")
     return dup.select(*keys, symbol, "n", files.alias("files"),
                       F.format_string(MSG_DUPLICATE, F.col(symbol).cast("string"), files)

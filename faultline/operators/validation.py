@@ -82,22 +82,26 @@ def validate_answers(df: DataFrame, raw: str = "raw_text", exports: str = "expor
     Error rows carry purpose ``ERROR``, empty arrays, ``has_drifted`` false, a
     null split and ``Analysis failed: <reason>``.
     """
-    cleaned = clean_answer(raw)
     rawc = F.coalesce(_c(raw), F.lit(""))
-    keys_map = F.from_json(cleaned, "map<string,string>", JSON_OPTS)
-    v = F.try_parse_json(cleaned)
-    staged = df.select(
+    # Parse once per row: the cleaned text, its variant, its key map and its
+    # typed form are separate projections, so no JSON is parsed twice.
+    parsed = df.select("*", clean_answer(raw).alias("_clean")).select(
+        "*", F.try_parse_json("_clean").alias("_v"),
+        F.from_json("_clean", "map<string,string>", JSON_OPTS).alias("_kmap"),
+        F.from_json("_clean", ANSWER, JSON_OPTS).alias("_a"))
+    cleaned, v = F.col("_clean"), F.col("_v")
+    staged = parsed.select(
         "*",
-        cleaned.alias("_clean"),
-        (keys_map.isNotNull() & cleaned.rlike(r"(?s)^\{.*\}\z")).alias("_is_obj"),
+        (F.col("_kmap").isNotNull() & cleaned.rlike(r"(?s)^\{.*\}\z")).alias("_is_obj"),
         (cleaned.rlike(r"(?s)^\[.*\]\z") & v.isNotNull()).alias("_is_arr"),
         (v.isNotNull() & ~cleaned.rlike(r"^[\[{]")).alias("_is_scalar"),
-        F.map_keys(keys_map).alias("_keys"),
-        F.from_json(cleaned, ANSWER, JSON_OPTS).alias("_a"),
+        F.map_keys("_kmap").alias("_keys"),
         _vtype(v, "$.suggestedSplit").alias("_split_t"),
         _truthy(v, "$.hasDrifted").alias("_drifted"),
         F.try_variant_get(v, "$.suggestedSplit", "array<variant>").alias("_split_v"),
         F.try_variant_get(v, "$.suggestedSplit", "string").alias("_split_s"),
+        F.try_variant_get(v, "$.suggestedSplit", "boolean").alias("_split_b"),
+        F.try_variant_get(v, "$.suggestedSplit", "double").alias("_split_d"),
         F.coalesce(_c(exports), F.array().cast("array<string>")).alias("_exp"),
         F.coalesce(_c(imports), F.array().cast("array<string>")).alias("_imp"),
     )
@@ -113,12 +117,9 @@ def validate_answers(df: DataFrame, raw: str = "raw_text", exports: str = "expor
                   .otherwise(F.lit(False)))
     split_truthy = (F.when(is_array | split_t.startswith("OBJECT"), F.lit(True))
                     .when(split_t == "STRING", F.length("_split_s") > 0)
-                    .when(split_t == "BOOLEAN", F.try_variant_get(F.try_parse_json("_clean"),
-                                                                  "$.suggestedSplit", "boolean"))
+                    .when(split_t == "BOOLEAN", F.col("_split_b"))
                     .when(split_t.isNull() | (split_t == "VOID"), F.lit(False))
-                    .otherwise(F.coalesce(F.try_variant_get(F.try_parse_json("_clean"),
-                                                            "$.suggestedSplit", "double") != 0,
-                                          F.lit(True))))
+                    .otherwise(F.coalesce(F.col("_split_d") != 0, F.lit(True))))
     drifted = F.col("_drifted")
     suppress = ~drifted & real_split
     no_plan = drifted & ~real_split
