@@ -5,6 +5,7 @@ can express; the column names match."""
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -18,6 +19,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+def shared_plan(fn):
+    """Build a sub-plan once per (session, data directory).
+
+    DataFrames are immutable logical plans; queries that share a sub-plan (the
+    scored modules, the snapshots, the validated answers) reuse the same object
+    instead of rebuilding it expression by expression. No data is cached.
+    """
+    memo: dict = {}
+
+    @functools.wraps(fn)
+    def wrapper(spark, d, *args):
+        key = (id(spark), d, args)
+        hit = memo.get(key)
+        if hit is None or hit[0] is not spark:
+            hit = (spark, fn(spark, d, *args))
+            memo[key] = hit
+        return hit[1]
+    return wrapper
+
+
 def register(name: str, oracle: str | None = None):
     def deco(fn):
         QUERIES[name] = fn
@@ -29,6 +50,7 @@ def register(name: str, oracle: str | None = None):
 
 # ---------------------------------------------------------------- shared parts
 
+@shared_plan
 def module_metrics(spark: SparkSession, d: str,
                    no_history_suffix: str | None = B.NO_HISTORY_SUFFIX) -> DataFrame:
     """Parts as modules, with fan-in (first-line edges) and touch counts."""
@@ -74,6 +96,7 @@ scored AS (
 """)
 
 
+@shared_plan
 def scored_modules(spark: SparkSession, d: str) -> DataFrame:
     return scoring.with_score(module_metrics(spark, d))
 
@@ -185,6 +208,7 @@ def q_outlier_topk_per_repo(spark, d):
 
 # ---------------------------------------------------------------- J3 / P12 (baseline)
 
+@shared_plan
 def module_snapshots(spark: SparkSession, d: str, before: str = B.BASELINE_CUT):
     """(current module metrics, baseline rows as of ``before``) from shared
     passes over lineitem: one importer aggregate + one edge join for both
@@ -468,6 +492,7 @@ END || '}'
 """
 
 
+@shared_plan
 def part_answers(spark: SparkSession, d: str) -> DataFrame:
     """``repo, path, raw_text, exported_symbols, imported_symbol_names`` for
     part answers plus conversation turns (prose, so error rows)."""
@@ -488,6 +513,7 @@ def part_answers(spark: SparkSession, d: str) -> DataFrame:
     return pa.unionByName(conv)
 
 
+@shared_plan
 def validated(spark, d):
     from faultline.operators.validation import validate_answers
     return validate_answers(part_answers(spark, d))
