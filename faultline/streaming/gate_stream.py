@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from faultline.operators import candidates as C
-from faultline.operators.gate import changed_files, gate_status
+from pyspark.sql import functions as F
+
+from faultline.operators.gate import changed_files, gate_status, gate_verdict
 from faultline.operators.metrics import file_metrics
 from faultline.schemas import STAGED_CHANGES
 from faultline.session import checkpoint_path
@@ -37,3 +39,32 @@ def start_gate_stream(spark: SparkSession, source_dir: str, sink_dir: str,
          .option("path", sink_dir))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
+
+
+def write_gate_batch(status: DataFrame, batch_id: int, sink_dir: str, verdict_dir: str,
+                     fmt: str = "parquet") -> None:
+    """One micro-batch: per-file status rows and the verdict of each commit
+    in the batch (F6), both under ``batch_id=<n>``. Overwriting that partition
+    makes a retried batch idempotent."""
+    status = status.persist()
+    try:
+        tagged = status.withColumn("batch_id", F.lit(batch_id))
+        (tagged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("batch_id").format(fmt).save(sink_dir))
+        verdict = gate_verdict(status, keys=("repo", "commit_id")).withColumn("batch_id", F.lit(batch_id))
+        (verdict.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("batch_id").format(fmt).save(verdict_dir))
+    finally:
+        status.unpersist()
+
+
+def start_gate_verdict_stream(spark: SparkSession, source_dir: str, sink_dir: str,
+                              verdict_dir: str, name: str = "gate-verdict", fmt: str = "parquet",
+                              available_now: bool = False, **kw) -> StreamingQuery:
+    """The gate stream with a per-commit verdict for every micro-batch (a batch
+    of staged files is one hook run)."""
+    df = gate_stream_frame(spark, source_dir, fmt, **kw)
+    w = (df.writeStream.option("checkpointLocation", checkpoint_path(spark, f"stream-{name}"))
+         .foreachBatch(lambda b, i: write_gate_batch(b, i, sink_dir, verdict_dir)))
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
+    return w.start()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from faultline.functions import display, paths
 from faultline.operators import baseline as BL, gate as G
 from faultline.sources import baseline_store as BS
-from faultline.streaming.gate_stream import start_gate_stream
+from faultline.streaming.gate_stream import start_gate_stream, start_gate_verdict_stream
 
 
 def metrics_df(spark, rows):
@@ -122,3 +122,17 @@ def test_gate_stream_available_now(spark, tmp_dir):
     q.awaitTermination(120)
     rows = spark.read.parquet(out).collect()
     assert [(r.path, r.status) for r in rows] == [("src/big.ts", "WARN")]
+
+
+def test_gate_verdict_stream(spark, tmp_dir):
+    src = os.path.join(tmp_dir, "in")
+    out, ver = os.path.join(tmp_dir, "status"), os.path.join(tmp_dir, "verdict")
+    spark.createDataFrame(
+        [("r", "c1", "A", "src/big.ts", big_source()), ("r", "c2", "M", "src/ok.ts", "export const a = 1;")],
+        "repo string, commit_id string, status string, path string, content string").write.parquet(src)
+    q = start_gate_verdict_stream(spark, src, out, ver, name=f"v{os.getpid()}-{os.path.basename(tmp_dir)}",
+                                  available_now=True, strict=True)
+    q.awaitTermination(120)
+    v = {r.commit_id: (r.n_flagged, r.failed) for r in spark.read.parquet(ver).collect()}
+    assert v == {"c1": (1, True), "c2": (0, False)}
+    assert spark.read.parquet(out).count() == 2
