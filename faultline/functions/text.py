@@ -9,7 +9,8 @@ extracted with Java regular expressions, all inside Spark's JVM expressions.
 Known lexical deviations from an AST: conditional types and optional methods
 ``m?()`` look like ternaries; ``cond ?.5 : 1`` is missed; code inside ``${…}``
 is masked with its template; a regex literal containing a quote can confuse the
-mask; ``export *`` re-exports are not followed; JSX text may hold apostrophes;
+mask; ``export *`` chains are followed for a bounded number of hops (see
+``operators.metrics.follow_star_exports``); JSX text may hold apostrophes;
 ``export const a = 1, b = 2`` yields only ``a``; destructured exports are missed.
 """
 
@@ -46,6 +47,7 @@ EXPORT_STMT = (
     r"|(?:type\s+)?\{[^}]*\}|\*\s*as\s+" + IDENT + ")")
 IMPORT_DECL = (r"(?<![\w$.])import\b\s*(?:type\s+)?(?:[\w$*{][^;'\"`]*?\bfrom\s*)?"
                r"(?:'[^'\n]*'|\"[^\"\n]*\")")
+STAR_EXPORT = r"(?<![\w$.])export\s*\*\s*from\s*('[^'\n]*'|\"[^\"\n]*\")"
 BRACKET_PAIRS = {")": "(", "]": "[", "}": "{"}
 
 
@@ -104,6 +106,13 @@ def import_declarations(code) -> Column:
     return F.regexp_extract_all(_c(code), F.lit(IMPORT_DECL), 0)
 
 
+def star_export_specifiers(code) -> Column:
+    """Specifiers of ``export * from "…"`` (not ``export * as ns``) in
+    comment-stripped text that still has its strings."""
+    found = F.regexp_extract_all(_c(code), F.lit(STAR_EXPORT), 1)
+    return F.transform(found, lambda q: F.regexp_replace(q, "^['\"]|['\"]$", ""))
+
+
 def import_specifiers(decls) -> Column:
     """Module specifier of every declaration, in order, not de-duplicated."""
     return F.transform(_c(decls), lambda m: F.regexp_extract(m, r"['\"]([^'\"\n]*)['\"]$", 1))

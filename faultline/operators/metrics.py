@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from faultline.functions import text as tx
-from faultline.operators.graph import fan_in, resolve_imports
+from faultline.operators.graph import fan_in, resolve_import_rows, resolve_imports
 
 
 def file_metrics(source_files: DataFrame, keys=("repo",), path: str = "path",
@@ -20,7 +20,10 @@ def file_metrics(source_files: DataFrame, keys=("repo",), path: str = "path",
         *keys, path,
         tx.line_count(content).alias("lines"),
         tx.mask_code(content).alias("_masked"),
-        tx.import_declarations(tx.strip_comments(content)).alias("_imports"))
+        tx.strip_comments(content).alias("_code")).select(
+        *keys, path, "lines", "_masked",
+        tx.import_declarations("_code").alias("_imports"),
+        tx.star_export_specifiers("_code").alias("star_exports"))
     return staged.select(
         *keys, path, "lines",
         tx.decision_points("_masked").alias("complexity"),
@@ -28,12 +31,42 @@ def file_metrics(source_files: DataFrame, keys=("repo",), path: str = "path",
         F.size("_imports").alias("import_count"),
         tx.import_specifiers("_imports").alias("imported_from"),
         tx.imported_symbol_names("_imports").alias("imported_symbol_names"),
-        tx.has_syntax_errors("_masked").alias("has_syntax_errors"))
+        tx.has_syntax_errors("_masked").alias("has_syntax_errors"),
+        "star_exports")
+
+
+def follow_star_exports(metrics: DataFrame, keys=("repo",), path: str = "path",
+                        hops: int = 2) -> DataFrame:
+    """Add the names re-exported through ``export * from "…"`` (never
+    ``default``) to ``exported_symbols``.
+
+    Each hop resolves the star specifiers against the scanned files (the J1
+    join) and joins in the targets' current exports, so a chain of n files needs
+    n hops; ``hops`` bounds the plan (deeper chains are a documented limit).
+    Re-exported names follow the file's own, sorted.
+    """
+    keys = list(keys)
+    decls = metrics.select(*keys, F.col(path).alias("src_path"),
+                           F.posexplode("star_exports").alias("decl_pos", "spec"))
+    edges = resolve_import_rows(decls, metrics, keys, path)
+    out = metrics
+    for _ in range(hops):
+        targets = out.select(*keys, F.col(path).cast("string").alias("dst_path"),
+                             F.col("exported_symbols").alias("_t"))
+        re = (edges.join(targets, [*keys, "dst_path"])
+              .select(*keys, "src_path", F.explode(F.filter("_t", lambda x: x != "default")).alias("_s"))
+              .groupBy(*keys, "src_path").agg(F.array_sort(F.collect_set("_s")).alias("_re")))
+        base = metrics.select(*keys, path, F.col("exported_symbols").alias("_own"))
+        merged = (base.join(re.withColumnRenamed("src_path", path), [*keys, path], "left")
+                  .select(*keys, path, F.array_distinct(F.concat(
+                      "_own", F.coalesce("_re", F.array().cast("array<string>")))).alias("exported_symbols")))
+        out = out.drop("exported_symbols").join(merged, [*keys, path])
+    return out.select(*metrics.columns)
 
 
 def scan(source_files: DataFrame, keys=("repo",), path: str = "path",
          content: str = "content") -> DataFrame:
     """File metrics plus ``fan_in`` over resolved import edges."""
-    m = file_metrics(source_files, keys, path, content)
+    m = follow_star_exports(file_metrics(source_files, keys, path, content), keys, path)
     edges = resolve_imports(m, keys=keys, path=path)
     return fan_in(m, edges, keys=keys, path=path)

@@ -64,3 +64,17 @@ def test_fan_in_sum_equals_distinct_edges(spark):
     edges = resolve_imports(files)
     total = sum(r.fan_in for r in fan_in(files, edges).collect())
     assert total == edges.count() == 3
+
+
+def test_star_exports_followed(spark, tmp_dir):
+    from faultline.operators.metrics import file_metrics, follow_star_exports
+    write(tmp_dir, "a.ts", 'export * from "./b";\nexport const own = 1;')
+    write(tmp_dir, "b.ts", "export const x = 1;\nexport default 2;\nexport * from './c';")
+    write(tmp_dir, "c.ts", "export const y = 1;\nexport * as ns from './a';")
+    df = read_source_tree(spark, tmp_dir, repo="r").drop("rel_path")
+    m = file_metrics(df)
+    one = {r.path.rsplit("/", 1)[1]: r.exported_symbols for r in follow_star_exports(m, hops=1).collect()}
+    two = {r.path.rsplit("/", 1)[1]: r.exported_symbols for r in follow_star_exports(m, hops=2).collect()}
+    # `export * as ns` makes ns a named export of c, so `export *` passes it on
+    assert one["a.ts"] == ["own", "x"] and one["b.ts"] == ["x", "default", "ns", "y"]
+    assert two["a.ts"] == ["own", "ns", "x", "y"] and two["c.ts"] == ["y", "ns"]
