@@ -51,6 +51,11 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def _sql_str(text: str) -> str:
+    """A Spark SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def clean_answer(raw) -> Column:
     """Drop a leading ```` ```json ```` fence and a trailing fence, trim."""
     return F.regexp_replace(F.regexp_replace(_c(raw), FENCE, ""), r"^\s+|\s+\z", "")
@@ -133,36 +138,39 @@ def validate_answers(df: DataFrame, raw: str = "raw_text", exports: str = "expor
         "*", missing.alias("_missing"), suppress.alias("_suppress"), no_plan.alias("_no_plan"),
         bad_split.alias("_bad_split"),
         F.when(~suppress & is_array, F.col("_a.suggestedSplit")).alias("_split"))
-    # X4 / A8 row-local: symbols listed more than once over all entries.
-    occ = F.flatten(F.transform("_split", lambda e: F.transform(
-        F.coalesce(e["movedExports"], F.array().cast("array<string>")),
-        lambda s: F.struct(s.alias("sym"), e["newFileName"].alias("file")))))
-    occ = F.coalesce(occ, F.array().cast("array<struct<sym:string,file:string>>"))
-    s3 = s2.select("*", occ.alias("_occ"))
-    syms = F.array_distinct(F.transform("_occ", lambda o: o["sym"]))
-    dups = F.filter(syms, lambda s: F.size(F.filter("_occ", lambda o: o["sym"].eqNullSafe(s))) > 1)
-    dup_warnings = F.transform(dups, lambda s: F.format_string(
-        MSG_DUPLICATE, F.coalesce(s, F.lit("null")),
-        F.array_join(F.transform(F.filter("_occ", lambda o: o["sym"].eqNullSafe(s)),
-                                 lambda o: o["file"]), ", ", "")))
-    # Symbols not exported here — imported, or unverified locals.
-    foreign = F.filter(F.transform("_occ", lambda o: o["sym"]),
-                       lambda s: ~F.coalesce(F.array_contains("_exp", s), F.lit(False)))
-    imported = F.array_distinct(F.filter(foreign, lambda s: F.coalesce(
-        F.array_contains("_imp", s), F.lit(False))))
-    local = F.array_distinct(F.filter(foreign, lambda s: ~F.coalesce(
-        F.array_contains("_imp", s), F.lit(False))))
-    any_moved = F.exists("_split", lambda e: F.size(e["movedExports"]) > 0)
-    unknown = (F.when(F.col("_split").isNull(), F.array().cast("array<string>"))
-               .when(F.size("_exp") == 0,
-                     F.when(any_moved, F.array(F.lit(MSG_NO_EXPORTS)))
-                     .otherwise(F.array().cast("array<string>")))
-               .otherwise(F.filter(F.array(
-                   F.when(F.size(imported) > 0, F.format_string(
-                       MSG_IMPORTED, F.size(imported), F.array_join(imported, ", ", ""))),
-                   F.when(F.size(local) > 0, F.format_string(
-                       MSG_UNVERIFIED, F.size(local), F.array_join(local, ", ", "")))),
-                   lambda w: w.isNotNull())))
+    # X4 / A8 row-local: symbols listed more than once over all entries, and
+    # Symbols not exported here — imported, or unverified locals. Written
+    # as SQL lambda expressions: one parse each instead of one JVM call per
+    # expression node, which keeps building this plan cheap.
+    s3 = s2.select("*", F.expr(
+        "coalesce(flatten(transform(_split, e -> transform(coalesce(e.movedExports, array()), "
+        "s -> named_struct('sym', s, 'file', e.newFileName)))), "
+        "cast(array() as array<struct<sym:string,file:string>>))").alias("_occ"))
+    s4 = s3.select("*", F.expr(
+        "transform(filter(array_distinct(transform(_occ, o -> o.sym)), "
+        "s -> size(filter(_occ, o -> o.sym <=> s)) > 1), "
+        f"s -> format_string({_sql_str(MSG_DUPLICATE)}, coalesce(s, 'null'), "
+        "array_join(transform(filter(_occ, o -> o.sym <=> s), o -> o.file), ', ', '')))"
+    ).alias("_dup_w"), F.expr(
+        "filter(transform(_occ, o -> o.sym), s -> NOT coalesce(array_contains(_exp, s), false))"
+    ).alias("_foreign"))
+    s5 = s4.select(
+        "*",
+        F.expr("array_distinct(filter(_foreign, s -> coalesce(array_contains(_imp, s), false)))")
+        .alias("_imported"),
+        F.expr("array_distinct(filter(_foreign, s -> NOT coalesce(array_contains(_imp, s), false)))")
+        .alias("_local"))
+    s3 = s5.select("*", F.expr(
+        "CASE WHEN _split IS NULL THEN cast(array() AS array<string>) "
+        "WHEN size(_exp) = 0 THEN (CASE WHEN exists(_split, e -> size(e.movedExports) > 0) "
+        f"THEN array({_sql_str(MSG_NO_EXPORTS)}) ELSE cast(array() AS array<string>) END) "
+        "ELSE filter(array("
+        f"CASE WHEN size(_imported) > 0 THEN format_string({_sql_str(MSG_IMPORTED)}, "
+        "size(_imported), array_join(_imported, ', ', '')) END, "
+        f"CASE WHEN size(_local) > 0 THEN format_string({_sql_str(MSG_UNVERIFIED)}, "
+        "size(_local), array_join(_local, ', ', '')) END), w -> w IS NOT NULL) END"
+    ).alias("_unknown"))
+    dup_warnings, unknown = F.col("_dup_w"), F.col("_unknown")
     consistency = F.filter(F.array(
         F.when(F.col("_suppress"), F.lit(MSG_CONTRADICTORY)),
         F.when(F.col("_no_plan"), F.lit(MSG_NO_PLAN))), lambda w: w.isNotNull())
