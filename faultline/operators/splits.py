@@ -51,27 +51,33 @@ def symbol_membership(moved: DataFrame, exports: DataFrame, imports: DataFrame,
     """Classify moved symbols against a file's exports and imports.
 
     Returns one row per answer and warning kind: ``kind`` is ``imported`` or
-    ``unverified`` (distinct symbols in first-seen order, via anti/semi joins),
-    or ``no_exports`` for an answer whose file exports nothing.
+    ``unverified`` (distinct symbols in first-seen order), or ``no_exports``
+    for an answer whose file exports nothing.
+
+    Membership is relational: moved occurrences anti-join the exports, semi-join
+    the answers that export anything, and left-join an imports marker. The
+    first-seen order comes from sorting each list's collected (position,
+    symbol) pairs and keeping the first of each symbol, so no sort-based
+    aggregate runs over every occurrence.
     """
     keys = list(keys)
-    first = moved.groupBy(*keys, symbol).agg(F.min(pos).alias("_p"))
     ex = exports.select(*keys, symbol).distinct()
-    im = imports.select(*keys, symbol).distinct()
+    im = imports.select(*keys, symbol).distinct().withColumn("_imported", F.lit(True))
     has_exports = ex.select(*keys).distinct()
-    with_exp = first.join(has_exports, keys, "left_semi")
-    no_exp = first.join(has_exports, keys, "left_anti").select(*keys).distinct()
-    foreign = with_exp.join(ex, [*keys, symbol], "left_anti")
-    imported = foreign.join(im, [*keys, symbol], "left_semi").withColumn("kind", F.lit("imported"))
-    local = foreign.join(im, [*keys, symbol], "left_anti").withColumn("kind", F.lit("unverified"))
-    grouped = (imported.unionByName(local).groupBy(*keys, "kind")
-               .agg(F.count(F.lit(1)).alias("n"),
-                    F.sort_array(F.collect_list(F.struct("_p", F.col(symbol).cast("string").alias("s"))))
-                    .alias("_l")))
-    names = F.array_join(F.transform("_l", lambda x: x["s"]), ", ")
-    text = F.when(F.col("kind") == "imported", F.format_string(MSG_IMPORTED, F.col("n"), names)) \
-        .otherwise(F.format_string(MSG_UNVERIFIED, F.col("n"), names))
-    warned = grouped.select(*keys, "kind", "n", names.alias("symbols"), text.alias("warning"))
-    summary = no_exp.select(*keys, F.lit("no_exports").alias("kind"), F.lit(0).cast("long").alias("n"),
-                            F.lit("").alias("symbols"), F.lit(MSG_NO_EXPORTS).alias("warning"))
+    occ = moved.select(*keys, symbol, pos)
+    foreign = (occ.join(ex, [*keys, symbol], "left_anti")
+               .join(has_exports, keys, "left_semi")
+               .join(im, [*keys, symbol], "left")
+               .withColumn("kind", F.when(F.col("_imported"), "imported").otherwise("unverified")))
+    grouped = foreign.groupBy(*keys, "kind").agg(
+        F.sort_array(F.collect_list(F.struct(pos, F.col(symbol).cast("string").alias("s")))).alias("_l"))
+    listed = grouped.select(*keys, "kind", F.array_distinct(F.transform("_l", lambda x: x["s"])).alias("_syms"))
+    names = F.array_join("_syms", ", ")
+    n = F.size("_syms").cast("long")
+    text = F.when(F.col("kind") == "imported", F.format_string(MSG_IMPORTED, n, names)) \
+        .otherwise(F.format_string(MSG_UNVERIFIED, n, names))
+    warned = listed.select(*keys, "kind", n.alias("n"), names.alias("symbols"), text.alias("warning"))
+    summary = (occ.select(*keys).distinct().join(has_exports, keys, "left_anti")
+               .select(*keys, F.lit("no_exports").alias("kind"), F.lit(0).cast("long").alias("n"),
+                       F.lit("").alias("symbols"), F.lit(MSG_NO_EXPORTS).alias("warning")))
     return warned.unionByName(summary)
