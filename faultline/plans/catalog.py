@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from faultline.functions import display
+from faultline.functions import display, text as _tx
 from faultline.operators import graph, history, scoring
 from faultline.sources import bindings as B
 from faultline.sources.driver_tables import spread, table
@@ -260,7 +260,10 @@ fan_b AS (
 base AS (
   SELECT f.repo, f.path, f.lines, f.complexity, COALESCE(fan_b.fan_in, 0) AS fan_in
   FROM files f LEFT JOIN fan_b USING (path)
-  WHERE f.path IN (SELECT l_partkey FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-02-01')),
+  WHERE f.path IN (SELECT l_partkey FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-02-01'))
+"""
+
+SQL_DELTA = """,
 dl AS (
   SELECT s.repo, s.path, b.path IS NULL AS is_new,
          CASE WHEN b.path IS NULL THEN 0 ELSE s.lines - b.lines END AS lines_delta,
@@ -275,7 +278,7 @@ def _sql_label(x: str) -> str:
             f"ELSE CAST({x} AS VARCHAR) END")
 
 
-@register("baseline_delta", SQL_MM + SQL_BASE + f"""
+@register("baseline_delta", SQL_MM + SQL_BASE + SQL_DELTA + f"""
 SELECT repo, path, lines_delta, complexity_delta, fan_in_delta, is_new,
        CASE WHEN is_new THEN 'NEW' ELSE 'Δcomplexity=' || {_sql_label('complexity_delta')}
             || ' Δlines=' || {_sql_label('lines_delta')} END AS delta_text
@@ -290,8 +293,7 @@ def q_baseline_delta(spark, d):
                       "complexity_delta", "fan_in_delta", "is_new", "delta_text")
 
 
-@register("baseline_snapshot", "WITH " + SQL_FILES + SQL_BASE.replace(
-    ",\ndl AS", ",\ndl_unused AS").replace("FROM scored s", "FROM files s") + """,
+@register("baseline_snapshot", "WITH " + SQL_FILES + SQL_BASE + """,
 tb AS (
   SELECT l_partkey AS path, count(DISTINCT l_orderkey) AS touches
   FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-02-01' GROUP BY 1)
@@ -764,7 +766,7 @@ def q_link_fan_in(spark, d):
 
 # ---------------------------------------------------------------- E1 scan report
 
-@register("scan_report", SQL_MM + SQL_BASE + f"""
+@register("scan_report", SQL_MM + SQL_BASE + SQL_DELTA + f"""
 , tops AS (
   SELECT s.*, d.is_new, d.lines_delta, d.complexity_delta,
          row_number() OVER (PARTITION BY s.repo ORDER BY s.score DESC, s.path) AS rank
@@ -815,8 +817,6 @@ def q_import_resolution(spark, d):
 
 # The TypeScript mask without possessive quantifiers: the loops are unrolled
 # (unambiguous), so Java and RE2 match the same spans.
-from faultline.functions import text as _tx  # noqa: E402
-
 PORTABLE_CODE_MASK = _tx.MASK.replace("*+", "*")
 
 
