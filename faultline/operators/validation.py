@@ -41,6 +41,7 @@ MSG_FAILED = "Analysis failed: "
 MSG_NOT_OBJECT = "Model response is not a JSON object: "
 MSG_BAD_SPLIT = "Model response has a malformed suggestedSplit (entries need movedExports arrays)"
 MSG_NO_ANSWER = "No model answer for this file"
+MSG_MANY_ANSWERS = "%d model answers for this file; expected one"
 
 JSON_OPTS = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false",
              "allowUnquotedControlChars": "false"}
@@ -204,29 +205,36 @@ def validate_answers(df: DataFrame, raw: str = "raw_text", exports: str = "expor
 
 def pair_answers(candidates: DataFrame, responses: DataFrame, keys=("repo",),
                  path: str = "path") -> DataFrame:
-    """Every candidate yields exactly one answer row; a missing answer
-    becomes an error row at validation (``raw_text`` null -> flagged here)."""
-    r = responses.select(*keys, path, "raw_text", F.lit(True).alias("_answered"))
+    """Every candidate yields exactly one row. Answers are first reduced to
+    one row per file (a hash aggregate, combined map-side, so a file with many
+    answers stays cheap); a file with several answers keeps the count and
+    becomes an error row at validation, as does a file with none."""
+    r = responses.groupBy(*keys, path).agg(
+        F.count(F.lit(1)).alias("_answers"), F.min("raw_text").alias("raw_text"))
     return candidates.join(r, [*keys, path], "left")
 
 
 def validate_paired(paired: DataFrame, **kw) -> DataFrame:
-    """Validation of paired answers; unanswered candidates become error rows."""
+    """Validation of paired answers; unanswered candidates and candidates
+    with more than one answer become error rows."""
     v = validate_answers(paired, **kw)
-    no = F.col("_answered").isNull()
-    return (v.withColumn("is_error", F.col("is_error") | no)
-            .withColumn("inferred_original_purpose",
-                        F.when(no, F.lit(ERROR_PURPOSE)).otherwise(F.col("inferred_original_purpose")))
-            .withColumn("current_responsibilities",
-                        F.when(no, F.array().cast("array<string>"))
-                        .otherwise(F.col("current_responsibilities")))
-            .withColumn("has_drifted", F.when(no, F.lit(False)).otherwise(F.col("has_drifted")))
-            .withColumn("drift_summary", F.when(no, F.lit(MSG_FAILED + MSG_NO_ANSWER))
-                        .otherwise(F.col("drift_summary")))
-            .withColumn("suggested_split", F.when(no, F.lit(None)).otherwise(F.col("suggested_split")))
-            .withColumn("warnings", F.when(no, F.array().cast("array<string>"))
-                        .otherwise(F.col("warnings")))
-            .drop("_answered"))
+    n = F.coalesce(F.col("_answers"), F.lit(0))
+    bad = n != 1
+    reason = F.when(n == 0, F.lit(MSG_FAILED + MSG_NO_ANSWER)).otherwise(
+        F.format_string(MSG_FAILED + MSG_MANY_ANSWERS, n))
+    empty = F.array().cast("array<string>")
+    return v.select(
+        *[c for c in v.columns if c not in (
+            "_answers", "is_error", "inferred_original_purpose", "current_responsibilities",
+            "has_drifted", "drift_summary", "suggested_split", "warnings")],
+        (F.col("is_error") | bad).alias("is_error"),
+        F.when(bad, F.lit(ERROR_PURPOSE)).otherwise(F.col("inferred_original_purpose"))
+        .alias("inferred_original_purpose"),
+        F.when(bad, empty).otherwise(F.col("current_responsibilities")).alias("current_responsibilities"),
+        F.when(bad, F.lit(False)).otherwise(F.col("has_drifted")).alias("has_drifted"),
+        F.when(bad, reason).otherwise(F.col("drift_summary")).alias("drift_summary"),
+        F.when(bad, F.lit(None)).otherwise(F.col("suggested_split")).alias("suggested_split"),
+        F.when(bad, empty).otherwise(F.col("warnings")).alias("warnings"))
 
 
 def drift_summary(analyses: DataFrame, keys=("repo",)) -> DataFrame:
