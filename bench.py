@@ -22,7 +22,7 @@ HEADLINE = [
     "outlier_topk", "outlier_topk_per_repo", "fan_in", "fan_in_no_self", "touch_no_history",
     "baseline_delta", "drift_candidates", "gate_verdict", "scan_report", "validation_full",
     "drift_summary", "split_duplicates", "symbol_membership", "decision_points", "line_count",
-    "prompt_build", "link_fan_in", "path_keys", "json_required",
+    "prompt_build", "link_fan_in", "path_keys", "json_required", "import_resolution",
 ]
 
 

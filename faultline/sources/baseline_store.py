@@ -32,33 +32,36 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def baseline_exists(spark: SparkSession, path: str, repos: DataFrame | None = None) -> bool:
-    """Is there a baseline at ``path`` (for any of ``repos`` when given)?"""
+def baseline_exists(spark: SparkSession, path: str, repos: DataFrame | None = None,
+                    fmt: str = "parquet") -> bool:
+    """Is there a baseline at ``path`` (for any of ``repos`` when given)?
+    Only the ``repo=`` partition directories are consulted."""
     if not _exists(spark, path):
         return False
     if repos is None:
         return True
-    have = spark.read.parquet(path).select("repo").distinct()
+    have = spark.read.schema(BASELINE).format(fmt).load(path).select("repo").distinct()
     return have.join(repos.select("repo").distinct(), "repo", "left_semi").limit(1).count() > 0
 
 
-def save_baseline(rows: DataFrame, path: str, force: bool = False) -> None:
-    """Write baseline rows (schema ``BASELINE``), refusing to overwrite."""
+def save_baseline(rows: DataFrame, path: str, force: bool = False, fmt: str = "parquet") -> None:
+    """Write baseline rows (schema ``BASELINE``), refusing to overwrite.
+    ``fmt`` is ``parquet`` or ``json`` (JSON lines, one row per file)."""
     spark = rows.sparkSession
     out = rows.select(*[F.col(f.name).cast(f.dataType) for f in BASELINE.fields])
-    if not force and baseline_exists(spark, path, out):
+    if not force and baseline_exists(spark, path, out, fmt):
         raise BaselineExistsError(
             f"A baseline already exists at {path} for at least one of these repositories; "
             "pass force=True to overwrite it.")
     (out.write.mode("overwrite" if force or _exists(spark, path) else "errorifexists")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("repo").parquet(path))
+     .option("partitionOverwriteMode", "dynamic").partitionBy("repo").format(fmt).save(path))
 
 
-def load_baseline(spark: SparkSession, path: str) -> DataFrame | None:
+def load_baseline(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame | None:
     """The baseline table at ``path``, or None when there is none."""
     if not _exists(spark, path):
         return None
-    return spark.read.schema(BASELINE).parquet(path)
+    return spark.read.schema(BASELINE).format(fmt).load(path)
 
 
 def load_baseline_documents(spark: SparkSession, path: str) -> DataFrame | None:

@@ -70,3 +70,13 @@ def test_fresh_baseline_gives_zero_deltas_and_repos_accumulate(spark, tmp_dir):
     assert sorted(r.repo for r in base.select("repo").distinct().collect()) == ["a", "b"]
     d = BL.delta_vs_baseline(m.withColumnRenamed("path", "rel_path"), base).collect()
     assert all((r.lines_delta, r.complexity_delta, r.fan_in_delta, r.is_new) == (0, 0, 0, False) for r in d)
+
+
+def test_baseline_json_lines_round_trip(spark, tmp_dir):
+    m = spark.createDataFrame([("a", "x.ts", 10, 3, 1, ["x"], 2)],
+                              "repo string, path string, lines int, complexity int, fan_in long, "
+                              "exported_symbols array<string>, touch_count long")
+    path = os.path.join(tmp_dir, "blj")
+    BS.save_baseline(BL.baseline_rows(m, "2026-01-01 00:00:00", "v"), path, fmt="json")
+    (r,) = BS.load_baseline(spark, path, fmt="json").collect()
+    assert (r.repo, r.rel_path, r.lines, r.export_count, r.touch_count) == ("a", "x.ts", 10, 1, 2)
