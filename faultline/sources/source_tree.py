@@ -45,6 +45,28 @@ def read_source_tree(spark: SparkSession, root: str, repo: str | None = None,
     return path_rules(rows, "rel_path", include, exclude)
 
 
+def read_source_forest(spark: SparkSession, base: str, include=None,
+                       exclude=None) -> DataFrame:
+    """Many repositories at once: every top-level directory under ``base`` is
+    one repository (its name is ``repo``). One file listing and one scan for
+    all of them; ``rel_path`` is relative to the repository's directory and is
+    what the ignore rules see."""
+    qualified, is_dir = _status(spark, base)
+    if not is_dir:
+        raise NotADirectoryError(f"Path is not a directory: {base}")
+    df = (spark.read.format("text").option("wholetext", True)
+          .option("recursiveFileLookup", True).option("pathGlobFilter", "*.{ts,tsx}")
+          .load(base))
+    base_path = F.regexp_replace(F.regexp_replace(F.lit(qualified), SCHEME, ""), "/+$", "")
+    full = F.regexp_replace(F.col("_metadata.file_path"), SCHEME, "")
+    under = relative_key(full, base_path)
+    rows = df.select(F.regexp_extract(under, "^([^/]+)/", 1).alias("repo"), full.alias("path"),
+                     F.regexp_replace(under, "^[^/]+/", "").alias("rel_path"),
+                     F.col("value").alias("content"))
+    rows = rows.filter(F.col("repo") != "")   # files directly under base belong to no repo
+    return path_rules(rows, "rel_path", include, exclude)
+
+
 def read_source_table(spark: SparkSession, table_or_path: str, fmt: str = "parquet") -> DataFrame:
     """An existing ``source_files(repo, path, content)`` table or dataset."""
     if "/" in table_or_path:

@@ -6,7 +6,7 @@ import pytest
 
 from faultline.operators.graph import fan_in, resolve_imports
 from faultline.operators.metrics import scan
-from faultline.sources.source_tree import read_source_tree
+from faultline.sources.source_tree import read_source_forest, read_source_tree
 
 
 def write(root, rel, text):
@@ -78,3 +78,17 @@ def test_star_exports_followed(spark, tmp_dir):
     # `export * as ns` makes ns a named export of c, so `export *` passes it on
     assert one["a.ts"] == ["own", "x"] and one["b.ts"] == ["x", "default", "ns", "y"]
     assert two["a.ts"] == ["own", "ns", "x", "y"] and two["c.ts"] == ["y", "ns"]
+
+
+def test_forest_reads_many_repos_at_once(spark, tmp_dir):
+    write(tmp_dir, "one/src/a.ts", 'import { b } from "./b";\nexport const a = b;')
+    write(tmp_dir, "one/src/b.ts", "export const b = 1;")
+    write(tmp_dir, "one/node_modules/x/index.ts", "export const x = 1;")
+    write(tmp_dir, "two/b.ts", "export const b = 2;")
+    write(tmp_dir, "two/dist/b.ts", "export const b = 3;")
+    write(tmp_dir, "stray.ts", "export const s = 1;")
+    df = read_source_forest(spark, tmp_dir)
+    got = sorted((r.repo, r.rel_path) for r in df.select("repo", "rel_path").collect())
+    assert got == [("one", "src/a.ts"), ("one", "src/b.ts"), ("two", "b.ts")]
+    fans = {(r.repo, r.path.rsplit("/", 1)[1]): r.fan_in for r in scan(df.drop("rel_path")).collect()}
+    assert fans == {("one", "a.ts"): 0, ("one", "b.ts"): 1, ("two", "b.ts"): 0}
