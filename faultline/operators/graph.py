@@ -50,7 +50,11 @@ def resolve_import_rows(decls: DataFrame, files: DataFrame, keys=("repo",),
     keys = list(keys)
     decl = decls.filter(F.col("spec").startswith("./") | F.col("spec").startswith("../"))
     src_dir = F.regexp_replace(F.col("src_path").cast("string"), "/[^/]*$", "")
-    base = _fold_dots(F.concat_ws("/", src_dir, F.col("spec")))
+    # Fold each specifier once, in its own projection: the candidates below
+    # refer to the folded path many times and must not re-run the fold.
+    decl = decl.select(*keys, "src_path", "decl_pos",
+                       _fold_dots(F.concat_ws("/", src_dir, F.col("spec"))).alias("_base"))
+    base = F.col("_base")
     is_js = base.rlike(JS_EXTENSION)
     stem = F.when(is_js, F.regexp_replace(base, JS_EXTENSION, "")).otherwise(base)
     cands = F.array(
