@@ -35,6 +35,16 @@ def import_rows(files: DataFrame, keys=("repo",), path: str = "path",
                         F.posexplode(specs).alias("decl_pos", "spec"))
 
 
+def parent_dir(p: Column) -> Column:
+    """Directory of a path: everything before the last ``/`` ("" for none)."""
+    return F.when(p.contains("/"), F.regexp_replace(p, "/[^/]*$", "")).otherwise(F.lit(""))
+
+
+def join_dir(d: Column, rel: Column) -> Column:
+    """``d/rel``; just ``rel`` when ``d`` is empty (a relative root)."""
+    return F.when(d == "", rel).otherwise(F.concat(d, F.lit("/"), rel))
+
+
 def resolve_import_rows(decls: DataFrame, files: DataFrame, keys=("repo",),
                         path: str = "path") -> DataFrame:
     """Import edges ``(keys…, src_path, dst_path)`` from declaration rows
@@ -49,11 +59,11 @@ def resolve_import_rows(decls: DataFrame, files: DataFrame, keys=("repo",),
     """
     keys = list(keys)
     decl = decls.filter(F.col("spec").startswith("./") | F.col("spec").startswith("../"))
-    src_dir = F.regexp_replace(F.col("src_path").cast("string"), "/[^/]*$", "")
+    src_dir = parent_dir(F.col("src_path").cast("string"))
     # Fold each specifier once, in its own projection: the candidates below
     # refer to the folded path many times and must not re-run the fold.
     decl = decl.select(*keys, "src_path", "decl_pos",
-                       _fold_dots(F.concat_ws("/", src_dir, F.col("spec"))).alias("_base"))
+                       _fold_dots(join_dir(src_dir, F.col("spec"))).alias("_base"))
     base = F.col("_base")
     is_js = base.rlike(JS_EXTENSION)
     stem = F.when(is_js, F.regexp_replace(base, JS_EXTENSION, "")).otherwise(base)

@@ -80,3 +80,25 @@ def test_baseline_json_lines_round_trip(spark, tmp_dir):
     BS.save_baseline(BL.baseline_rows(m, "2026-01-01 00:00:00", "v"), path, fmt="json")
     (r,) = BS.load_baseline(spark, path, fmt="json").collect()
     assert (r.repo, r.rel_path, r.lines, r.export_count, r.touch_count) == ("a", "x.ts", 10, 1, 2)
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.lists(st.sampled_from(["a", "b", "c"]), max_size=4), st.booleans(),
+                          st.sampled_from(["./", "../", "../../", "./../"]),
+                          st.lists(st.sampled_from(["a", "b", ".", ".."]), min_size=1, max_size=3)),
+                min_size=1, max_size=10))
+def test_specifier_resolution_matches_normpath(spark, cases):
+    """An importer's directory joined with a relative specifier, folded, is
+    what posixpath gives — including a relative root (empty directory)."""
+    rows = [(("/" if absolute else "") + "/".join(d), lead + "/".join(rest))
+            for d, absolute, lead, rest in cases]
+    df = spark.createDataFrame(rows, "d string, s string")
+    got = [r.x for r in df.select(graph._fold_dots(graph.join_dir(F.col("d"), F.col("s"))).alias("x")).collect()]
+    want = []
+    for d, s_ in rows:
+        w = posixpath.normpath(posixpath.join(d, s_) if d else s_)
+        if not d.startswith("/"):   # relative: ".." above the root is dropped, as path.resolve does
+            parts = [p for p in w.split("/") if p not in ("..", ".")]
+            w = "/".join(parts)
+        want.append(w)
+    assert got == want
