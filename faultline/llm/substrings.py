@@ -7,17 +7,18 @@ window (50 words). Three steps, each a Spark stage:
    smallest hash, so equal windows have equal anchors. A grouped count finds the
    anchors that occur in at least two documents; every other suffix is a leaf
    right below the root and goes no further. Nothing that repeats is lost.
-2. *Prefixes.* The suffixes left are dealt out by their prefix: its first ten
-   words, or thirty, or all fifty, the longer the more often their anchor
-   occurs, so that a group fits a task's memory. Equal suffixes that meet
-   in one map task are merged first: all but the smallest document's are marked
-   there and only those of the smallest one travel, so a passage that a third of
-   all documents hold sends a few rows per task.
-3. *Subtrees.* A group sorts its suffixes by the tree's edges (ranges of 10, 20
-   and 20 words, compared by 64-bit hashes) and reads the tree off the sorted
-   order: neighbours that agree on all ranges hang below one internal node of
-   depth 50 or more. Those deep nodes' suffixes repeat; the ones outside the
-   node's smallest document are marked.
+2. *Prefixes.* The suffixes left are dealt out by a prefix: the ten words at
+   their anchor, which follow each other's in a text and so keep neighbours
+   together, or with them the first half or all of the window's words, the more
+   the more often the anchor occurs, so that a group fits a task's memory. Equal
+   suffixes that meet in one map task are merged first: all but the smallest
+   document's are marked there and only those of the smallest one travel, so a
+   passage that a third of all documents hold sends a few rows per task.
+3. *Subtrees.* A group sorts its suffixes by the tree's edges (the anchor's words,
+   then the window's first and second half, compared by 64-bit hashes) and reads
+   the tree off the sorted order: neighbours that agree on all edges hang below
+   one internal node of depth 50 or more. Those deep nodes' suffixes repeat; the
+   ones outside the node's smallest document are marked.
 
 Marked windows that follow each other add up to the maximal repeats.
 
@@ -37,9 +38,9 @@ from pyspark.sql import DataFrame, functions as F
 from faultline.llm._bytes import gram_hashes, mix, span_hashes, words
 from faultline.llm._shared import slices, stored, utf8
 
-#: Edge ranges of the trees: the first is the shortest prefix that groups are made of.
+#: Words of an anchor, the shortest prefix that groups are made of.
 PREFIX = 10
-#: An anchor that occurs more often has its suffixes dealt by 30 words, by 50 from eight times as often.
+#: An anchor that occurs more often has its suffixes dealt by half a window too, by a whole one from eight times as often.
 OFTEN = 20_000
 #: Suffix records that a group should hold.
 GROUP = 400_000
@@ -71,7 +72,7 @@ def _anchors(docs: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 2 << 20):
                 text, _, _, least, _ = _windows(utf8(part.column("text")), window)
                 keep = np.ones(len(text), bool)
                 keep[1:] = (least[1:] != least[:-1]) | (text[1:] != text[:-1])
@@ -102,7 +103,7 @@ def _marks(records: np.ndarray, repeated: np.ndarray) -> list[tuple[int, int, by
 
 def _deal(records: np.ndarray, level: np.ndarray, groups: int) -> np.ndarray:
     """The group of each record, by the prefix that its level asks for."""
-    key = records["k"].copy()
+    key = mix(records["k"] ^ np.uint64(7))  # anchors have small hashes
     key[level > 0] = mix(key[level > 0] ^ mix(records["e1"][level > 0] + np.uint64(1)))
     key[level > 1] = mix(key[level > 1] ^ mix(records["e2"][level > 1] + np.uint64(2)))
     return ((key >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)).astype(np.int32)
@@ -119,11 +120,11 @@ def _rows(found: list[tuple]) -> pa.RecordBatch:
 
 def _suffixes(docs: DataFrame, window: int, groups: int) -> DataFrame:
     """Records of the suffixes by group, and marks (doc is set) of those that a smaller document repeats in the same task."""
-    middle = PREFIX + (window - PREFIX) // 2
+    middle = window // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 2 << 20):
                 texts = utf8(part.column("text"))
                 text, pos, at, least, h = _windows(texts, window)
                 lists = part.column("grams")
@@ -137,12 +138,12 @@ def _suffixes(docs: DataFrame, window: int, groups: int) -> DataFrame:
                 want = mix(least ^ mix(text.astype(np.uint64)))
                 where = np.minimum(np.searchsorted(by, want), max(0, len(by) - 1))
                 keep = by[where] == want if len(by) else np.zeros(len(want), bool)
-                text, pos, at, level = text[keep], pos[keep], at[keep], level[order][where[keep]] if len(by) else np.zeros(0, np.int32)
+                text, pos, at, least, level = text[keep], pos[keep], at[keep], least[keep], level[order][where[keep]] if len(by) else np.zeros(0, np.int32)
                 if not len(at):
                     continue
                 records = np.empty(len(at), _RECORD)
-                records["k"] = span_hashes(h, at, at + PREFIX, 3)
-                records["e1"] = span_hashes(h, at + PREFIX, at + middle, 4)
+                records["k"] = least
+                records["e1"] = span_hashes(h, at, at + middle, 4)
                 records["e2"] = span_hashes(h, at + middle, at + window, 5)
                 records["doc"] = part.column("doc").to_numpy()[text]
                 records["row"] = part.column("row").to_numpy()[text]
@@ -175,7 +176,7 @@ def _subtree(table: pa.Table) -> pa.Table:
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", 2 << 20):
             out = []
             for text, blobs, window in zip(utf8(part.column("text")), part.column("blobs").to_pylist(), part.column("width").to_pylist()):
                 found = text.split()  # at ASCII white space, as bytes
@@ -202,9 +203,9 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     a smaller id. ``removed`` has the maximal word spans that went."""
     if window < PREFIX + 2:
         raise ValueError(f"a window has at least {PREFIX + 2} words")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).select(
-        "doc_id", F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc"), F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("row"), "text")
-    texts = rows.select("doc", "row", "text")
+    # The texts meet the anchors and then the marks in the same order, so Spark shuffles them once for both.
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc"), F.col(text_col).alias("text")).select(
+        "doc", F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("row"), "text")
     anchors = stored(_anchors(texts, window), "anchors")
     shared = anchors.groupBy("gram").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count(F.lit(1)).alias("n")).filter("least < most").select(
         "gram", ((F.col("n") > OFTEN).cast("int") + (F.col("n") > 8 * OFTEN).cast("int")).alias("level"))
@@ -214,5 +215,6 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     groups = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // GROUP)
     marks = _suffixes(texts.join(repeated, ["doc", "row"]), window, groups).groupBy("grp").applyInArrow(
         _subtree, "doc long, row int, blob binary").groupBy("doc", "row").agg(F.collect_list("blob").alias("blobs"))
-    return rows.join(marks, ["doc", "row"], "left").select("doc_id", "text", "blobs", F.lit(window).alias("width")).mapInArrow(
+    return texts.join(marks, ["doc", "row"], "left").select(
+        F.when(F.col("doc") != _NO_ID, F.col("doc")).alias("doc_id"), "text", "blobs", F.lit(window).alias("width")).mapInArrow(
         _finish, "doc_id long, n_words long, removed array<struct<start:int,end:int>>, kept_text string")
