@@ -3,22 +3,49 @@ stage written as Parquet and read again as the next one's documents."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from faultline.llm import near_dedup
+from faultline.llm import mixing, near_dedup, packing, pii, toxicity
 from faultline.llm._shared import stored, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _documents(docs: DataFrame) -> DataFrame:
+    """The columns of documents, with the lengths of the texts as they are now."""
+    return docs.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the Kneser-Ney classifier calls toxic go."""
+    return toxicity.keep_ordinary(docs, table(spark, sf_dir, "labels")).select(*COLUMNS)
+
+
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of SimHash near-duplicates stays."""
     return near_dedup.keep_one(docs, shingle=3, radius=3).select(*COLUMNS)
 
 
-STAGES = [("simhash_near_dedup", one_of_each)]
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind."""
+    return _documents(pii.redact(docs))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The words that the source mix takes, as documents; one taken twice is two rows."""
+    return _documents(mixing.mixed_documents(docs))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the token sequences."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+STAGES = [("toxicity", drop_toxic), ("simhash_near_dedup", one_of_each), ("pii", redact), ("source_mixing", mix), ("packing", pack)]
 
-#: SQL can't express the learned stages.
+#: Learned models and tokenizers aren't SQL; the tests hold each stage against plain Python.
 ORACLE_SQL = None
 
 

@@ -205,16 +205,20 @@ def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     _, _, pieces = _taken(docs, "doc_id", "text", "source", seed)
     spans = pieces.groupBy("doc_id", "code", "start", "pass").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"), F.max("b").alias("b"))
     rank = Window.partitionBy("doc_id", "pass").orderBy("code", "b", "start")
-    lists = spans.withColumn("rank", F.row_number().over(rank)).select("doc_id", "pass", "rank", "spans").withColumnRenamed("doc_id", "id")
-    rows = docs.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("source").asc_nulls_last(), F.length("text"), F.xxhash64("text"))))
-    joined = rows.join(lists, F.col("doc_id").eqNullSafe(F.col("id")) & (rows["rank"] == lists["rank"])).select(*docs.columns, "spans")
+    lists = spans.withColumn("rank", F.row_number().over(rank)).select("doc_id", "rank", "spans")
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # their names can't clash with ours
+    own = {c: f"c{docs.columns.index(c)}" for c in ("doc_id", "text", "source")}
+    same = Window.partitionBy(own["doc_id"]).orderBy(F.col(own["source"]).asc_nulls_last(), F.length(own["text"]), F.xxhash64(own["text"]))
+    rows = plain.withColumn("rank", F.row_number().over(same)).alias("d")
+    joined = rows.join(lists.alias("l"), F.col(f"d.{own['doc_id']}").eqNullSafe(F.col("l.doc_id")) & (F.col("d.rank") == F.col("l.rank"))).select(
+        *[F.col(c).alias(name) for c, name in zip(plain.columns, docs.columns)], F.col("l.spans").alias("taken spans"))
     names, at = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, at):
                 texts = []
-                for text, own in zip(utf8(part.column(at)), part.column("spans").to_pylist()):
+                for text, own in zip(utf8(part.column(at)), part.column(len(names)).to_pylist()):
                     found = text.split()
                     merged: list[list[int]] = []
                     for s in own:

@@ -39,6 +39,8 @@ from pyspark.sql import DataFrame, functions as F
 from faultline.llm._shared import slices, stored
 
 KINDS = ("email", "ip", "card", "phone")
+#: Weight of the classifier's penalty.
+RIDGE = 0.02
 
 # Gazetteers.
 DOMAINS = set("com org net edu gov mil int info biz io co de fr es it uk us eu nl be at ch pl pt se no dk fi ie ru cn jp kr in br mx ar ca au nz za".split())
@@ -192,17 +194,18 @@ def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def reliabilities(votes: np.ndarray, n: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
     """Posterior of each vote pattern (rows of -1, 0, 1; n: how many spans have
-    it), and per labeler P(vote | false, true), by expectation-maximisation."""
+    it), and per labeler P(no, yes | false, true), by expectation-maximisation."""
     p = 1 / (1 + np.exp(-votes.sum(axis=1)))  # majority
-    rates = np.zeros((votes.shape[1], 2, 3))
+    rates = np.full((votes.shape[1], 2, 2), 0.5)
     for _ in range(rounds):
         w = np.stack([n * (1 - p), n * p])
         prior = (w.sum(axis=1) + 1) / (n.sum() + 2)
+        logs = np.repeat(np.log(prior)[None], len(n), axis=0)
         for i in range(votes.shape[1]):
-            for v in (-1, 0, 1):
-                rates[i, :, v + 1] = w[:, votes[:, i] == v].sum(axis=1) + 0.5
-        rates /= rates.sum(axis=2, keepdims=True)
-        logs = np.log(prior)[None] + sum(np.log(rates[i][:, votes[:, i] + 1]).T for i in range(votes.shape[1]))
+            no, yes = votes[:, i] < 0, votes[:, i] > 0  # a labeler that doesn't vote says nothing
+            rates[i] = np.stack([w[:, no].sum(axis=1), w[:, yes].sum(axis=1)], axis=1) + [[1.0, 0.5], [0.5, 1.0]]
+            rates[i] /= rates[i].sum(axis=1, keepdims=True)
+            logs += np.where(no[:, None], np.log(rates[i][:, 0]), np.where(yes[:, None], np.log(rates[i][:, 1]), 0.0))
         p = 1 / (1 + np.exp(np.clip(logs[:, 0] - logs[:, 1], -500, 500)))
     return p, rates
 
@@ -220,8 +223,8 @@ def _logistic(x: np.ndarray, p: np.ndarray, n: np.ndarray, rounds: int = 50) ->
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hessian = (x.T * (n * q * (1 - q) + 1e-9)) @ x + np.eye(len(w))
-        step = np.linalg.solve(hessian, x.T @ (n * (p - q)) - w)
+        hessian = (x.T * (n * q * (1 - q) + 1e-9)) @ x + RIDGE * np.eye(len(w))
+        step = np.linalg.solve(hessian, x.T @ (n * (p - q)) - RIDGE * w)
         w += step / max(1.0, np.abs(step).max())
         if np.abs(step).max() < 1e-8:
             break
