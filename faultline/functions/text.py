@@ -2,16 +2,16 @@
 line count (P1), decision points (P2), exported symbols (P3), import
 declarations (P4) and a syntax-integrity flag (P5).
 
-There is no parser here. The text is first *masked* — comments and string /
-template literals are blanked with one ``regexp_replace`` — and then counted or
-extracted with Java regular expressions, all inside Spark's JVM expressions.
+There is no parser here. Comments, string, template and regular-expression
+literals are consumed as tokens by one alternation, so nothing inside them is
+seen as code: the masked text (tokens blanked) is counted and searched, and
+declarations that need their strings are alternatives of the same pattern.
 
 Known lexical deviations from an AST: conditional types and optional methods
 ``m?()`` look like ternaries; ``cond ?.5 : 1`` is missed; code inside ``${…}``
-is masked with its template; a regex literal containing a quote can confuse the
-mask; ``export *`` chains are followed for a bounded number of hops (see
-``operators.metrics.follow_star_exports``); JSX text may hold apostrophes;
-``export const a = 1, b = 2`` yields only ``a``; destructured exports are missed.
+is masked with its template; a ``/`` after ``)`` or ``}`` is a division; JSX text
+may hold apostrophes inside words only; a pattern nested in a destructuring
+export gives no names.
 """
 
 from __future__ import annotations
@@ -20,34 +20,49 @@ from pyspark.sql import Column, functions as F
 
 # ---------------------------------------------------------------- fixed patterns
 # Strings: possessive, unrolled loops (no stack growth on long literals).
-SQ_STRING = r"'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"
+# An apostrophe inside a word (JSX text) opens nothing.
+SQ_STRING = r"(?<![\w$])'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"
 DQ_STRING = r'"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"'
 TEMPLATE = r"`[^`\\]*+(?:\\.[^`\\]*+)*+`"
 LINE_COMMENT = r"//[^\n]*+"
 BLOCK_COMMENT = r"/\*.*?\*/"
+# A slash starts a regular expression where a value may start: after no operand,
+# or after a keyword.
+REGEX = (r"(?:(?<![\w$)\]}\"'`.<]\s{0,8})|(?<=\b(?:return|typeof|case|in|of|delete|void|throw|new|else|do|await|yield)\s{1,8}))"
+         r"/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*+\])++/[a-z]*+")
 STRINGS = "|".join([SQ_STRING, DQ_STRING, TEMPLATE])
 COMMENTS = "|".join([LINE_COMMENT, BLOCK_COMMENT])
-MASK = "(?s)" + COMMENTS + "|" + STRINGS
-KEEP_STRINGS = "(?s)(" + STRINGS + ")|" + COMMENTS
+LITERALS = "(?s)" + STRINGS + "|" + REGEX
+KEEP_LITERALS = "(?s)" + COMMENTS + "|(" + STRINGS + "|" + REGEX + ")"
 
 # Decision points: if, for / for-in / for-of / for await, while (one per while
 # and per do-while), case (not default), catch, &&, ||, ??, and the ternary ?.
 # Not counted: ?. and the assignments &&= ||= ??=.
 KEYWORD_GUARD = r"(?<![.\w$])"
 DECISION_POINT = (
-    KEYWORD_GUARD + r"(?:if\s*\(|for\s*(?:await\s*)?\(|while\s*\(|case(?![\w$])|catch\s*[({])"
+    KEYWORD_GUARD + r"(?:if\s*\(|for\s*(?:await\s*)?\(|while\s*\(|case(?![\w$])(?!\s*[:=,})])|catch\s*[({])"
     r"|&&(?!=)|\|\|(?!=)|\?\?(?!=)|(?<!\?)\?(?![?.:,)=;\]>])")
 
 IDENT = r"[A-Za-z_$][\w$]*"
+# What a line that doesn't continue a declaration starts with.
+NEXT_STATEMENT = (r"(?:export|import|const|let|var|function|async|class|abstract|interface|type|enum|declare|namespace|if|for|while|do|switch|try|return|throw)"
+                  r"(?![\w$])|\}")
 EXPORT_STMT = (
     r"(?<![\w$.])export\s+(?:default\b"
     r"|(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?"
-    r"(?:function\b\s*\*?|class\b|const\s+enum\b|const\b|let\b|var\b|interface\b"
+    r"(?:function\b\s*\*?|class\b|const\s+enum\b|interface\b"
     r"|type\b(?!\s*\{)|enum\b|namespace\b|module\b)\s*" + IDENT +
+    r"|(?:declare\s+)?(?:const|let|var)\b(?!\s+enum\b)[^;]*?(?=;|\n\s*(?:" + NEXT_STATEMENT + r")|\z)"
     r"|(?:type\s+)?\{[^}]*\}|\*\s*as\s+" + IDENT + ")")
-IMPORT_DECL = (r"(?<![\w$.])import\b\s*(?:type\s+)?(?:[\w$*{][^;'\"`]*?\bfrom\s*)?"
+# Without its literals a declaration is a keyword, a clause and the module string.
+GAP = r"(?:\s|//[^\n]*+|/\*.*?\*/)*+"
+IMPORT_DECL = (r"(?<![\w$.])import\b" + GAP + r"(?:type\b\s+)?(?:[\w$*{](?:[^;'\"`/]|//[^\n]*+|/\*.*?\*/)*?\bfrom" + GAP + r")?"
                r"(?:'[^'\n]*'|\"[^\"\n]*\")")
-STAR_EXPORT = r"(?<![\w$.])export\s*\*\s*from\s*('[^'\n]*'|\"[^\"\n]*\")"
+STAR_EXPORT = r"(?<![\w$.])export" + GAP + r"\*" + GAP + r"from" + GAP + r"(?:'[^'\n]*'|\"[^\"\n]*\")"
+# The declarations in group 1; literals and comments are consumed beside them.
+DECLARATIONS = "(?s)" + COMMENTS + "|(" + IMPORT_DECL + "|" + STAR_EXPORT + ")|" + STRINGS + "|" + REGEX
+# Of an unterminated literal or comment; an apostrophe in a word is text.
+LEFTOVER = r"(?<![\w$])'|[\"`]|/\*"
 BRACKET_PAIRS = {")": "(", "]": "[", "}": "{"}
 
 
@@ -63,13 +78,13 @@ def line_count(text) -> Column:
 
 
 def mask_code(text) -> Column:
-    """Comments and string/template literals blanked to a space."""
-    return F.regexp_replace(_c(text), MASK, " ")
+    """Comments blanked, and every literal a plain value (`` 0 ``)."""
+    return F.regexp_replace(F.regexp_replace(_c(text), KEEP_LITERALS, "$1 "), LITERALS, " 0 ")
 
 
 def strip_comments(text) -> Column:
-    """Comments removed, string literals kept (for import specifiers)."""
-    return F.regexp_replace(_c(text), KEEP_STRINGS, "$1")
+    """Comments removed, literals kept."""
+    return F.regexp_replace(_c(text), KEEP_LITERALS, "$1")
 
 
 def decision_points(masked, pattern: str = DECISION_POINT) -> Column:
@@ -84,6 +99,21 @@ def _names_in_braces(s: Column) -> Column:
     return items
 
 
+def _declared_names(m: Column) -> Column:
+    """Names that ``export const …`` declares: what a destructuring pattern binds,
+    or each declarator outside all brackets."""
+    rest = F.regexp_replace(m, r"^export\s+(?:declare\s+)?(?:const|let|var)\s*", "")
+    items = F.split(F.regexp_extract(rest, r"^[{\[]([^{}\[\]]*)[}\]]", 1), ",")
+    bound = F.transform(items, lambda x: F.regexp_extract(
+        F.regexp_replace(F.regexp_replace(x, r"(?s)=.*$", ""), r"^[^:]*:", ""), r"^\s*(?:\.\.\.)?\s*(" + IDENT + r")\s*$", 1))
+    # One round per bracket empties every nesting; what an unclosed bracket holds is no declarator.
+    rounds = F.sequence(F.lit(1), F.regexp_count(rest, F.lit(r"[(\[{<]")) + 1)
+    flat = F.aggregate(rounds, F.regexp_replace(rest, "=>", " "), lambda t, _: F.regexp_replace(t, r"\([^()\[\]{}]*\)|\[[^()\[\]{}]*\]|\{[^()\[\]{}]*\}|<[^<>()\[\]{}=;]*>", " "))
+    flat = F.regexp_replace(flat, r"(?s)[(\[{].*$", "")
+    plain = F.transform(F.split(flat, ","), lambda x: F.regexp_extract(x, r"^\s*(" + IDENT + r")\s*!?\s*(?:[:=]|$)", 1))
+    return F.when(rest.rlike(r"^[{\[]"), bound).otherwise(plain)
+
+
 def exported_symbols(masked) -> Column:
     """Distinct exported names in source order; a default export is ``default``;
     ``export {a as b}`` and re-export lists give ``b``."""
@@ -94,23 +124,29 @@ def exported_symbols(masked) -> Column:
         braces = F.transform(_names_in_braces(m), lambda x: F.when(
             x.rlike(r"\sas\s"), F.regexp_extract(x, r"\sas\s+(" + IDENT + ")$", 1)).otherwise(x))
         return (F.when(m.rlike(r"^export\s+default\b"), F.array(F.lit("default")))
-                .when(m.contains("{"), braces)
+                .when(m.rlike(r"^export\s+(?:declare\s+)?(?:const(?!\s+enum\b)|let|var)\b"), _declared_names(m))
+                .when(m.rlike(r"^export\s+(?:type\s+)?\{"), braces)
                 .otherwise(last_ident))
 
     return F.array_distinct(F.filter(F.flatten(F.transform(stmts, names)), lambda x: x != ""))
 
 
-def import_declarations(code) -> Column:
-    """Import declarations (not ``export … from``, not dynamic ``import()``) of
-    comment-stripped text that still has its strings."""
-    return F.regexp_extract_all(_c(code), F.lit(IMPORT_DECL), 0)
+def module_declarations(text) -> Column:
+    """Import and ``export * from`` declarations of source text, without their
+    comments; nothing inside a literal or a comment is one."""
+    found = F.filter(F.regexp_extract_all(_c(text), F.lit(DECLARATIONS), 1), lambda m: m != "")
+    return F.transform(found, strip_comments)
+
+
+def import_declarations(declarations) -> Column:
+    """Of :func:`module_declarations` the imports (not ``export … from``, not dynamic ``import()``)."""
+    return F.filter(_c(declarations), lambda m: m.startswith("import"))
 
 
-def star_export_specifiers(code) -> Column:
-    """Specifiers of ``export * from "…"`` (not ``export * as ns``) in
-    comment-stripped text that still has its strings."""
-    found = F.regexp_extract_all(_c(code), F.lit(STAR_EXPORT), 1)
-    return F.transform(found, lambda q: F.regexp_replace(q, "^['\"]|['\"]$", ""))
+def star_export_specifiers(declarations) -> Column:
+    """Specifiers of ``export * from "…"`` (not ``export * as ns``)."""
+    found = F.filter(_c(declarations), lambda m: m.startswith("export"))
+    return F.transform(found, lambda q: F.regexp_extract(q, r"['\"]([^'\"\n]*)['\"]$", 1))
 
 
 def import_specifiers(decls) -> Column:
@@ -155,9 +191,9 @@ def brackets_balanced(masked) -> Column:
     return F.aggregate(chars, init, step, lambda acc: acc["ok"] & (acc["st"] == ""))
 
 
-def has_syntax_errors(masked) -> Column:
+def has_syntax_errors(masked, leftover: str = LEFTOVER) -> Column:
     """Lexical integrity check standing in for syntax diagnostics: a quote,
     backtick or ``/*`` left after masking (an unterminated literal or comment),
     or unbalanced brackets."""
     m = _c(masked)
-    return m.rlike(r"['\"`]|/\*") | ~brackets_balanced(m)
+    return m.rlike(leftover) | ~brackets_balanced(m)

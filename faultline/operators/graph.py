@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# Candidates tried for a relative specifier, in the order the TypeScript
-# "node" module resolution tries them (fixed values): the file with a
-# TypeScript extension, then the directory's index file.
+# What a relative specifier may name, in the order the TypeScript "node" module
+# resolution tries it (fixed values): the file with its extension, the file
+# without one, then the directory by its index file.
 FILE_SUFFIXES = [".ts", ".tsx", ".d.ts"]
 INDEX_SUFFIXES = ["/index.ts", "/index.tsx", "/index.d.ts"]
 JS_EXTENSION = r"\.(js|jsx|mjs|cjs)$"
-TS_EXTENSION = r"\.(ts|tsx|mts|cts)$"
 
 
 def _fold_dots(p: Column) -> Column:
@@ -45,41 +44,56 @@ def join_dir(d: Column, rel: Column) -> Column:
     return F.when(d == "", rel).otherwise(F.concat(d, F.lit("/"), rel))
 
 
+def import_targets(files: DataFrame, keys=("repo",), path: str = "path") -> DataFrame:
+    """``(keys…, key, to_any, to_file, to_dir)``: what each path that an import may
+    spell resolves to: by all of the order, as a file only, as a directory only.
+
+    A file has a handful of keys (its path, the path without a suffix, its
+    directory if it is an index), so this table grows with the files, not with
+    their imports.
+    """
+    keys = list(keys)
+    p = F.col(path).cast("string")
+    ways = [F.struct(p.alias("key"), F.lit(0).alias("rank"))]
+    for i, suffix in enumerate([*FILE_SUFFIXES, *INDEX_SUFFIXES], 1):
+        cut = F.expr(f"length(`{path}`) - {len(suffix)}")
+        stem = F.when(p.endswith(suffix), p.substr(F.lit(1), cut))
+        if suffix in INDEX_SUFFIXES:  # an index at the root is its directory, ""
+            stem = F.when(p == suffix[1:], F.lit("")).otherwise(stem)
+        ways.append(F.when(stem.isNotNull(), F.struct(stem.alias("key"), F.lit(i).alias("rank"))))
+    n = len(FILE_SUFFIXES)
+    spelled = files.select(*keys, p.alias("to"), F.explode(F.filter(F.array(*ways), lambda w: w.isNotNull())).alias("w")).select(
+        *keys, "to", "w.key", "w.rank")
+    return spelled.groupBy(*keys, "key").agg(
+        F.min(F.struct("rank", "to"))["to"].alias("to_any"),
+        F.min(F.when(F.col("rank").between(1, n), F.struct("rank", "to")))["to"].alias("to_file"),
+        F.min(F.when(F.col("rank") > n, F.struct("rank", "to")))["to"].alias("to_dir"))
+
+
 def resolve_import_rows(decls: DataFrame, files: DataFrame, keys=("repo",),
                         path: str = "path") -> DataFrame:
     """Import edges ``(keys…, src_path, dst_path)`` from declaration rows
     ``(keys…, src_path, decl_pos, spec)``.
 
-    Only relative specifiers (``./``, ``../``) resolve; bare package names and
-    path aliases do not (no tsconfig is read). A specifier ending in ``.js``
-    tries the sibling ``.ts``/``.tsx``/``.d.ts`` file, as TypeScript does, but
-    not a directory index. Among the candidates of one declaration the lowest
-    rank that names a scanned file wins (``min_by`` per declaration). Self
-    imports are dropped and edges are de-duplicated per importer.
+    Only relative specifiers (``.``, ``..``, ``./…``, ``../…``) resolve; bare
+    package names and path aliases do not (no tsconfig is read). A specifier
+    ending in ``.js`` names the sibling TypeScript file, not a directory; one
+    that ends in ``/``, ``.`` or ``..`` names a directory only. Each declaration
+    is one row of one join with :func:`import_targets`. Self imports are dropped
+    and edges are de-duplicated per importer.
     """
     keys = list(keys)
-    decl = decls.filter(F.col("spec").startswith("./") | F.col("spec").startswith("../"))
+    decl = decls.filter(F.col("spec").rlike(r"^\.{1,2}(/|$)"))
     src_dir = parent_dir(F.col("src_path").cast("string"))
-    # Fold each specifier once, in its own projection: the candidates below
-    # refer to the folded path many times and must not re-run the fold.
-    decl = decl.select(*keys, "src_path", "decl_pos",
-                       _fold_dots(join_dir(src_dir, F.col("spec"))).alias("_base"))
-    base = F.col("_base")
-    is_js = base.rlike(JS_EXTENSION)
-    stem = F.when(is_js, F.regexp_replace(base, JS_EXTENSION, "")).otherwise(base)
-    cands = F.array(
-        F.when(base.rlike(TS_EXTENSION), base),
-        *[F.concat(stem, F.lit(s)) for s in FILE_SUFFIXES],
-        *[F.when(~is_js, F.concat(base, F.lit(s))) for s in INDEX_SUFFIXES])
-    exploded = decl.select(*keys, "src_path", "decl_pos",
-                           F.posexplode(cands).alias("rank", "dst_path")).filter(
-        F.col("dst_path").isNotNull())
-    targets = files.select(*keys, F.col(path).cast("string").alias("dst_path"))
-    hits = exploded.join(targets, [*keys, "dst_path"], "inner")
-    best = hits.groupBy(*keys, "src_path", "decl_pos").agg(
-        F.min_by("dst_path", "rank").alias("dst_path"))
-    return (best.filter(F.col("dst_path") != F.col("src_path").cast("string"))
-            .select(*keys, "src_path", "dst_path").distinct())
+    folded = decl.select(*keys, "src_path", _fold_dots(join_dir(src_dir, F.col("spec"))).alias("_base"),
+                         F.col("spec").rlike(r"(^|/)\.{0,2}$").alias("_dir"))
+    is_js = F.col("_base").rlike(JS_EXTENSION) & ~F.col("_dir")
+    spelled = folded.select(*keys, "src_path", "_dir", is_js.alias("_js"),
+                            F.when(is_js, F.regexp_replace("_base", JS_EXTENSION, "")).otherwise(F.col("_base")).alias("key"))
+    hits = spelled.join(import_targets(files, keys, path), [*keys, "key"])
+    to = F.when(F.col("_dir"), F.col("to_dir")).when(F.col("_js"), F.col("to_file")).otherwise(F.col("to_any"))
+    return (hits.select(*keys, "src_path", to.alias("dst_path"))
+            .filter(F.col("dst_path").isNotNull() & (F.col("dst_path") != F.col("src_path").cast("string"))).distinct())
 
 
 def resolve_imports(files: DataFrame, keys=("repo",), path: str = "path",

@@ -6,26 +6,28 @@ from pyspark.sql import DataFrame, functions as F
 
 from faultline.functions import text as tx
 from faultline.operators.graph import fan_in, resolve_import_rows, resolve_imports
+from faultline.session import stored
 
 
 def file_metrics(source_files: DataFrame, keys=("repo",), path: str = "path",
                  content: str = "content") -> DataFrame:
-    """``keys…, path, lines, complexity, exported_symbols, import_count,
-    imported_from, imported_symbol_names, has_syntax_errors``.
+    """``keys…, path, [rel_path,] lines, complexity, exported_symbols, import_count,
+    imported_from, imported_symbol_names, has_syntax_errors, star_exports``.
 
-    The masked and comment-stripped texts are computed once in an inner
+    The masked text and the declarations are computed once in an inner
     projection and shared by every metric; the raw content is dropped after.
+    A ``rel_path`` column is carried along.
     """
+    own = [*keys, path] + [c for c in ("rel_path",) if c in source_files.columns and c != path]
     staged = source_files.select(
-        *keys, path,
-        tx.line_count(content).alias("lines"),
+        *own, tx.line_count(content).alias("lines"),
         tx.mask_code(content).alias("_masked"),
-        tx.strip_comments(content).alias("_code")).select(
-        *keys, path, "lines", "_masked",
-        tx.import_declarations("_code").alias("_imports"),
-        tx.star_export_specifiers("_code").alias("star_exports"))
+        tx.module_declarations(content).alias("_declarations")).select(
+        *own, "lines", "_masked",
+        tx.import_declarations("_declarations").alias("_imports"),
+        tx.star_export_specifiers("_declarations").alias("star_exports"))
     return staged.select(
-        *keys, path, "lines",
+        *own, "lines",
         tx.decision_points("_masked").alias("complexity"),
         tx.exported_symbols("_masked").alias("exported_symbols"),
         F.size("_imports").alias("import_count"),
@@ -35,38 +37,47 @@ def file_metrics(source_files: DataFrame, keys=("repo",), path: str = "path",
         "star_exports")
 
 
-def follow_star_exports(metrics: DataFrame, keys=("repo",), path: str = "path",
-                        hops: int = 2) -> DataFrame:
-    """Add the names re-exported through ``export * from "…"`` (never
-    ``default``) to ``exported_symbols``.
+def star_closure(metrics: DataFrame, keys=("repo",), path: str = "path") -> DataFrame:
+    """``(keys…, path, symbol)``: the names that each file re-exports through
+    ``export * from "…"`` (never ``default``), over chains of any length.
 
-    Each hop resolves the star specifiers against the scanned files (the J1
-    join) and joins in the targets' current exports, so a chain of n files needs
-    n hops; ``hops`` bounds the plan (deeper chains are a documented limit).
-    Re-exported names follow the file's own, sorted.
+    Names move one file further per round, only the new ones, until none is
+    new; each round's names are a stored table, so a round costs a join of the
+    new names with the star edges whatever the rounds before it did.
     """
     keys = list(keys)
-    decls = metrics.select(*keys, F.col(path).alias("src_path"),
-                           F.posexplode("star_exports").alias("decl_pos", "spec"))
-    edges = resolve_import_rows(decls, metrics, keys, path)
-    out = metrics
-    for _ in range(hops):
-        targets = out.select(*keys, F.col(path).cast("string").alias("dst_path"),
-                             F.col("exported_symbols").alias("_t"))
-        re = (edges.join(targets, [*keys, "dst_path"])
-              .select(*keys, "src_path", F.explode(F.filter("_t", lambda x: x != "default")).alias("_s"))
-              .groupBy(*keys, "src_path").agg(F.array_sort(F.collect_set("_s")).alias("_re")))
-        base = metrics.select(*keys, path, F.col("exported_symbols").alias("_own"))
-        merged = (base.join(re.withColumnRenamed("src_path", path), [*keys, path], "left")
-                  .select(*keys, path, F.array_distinct(F.concat(
-                      "_own", F.coalesce("_re", F.array().cast("array<string>")))).alias("exported_symbols")))
-        out = out.drop("exported_symbols").join(merged, [*keys, path])
-    return out.select(*metrics.columns)
+    decls = metrics.filter(F.size("star_exports") > 0).select(
+        *keys, F.col(path).alias("src_path"), F.posexplode("star_exports").alias("decl_pos", "spec"))
+    edges = stored(resolve_import_rows(decls, metrics, keys, path), "star-edges")
+    targets = edges.select(*keys, F.col("dst_path").alias(path)).distinct()
+    new = stored(metrics.join(targets, [*keys, path], "left_semi").select(
+        *keys, path, F.explode("exported_symbols").alias("symbol")).filter("symbol <> 'default'").distinct(), "star-names")
+    known = new.limit(0)
+    while not new.isEmpty():
+        moved = new.withColumnRenamed(path, "dst_path").join(edges, [*keys, "dst_path"]).select(
+            *keys, F.col("src_path").alias(path), "symbol").distinct()
+        new = stored(moved.join(known, [*keys, path, "symbol"], "left_anti"), "star-names")
+        known = known.union(new)
+    return known
+
+
+def follow_star_exports(metrics: DataFrame, keys=("repo",), path: str = "path") -> DataFrame:
+    """``metrics`` with the names of :func:`star_closure` added to
+    ``exported_symbols``: the file's own first, the re-exported ones sorted."""
+    keys = list(keys)
+    added = star_closure(metrics, keys, path).groupBy(*keys, path).agg(F.array_sort(F.collect_set("symbol")).alias("_more"))
+    joined = metrics.join(added, [*keys, path], "left")
+    return joined.withColumn("exported_symbols", F.array_distinct(F.concat(
+        "exported_symbols", F.coalesce("_more", F.array().cast("array<string>"))))).select(*metrics.columns)
 
 
 def scan(source_files: DataFrame, keys=("repo",), path: str = "path",
          content: str = "content") -> DataFrame:
-    """File metrics plus ``fan_in`` over resolved import edges."""
-    m = follow_star_exports(file_metrics(source_files, keys, path, content), keys, path)
+    """File metrics plus ``fan_in`` over resolved import edges.
+
+    The sources are read once: their metrics, which hold no content, are a
+    stored table that edges, closure and fan-in start from.
+    """
+    m = stored(file_metrics(source_files, keys, path, content), "file-metrics")
     edges = resolve_imports(m, keys=keys, path=path)
-    return fan_in(m, edges, keys=keys, path=path)
+    return fan_in(follow_star_exports(m, keys, path), edges, keys=keys, path=path)

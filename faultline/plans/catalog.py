@@ -815,9 +815,11 @@ def q_import_resolution(spark, d):
 
 # ---------------------------------------------------------------- P5 on prose and page scripts
 
-# The TypeScript mask without possessive quantifiers: the loops are unrolled
-# (unambiguous), so Java and RE2 match the same spans.
-PORTABLE_CODE_MASK = _tx.MASK.replace("*+", "*")
+# Comments and strings without possessive quantifiers and look-behind: the loops
+# are unrolled (unambiguous), so Java and RE2 match the same spans. The shipped
+# mask is exercised by source_metrics.
+PORTABLE_CODE_MASK = ("(?s)" + _tx.COMMENTS + "|" + _tx.STRINGS).replace("*+", "*").replace(r"(?<![\w$])", "")
+PORTABLE_LEFTOVER = r"['\"`]|/\*"
 
 
 def _sql_integrity(col: str) -> str:
@@ -837,7 +839,7 @@ SELECT doc_id, {_sql_integrity('text')} AS has_syntax_errors FROM documents
 def q_syntax_integrity(spark, d):
     masked = F.regexp_replace("text", PORTABLE_CODE_MASK, " ")
     return spread(table(spark, d, "documents")).select(
-        "doc_id", _tx.has_syntax_errors(masked).alias("has_syntax_errors"))
+        "doc_id", _tx.has_syntax_errors(masked, PORTABLE_LEFTOVER).alias("has_syntax_errors"))
 
 
 SCRIPT = r"(?s)<script>(.*?)</script>"
@@ -858,7 +860,7 @@ def q_script_integrity(spark, d):
                            .alias("pos", "code"))
     masked = F.regexp_replace("code", PORTABLE_CODE_MASK, " ")
     return scripts.select("page_id", F.col("pos").cast("long").alias("pos"),
-                          _tx.has_syntax_errors(masked).alias("has_syntax_errors"),
+                          _tx.has_syntax_errors(masked, PORTABLE_LEFTOVER).alias("has_syntax_errors"),
                           decision_points(masked, PORTABLE_TOKENS).alias("complexity"))
 
 

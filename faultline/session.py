@@ -7,8 +7,7 @@ session-level decisions are the ones that matter at scale:
   join are split at run time and tiny shuffles are merged.
 * Broadcast joins only below Spark's measured-size threshold
   (``autoBroadcastJoinThreshold`` at plan time, the AQE variant at run time);
-  no code path in this package hints ``broadcast`` on a table whose size grows
-  with the input, except k-row top-k tables whose size is a parameter.
+  no code path in this package hints ``broadcast``.
 * UI off (no server), UTC session time zone (the oracle is UTC-naive).
 """
 
@@ -16,8 +15,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -49,18 +49,29 @@ def get_session(master: str | None = None, app: str = "faultline",
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder for checkpoints and streaming state.
+    """The shared folder for intermediate tables and streaming state, as
+    ``spark.checkpoint.dir`` names it.
 
-    A cluster names it in ``spark.checkpoint.dir``; we read that. Only when it
-    is unset (local runs, tests) do we create a scratch folder and set it.
+    A session on a cluster without that setting is an error: a folder of the
+    driver's own would be lost to the executors and to a restarted job. Only a
+    local session (tests) gets a scratch folder.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="faultline-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
     return d
 
 
 def checkpoint_path(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_root(spark), name)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back: what is built on
+    it reads the table instead of repeating the work, also after a lost executor."""
+    at = checkpoint_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)

@@ -1,25 +1,120 @@
 """Source-tree scan (S1): every ``*.ts``/``*.tsx`` under a root, as
 ``repo, path, rel_path, content`` rows, with the ignore rules (F1) applied to
-the root-relative path."""
+the root-relative path.
+
+Spark's own file listing skips every name that starts with ``_`` or ``.``
+(``_app.tsx``, ``__tests__/``, ``.storybook/``), so the tree is listed and read in
+tasks through Arrow's file systems (local, HDFS, S3, GCS …): tasks
+list the root, then its directories, then walk what is below those, dealt out
+anew each time, and the files found are dealt out again to be read. Only F1 leaves files out.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from faultline.functions.paths import relative_key
-from faultline.operators.filters import path_rules
+from faultline.operators.filters import IGNORED_DIRS, path_rules
+
+EXTENSIONS = (".ts", ".tsx")
 
-SCHEME = r"^[A-Za-z][\w+.-]*:(//[^/]*)?"
 
+def _opened(uri: str):
+    from pyarrow import fs
 
-def _status(spark: SparkSession, root: str):
+    return fs.FileSystem.from_uri(uri)
+
+
+def _root(spark: SparkSession, root: str) -> tuple[str, str]:
+    """The root as a URI, and its path without the scheme; raises unless it is a directory."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(root)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(p):
+    store = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(p):
         raise FileNotFoundError(f"Path does not exist: {root}")
-    st = fs.getFileStatus(p)
-    return fs.makeQualified(p).toString(), st.isDirectory()
+    if not store.getFileStatus(p).isDirectory():
+        raise NotADirectoryError(f"Path is not a directory: {root}")
+    uri = store.makeQualified(p).toUri()
+    return (f"file://{uri.getPath()}" if uri.getScheme() == "file" else uri.toString()), uri.getPath().rstrip("/")
+
+
+def _lister(uri: str, deep: bool, pruned: frozenset[str]) -> Callable:
+    """Lists directories given by their path under the root: their files and
+    directories, or with ``deep`` all files below; files pass through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, base = _opened(uri)
+        for batch in batches:
+            todo = list(zip(batch.column("rel").to_pylist(), batch.column("dir").to_pylist()))
+            found = []
+            while todo:
+                rel, is_dir = todo.pop()
+                if not is_dir:
+                    found.append((rel, False))
+                    continue
+                below = []
+                for info in store.get_file_info(fs.FileSelector(f"{base.rstrip('/')}/{rel}".rstrip("/"))):
+                    own = f"{rel}/{info.base_name}".lstrip("/")
+                    if info.type == fs.FileType.Directory and info.base_name not in pruned:
+                        below.append((own, True))
+                    elif info.type == fs.FileType.File and own.endswith(EXTENSIONS):
+                        below.append((own, False))
+                (todo if deep else found).extend(below)
+                if len(found) > 10_000:
+                    yield _names(found)
+                    found = []
+            yield _names(found)
+
+    return run
+
+
+def _names(found: list[tuple[str, bool]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.bool_())], ["rel", "dir"])
+
+
+def _reader(uri: str) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = _opened(uri)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                with store.open_input_stream(f"{base.rstrip('/')}/{row.column('under')[0].as_py()}") as file:
+                    text = file.read().decode("utf-8", "replace")
+                yield pa.RecordBatch.from_arrays([row.column("repo"), row.column("path"), row.column("rel_path"), pa.array([text], pa.string())],
+                                                 ["repo", "path", "rel_path", "content"])
+
+    return run
+
+
+def _by_value(fn: Callable) -> Callable:
+    """Functions of this module travel by value: executors need not have the package."""
+    import sys
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    return fn
+
+
+def _files(spark: SparkSession, root: str, exclude) -> tuple[DataFrame, str, str]:
+    """``rel`` of all TypeScript files under the root; the root as URI and path."""
+    uri, top = _root(spark, root)
+    # Directories that the default rules exclude at any depth aren't entered.
+    pruned = frozenset(IGNORED_DIRS if exclude is None else ())
+    wide = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    listed = spark.createDataFrame([("", True)], "rel string, dir boolean")
+    for deep in (False, False, True):
+        listed = listed.mapInArrow(_by_value(_lister(uri, deep, pruned)), "rel string, dir boolean").repartition(wide, "rel")
+    return listed.select("rel"), uri, top
+
+
+def _read(files: DataFrame, uri: str, include, exclude) -> DataFrame:
+    """Content of ``repo, path, rel_path, under`` rows that the path rules keep."""
+    kept = path_rules(files, "rel_path", include, exclude)
+    return kept.mapInArrow(_by_value(_reader(uri)), "repo string, path string, rel_path string, content string")
 
 
 def read_source_tree(spark: SparkSession, root: str, repo: str | None = None,
@@ -29,42 +124,25 @@ def read_source_tree(spark: SparkSession, root: str, repo: str | None = None,
     A missing root raises "does not exist"; a file raises "not a directory";
     an empty directory gives 0 rows. ``path`` is the file's full path without
     the URI scheme; ``rel_path`` is relative to the root and is what the ignore
-    rules see. Files are read whole (``wholetext``), one row per file.
+    rules see. One row per file.
     """
-    qualified, is_dir = _status(spark, root)
-    if not is_dir:
-        raise NotADirectoryError(f"Path is not a directory: {root}")
-    df = (spark.read.format("text").option("wholetext", True)
-          .option("recursiveFileLookup", True).option("pathGlobFilter", "*.{ts,tsx}")
-          .load(root))
-    root_path = F.regexp_replace(F.lit(qualified), SCHEME, "")
-    full = F.regexp_replace(F.col("_metadata.file_path"), SCHEME, "")
-    rows = df.select(F.lit(repo or root).alias("repo"), full.alias("path"),
-                     relative_key(full, root_path).alias("rel_path"),
-                     F.col("value").alias("content"))
-    return path_rules(rows, "rel_path", include, exclude)
+    files, uri, top = _files(spark, root, exclude)
+    rows = files.select(F.lit(repo or root).alias("repo"), F.concat(F.lit(top + "/"), F.col("rel")).alias("path"),
+                        F.col("rel").alias("rel_path"), F.col("rel").alias("under"))
+    return _read(rows, uri, include, exclude)
 
 
 def read_source_forest(spark: SparkSession, base: str, include=None,
                        exclude=None) -> DataFrame:
     """Many repositories at once: every top-level directory under ``base`` is
-    one repository (its name is ``repo``). One file listing and one scan for
-    all of them; ``rel_path`` is relative to the repository's directory and is
-    what the ignore rules see."""
-    qualified, is_dir = _status(spark, base)
-    if not is_dir:
-        raise NotADirectoryError(f"Path is not a directory: {base}")
-    df = (spark.read.format("text").option("wholetext", True)
-          .option("recursiveFileLookup", True).option("pathGlobFilter", "*.{ts,tsx}")
-          .load(base))
-    base_path = F.regexp_replace(F.regexp_replace(F.lit(qualified), SCHEME, ""), "/+$", "")
-    full = F.regexp_replace(F.col("_metadata.file_path"), SCHEME, "")
-    under = relative_key(full, base_path)
-    rows = df.select(F.regexp_extract(under, "^([^/]+)/", 1).alias("repo"), full.alias("path"),
-                     F.regexp_replace(under, "^[^/]+/", "").alias("rel_path"),
-                     F.col("value").alias("content"))
-    rows = rows.filter(F.col("repo") != "")   # files directly under base belong to no repo
-    return path_rules(rows, "rel_path", include, exclude)
+    one repository (its name is ``repo``). One listing and one read for all of
+    them; ``rel_path`` is relative to the repository's directory and is what
+    the ignore rules see. Files directly under ``base`` belong to no repository."""
+    files, uri, top = _files(spark, base, exclude)
+    rows = files.filter(F.col("rel").contains("/")).select(
+        F.regexp_extract("rel", "^([^/]+)/", 1).alias("repo"), F.concat(F.lit(top + "/"), F.col("rel")).alias("path"),
+        F.regexp_replace("rel", "^[^/]+/", "").alias("rel_path"), F.col("rel").alias("under"))
+    return _read(rows, uri, include, exclude)
 
 
 def read_source_table(spark: SparkSession, table_or_path: str, fmt: str = "parquet") -> DataFrame:

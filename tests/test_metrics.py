@@ -27,24 +27,57 @@ def test_fixture_hand_counts(spark):
     assert m.has_syntax_errors is False
 
 
-def test_reference_metric_cases(spark):
+def test_plain_sources(spark):
     got = metrics(spark, [
-        ("broken.ts", 'export function broken( {\n  if (true {\n    console.log("unterminated'),
-        ("valid.ts", "export function usesPath(p: string) { return p.length; }"),
-        ("simple.ts", "export function f(x: number) {\n  if (x > 0) { return 1; }\n  return 0;\n}"),
-        ("flat.ts", "export function f(x: number) { return x + 1; }"),
-        ("importer.ts", '\n import { foo, bar } from "./other";\n'
-                        " function localHelper() { return foo() + bar(); }\n"
-                        " export function main() { return localHelper(); }\n"),
+        ("open.ts", "export const load = async (url) => {\n  await get(url, [1, 2;\n  log('never closed"),
+        ("whole.ts", "export class Meter { read(at: Date) { return at.getTime(); } }"),
+        ("branch.ts", "export const sign = (n: number) => {\n  if (n < 0) { return '-'; }\n  return '+';\n};"),
+        ("straight.ts", "export const twice = (n: number) => n * 2;"),
+        ("uses.ts", '\n import { open, close } from "./door";\n'
+                    " const inner = () => open() || close();\n"
+                    " export const enter = () => inner();\n"),
     ])
-    assert got["broken.ts"].has_syntax_errors is True
-    assert got["valid.ts"].has_syntax_errors is False
-    assert got["simple.ts"].complexity == 2
-    assert got["flat.ts"].complexity == 1
-    imp = got["importer.ts"]
-    assert "foo" in imp.imported_symbol_names and "bar" in imp.imported_symbol_names
-    assert "localHelper" not in imp.imported_symbol_names
-    assert "main" in imp.exported_symbols and "localHelper" not in imp.exported_symbols
+    assert got["open.ts"].has_syntax_errors is True
+    assert got["whole.ts"].has_syntax_errors is False
+    assert got["branch.ts"].complexity == 2
+    assert got["straight.ts"].complexity == 1
+    uses = got["uses.ts"]
+    assert uses.imported_symbol_names == ["open", "close"]
+    assert uses.exported_symbols == ["enter"] and uses.complexity == 2
+
+
+def test_literals_hide_what_they_hold(spark):
+    got = metrics(spark, [
+        ("regex.ts", "const q = /[\"]/g; const r = s.replace(/\\/'`/, x / y / z);\nif (/a\\/b/.test(t)) { return /[/]'/; }"),
+        ("jsx.tsx", "export const P = () => <p>Don't worry, it's <b>fine</b></p>;"),
+        ("template.ts", "const code = `\nimport { x } from './l1';\nexport * from './l2';\nexport const no = 1;\n`;\n// import './l3'\nimport /* odd */ { y } from \"./l4\";"),
+        ("strings.ts", "const s = \"import z from './l5'\"; /* export * from './l6' */ export * from './l7';"),
+        ("division.ts", "const a = (b + c) / d / e; const f = g[0] / 2; const h = 'x';"),
+    ])
+    assert not any(m.has_syntax_errors for m in got.values())
+    assert got["regex.ts"].complexity == 2
+    assert got["template.ts"].imported_from == ["./l4"] and got["template.ts"].imported_symbol_names == ["y"]
+    assert got["template.ts"].star_exports == [] and got["template.ts"].exported_symbols == []
+    assert got["strings.ts"].imported_from == [] and got["strings.ts"].star_exports == ["./l7"]
+
+
+def test_variable_exports(spark):
+    got = metrics(spark, [
+        ("many.ts", "export const a = f(1, [2, 3]), b: Map<string, number> = new Map(), c = { d: 1, e };\nconst g = 1, h = 2;"),
+        ("bound.ts", "export const { i, j: k, l = 4, ...m } = obj;\nexport let [n, , o] = arr;\nexport var p;"),
+        ("arrow.ts", "export const run = (x, y) => {\n  const inner = 1, other = 2;\n  return inner;\n};\nexport const after = 1"),
+        ("lines.ts", "export const q = 1\nexport const r = 2,\n  s = 3\nfunction t() {}\nexport const enum Kind { A, B }"),
+    ])
+    assert got["many.ts"].exported_symbols == ["a", "b", "c"]
+    assert got["bound.ts"].exported_symbols == ["i", "k", "l", "m", "n", "o", "p"]
+    assert got["arrow.ts"].exported_symbols == ["run", "after"]
+    assert got["lines.ts"].exported_symbols == ["q", "r", "s", "Kind"]
+
+
+def test_case_is_a_clause(spark):
+    got = metrics(spark, [("prop.ts", "const o = { case: 1 }; o.case; const { case: x } = o;"),
+                          ("clause.ts", "switch (k) { case 'a': break; case (b): break; case C.D: break; default: }")])
+    assert got["prop.ts"].complexity == 1 and got["clause.ts"].complexity == 4
 
 
 def test_operators_not_counted(spark):

@@ -32,15 +32,22 @@ def test_empty_directory_gives_no_rows(spark, tmp_dir):
 
 
 def test_ignore_rules(spark, tmp_dir):
-    write(tmp_dir, "types.test-d.ts", 'import { expectType } from "tsd";')
-    write(tmp_dir, "real.ts", "export function real(x: number) { if (x > 0) { return x; } return 0; }")
-    write(tmp_dir, "real.test.ts", "export function helper() { return 1; }")
+    write(tmp_dir, "shape.test-d.ts", "type Shape = { kind: 'round' };")
+    write(tmp_dir, "ledger.ts", "export const balance = (rows: number[]) => rows.length;")
+    write(tmp_dir, "ledger.test.ts", "export const sample = [1, 2];")
+    write(tmp_dir, "pages/_app.tsx", "export default function App() { return null; }")
+    write(tmp_dir, "src/__tests__/sum.test.ts", "export const t = 1;")
+    write(tmp_dir, ".storybook/main.ts", "export const stories = [];")
+    write(tmp_dir, ".git/hooks/x.ts", "export const no = 1;")
     write(tmp_dir, "node_modules/dep/index.ts", "export const x = 1;")
     write(tmp_dir, "src/dist/out.ts", "export const y = 1;")
     write(tmp_dir, "src/lib.d.ts", "declare const z: number;")
     write(tmp_dir, "notes.md", "# not code")
     rows = read_source_tree(spark, tmp_dir, repo="r").select("rel_path").collect()
-    assert sorted(r.rel_path for r in rows) == ["real.test.ts", "real.ts"]
+    assert sorted(r.rel_path for r in rows) == [
+        ".storybook/main.ts", "ledger.test.ts", "ledger.ts", "pages/_app.tsx", "src/__tests__/sum.test.ts"]
+    everything = read_source_tree(spark, tmp_dir, repo="r", exclude=[]).select("rel_path", "path", "content").collect()
+    assert len(everything) == 10 and all(r.path.endswith("/" + r.rel_path) and r.content for r in everything)
 
 
 def test_scan_resolves_imports_and_counts_fan_in(spark, tmp_dir):
@@ -51,8 +58,7 @@ def test_scan_resolves_imports_and_counts_fan_in(spark, tmp_dir):
     write(tmp_dir, "src/deep/c.tsx", 'import { a } from "../a";\nimport x from "react";\n'
                                      'export default function C() { return a; }')
     df = read_source_tree(spark, tmp_dir, repo="r")
-    got = {r.rel_path: r.fan_in for r in scan(df).select("path", "fan_in").join(
-        df.select("path", "rel_path"), "path").collect()}
+    got = {r.rel_path: r.fan_in for r in scan(df).collect()}
     # b: imported by a (twice, deduped) and util; its self-import is dropped
     assert got == {"src/b.ts": 2, "src/a.ts": 1, "src/util/index.ts": 1, "src/deep/c.tsx": 0}
 
@@ -66,18 +72,42 @@ def test_fan_in_sum_equals_distinct_edges(spark):
     assert total == edges.count() == 3
 
 
-def test_star_exports_followed(spark, tmp_dir):
-    from faultline.operators.metrics import file_metrics, follow_star_exports
-    write(tmp_dir, "a.ts", 'export * from "./b";\nexport const own = 1;')
-    write(tmp_dir, "b.ts", "export const x = 1;\nexport default 2;\nexport * from './c';")
-    write(tmp_dir, "c.ts", "export const y = 1;\nexport * as ns from './a';")
-    df = read_source_tree(spark, tmp_dir, repo="r").drop("rel_path")
-    m = file_metrics(df)
-    one = {r.path.rsplit("/", 1)[1]: r.exported_symbols for r in follow_star_exports(m, hops=1).collect()}
-    two = {r.path.rsplit("/", 1)[1]: r.exported_symbols for r in follow_star_exports(m, hops=2).collect()}
-    # `export * as ns` makes ns a named export of c, so `export *` passes it on
-    assert one["a.ts"] == ["own", "x"] and one["b.ts"] == ["x", "default", "ns", "y"]
-    assert two["a.ts"] == ["own", "ns", "x", "y"] and two["c.ts"] == ["y", "ns"]
+def test_directory_imports(spark):
+    files = spark.createDataFrame(
+        [("r", "index.ts", []), ("r", "a/index.tsx", ["..", "./"]), ("r", "a/b.ts", [".", "..", "./c.js", "./c"]),
+         ("r", "a/c.ts", ["../a/", "../a", "../a.js"]), ("r", "a/c/index.ts", ["./"]), ("r", "a.d.ts", ["./a/b.ts", "./b"])],
+        "repo string, path string, imported_from array<string>")
+    got = sorted((r.src_path, r.dst_path) for r in resolve_imports(files).collect())
+    # "../a" is the file a.d.ts before the directory a; "../a/" is the directory
+    assert got == [("a.d.ts", "a/b.ts"), ("a/b.ts", "a/c.ts"), ("a/b.ts", "a/index.tsx"), ("a/b.ts", "index.ts"),
+                   ("a/c.ts", "a.d.ts"), ("a/c.ts", "a/index.tsx"), ("a/index.tsx", "index.ts")]
+
+
+def test_star_exports_followed_to_the_end(spark, tmp_dir):
+    write(tmp_dir, "a.ts", 'export * from "./l1";\nexport const own = 1;')
+    for i in range(1, 7):
+        write(tmp_dir, f"l{i}.ts", f"export * from './l{i + 1}';\nexport default {i};")
+    write(tmp_dir, "l7.ts", "export const deepest = 1;\nexport * as ns from './a';\nexport * from './l3';")
+    got = {r.rel_path: r.exported_symbols for r in scan(read_source_tree(spark, tmp_dir, repo="r")).collect()}
+    # `export * as ns` makes ns a named export of l7, so `export *` passes it on; l7 and l3 re-export each other
+    assert got["a.ts"] == ["own", "deepest", "ns"]
+    assert all(got[f"l{i}.ts"] == ["default", "deepest", "ns"] for i in range(1, 7))
+    assert got["l7.ts"] == ["deepest", "ns"]
+
+
+def test_sources_are_read_once(spark, tmp_dir):
+    write(tmp_dir, "a.ts", 'export * from "./b";')
+    write(tmp_dir, "b.ts", "export const b = 1;")
+    reads = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    df = read_source_tree(spark, tmp_dir, repo="r")
+    rows = scan(df.mapInArrow(count, df.schema)).collect()
+    assert len(rows) == 2 and reads.value == 2
 
 
 def test_forest_reads_many_repos_at_once(spark, tmp_dir):
@@ -90,5 +120,5 @@ def test_forest_reads_many_repos_at_once(spark, tmp_dir):
     df = read_source_forest(spark, tmp_dir)
     got = sorted((r.repo, r.rel_path) for r in df.select("repo", "rel_path").collect())
     assert got == [("one", "src/a.ts"), ("one", "src/b.ts"), ("two", "b.ts")]
-    fans = {(r.repo, r.path.rsplit("/", 1)[1]): r.fan_in for r in scan(df.drop("rel_path")).collect()}
+    fans = {(r.repo, r.path.rsplit("/", 1)[1]): r.fan_in for r in scan(df).collect()}
     assert fans == {("one", "a.ts"): 0, ("one", "b.ts"): 1, ("two", "b.ts"): 0}
