@@ -12,10 +12,14 @@ def baseline_rows(scored: DataFrame, created_at: Column | str, tool_version: str
                   keys=("repo",), path: str = "path", root: str | None = None) -> DataFrame:
     """One baseline row per file — every file, never a top-N.
 
-    ``rel_path`` is the path relative to the per-row ``root`` column when given
-    (portable across machines); ``export_count`` is the number of exports.
+    Keys are relative, so a baseline is portable across machines: the scan's
+    ``rel_path`` column, or the path relative to the per-row ``root`` column
+    when given. Without either they can't be told, which is an error.
+    ``export_count`` is the number of exports.
     """
-    rel = relative_key(path, root) if root else F.col(path)
+    if not root and "rel_path" not in scored.columns:
+        raise ValueError("baseline keys are relative: rows need a rel_path column, or name their root column")
+    rel = relative_key(path, root) if root else F.col("rel_path")
     ts = F.lit(created_at).cast("timestamp") if isinstance(created_at, str) else created_at
     return scored.select(
         *keys, rel.alias("rel_path"), "lines", "complexity",

@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from faultline.operators.filters import parseable
 from faultline.operators.scoring import top_k, top_k_per_group
 
 # Defaults (fixed values): top 5, at least 80 lines and complexity 8.
@@ -25,26 +26,18 @@ def drift_candidates(scored: DataFrame, k: int = DEFAULT_TOP,
                      keys=None, tiebreak=("path",)) -> DataFrame:
     """The top-k parseable rows with ``rank``, ``eligible`` and ``status``
     (``candidate`` or ``skipped_small``). ``keys`` gives a top-k per group."""
-    parseable = scored.filter(~F.col("has_syntax_errors"))
-    top = (top_k(parseable, k, tiebreak=tiebreak) if not keys
-           else top_k_per_group(parseable, k, keys=keys, tiebreak=tiebreak))
+    whole = parseable(scored)
+    top = (top_k(whole, k, tiebreak=tiebreak) if not keys
+           else top_k_per_group(whole, k, keys=keys, tiebreak=tiebreak))
     el = eligible(min_lines, min_complexity)
     return (top.withColumn("eligible", el)
             .withColumn("status", F.when(el, "candidate").otherwise("skipped_small")))
 
 
-def classify_all(scored: DataFrame, top: DataFrame, keys=(), path: str = "path",
-                 k_bounded: bool = True) -> DataFrame:
+def classify_all(scored: DataFrame, top: DataFrame, keys=(), path: str = "path") -> DataFrame:
     """Every row with its drift status: broken, beyond_top, skipped_small or
-    candidate (the complement sets the reference reports).
-
-    ``top`` holds at most k rows when ``k_bounded`` — a size bound set by a
-    parameter, so it is broadcast; a per-group top-k grows with the number of
-    groups and is left to the planner.
-    """
+    candidate (the complement sets the reference reports)."""
     t = top.select(*keys, path, "rank", F.col("status").alias("_top_status"))
-    if k_bounded:
-        t = F.broadcast(t)
     out = scored.join(t, [*keys, path], "left")
     status = (F.when(F.col("has_syntax_errors"), "broken")
               .when(F.col("_top_status").isNull(), "beyond_top")

@@ -33,8 +33,5 @@ def path_rules(df: DataFrame, rel_path: str = "rel_path", include=None,
 
 
 def parseable(df: DataFrame) -> DataFrame:
+    """Files without syntax errors."""
     return df.filter(~F.col("has_syntax_errors"))
-
-
-def unparseable(df: DataFrame) -> DataFrame:
-    return df.filter(F.col("has_syntax_errors"))

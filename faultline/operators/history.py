@@ -33,22 +33,6 @@ def touch_frequency(commit_files: DataFrame, keys=("repo",), path: str = "path",
     return commit_files.groupBy(*keys, path).agg(agg)
 
 
-def touch_frequency_as_of(commit_files: DataFrame, cuts: dict, keys=("repo",),
-                          path: str = "path", commit: str = "commit_id",
-                          at: str = "committed_at") -> DataFrame:
-    """Touch counts at several snapshot times in one pass over the history.
-
-    ``(keys…, path, first_seen, touches_<name>…)``: each (path, commit) pair is
-    reduced to its earliest time, then counted once per cut it precedes. Both
-    aggregations are hash aggregations with map-side partial combine.
-    """
-    keys = list(keys)
-    pairs = commit_files.groupBy(*keys, path, commit).agg(F.min(at).alias("_t"))
-    return pairs.groupBy(*keys, path).agg(
-        F.min("_t").alias("first_seen"),
-        *[F.count_if(F.col("_t") < c).alias(f"touches_{n}") for n, c in cuts.items()])
-
-
 def attach_touches(files: DataFrame, touches: DataFrame, keys=("repo",),
                    path: str = "path", history_repos: DataFrame | None = None,
                    history_keys=None, has_history: bool = True) -> DataFrame:

@@ -2,8 +2,9 @@
 duplicate symbols across split entries (A8) and symbol membership against the
 file's exports and imports (J4 / X5).
 
-Positions are carried as sortable structs instead of a dense row number, so
-no window over an answer (a possibly hot key) is needed; lists are built from
+Positions are carried as sortable values (best a number, whose minimum hashes)
+instead of a dense row number, so no window over an answer (a possibly hot key)
+is needed; lists are built from
 ``collect_list`` of (position, value) structs and sorted, because
 ``collect_list`` alone is unordered after a shuffle.
 """
@@ -54,24 +55,24 @@ def symbol_membership(moved: DataFrame, exports: DataFrame, imports: DataFrame,
     ``unverified`` (distinct symbols in first-seen order), or ``no_exports``
     for an answer whose file exports nothing.
 
-    Membership is relational: moved occurrences anti-join the exports, semi-join
-    the answers that export anything, and left-join an imports marker. The
-    first-seen order comes from sorting each list's collected (position,
-    symbol) pairs and keeping the first of each symbol, so no sort-based
-    aggregate runs over every occurrence.
+    Moved occurrences are reduced to the first of each symbol before anything
+    else (a map-side combined ``min`` of numeric positions), so an answer's
+    list gathers its distinct symbols only, which are the output. Membership is
+    relational: those symbols anti-join the exports, semi-join the answers that
+    export anything, and left-join an imports marker.
     """
     keys = list(keys)
     ex = exports.select(*keys, symbol).distinct()
     im = imports.select(*keys, symbol).distinct().withColumn("_imported", F.lit(True))
     has_exports = ex.select(*keys).distinct()
-    occ = moved.select(*keys, symbol, pos)
+    occ = moved.groupBy(*keys, symbol).agg(F.min(pos).alias(pos))
     foreign = (occ.join(ex, [*keys, symbol], "left_anti")
                .join(has_exports, keys, "left_semi")
                .join(im, [*keys, symbol], "left")
                .withColumn("kind", F.when(F.col("_imported"), "imported").otherwise("unverified")))
     grouped = foreign.groupBy(*keys, "kind").agg(
         F.sort_array(F.collect_list(F.struct(pos, F.col(symbol).cast("string").alias("s")))).alias("_l"))
-    listed = grouped.select(*keys, "kind", F.array_distinct(F.transform("_l", lambda x: x["s"])).alias("_syms"))
+    listed = grouped.select(*keys, "kind", F.transform("_l", lambda x: x["s"]).alias("_syms"))
     names = F.array_join("_syms", ", ")
     n = F.size("_syms").cast("long")
     text = F.when(F.col("kind") == "imported", F.format_string(MSG_IMPORTED, n, names)) \

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from faultline.schemas import ANSWER
+from faultline.schemas import SPLIT_ENTRY
 
 # ---------------------------------------------------------------- fixed values
 REQUIRED_FIELDS = ["inferredOriginalPurpose", "currentResponsibilities", "hasDrifted",
@@ -43,9 +43,9 @@ MSG_BAD_SPLIT = "Model response has a malformed suggestedSplit (entries need mov
 MSG_NO_ANSWER = "No model answer for this file"
 MSG_MANY_ANSWERS = "%d model answers for this file; expected one"
 
-JSON_OPTS = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false",
-             "allowUnquotedControlChars": "false"}
-FENCE = r"^```json\s*|\s*```\z"
+# White space as JavaScript's trim and \s have it.
+WHITE = r"[\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+FENCE = f"^```json{WHITE}*|{WHITE}*```\\z"
 
 
 def _c(x) -> Column:
@@ -59,7 +59,25 @@ def _sql_str(text: str) -> str:
 
 def clean_answer(raw) -> Column:
     """Drop a leading ```` ```json ```` fence and a trailing fence, trim."""
-    return F.regexp_replace(F.regexp_replace(_c(raw), FENCE, ""), r"^\s+|\s+\z", "")
+    return F.regexp_replace(F.regexp_replace(_c(raw), FENCE, ""), f"^{WHITE}+|{WHITE}+\\z", "")
+
+
+def parse_answer(df: DataFrame, cleaned) -> Column:
+    """The cleaned text as one strict JSON value (a variant; null if it isn't
+    one). Of a repeated key the last value counts, as in JavaScript."""
+    # Read when a plan is built; without it a repeated key makes the text null.
+    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    whole, complete = _wrapped(_c(cleaned))
+    return F.when(complete, F.try_variant_get(whole, "$.answer", "variant"))
+
+
+def _wrapped(cleaned: Column) -> tuple[Column, Column]:
+    """The text parsed as a member of an object, and whether it is one value: what
+    follows a text's first value would be ignored, and then the object's last
+    member, the text's checksum, doesn't arrive."""
+    check = F.crc32(cleaned.cast("binary"))
+    whole = F.try_parse_json(F.concat(F.lit('{"answer":'), cleaned, F.lit(',"checksum":'), check.cast("string"), F.lit("}")))
+    return whole, F.try_variant_get(whole, "$.checksum", "long") == check
 
 
 def _vtype(v: Column, path: str) -> Column:
@@ -77,6 +95,11 @@ def _truthy(v: Column, path: str) -> Column:
             .otherwise(F.coalesce(F.try_variant_get(v, path, "double") != 0, F.lit(True))))
 
 
+def _entry(e: Column) -> Column:
+    """A split entry of the variant as a typed struct; other entries are null."""
+    return F.try_variant_get(e, "$", SPLIT_ENTRY.simpleString())
+
+
 def validate_answers(df: DataFrame, raw: str = "raw_text", exports: str = "exported_symbols",
                      imports: str = "imported_symbol_names") -> DataFrame:
     """Adds the validated analysis columns to every answer row (X1-X8):
@@ -89,43 +112,29 @@ def validate_answers(df: DataFrame, raw: str = "raw_text", exports: str = "expor
     null split and ``Analysis failed: <reason>``.
     """
     rawc = F.coalesce(_c(raw), F.lit(""))
-    # Parse once per row: the cleaned text, its variant, its key map and its
-    # typed form are separate projections, so no JSON is parsed twice.
-    parsed = df.select("*", clean_answer(raw).alias("_clean")).select(
-        "*", F.try_parse_json("_clean").alias("_v"),
-        F.from_json("_clean", "map<string,string>", JSON_OPTS).alias("_kmap"),
-        F.from_json("_clean", ANSWER, JSON_OPTS).alias("_a"))
-    cleaned, v = F.col("_clean"), F.col("_v")
+    # One parse per row; every member is taken from the variant.
+    parsed = df.select("*", clean_answer(raw).alias("_clean")).select("*", parse_answer(df, "_clean").alias("_v"))
+    v, strings = F.col("_v"), F.array().cast("array<string>")
     staged = parsed.select(
-        "*",
-        (F.col("_kmap").isNotNull() & cleaned.rlike(r"(?s)^\{.*\}\z")).alias("_is_obj"),
-        (cleaned.rlike(r"(?s)^\[.*\]\z") & v.isNotNull()).alias("_is_arr"),
-        (v.isNotNull() & ~cleaned.rlike(r"^[\[{]")).alias("_is_scalar"),
-        F.map_keys("_kmap").alias("_keys"),
+        "*", F.schema_of_variant(v).alias("_type"),
+        *[_vtype(v, f"$.{k}").alias(f"_{k}") for k in REQUIRED_FIELDS],
         _vtype(v, "$.suggestedSplit").alias("_split_t"),
+        F.try_variant_get(v, "$.suggestedSplit", "array<variant>").alias("_split_v")).select(
+        "*", F.col("_type").startswith("OBJECT").alias("_is_obj"),
+        F.col("_type").startswith("ARRAY").alias("_is_arr"),
         _truthy(v, "$.hasDrifted").alias("_drifted"),
-        F.try_variant_get(v, "$.suggestedSplit", "array<variant>").alias("_split_v"),
         F.try_variant_get(v, "$.suggestedSplit", "string").alias("_split_s"),
-        F.try_variant_get(v, "$.suggestedSplit", "boolean").alias("_split_b"),
-        F.try_variant_get(v, "$.suggestedSplit", "double").alias("_split_d"),
-        F.coalesce(_c(exports), F.array().cast("array<string>")).alias("_exp"),
-        F.coalesce(_c(imports), F.array().cast("array<string>")).alias("_imp"),
-    )
+        F.coalesce(_c(exports), strings).alias("_exp"),
+        F.coalesce(_c(imports), strings).alias("_imp"))
     # Required keys present (a null value counts as present).
-    missing = F.filter(F.array(*[F.lit(k) for k in REQUIRED_FIELDS]),
-                       lambda k: ~F.coalesce(F.array_contains(F.col("_keys"), k), F.lit(False)))
-    missing = F.when(F.col("_is_arr"), F.array(*[F.lit(k) for k in REQUIRED_FIELDS])).otherwise(missing)
+    missing = F.filter(F.array(*[F.when(F.col(f"_{k}").isNull(), F.lit(k)) for k in REQUIRED_FIELDS]), lambda k: k.isNotNull())
     # Consistency of verdict and split (JavaScript truthiness and length).
     split_t = F.col("_split_t")
     is_array = split_t.startswith("ARRAY")
     real_split = (F.when(is_array, F.size("_split_v") > 0)
                   .when(split_t == "STRING", F.length("_split_s") > 0)
                   .otherwise(F.lit(False)))
-    split_truthy = (F.when(is_array | split_t.startswith("OBJECT"), F.lit(True))
-                    .when(split_t == "STRING", F.length("_split_s") > 0)
-                    .when(split_t == "BOOLEAN", F.col("_split_b"))
-                    .when(split_t.isNull() | (split_t == "VOID"), F.lit(False))
-                    .otherwise(F.coalesce(F.col("_split_d") != 0, F.lit(True))))
+    split_truthy = _truthy(v, "$.suggestedSplit")
     drifted = F.col("_drifted")
     suppress = ~drifted & real_split
     no_plan = drifted & ~real_split
@@ -138,7 +147,7 @@ def validate_answers(df: DataFrame, raw: str = "raw_text", exports: str = "expor
     s2 = staged.select(
         "*", missing.alias("_missing"), suppress.alias("_suppress"), no_plan.alias("_no_plan"),
         bad_split.alias("_bad_split"),
-        F.when(~suppress & is_array, F.col("_a.suggestedSplit")).alias("_split"))
+        F.when(~suppress & is_array, F.transform("_split_v", _entry)).alias("_split"))
     # X4 / A8 row-local: symbols listed more than once over all entries, and
     # Symbols not exported here — imported, or unverified locals. Written
     # as SQL lambda expressions: one parse each instead of one JVM call per
@@ -177,9 +186,8 @@ def validate_answers(df: DataFrame, raw: str = "raw_text", exports: str = "expor
         F.when(F.col("_no_plan"), F.lit(MSG_NO_PLAN))), lambda w: w.isNotNull())
     warnings = F.concat(consistency, dup_warnings, unknown)
     # Error reason, in the order the checks run.
-    reason = (F.when(~F.col("_is_obj") & ~F.col("_is_arr") & ~F.col("_is_scalar"),
-                     F.concat(F.lit(MSG_PARSE), F.substring(rawc, 1, PARSE_PREVIEW)))
-              .when(F.col("_is_scalar"),
+    reason = (F.when(F.col("_v").isNull(), F.concat(F.lit(MSG_PARSE), F.substring(rawc, 1, PARSE_PREVIEW)))
+              .when(~F.col("_is_obj") & ~F.col("_is_arr"),
                     F.concat(F.lit(MSG_NOT_OBJECT), F.substring(rawc, 1, PARSE_PREVIEW)))
               .when(F.size("_missing") > 0,
                     F.concat(F.lit(MSG_MISSING), F.array_join("_missing", ", "),
@@ -188,16 +196,19 @@ def validate_answers(df: DataFrame, raw: str = "raw_text", exports: str = "expor
     out = s3.select("*", reason.alias("_reason"), warnings.alias("_warnings"))
     err = F.col("_reason").isNotNull()
     empty = F.array().cast("array<string>")
+    # A list that came as one value stays, as the only entry.
+    responsibilities = F.coalesce(F.try_variant_get(v, "$.currentResponsibilities", "array<string>"), F.when(
+        F.col("_currentResponsibilities") != "VOID", F.array(F.try_variant_get(v, "$.currentResponsibilities", "string"))))
     result = out.select(
         *[c for c in df.columns],
         err.alias("is_error"),
-        F.when(err, F.lit(ERROR_PURPOSE)).otherwise(F.col("_a.inferredOriginalPurpose"))
+        F.when(err, F.lit(ERROR_PURPOSE)).otherwise(F.try_variant_get(v, "$.inferredOriginalPurpose", "string"))
         .alias("inferred_original_purpose"),
-        F.when(err, empty).otherwise(F.col("_a.currentResponsibilities"))
+        F.when(err, empty).otherwise(responsibilities)
         .alias("current_responsibilities"),
         F.when(err, F.lit(False)).otherwise(F.col("_drifted")).alias("has_drifted"),
         F.when(err, F.concat(F.lit(MSG_FAILED), F.col("_reason")))
-        .otherwise(F.col("_a.driftSummary")).alias("drift_summary"),
+        .otherwise(F.try_variant_get(v, "$.driftSummary", "string")).alias("drift_summary"),
         F.when(err, F.lit(None)).otherwise(F.col("_split")).alias("suggested_split"),
         F.when(err, empty).otherwise(F.col("_warnings")).alias("warnings"))
     return result
@@ -205,13 +216,15 @@ def validate_answers(df: DataFrame, raw: str = "raw_text", exports: str = "expor
 
 def pair_answers(candidates: DataFrame, responses: DataFrame, keys=("repo",),
                  path: str = "path") -> DataFrame:
-    """Every candidate yields exactly one row. Answers are first reduced to
-    one row per file (a hash aggregate, combined map-side, so a file with many
-    answers stays cheap); a file with several answers keeps the count and
-    becomes an error row at validation, as does a file with none."""
-    r = responses.groupBy(*keys, path).agg(
-        F.count(F.lit(1)).alias("_answers"), F.min("raw_text").alias("raw_text"))
-    return candidates.join(r, [*keys, path], "left")
+    """Every candidate yields exactly one row. Answers meet the candidates
+    first and are then counted per file (without their texts, a hash aggregate);
+    a file with several answers keeps the count and becomes an error row at
+    validation, as does a file with none."""
+    on = [*keys, path]
+    mine = responses.join(candidates.select(*on), on, "left_semi")
+    counts = mine.groupBy(*on).agg(F.count(F.lit(1)).alias("_answers"))
+    single = mine.join(counts.filter("_answers = 1").select(*on), on, "left_semi").select(*on, "raw_text")
+    return candidates.join(counts, on, "left").join(single, on, "left")
 
 
 def validate_paired(paired: DataFrame, **kw) -> DataFrame:
@@ -253,10 +266,7 @@ def required_fields(raw, required=None) -> tuple[Column, Column]:
     """X1+X2 on their own: (is the cleaned text a strict JSON object, the
     required keys it lacks in the given order). A null value counts as present."""
     required = REQUIRED_FIELDS if required is None else required
-    cleaned = clean_answer(raw)
-    m = F.from_json(cleaned, "map<string,string>", JSON_OPTS)
-    is_obj = m.isNotNull() & cleaned.rlike(r"(?s)^\{.*\}\z")
-    keys = F.map_keys(m)
-    missing = F.filter(F.array(*[F.lit(k) for k in required]),
-                       lambda k: ~F.coalesce(F.array_contains(keys, k), F.lit(False)))
+    whole, complete = _wrapped(clean_answer(raw))
+    is_obj = F.coalesce(complete & _vtype(whole, "$.answer").startswith("OBJECT"), F.lit(False))
+    missing = F.filter(F.array(*[F.when(_vtype(whole, f"$.answer.{k}").isNull(), F.lit(k)) for k in required]), lambda k: k.isNotNull())
     return is_obj, F.when(is_obj, missing)

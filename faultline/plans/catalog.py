@@ -5,40 +5,20 @@ can express; the column names match."""
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from faultline.functions import display, text as _tx
+from faultline.functions import display, prompt as _prompt, text as _tx
 from faultline.operators import graph, history, scoring
+from faultline.session import checkpoint_path, stored
 from faultline.sources import bindings as B
-from faultline.sources.driver_tables import spread, table
+from faultline.sources.driver_tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def shared_plan(fn):
-    """Build a sub-plan once per (session, data directory).
-
-    DataFrames are immutable logical plans; queries that share a sub-plan (the
-    scored modules, the snapshots, the validated answers) reuse the same object
-    instead of rebuilding it expression by expression. No data is cached.
-    """
-    memo: dict = {}
-
-    @functools.wraps(fn)
-    def wrapper(spark, d, *args):
-        key = (id(spark), d, args)
-        hit = memo.get(key)
-        if hit is None or hit[0] is not spark:
-            hit = (spark, fn(spark, d, *args))
-            memo[key] = hit
-        return hit[1]
-    return wrapper
-
-
 def register(name: str, oracle: str | None = None):
     def deco(fn):
         QUERIES[name] = fn
@@ -50,7 +30,6 @@ def register(name: str, oracle: str | None = None):
 
 # ---------------------------------------------------------------- shared parts
 
-@shared_plan
 def module_metrics(spark: SparkSession, d: str,
                    no_history_suffix: str | None = B.NO_HISTORY_SUFFIX) -> DataFrame:
     """Parts as modules, with fan-in (first-line edges) and touch counts."""
@@ -96,7 +75,6 @@ scored AS (
 """)
 
 
-@shared_plan
 def scored_modules(spark: SparkSession, d: str) -> DataFrame:
     return scoring.with_score(module_metrics(spark, d))
 
@@ -208,43 +186,36 @@ def q_outlier_topk_per_repo(spark, d):
 
 # ---------------------------------------------------------------- J3 / P12 (baseline)
 
-@shared_plan
-def module_snapshots(spark: SparkSession, d: str, before: str = B.BASELINE_CUT):
-    """(current module metrics, baseline rows as of ``before``) from shared
-    passes over lineitem: one importer aggregate + one edge join for both
-    snapshots' fan-in, one history aggregate for both touch counts and for
-    when each part first appears."""
+def module_snapshots(spark: SparkSession, d: str):
+    """(current module metrics, baseline rows as of ``B.BASELINE_CUT``). Both come
+    from one stored row per part, so lineitem is read twice for all of it."""
     from faultline.operators.baseline import baseline_rows
-    part, li = table(spark, d, "part"), table(spark, d, "lineitem")
-    files = B.part_files(part)
-    edges = B.first_line_edges_as_of(li, {"baseline": before})
-    fans = graph.fan_in_counts(edges, keys=("snapshot",))
-    hist = history.touch_frequency_as_of(
-        B.lineitem_commits(li, None), {"current": B.TOUCH_CUT, "baseline": before}, keys=())
-
-    def fan(name):
-        return (fans.filter(F.col("snapshot") == name)
-                .select(F.col("dst_path").alias("path"), "fan_in"))
-
-    def with_fan(f, name):
-        return (f.join(fan(name), "path", "left")
-                .withColumn("fan_in", F.coalesce(F.col("fan_in"), F.lit(0).cast("long"))))
-
-    cur_t = hist.select("path", F.col("touches_current").alias("touches"))
-    current = history.attach_touches(
-        with_fan(files, "current"), cur_t, keys=(), history_repos=B.history_brands(part),
-        history_keys=("repo",))
-    existing = hist.filter(F.col("first_seen") < B.cut(before)).select(
-        "path", F.col("touches_baseline").alias("touches"))
-    base = history.attach_touches(with_fan(files.join(existing.select("path"), "path", "left_semi"),
-                                           "baseline"), existing, keys=())
-    return current, baseline_rows(base, before, "0.1.0", keys=("repo",))
+    part = table(spark, d, "part")
+    states = stored(B.part_files(part).join(B.part_states(table(spark, d, "lineitem")), "path", "left"), "part-states")
+
+    def as_of(name):
+        rows = states.withColumn("fan_in", F.coalesce(f"fan_in_{name}", F.lit(0).cast("long")))
+        touches = states.select("path", F.coalesce(f"touches_{name}", F.lit(0).cast("long")).alias("touches"))
+        return rows.drop(*B_STATES), touches
 
+    files, touches = as_of("now")
+    current = history.attach_touches(files, touches, keys=(), history_repos=B.history_brands(part), history_keys=("repo",))
+    old, touches = as_of("then")
+    seen = states.filter(F.col("first_seen") < B.cut(B.BASELINE_CUT)).select("path")
+    base = history.attach_touches(old.join(seen, "path", "left_semi"), touches, keys=())
+    # Sizes then differ from now, by the part's key.
+    base = base.withColumn("lines", (F.col("lines") - F.col("path") % 4 + 1).cast("int")).withColumn(
+        "complexity", (F.col("complexity") - F.col("path") % 3 + 1).cast("int"))
+    return current, baseline_rows(base.withColumn("rel_path", F.col("path")), B.BASELINE_CUT, "0.1.0", keys=("repo",))
 
-def baseline_snapshot(spark: SparkSession, d: str, before: str = B.BASELINE_CUT) -> DataFrame:
-    """Module metrics as they stood before ``before``: a part exists once a
+
+B_STATES = ("fan_in_now", "fan_in_then", "touches_now", "touches_then", "first_seen")
+
+
+def baseline_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    """Module metrics as they stood before the cut: a part exists once a
     lineitem ships, fan-in counts first-line edges before the cut."""
-    return module_snapshots(spark, d, before)[1]
+    return module_snapshots(spark, d)[1]
 
 
 SQL_BASE = """,
@@ -258,7 +229,8 @@ fan_b AS (
   FROM lineitem l JOIN imp_b i USING (l_orderkey)
   WHERE i.src <> l.l_partkey AND l.l_shipdate < TIMESTAMP '1995-02-01' GROUP BY 1),
 base AS (
-  SELECT f.repo, f.path, f.lines, f.complexity, COALESCE(fan_b.fan_in, 0) AS fan_in
+  SELECT f.repo, f.path, CAST(f.lines - f.path % 4 + 1 AS INTEGER) AS lines,
+         CAST(f.complexity - f.path % 3 + 1 AS INTEGER) AS complexity, COALESCE(fan_b.fan_in, 0) AS fan_in
   FROM files f LEFT JOIN fan_b USING (path)
   WHERE f.path IN (SELECT l_partkey FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-02-01'))
 """
@@ -420,32 +392,56 @@ def q_short_path(spark, d):
         "page_id", short_path("url").alias("short_path"), base_name("url").alias("base_name"))
 
 
-@register("path_keys", r"""
-WITH p AS (
-  SELECT page_id, url, regexp_extract(url, '^[a-z]+://[^/?#]+', 0) AS root,
-         regexp_extract(url, '^[a-z]+://[^/?#]+(.*)$', 1) AS local_path,
-         regexp_matches(url, '^[a-z]+://[^/?#]+\.net([/?#]|$)') AS case_insensitive
-  FROM pages)
+# A path per page: with a drive prefix, with capitals and backslashes, or plain;
+# ``chr(92)`` is the backslash in both engines.
+PAGE_PATH_SQL = """CASE page_id % 4
+  WHEN 0 THEN '/' || chr(CAST(97 + page_id % 26 AS INTEGER)) || '/Work/Site' || CAST(page_id AS VARCHAR(20)) || '/A.ts'
+  WHEN 1 THEN 'D:' || chr(92) || 'Work' || chr(92) || 'Site' || CAST(page_id AS VARCHAR(20)) || chr(92) || 'b.ts'
+  WHEN 2 THEN '/home/Dev/Site/' || CAST(page_id AS VARCHAR(20)) || '.ts'
+  ELSE '/cc/x' || CAST(page_id AS VARCHAR(20)) END"""
+
+
+@register("path_keys", f"""
+WITH p AS (SELECT page_id, {PAGE_PATH_SQL} AS path FROM pages)
 SELECT page_id,
-  CASE WHEN starts_with(url, root || '/') THEN substr(url, length(root) + 2) ELSE url END
-    AS rel_key,
-  CASE WHEN regexp_matches(local_path, '^/([a-zA-Z])/(.*)$')
-       THEN upper(regexp_extract(local_path, '^/([a-zA-Z])/', 1)) || ':/'
-            || regexp_extract(local_path, '^/[a-zA-Z]/(.*)$', 1)
-       ELSE local_path END AS drive_path,
-  CASE WHEN case_insensitive THEN lower(replace(url, '\', '/')) ELSE replace(url, '\', '/') END
-    AS match_key
+  CASE WHEN page_id % 4 = 2 THEN CAST(page_id AS VARCHAR) || '.ts' ELSE replace(path, chr(92), '/') END AS rel_key,
+  CASE WHEN page_id % 4 = 0 THEN upper(substr(path, 2, 1)) || ':' || substr(path, 3) ELSE path END AS drive_path,
+  CASE WHEN page_id % 3 = 0 THEN lower(replace(path, chr(92), '/')) ELSE replace(path, chr(92), '/') END AS match_key
 FROM p
 """)
 def q_path_keys(spark, d):
     from faultline.functions.paths import drive_path, path_key, relative_key
-    url = F.col("url")
-    root = F.regexp_extract(url, r"^[a-z]+://[^/?#]+", 0)
-    local = F.regexp_extract(url, r"^[a-z]+://[^/?#]+(.*)$", 1)
-    ci = url.rlike(r"^[a-z]+://[^/?#]+\.net([/?#]|$)")
-    return table(spark, d, "pages").select(
-        "page_id", relative_key(url, root).alias("rel_key"),
-        drive_path(local).alias("drive_path"), path_key(url, ci).alias("match_key"))
+    path = F.expr(PAGE_PATH_SQL)
+    return table(spark, d, "pages").select("page_id", path.alias("path")).select(
+        "page_id", relative_key("path", F.lit("/home/Dev/Site/")).alias("rel_key"),
+        drive_path("path").alias("drive_path"), path_key("path", F.col("page_id") % 3 == 0).alias("match_key"))
+
+
+# A file per part, in and beside the directories and suffixes that the default rules know.
+RULED_PATH_SQL = """CASE p_size % 9
+  WHEN 0 THEN 'src/dist/m.ts' WHEN 1 THEN 'node_modules/a/m.tsx' WHEN 2 THEN 'a/m.d.ts' WHEN 3 THEN 'm.test-d.ts'
+  WHEN 4 THEN 'src/m.test.ts' WHEN 5 THEN 'pages/_app.tsx' WHEN 6 THEN 'builder/m.ts' WHEN 7 THEN 'coverage.ts' ELSE 'src/m.js' END"""
+
+
+@register("path_rules_default", f"""
+SELECT p_partkey, {RULED_PATH_SQL} AS rel_path FROM part WHERE p_size % 9 IN (4, 5, 6, 7)
+""")
+def q_path_rules_default(spark, d):
+    from faultline.operators.filters import path_rules
+    return path_rules(table(spark, d, "part").select("p_partkey", F.expr(RULED_PATH_SQL).alias("rel_path")))
+
+
+HISTORY_LINE_SQL = """CASE l_linenumber % 5
+  WHEN 0 THEN '  src/m' || CAST(l_partkey AS VARCHAR(20)) || '.ts ' WHEN 1 THEN 'web/node_modules/x/m.ts' WHEN 2 THEN 'src/m.js'
+  WHEN 3 THEN '   ' ELSE 'src/v' || CAST(l_partkey AS VARCHAR(20)) || '.tsx' END"""
+
+
+@register("history_filter", f"""
+SELECT l_orderkey AS commit_id, trim({HISTORY_LINE_SQL}) AS path FROM lineitem WHERE l_linenumber % 5 IN (0, 4)
+""")
+def q_history_filter(spark, d):
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("commit_id"), F.expr(HISTORY_LINE_SQL).alias("path"))
+    return history.history_path_filter(lines)
 
 
 # ---------------------------------------------------------------- X1-X8, A6, A7 (answers)
@@ -468,12 +464,13 @@ def sql_fmt(msg: str, *exprs: str) -> str:
 # same SQL text builds it in Spark and in the oracle. Part types pick the shape
 # of the split: none, empty, two entries sharing a symbol, one entry with an
 # imported and a local symbol, a string instead of an array, an entry without
-# movedExports. Small sizes get a ```json fence (size <= 3) or trailing text
-# (size 4); sizes >= 45 omit driftSummary.
+# movedExports. Small sizes get a ```json fence (size <= 3), trailing text (size
+# 4), a second object (size 5), a repeated key (size 6), a leading no-break space
+# (size 7) or one string for the list (size 8); sizes >= 45 omit driftSummary.
 RAW_ANSWER_SQL = """
-CASE WHEN p_size <= 3 THEN '```json' || chr(10) ELSE '' END
-|| '{"inferredOriginalPurpose": "' || p_type || '", "currentResponsibilities": ["'
-|| replace(p_name, ' ', '", "') || '"], "hasDrifted": '
+CASE WHEN p_size <= 3 THEN '```json' || chr(10) WHEN p_size = 7 THEN chr(160) ELSE '' END
+|| '{"inferredOriginalPurpose": "' || p_type || '", "currentResponsibilities": '
+|| CASE WHEN p_size = 8 THEN '"' || p_name || '"' ELSE '["' || replace(p_name, ' ', '", "') || '"]' END || ', "hasDrifted": '
 || CASE WHEN p_size > 20 THEN 'true' ELSE 'false' END
 || CASE WHEN p_size >= 45 THEN '' ELSE ', "driftSummary": "' || p_name || '"' END
 || ', "suggestedSplit": ' || CASE p_type
@@ -489,23 +486,22 @@ CASE WHEN p_size <= 3 THEN '```json' || chr(10) ELSE '' END
     || split_part(p_name, ' ', 1) || '", "' || p_type || '", "helper"]}]'
   WHEN 'PROMO' THEN '"none"'
   ELSE '[{"newFileName": "' || split_part(p_name, ' ', 1) || '.ts", "responsibility": "misc"}]'
-END || '}'
-|| CASE WHEN p_size <= 3 THEN chr(10) || '```' WHEN p_size = 4 THEN ' trailing' ELSE '' END
+END || CASE WHEN p_size = 6 THEN ', "hasDrifted": true}' ELSE '}' END
+|| CASE WHEN p_size <= 3 THEN chr(10) || '```' WHEN p_size = 4 THEN ' trailing' WHEN p_size = 5 THEN ' {"hasDrifted": true}' ELSE '' END
 """
 
 
-@shared_plan
 def part_answers(spark: SparkSession, d: str) -> DataFrame:
     """``repo, path, raw_text, exported_symbols, imported_symbol_names`` for
     part answers plus conversation turns (prose, so error rows)."""
-    part = spread(table(spark, d, "part"))
+    part = table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size").repartition("p_partkey")
     pa = part.select(
         F.col("p_brand").alias("repo"),
         F.concat(F.lit("part/"), F.col("p_partkey").cast("string")).alias("path"),
         F.expr(RAW_ANSWER_SQL).alias("raw_text"),
         F.split("p_name", " ").alias("exported_symbols"),
         F.array("p_brand", "p_type").alias("imported_symbol_names"))
-    conv = spread(table(spark, d, "conversations")).select(
+    conv = table(spark, d, "conversations").select(
         F.lit("conversations").alias("repo"),
         F.concat(F.lit("conv/"), F.col("conv_id").cast("string"), F.lit("/"),
                  F.col("turn").cast("string")).alias("path"),
@@ -515,7 +511,6 @@ def part_answers(spark: SparkSession, d: str) -> DataFrame:
     return pa.unionByName(conv)
 
 
-@shared_plan
 def validated(spark, d):
     from faultline.operators.validation import validate_answers
     return validate_answers(part_answers(spark, d))
@@ -533,10 +528,10 @@ def _sql_validation() -> str:
     return f"""
 WITH pa AS (
   SELECT p_brand AS repo, 'part/' || CAST(p_partkey AS VARCHAR) AS path, p_type, p_name,
-         p_brand, p_size, p_size > 20 AS hd, {RAW_ANSWER_SQL} AS raw FROM part),
+         p_brand, p_size, (p_size > 20 OR p_size = 6) AS hd, {RAW_ANSWER_SQL} AS raw FROM part),
 pv AS (
-  SELECT repo, path, p_type, p_name, hd,
-    CASE WHEN p_size = 4 THEN {sql_lit(V.MSG_FAILED + V.MSG_PARSE)} || left(raw, 300)
+  SELECT repo, path, p_type, p_name, p_size, hd,
+    CASE WHEN p_size IN (4, 5) THEN {sql_lit(V.MSG_FAILED + V.MSG_PARSE)} || left(raw, 300)
          WHEN p_size >= 45 THEN {sql_lit(V.MSG_FAILED + V.MSG_MISSING + 'driftSummary'
                                          + V.MSG_MISSING_RAW)} || left(raw, 500)
          WHEN hd AND p_type IN ('PROMO', 'STANDARD') THEN {sql_lit(V.MSG_FAILED + V.MSG_BAD_SPLIT)}
@@ -552,6 +547,7 @@ pv AS (
 allv AS (
   SELECT repo, path, err IS NOT NULL AS is_error,
     CASE WHEN err IS NULL THEN p_type ELSE 'ERROR' END AS inferred_original_purpose,
+    CASE WHEN err IS NOT NULL THEN '' WHEN p_size = 8 THEN p_name ELSE replace(p_name, ' ', '; ') END AS responsibilities,
     CASE WHEN err IS NULL THEN hd ELSE false END AS has_drifted,
     COALESCE(err, p_name) AS drift_summary,
     CASE WHEN err IS NULL THEN n_split END AS n_split,
@@ -559,14 +555,15 @@ allv AS (
   FROM pv
   UNION ALL
   SELECT 'conversations', 'conv/' || CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARCHAR),
-    true, 'ERROR', false, {sql_lit(V.MSG_FAILED + V.MSG_PARSE)} || left(text, 300), NULL, ''
+    true, 'ERROR', '', false, {sql_lit(V.MSG_FAILED + V.MSG_PARSE)} || left(text, 300), NULL, ''
   FROM conversations)
 """
 
 
 def _validation_view(df: DataFrame) -> DataFrame:
     return df.select(
-        "repo", "path", "is_error", "inferred_original_purpose", "has_drifted", "drift_summary",
+        "repo", "path", "is_error", "inferred_original_purpose",
+        F.array_join("current_responsibilities", "; ").alias("responsibilities"), "has_drifted", "drift_summary",
         F.when(F.col("suggested_split").isNull(), F.lit(None).cast("int"))
         .otherwise(F.size("suggested_split")).alias("n_split"),
         F.array_join("warnings", " | ").alias("warnings_text"))
@@ -605,25 +602,30 @@ def q_drift_summary(spark, d):
 
 
 @register("json_required", """
-SELECT event_id, true AS is_object,
-       array_to_string(list_filter(['k', 'v'], lambda x: NOT list_contains(json_keys(props), x)),
-                       ', ') AS missing
+SELECT event_id, event_id % 5 <> 0 AND event_id % 7 <> 0 AS is_object,
+       CASE WHEN event_id % 5 <> 0 AND event_id % 7 <> 0 THEN array_to_string(
+         list_filter(['k', 'v', 'w'], lambda x: NOT list_contains(json_keys(props), x)), ', ') END AS missing
 FROM events
 """)
 def q_json_required(spark, d):
     from faultline.operators.validation import required_fields
-    is_obj, missing = required_fields("props", ["k", "v"])
+    # a list around the object, or a second value behind it, is no object
+    text = F.expr("CASE WHEN event_id % 5 = 0 THEN '[' || props || ']' WHEN event_id % 7 = 0 THEN props || ' 1' ELSE props END")
+    is_obj, missing = required_fields(text, ["k", "v", "w"])
     return table(spark, d, "events").select("event_id", is_obj.alias("is_object"),
                                             F.array_join(missing, ", ").alias("missing"))
 
 
 # ---------------------------------------------------------------- A8 / J4 relational
 
+from faultline.operators.validation import MSG_DUPLICATE  # noqa: E402
+
+
 def _line_occurrences(spark, d):
     li = table(spark, d, "lineitem")
     return li.select(F.col("l_orderkey").alias("answer"), F.col("l_suppkey").alias("entry"),
                      F.col("l_partkey").alias("symbol"), "l_returnflag",
-                     F.struct("l_linenumber", "l_suppkey", "l_partkey").alias("pos"))
+                     B.line_position().alias("pos"))
 
 
 @register("split_duplicates", f"""
@@ -637,9 +639,7 @@ occ AS (
 SELECT l_orderkey AS answer, l_partkey AS symbol, count(*) AS n,
   string_agg(CAST(l_suppkey AS VARCHAR), ', ' ORDER BY e_pos, l_linenumber, l_suppkey, l_partkey)
     AS files,
-  '"' || CAST(l_partkey AS VARCHAR) || '" appears in multiple suggested files ('
-  || string_agg(CAST(l_suppkey AS VARCHAR), ', ' ORDER BY e_pos, l_linenumber, l_suppkey, l_partkey)
-  || ') — treat this split as a starting point, not a ready-to-execute plan.' AS warning
+  {sql_fmt(MSG_DUPLICATE, "l_partkey", "string_agg(CAST(l_suppkey AS VARCHAR), ', ' ORDER BY e_pos, l_linenumber, l_suppkey, l_partkey)")} AS warning
 FROM occ GROUP BY 1, 2 HAVING count(*) > 1
 """)
 def q_split_duplicates(spark, d):
@@ -704,7 +704,7 @@ FROM documents
 """)
 def q_line_count(spark, d):
     from faultline.functions.text import line_count
-    return spread(table(spark, d, "documents")).select("doc_id", line_count("text").alias("lines"))
+    return table(spark, d, "documents").select("doc_id", line_count("text").alias("lines"))
 
 
 @register("decision_points", f"""
@@ -716,31 +716,31 @@ FROM documents
 def q_decision_points(spark, d):
     from faultline.functions.text import decision_points
     masked = F.regexp_replace("text", PORTABLE_MASK, " ")
-    return spread(table(spark, d, "documents")).select(
+    return table(spark, d, "documents").select(
         "doc_id", decision_points(masked, PORTABLE_TOKENS).alias("complexity"))
 
 
-PROMPT_CAP = 24000
+PROMPT_CAP = _prompt.MAX_SOURCE_CHARS
+
+
+def sql_prompt(path: str, exports: str, touches: str, text: str) -> str:
+    """SQL text of the prompt; ``exports`` is a JSON array, ``touches`` may be null."""
+    return f"""'File path: ' || {path} || chr(10) || 'Exported symbols: ' || {exports} || chr(10)
+  || CASE WHEN {touches} IS NULL THEN {sql_lit(_prompt.TOUCH_UNKNOWN)} ELSE {sql_fmt(_prompt.TOUCH_KNOWN, touches)} END
+  || chr(10) || chr(10) || 'Source:' || chr(10) || '```typescript' || chr(10)
+  || CASE WHEN length({text}) > {PROMPT_CAP} THEN left({text}, {PROMPT_CAP}) || {sql_lit(_prompt.TRUNCATION_NOTE)} ELSE {text} END
+  || chr(10) || '```'"""
 
 
 @register("prompt_build", f"""
 SELECT doc_id, length(text) > {PROMPT_CAP} AS truncated,
-  'File path: doc/' || CAST(doc_id AS VARCHAR) || chr(10) || 'Exported symbols: '
-  || CAST(to_json([lang, source]) AS VARCHAR) || chr(10)
-  || CASE WHEN lang = 'de' THEN 'Git touch count: unavailable (no git history for this repo)'
-          ELSE 'Git touch count: ' || CAST(n_chars AS VARCHAR)
-               || ' commit(s) have modified this file' END
-  || chr(10) || chr(10) || 'Source:' || chr(10) || '```typescript' || chr(10)
-  || CASE WHEN length(text) > {PROMPT_CAP} THEN left(text, {PROMPT_CAP})
-          || chr(10) || chr(10) || {sql_lit('[TRUNCATED — file continues beyond this point. Base your analysis on what' + "'" + 's shown; note in driftSummary that this was a partial read if it matters.]')}
-          ELSE text END
-  || chr(10) || '```' AS prompt
+  {sql_prompt("'doc/' || CAST(doc_id AS VARCHAR)", "CAST(to_json([lang, source]) AS VARCHAR)", "CASE WHEN lang <> 'de' THEN n_chars END", "text")} AS prompt
 FROM documents
 """)
 def q_prompt_build(spark, d):
     from faultline.functions.prompt import build_prompt
-    docs = spread(table(spark, d, "documents"))
-    touch = F.when(F.col("lang") == "de", F.lit(None).cast("long")).otherwise(F.col("n_chars"))
+    docs = table(spark, d, "documents")
+    touch = F.when(F.col("lang") != "de", F.col("n_chars"))
     return docs.select("doc_id", (F.length("text") > PROMPT_CAP).alias("truncated"),
                        build_prompt(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")),
                                     F.array("lang", "source"), F.col("text"), touch,
@@ -758,7 +758,7 @@ SELECT target, count(DISTINCT page_id) AS fan_in FROM (
 GROUP BY target
 """)
 def q_link_fan_in(spark, d):
-    pages = spread(table(spark, d, "pages"))
+    pages = table(spark, d, "pages")
     edges = pages.select(F.col("page_id").alias("src_path"),
                          F.explode(F.regexp_extract_all("html", F.lit(HREF), 1)).alias("target"))
     return graph.fan_in_counts(edges, keys=(), dst="target", drop_self=False)
@@ -838,7 +838,7 @@ SELECT doc_id, {_sql_integrity('text')} AS has_syntax_errors FROM documents
 """)
 def q_syntax_integrity(spark, d):
     masked = F.regexp_replace("text", PORTABLE_CODE_MASK, " ")
-    return spread(table(spark, d, "documents")).select(
+    return table(spark, d, "documents").select(
         "doc_id", _tx.has_syntax_errors(masked, PORTABLE_LEFTOVER).alias("has_syntax_errors"))
 
 
@@ -855,7 +855,7 @@ FROM (SELECT page_id, unnest(regexp_extract_all(html, {sql_lit(SCRIPT)}, 1)) AS
 """)
 def q_script_integrity(spark, d):
     from faultline.functions.text import decision_points
-    pages = spread(table(spark, d, "pages"))
+    pages = table(spark, d, "pages")
     scripts = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(SCRIPT), 1))
                            .alias("pos", "code"))
     masked = F.regexp_replace("code", PORTABLE_CODE_MASK, " ")
@@ -903,6 +903,7 @@ SELECT c.repo, 'part/' || CAST(c.path AS VARCHAR) AS path,
   CASE WHEN {ANSWERED_TYPES} THEN a.is_error ELSE true END AS is_error,
   CASE WHEN {ANSWERED_TYPES} THEN a.inferred_original_purpose ELSE 'ERROR' END
     AS inferred_original_purpose,
+  CASE WHEN {ANSWERED_TYPES} THEN a.responsibilities ELSE '' END AS responsibilities,
   CASE WHEN {ANSWERED_TYPES} THEN a.has_drifted ELSE false END AS has_drifted,
   CASE WHEN {ANSWERED_TYPES} THEN a.drift_summary
        ELSE 'Analysis failed: No model answer for this file' END AS drift_summary,
@@ -921,3 +922,167 @@ def q_answer_pairing(spark, d):
                     "exported_symbols", "imported_symbol_names"))
     responses = _answer_rows(table(spark, d, "part").filter(F.expr(ANSWERED_TYPES)))
     return _validation_view(validate_paired(pair_answers(cand, responses, keys=("repo",))))
+
+
+# ---------------------------------------------------------------- P1-P5, J1, A1, E1, E3, E5 on source text
+
+SQL_SOURCES = f"""
+WITH src AS (
+  SELECT p_partkey AS k, p_size AS s, p_type AS t, split_part(p_name, ' ', 1) AS w1, split_part(p_name, ' ', 2) AS w2,
+         {B.SOURCE_PATH_SQL} AS path, {B.SOURCE_SQL} AS content,
+         p_type = 'PROMO' AND p_size >= 45 AS broken FROM part),
+met AS (
+  SELECT *, CAST(6 + s % 7 + CASE WHEN t IN ('SMALL', 'LARGE', 'MEDIUM') THEN 1 ELSE 0 END
+              + CASE WHEN k % 4 IN (1, 2) THEN 1 ELSE 0 END + CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END AS INTEGER) AS lines,
+         CAST(1 + s % 7 + CASE WHEN t IN ('SMALL', 'LARGE') THEN 2 ELSE 0 END AS INTEGER) AS complexity,
+         [w1 || CAST(k AS VARCHAR), w2 || CAST(k AS VARCHAR)] || CASE WHEN broken THEN ['broken'] ELSE [] END AS own FROM src),
+edge AS (
+  SELECT k AS a, k - s AS b FROM src WHERE k - s >= 1 UNION SELECT k, 0 FROM src WHERE k % 5 = 0 AND k <> 0),
+fans AS (SELECT b AS k, count(DISTINCT a) AS fan_in FROM edge GROUP BY 1),
+star AS (SELECT k AS a, k - 1 AS b FROM src WHERE k % 4 IN (1, 2) AND k > 1),
+reach AS (SELECT a, b FROM star UNION SELECT x.a, y.b FROM star x JOIN star y ON x.b = y.a),
+more AS (
+  SELECT a AS k, list_sort(list_distinct(flatten(list(own)))) AS names FROM reach JOIN met ON met.k = reach.b GROUP BY 1),
+scanned AS (
+  SELECT met.*, COALESCE(fans.fan_in, 0) AS fan_in,
+         own || list_filter(COALESCE(more.names, []), lambda n: NOT list_contains(own, n)) AS exports
+  FROM met LEFT JOIN fans USING (k) LEFT JOIN more USING (k))
+"""
+
+
+def _sources(spark, d):
+    return B.part_sources(table(spark, d, "part"))
+
+
+@register("source_metrics", SQL_SOURCES + """
+SELECT path, lines, complexity, array_to_string(own, ',') AS exports,
+       CAST(CASE WHEN k % 5 = 0 THEN 2 ELSE 1 END AS INTEGER) AS import_count,
+       './m' || CAST(k - s AS VARCHAR) || CASE WHEN k % 5 = 0 THEN ',.' ELSE '' END AS imported_from,
+       w1 || ',' || w2 AS imported, broken AS has_syntax_errors
+FROM met
+""")
+def q_source_metrics(spark, d):
+    from faultline.operators.metrics import file_metrics
+    m = file_metrics(_sources(spark, d))
+    return m.select("path", "lines", "complexity", F.array_join("exported_symbols", ",").alias("exports"), "import_count",
+                    F.array_join("imported_from", ",").alias("imported_from"),
+                    F.array_join("imported_symbol_names", ",").alias("imported"), "has_syntax_errors")
+
+
+@register("source_scan", SQL_SOURCES + """
+SELECT path, replace(path, 'C:/w/', '') AS rel_path, lines, complexity, fan_in, array_to_string(exports, ',') AS exports FROM scanned
+""")
+def q_source_scan(spark, d):
+    from faultline.operators.metrics import scan
+    return scan(_sources(spark, d)).select("path", "rel_path", "lines", "complexity", "fan_in",
+                                           F.array_join("exported_symbols", ",").alias("exports"))
+
+
+def _source_commits(spark, d):
+    """History lines of the parts' files, with the drive spelled as a prefix."""
+    return table(spark, d, "lineitem").filter(F.col("l_shipdate") < B.cut(B.TOUCH_CUT)).select(
+        F.lit("parts").alias("repo"), F.col("l_orderkey").alias("commit_id"),
+        F.expr("CASE WHEN l_partkey = 0 THEN '/c/w/src/index.ts' ELSE '/c/w/src/m' || CAST(l_partkey AS VARCHAR(20)) || '.ts' END").alias("path"))
+
+
+PROMPT_K, PROMPT_LINES, PROMPT_COMPLEXITY = 40, 11, 6
+
+
+@register("drift_prompts", SQL_SOURCES + "," + SQL_TOUCH + f""",
+ranked AS (
+  SELECT sc.*, COALESCE(tch.touches, 0) AS touch_count, row_number() OVER (
+    ORDER BY complexity * 2 + lines * 0.1::DOUBLE + fan_in * 3 + COALESCE(tch.touches, 0) * 2 DESC, sc.path) AS rank
+  FROM scanned sc LEFT JOIN tch ON tch.path = sc.k WHERE NOT broken)
+SELECT path, rank, {sql_prompt("path", "CAST(to_json(exports) AS VARCHAR)", "touch_count", "content")} AS prompt
+FROM ranked WHERE rank <= {PROMPT_K} AND lines >= {PROMPT_LINES} AND complexity >= {PROMPT_COMPLEXITY}
+""")
+def q_drift_prompts(spark, d):
+    from faultline.plans import jobs
+    files = _sources(spark, d)
+    scored = jobs.scored_files(files, _source_commits(spark, d))
+    return jobs.drift_prompts(scored, files, PROMPT_K, PROMPT_LINES, PROMPT_COMPLEXITY).select(
+        "path", F.col("rank").cast("long").alias("rank"), "prompt")
+
+
+def _source_changes(spark, d):
+    """Staged changes: each order line changes its part's file (open lines) or a script."""
+    part = table(spark, d, "part").select("p_partkey", "p_name", "p_type", "p_size")
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag", "l_linestatus")
+    x = li.join(part, li.l_partkey == part.p_partkey)
+    path = F.when(F.col("l_linestatus") == "O", F.expr(B.SOURCE_PATH_SQL)).otherwise("C:/w/run.js")
+    return x.select(F.lit("parts").alias("repo"), F.col("l_orderkey").cast("string").alias("commit_id"), F.col("l_returnflag").alias("status"),
+                    path.alias("path"), F.expr(B.SOURCE_SQL).alias("content"))
+
+
+SQL_CHANGES = SQL_SOURCES + f""",
+verdict AS (
+  SELECT CAST(l_orderkey AS VARCHAR) AS commit_id, count(*) AS n_checked,
+         count(*) FILTER (WHERE lines >= {PROMPT_LINES} AND complexity >= {PROMPT_COMPLEXITY}) AS n_flagged,
+         bool_or(lines >= {PROMPT_LINES} AND complexity >= {PROMPT_COMPLEXITY} AND l_orderkey % 2 = 0) AS failed
+  FROM lineitem JOIN met ON met.k = l_partkey WHERE l_linestatus = 'O' AND l_returnflag IN ('A', 'C', 'M') GROUP BY 1)
+"""
+
+
+@register("gate_changes", SQL_CHANGES + "SELECT * FROM verdict")
+def q_gate_changes(spark, d):
+    from faultline.plans import jobs
+    _, verdict = jobs.gate(_source_changes(spark, d), PROMPT_LINES, PROMPT_COMPLEXITY,
+                           strict=F.col("commit_id").cast("long") % 2 == 0)
+    return verdict.drop("repo")
+
+
+# ---------------------------------------------------------------- sinks and sources: written, then read back
+
+def _fresh(spark, name):
+    import uuid
+    return checkpoint_path(spark, f"{name}-{uuid.uuid4().hex}")
+
+
+@register("baseline_round_trip", ORACLE["baseline_snapshot"])
+def q_baseline_round_trip(spark, d):
+    from faultline.sources import baseline_store as BS
+    at = _fresh(spark, "baseline")
+    BS.save_baseline(baseline_snapshot(spark, d).withColumn("rel_path", F.col("rel_path").cast("string")), at)
+    return BS.load_baseline(spark, at).withColumn("rel_path", F.col("rel_path").cast("long")).drop("created_at", "tool_version")
+
+
+@register("commit_log", """
+SELECT 'parts' || CAST(l_partkey % 3 AS VARCHAR) AS repo, '/w/src/m' || CAST(l_partkey AS VARCHAR) || '.ts' AS path, count(*) AS touches
+FROM lineitem WHERE l_linenumber % 3 <> 1 GROUP BY 1, 2
+""")
+def q_commit_log(spark, d):
+    from faultline.sources.history_log import read_commit_log
+    at = _fresh(spark, "commit-log")
+    table(spark, d, "lineitem").select(
+        F.concat(F.lit("parts"), (F.col("l_partkey") % 3).cast("string")).alias("repo"),
+        F.expr("CASE l_linenumber % 3 WHEN 1 THEN 'src/m.js' ELSE ' src/m' || CAST(l_partkey AS VARCHAR(20)) || '.ts' END").alias("value")
+    ).write.partitionBy("repo").text(at)
+    roots = spark.range(3).select(F.concat(F.lit("parts"), F.col("id").cast("string")).alias("repo"), F.lit("/w/").alias("git_root"))
+    return history.touch_frequency(read_commit_log(spark, at, roots), commit=None)
+
+
+@register("answers_round_trip", _sql_validation() + "SELECT repo, path, is_error, drift_summary, warnings_text FROM allv WHERE repo <> 'conversations'")
+def q_answers_round_trip(spark, d):
+    from faultline.operators.validation import validate_answers
+    from faultline.sources.answers import read_responses, write_analyses
+    at = _fresh(spark, "responses")
+    given = part_answers(spark, d).filter("repo <> 'conversations'")
+    given.select("repo", "path", "raw_text").write.parquet(at)
+    answers = read_responses(spark, at).join(given.drop("raw_text"), ["repo", "path"])
+    out = _fresh(spark, "analyses")
+    write_analyses(_validation_view(validate_answers(answers)).select("repo", "path", "is_error", "drift_summary", "warnings_text"), out)
+    return spark.read.schema("path string, is_error boolean, drift_summary string, warnings_text string, repo string").json(out).select(
+        "repo", "path", "is_error", "drift_summary", "warnings_text")
+
+
+@register("gate_stream", SQL_CHANGES + "SELECT * FROM verdict")
+def q_gate_stream(spark, d):
+    from faultline.streaming.gate_stream import read_gate_verdicts, start_gate_verdict_stream
+    at = _fresh(spark, "staged-changes")
+    _source_changes(spark, d).repartition(4).write.parquet(at)
+    # a commit's files arrive in several batches
+    query = start_gate_verdict_stream(spark, at, f"{at}-status", f"{at}-verdict", name=at.rsplit("/", 1)[-1], available_now=True,
+                                      max_files_per_trigger=2, min_lines=PROMPT_LINES, min_complexity=PROMPT_COMPLEXITY,
+                                      strict=F.col("commit_id").cast("long") % 2 == 0)
+    query.awaitTermination()
+    return read_gate_verdicts(spark, f"{at}-verdict").drop("repo")

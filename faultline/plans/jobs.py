@@ -12,8 +12,11 @@ from faultline.functions.prompt import build_prompt
 from faultline.operators import baseline as BL, candidates as C, gate as G, history as H
 from faultline.operators import scoring as S, validation as V
 from faultline.operators.metrics import file_metrics, scan
+from faultline.session import stored
 
 DEFAULT_SCAN_TOP = 25
+#: Candidate rows (a few hundred bytes each) that may be broadcast.
+SENT = 20_000
 
 
 @dataclass
@@ -25,24 +28,31 @@ class ScanResult:
 
 def scored_files(source_files: DataFrame, commit_files: DataFrame | None = None,
                  history_repos: DataFrame | None = None, keys=("repo",),
-                 touch_path: str = "path") -> DataFrame:
+                 case_insensitive: bool = False) -> DataFrame:
     """S1 rows -> metrics, fan-in (J1, A1), touches (A2, J2) and score.
 
     ``commit_files`` holds ``keys…, path`` per listed file (``commit_id`` when
-    present de-duplicates repeats); its ``path`` is matched against the files'
-    ``touch_path`` column. Repositories absent from ``history_repos`` get null
-    touches; without history at all every touch is null.
+    present de-duplicates repeats). Paths meet by their match keys (P9, P10):
+    drive prefixes and slashes as one spelling, and case ignored for
+    repositories of a case-insensitive host (a flag, or the name of a boolean
+    column of both tables). The history filter (F2) applies here, so a
+    repository whose history touches no source file counts as touched 0 times.
+    Repositories absent from ``history_repos`` (by default, from the commits)
+    get null touches; without history at all every touch is null.
     """
+    flag = [case_insensitive] if isinstance(case_insensitive, str) else []
     m = scan(source_files, keys=keys)
     if commit_files is None:
-        scored = m.withColumn("touch_count", F.lit(None).cast("long"))
-    else:
-        commit = "commit_id" if "commit_id" in commit_files.columns else None
-        t = H.touch_frequency(commit_files, keys=keys, path="path", commit=commit)
-        t = t.withColumnRenamed("path", touch_path) if touch_path != "path" else t
-        hist = history_repos if history_repos is not None else commit_files.select(*keys)
-        scored = H.attach_touches(m, t, keys=keys, path=touch_path, history_repos=hist)
-    return S.with_score(scored)
+        return S.with_score(m.withColumn("touch_count", F.lit(None).cast("long")))
+    if flag:
+        m = m.join(source_files.select(*keys, "path", *flag), [*keys, "path"])
+    match = paths.path_key(paths.drive_path("path"), F.col(flag[0]) if flag else case_insensitive)
+    commit = "commit_id" if "commit_id" in commit_files.columns else None
+    listed = H.history_path_filter(commit_files).withColumn("_match", match)
+    t = H.touch_frequency(listed, keys=keys, path="_match", commit=commit)
+    hist = history_repos if history_repos is not None else commit_files.select(*keys)
+    scored = H.attach_touches(m.withColumn("_match", match), t, keys=keys, path="_match", history_repos=hist)
+    return S.with_score(scored.drop("_match", *flag))
 
 
 def scan_report(scored: DataFrame, baseline: DataFrame | None = None,
@@ -71,8 +81,8 @@ def scan_report(scored: DataFrame, baseline: DataFrame | None = None,
 
 def baseline_snapshot(scored: DataFrame, created_at, tool_version: str, keys=("repo",),
                       root: str | None = None) -> DataFrame:
-    """Every scanned file as a baseline row (write with
-    ``sources.baseline_store.save_baseline``)."""
+    """Every scanned file as a baseline row under its relative key (write
+    with ``sources.baseline_store.save_baseline``)."""
     return BL.baseline_rows(scored, created_at, tool_version, keys=keys, root=root)
 
 
@@ -81,11 +91,15 @@ def drift_prompts(scored: DataFrame, source_files: DataFrame, k: int = C.DEFAULT
                   min_complexity: int = C.DEFAULT_MIN_COMPLEXITY, keys=("repo",)) -> DataFrame:
     """Drop broken files, take the top k per repository, apply the
     thresholds, and build the analysis prompt of each remaining candidate.
-    Only candidates are joined back to the file contents."""
+
+    The candidates are stored and counted: up to ``SENT`` of them (k for each of
+    many repositories) are sent to the contents, so those aren't shuffled;
+    beyond that both sides meet in a shuffle."""
     cand = C.drift_candidates(scored, k, min_lines, min_complexity, keys=keys)
-    chosen = cand.filter(F.col("status") == "candidate")
+    chosen = stored(cand.filter(F.col("status") == "candidate"), "drift-candidates")
     src = source_files.select(*keys, "path", "content")
-    return chosen.join(src, [*keys, "path"]).withColumn(
+    few = chosen.count() <= SENT
+    return src.join(F.broadcast(chosen) if few else chosen, [*keys, "path"]).select(*chosen.columns, "content").withColumn(
         "prompt", build_prompt("path", "exported_symbols", "content", "touch_count")).drop("content")
 
 

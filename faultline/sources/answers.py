@@ -16,7 +16,7 @@ def write_analyses(analyses: DataFrame, path: str, fmt: str = "json",
                    mode: str = "errorifexists") -> None:
     """One structured record per analysed file, all fields including warnings,
     partitioned by repository."""
-    analyses.write.mode(mode).partitionBy("repo").format(fmt).save(path)
+    analyses.hint("rebalance", "repo").write.mode(mode).partitionBy("repo").format(fmt).save(path)
 
 
 def write_scan(rows: DataFrame, path: str, fmt: str = "json", mode: str = "errorifexists") -> None:

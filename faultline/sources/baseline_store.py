@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from faultline.schemas import BASELINE, BASELINE_DOC
 
 log = logging.getLogger(__name__)
+BROKEN = "_corrupt_record IS NOT NULL OR files IS NULL"
 
 
 class BaselineExistsError(RuntimeError):
@@ -53,31 +54,58 @@ def save_baseline(rows: DataFrame, path: str, force: bool = False, fmt: str = "p
         raise BaselineExistsError(
             f"A baseline already exists at {path} for at least one of these repositories; "
             "pass force=True to overwrite it.")
-    (out.write.mode("overwrite" if force or _exists(spark, path) else "errorifexists")
+    # One file per repository, more for a large one, whatever number of tasks made the rows.
+    (out.hint("rebalance", "repo").write.mode("overwrite" if force or _exists(spark, path) else "errorifexists")
      .option("partitionOverwriteMode", "dynamic").partitionBy("repo").format(fmt).save(path))
 
 
 def load_baseline(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame | None:
-    """The baseline table at ``path``, or None when there is none."""
+    """The baseline table at ``path``, or None when there is none. Lines of a JSON
+    baseline that don't parse, and rows without a file, count as absent; their
+    exact number is logged."""
     if not _exists(spark, path):
         return None
-    return spark.read.schema(BASELINE).format(fmt).load(path)
+    if fmt != "json":
+        rows = spark.read.schema(BASELINE).format(fmt).load(path)
+    else:
+        schema = T.StructType(BASELINE.fields + [T.StructField("_corrupt_record", T.StringType())])
+        rows = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+        broken = rows.filter(F.col("_corrupt_record").isNotNull() | F.col("rel_path").isNull()).select("repo", "_corrupt_record", "rel_path").count()
+        if broken:
+            log.warning("%d baseline lines under %s can't be read — ignoring them for this run.", broken, path)
+        rows = rows.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+    return rows.filter(F.col("rel_path").isNotNull())
+
+
+def _documents(spark: SparkSession, path: str) -> DataFrame:
+    schema = T.StructType(BASELINE_DOC.fields + [T.StructField("_corrupt_record", T.StringType())])
+    return (spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+            .withColumn("_file", F.col("_metadata.file_path")))
+
+
+def corrupt_documents(spark: SparkSession, path: str) -> DataFrame:
+    """``file`` of every baseline document that can't be read."""
+    return _documents(spark, path).filter(BROKEN).select(F.col("_file").alias("file"))
 
 
-def load_baseline_documents(spark: SparkSession, path: str) -> DataFrame | None:
-    """Baseline rows from JSON documents; unreadable documents are logged and
-    skipped (that repository behaves as if it had no baseline)."""
+def load_baseline_documents(spark: SparkSession, path: str, repo: str | None = None) -> DataFrame | None:
+    """Baseline rows from JSON documents; unreadable documents are counted in
+    the log (:func:`corrupt_documents` lists them all) and skipped: that
+    repository behaves as if it had no baseline.
+
+    A document without a ``repo`` member is of the repository given, or of the
+    one its path names: a ``repo=<repo>/`` directory, else the file's name."""
     if not _exists(spark, path):
         return None
-    schema = T.StructType(BASELINE_DOC.fields + [T.StructField("_corrupt_record", T.StringType())])
-    docs = (spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE")
-            .option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
-            .withColumn("_file", F.col("_metadata.file_path")))
-    bad = docs.filter(F.col("_corrupt_record").isNotNull() | F.col("files").isNull())
-    for r in bad.select("_file").limit(20).collect():
-        log.warning("Could not read baseline document %s — ignoring it for this run.", r["_file"])
-    good = docs.filter(F.col("_corrupt_record").isNull() & F.col("files").isNotNull())
-    e = good.select("repo", "createdAt", "toolVersion", F.explode("files").alias("rel_path", "f"))
+    n = corrupt_documents(spark, path).count()
+    if n:
+        log.warning("%d baseline documents under %s can't be read — ignoring them for this run.", n, path)
+    named = F.coalesce(F.col("repo"), F.lit(repo) if repo else F.when(
+        F.col("_file").rlike("/repo=[^/]+/"), F.regexp_extract("_file", "/repo=([^/]+)/", 1)).otherwise(
+        F.regexp_extract("_file", r"([^/]+?)(\.[^./]*)?$", 1)))
+    e = _documents(spark, path).filter(f"NOT ({BROKEN})").select(
+        named.alias("repo"), "createdAt", "toolVersion", F.explode("files").alias("rel_path", "f"))
     return e.select(
         "repo", "rel_path", F.col("f.lines").alias("lines"),
         F.col("f.cyclomaticComplexity").alias("complexity"), F.col("f.fanIn").alias("fan_in"),

@@ -32,6 +32,17 @@ def cut(ts: str) -> Column:
     return F.lit(ts).cast("timestamp_ntz")
 
 
+def line_position() -> Column:
+    """A line's place in its order, ``(l_linenumber, l_suppkey, l_partkey)`` as one
+    number (line numbers alone repeat): its minimum is a hash aggregate."""
+    return F.expr("cast(l_linenumber AS decimal(10,0)) * cast(1000000000000000000000000 AS decimal(25,0))"
+                  " + cast(l_suppkey AS decimal(20,0)) * cast(1000000000000 AS decimal(13,0)) + cast(l_partkey AS decimal(20,0))")
+
+
+def _part_at(position: Column) -> Column:
+    return (position % F.expr("cast(1000000000000 AS decimal(13,0))")).cast("long")
+
+
 def part_files(part: DataFrame) -> DataFrame:
     """``repo, path, lines, complexity, exported_symbols, imported_symbol_names,
     has_syntax_errors``."""
@@ -57,14 +68,12 @@ def order_part_edges(lineitem: DataFrame, before: str | None = None) -> DataFram
 def first_line_edges(lineitem: DataFrame, before: str | None = None) -> DataFrame:
     """Per order the part on its first line imports every part on the order.
 
-    "First" is the least ``(l_linenumber, l_suppkey, l_partkey)`` — line numbers
-    alone repeat within an order. One importer per order (an aggregate, so a
+    "First" is the least :func:`line_position`. One importer per order (an aggregate, so a
     hot order is combined map-side), then an N:1 join back: no pairs within an
     order are ever formed.
     """
     li = lineitem if before is None else lineitem.filter(F.col("l_shipdate") < cut(before))
-    importer = li.groupBy("l_orderkey").agg(
-        F.min(F.struct("l_linenumber", "l_suppkey", "l_partkey"))["l_partkey"].alias("src_path"))
+    importer = li.groupBy("l_orderkey").agg(_part_at(F.min(line_position())).alias("src_path"))
     return (li.select("l_orderkey", F.col("l_partkey").alias("dst_path"))
             .join(importer, "l_orderkey").select("src_path", "dst_path"))
 
@@ -94,27 +103,24 @@ def lineitem_changes(lineitem: DataFrame) -> DataFrame:
         F.concat(F.lit("src/"), F.col("l_partkey").cast("string"), ext).alias("path"))
 
 
-def first_line_edges_as_of(lineitem: DataFrame, cuts: dict) -> DataFrame:
-    """``snapshot, src_path, dst_path`` for the current state and for each cut.
+def part_states(lineitem: DataFrame) -> DataFrame:
+    """``path, fan_in_<now|then>, touches_<now|then>, first_seen``: of every part its
+    importers and touching orders now and at the baseline's cut.
 
-    One aggregate finds every order's first-line part overall and among the
-    lines before each cut (conditional ``min`` ignores later lines); one join
-    back to the lines then emits each line's edge per snapshot with
-    ``explode`` — one pass instead of one per snapshot.
+    Two reads of the lines: one finds each order's first-line part overall and
+    among the lines before the cut, one joins that back and counts everything
+    in one aggregate.
     """
-    pos = F.struct("l_linenumber", "l_suppkey", "l_partkey")
-    aggs = [F.min(pos)["l_partkey"].alias("_imp_current")]
-    aggs += [F.min(F.when(F.col("l_shipdate") < cut(c), pos))["l_partkey"].alias(f"_imp_{n}")
-             for n, c in cuts.items()]
-    importer = lineitem.groupBy("l_orderkey").agg(*aggs)
-    lines = lineitem.select("l_orderkey", "l_partkey", "l_shipdate").join(importer, "l_orderkey")
-    snaps = [F.struct(F.lit("current").alias("snapshot"), F.col("_imp_current").alias("src"))]
-    snaps += [F.struct(F.lit(n).alias("snapshot"),
-                       F.when(F.col("l_shipdate") < cut(c), F.col(f"_imp_{n}")).alias("src"))
-              for n, c in cuts.items()]
-    e = lines.select(F.col("l_partkey").alias("dst_path"), F.explode(F.array(*snaps)).alias("s"))
-    return (e.select(F.col("s.snapshot").alias("snapshot"), F.col("s.src").alias("src_path"),
-                     "dst_path").filter(F.col("src_path").isNotNull()))
+    old = F.col("l_shipdate") < cut(BASELINE_CUT)
+    importer = lineitem.groupBy("l_orderkey").agg(
+        _part_at(F.min(line_position())).alias("now"), _part_at(F.min(F.when(old, line_position()))).alias("then"))
+    lines = lineitem.select("l_orderkey", F.col("l_partkey").alias("path"), "l_shipdate").join(importer, "l_orderkey")
+    return lines.groupBy("path").agg(
+        F.count_distinct(F.when(F.col("now") != F.col("path"), F.col("now"))).alias("fan_in_now"),
+        F.count_distinct(F.when(old & (F.col("then") != F.col("path")), F.col("then"))).alias("fan_in_then"),
+        F.count_distinct(F.when(F.col("l_shipdate") < cut(TOUCH_CUT), F.col("l_orderkey"))).alias("touches_now"),
+        F.count_distinct(F.when(old, F.col("l_orderkey"))).alias("touches_then"),
+        F.min("l_shipdate").alias("first_seen"))
 
 
 def part_module_path(t: Column, pk: Column, size: Column) -> Column:
@@ -139,11 +145,11 @@ def first_line_import_decls(lineitem: DataFrame, part: DataFrame) -> DataFrame:
 
     The specifier is relative to the importer's directory (``./x`` within a
     type, ``../type/x`` across, one more ``../`` from a directory index);
-    line 2 uses the ``.js`` spelling for file targets, line 6 names a file
-    that does not exist and line 7 a bare package — neither resolves.
+    line 2 uses the ``.js`` spelling for file targets, lines 3 to 5 a ``/``,
+    ``/.`` or ``/x/..`` behind directory targets, line 6 names a file that
+    does not exist and line 7 a bare package — neither resolves.
     """
-    pos = F.struct("l_linenumber", "l_suppkey", "l_partkey")
-    importer = lineitem.groupBy("l_orderkey").agg(F.min(pos)["l_partkey"].alias("imp"))
+    importer = lineitem.groupBy("l_orderkey").agg(_part_at(F.min(line_position())).alias("imp"))
     lines = lineitem.select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey").join(
         importer, "l_orderkey")
     pi = part.select(F.col("p_partkey").alias("imp"), F.lower("p_type").alias("it"),
@@ -159,8 +165,40 @@ def first_line_import_decls(lineitem: DataFrame, part: DataFrame) -> DataFrame:
     spec = (F.when(F.col("l_linenumber") == 7, F.concat(F.lit("pkg-"), F.col("l_partkey").cast("string")))
             .when(F.col("l_linenumber") == 6, F.concat(F.lit("./missing-"), F.col("l_partkey").cast("string")))
             .when((F.col("l_linenumber") == 2) & (F.col("tsz") <= 40), F.concat(rel, F.lit(".js")))
+            .when((F.col("l_linenumber") == 3) & (F.col("tsz") > 40), F.concat(rel, F.lit("/")))
+            .when((F.col("l_linenumber") == 4) & (F.col("tsz") > 40), F.concat(rel, F.lit("/.")))
+            .when((F.col("l_linenumber") == 5) & (F.col("tsz") > 40), F.concat(rel, F.lit("/x/..")))
             .otherwise(rel))
     return x.select(F.lit("parts").alias("repo"),
                     part_module_path(F.col("it"), F.col("imp"), F.col("isz")).alias("src_path"),
                     F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey").alias("decl_pos"),
                     spec.alias("spec"))
+
+
+# A TypeScript file per part, as text: the same SQL writes it in Spark and in
+# the oracle, which counts from the columns what the metrics find in the text.
+SOURCE_PATH_SQL = "CASE WHEN p_partkey = 0 THEN 'C:/w/src/index.ts' ELSE 'C:/w/src/m' || CAST(p_partkey AS VARCHAR(20)) || '.ts' END"
+SOURCE_SQL = """
+'import { ' || split_part(p_name, ' ', 1) || ' as x, ' || split_part(p_name, ' ', 2) || ' } from "./m'
+|| CAST(p_partkey - p_size AS VARCHAR(20)) || '";' || chr(10)
+|| '/* import { no } from "./m2"; if (a) */' || chr(10)
+|| 'const re = /["' || chr(39) || ']/g, q = a / b / c;' || chr(10)
+|| 'const t = `import { y } from "./m1"; ${z ? 1 : 2} case`;' || chr(10)
+|| 'export const ' || split_part(p_name, ' ', 1) || CAST(p_partkey AS VARCHAR(20)) || ' = f("if (x) && y", 1), '
+|| split_part(p_name, ' ', 2) || CAST(p_partkey AS VARCHAR(20)) || ': Map<string, number> = new Map();' || chr(10)
+|| repeat('if (a > 1) { b(); }' || chr(10), p_size % 7)
+|| CASE p_type WHEN 'SMALL' THEN 'switch (a) { case "x": break; case C.D: break; }' || chr(10)
+     WHEN 'LARGE' THEN 'const o = { case: 1 }, v = a ? b : c ?? d;' || chr(10)
+     WHEN 'MEDIUM' THEN 'const p = <p>Don' || chr(39) || 't stop</p>;' || chr(10) ELSE '' END
+|| CASE WHEN p_partkey % 4 IN (1, 2) THEN 'export * from ' || chr(39) || './m' || CAST(p_partkey - 1 AS VARCHAR(20)) || '.js' || chr(39) || ';' || chr(10) ELSE '' END
+|| CASE WHEN p_partkey % 5 = 0 THEN 'import ".";' || chr(10) ELSE '' END
+|| CASE WHEN p_type = 'PROMO' AND p_size >= 45 THEN 'export const broken = (' ELSE '' END
+"""
+
+
+def part_sources(part: DataFrame) -> DataFrame:
+    """``repo, path, rel_path, content``: a source file per part."""
+    narrow = part.select("p_partkey", "p_name", "p_type", "p_size").repartition("p_partkey")
+    path = F.expr(SOURCE_PATH_SQL)
+    return narrow.select(F.lit("parts").alias("repo"), path.alias("path"), F.regexp_replace(path, "^C:/w/", "").alias("rel_path"),
+                         F.expr(SOURCE_SQL).alias("content"))

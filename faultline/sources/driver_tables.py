@@ -14,14 +14,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         raise ValueError(f"unknown table {name!r}")
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give CPU-heavy row-local work (regex over whole texts, JSON parsing)
-    every core when the scan yields fewer splits than the session's
-    parallelism — e.g. a file written as one row group. A table already read
-    in many splits (any table at cluster scale) is left as it is, so no
-    shuffle is added there."""
-    par = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < par:
-        return df.repartition(par)
-    return df

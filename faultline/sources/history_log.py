@@ -4,7 +4,9 @@ Reads plain ``git log --name-only --pretty=format:`` exports, one file per
 repository (``<dir>/<repo>.log`` or ``<dir>/repo=<repo>/…``). Lines are
 trimmed and blanks dropped; each remaining line is one commit listing one path,
 so counting lines per path is the touch count. The read is line-splittable:
-a long history is spread over many tasks, never held in one.
+a long history is spread over many tasks, never held in one. Spark reads no
+file whose name starts with ``_`` or ``.``: give such a repository the
+``repo=<repo>/`` layout.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from faultline.operators.history import history_path_filter
+from faultline.sources.source_tree import listed_files
 
 
 def _repo_of(file_path: Column) -> Column:
@@ -20,38 +23,31 @@ def _repo_of(file_path: Column) -> Column:
     return F.when(part != "", part).otherwise(base)
 
 
-def read_commit_log(spark: SparkSession, path: str, git_root: dict | None = None,
+def read_commit_log(spark: SparkSession, path: str, git_root: DataFrame | None = None,
                     apply_filter: bool = True) -> DataFrame:
     """``repo, path`` rows, one per (commit, listed file).
 
-    ``git_root`` maps a repo to the absolute directory its log paths are
-    relative to; with it, ``path`` is absolute (joined with ``/``), so it can
-    be matched against scanned files even when the scan root is a
-    subdirectory of the repository.
+    ``git_root`` is a table ``repo, git_root`` of the absolute directory that
+    each repository's log paths are relative to; with it, ``path`` is absolute
+    (joined with ``/``), so it can be matched against scanned files even when
+    the scan root is a subdirectory of the repository.
     """
     lines = spark.read.text(path).select(
         _repo_of(F.col("_metadata.file_path")).alias("repo"), F.trim("value").alias("path"))
     lines = lines.filter(F.col("path") != "")
     if apply_filter:
         lines = history_path_filter(lines)
-    if git_root:
-        roots = F.create_map(*[x for kv in git_root.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
-        root = F.element_at(roots, F.col("repo"))
-        lines = lines.withColumn("path", F.when(root.isNotNull(), F.concat(
-            F.regexp_replace(root, "/+$", ""), F.lit("/"), F.col("path"))).otherwise(F.col("path")))
+    if git_root is not None:
+        joined = lines.join(git_root.select("repo", "git_root"), "repo", "left")
+        absolute = F.concat(F.regexp_replace("git_root", "/+$", ""), F.lit("/"), F.col("path"))
+        lines = joined.select("repo", F.coalesce(absolute, F.col("path")).alias("path"))
     return lines
 
 
 def history_repos(spark: SparkSession, path: str) -> DataFrame:
     """Repositories whose log was exported — including empty logs (history
-    exists, nothing touched). Built from the file listing only (the same
-    metadata every file source lists on the driver); no log is read."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    it = fs.listFiles(root, True)
-    names = []
-    while it.hasNext():
-        names.append(it.next().getPath().toUri().getPath())
-    df = spark.createDataFrame([(n,) for n in names], "file string")
-    return df.select(_repo_of(F.col("file")).alias("repo")).distinct()
+    exists, nothing touched). The files that :func:`read_commit_log` reads and
+    empty ones, listed in tasks; no log is read."""
+    files, _, _ = listed_files(spark, path)
+    read = ~F.col("rel").rlike(r"(^|/)(\.|_[^/=]*(/|$))")
+    return files.filter(read).select(_repo_of(F.concat(F.lit("/"), F.col("rel"))).alias("repo")).distinct()

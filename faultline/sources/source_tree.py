@@ -41,9 +41,10 @@ def _root(spark: SparkSession, root: str) -> tuple[str, str]:
     return (f"file://{uri.getPath()}" if uri.getScheme() == "file" else uri.toString()), uri.getPath().rstrip("/")
 
 
-def _lister(uri: str, deep: bool, pruned: frozenset[str]) -> Callable:
-    """Lists directories given by their path under the root: their files and
-    directories, or with ``deep`` all files below; files pass through."""
+def _lister(uri: str, deep: bool, pruned: frozenset[str], endings: tuple[str, ...]) -> Callable:
+    """Lists directories given by their path under the root: their files with one
+    of the endings and directories, or with ``deep`` all such files below; files
+    pass through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -62,7 +63,7 @@ def _lister(uri: str, deep: bool, pruned: frozenset[str]) -> Callable:
                     own = f"{rel}/{info.base_name}".lstrip("/")
                     if info.type == fs.FileType.Directory and info.base_name not in pruned:
                         below.append((own, True))
-                    elif info.type == fs.FileType.File and own.endswith(EXTENSIONS):
+                    elif info.type == fs.FileType.File and own.endswith(endings):
                         below.append((own, False))
                 (todo if deep else found).extend(below)
                 if len(found) > 10_000:
@@ -99,18 +100,23 @@ def _by_value(fn: Callable) -> Callable:
     return fn
 
 
-def _files(spark: SparkSession, root: str, exclude) -> tuple[DataFrame, str, str]:
-    """``rel`` of all TypeScript files under the root; the root as URI and path."""
+def listed_files(spark: SparkSession, root: str, pruned: frozenset[str] = frozenset(),
+                 endings: tuple[str, ...] = ("",)) -> tuple[DataFrame, str, str]:
+    """``rel`` of all files below the root that have one of the endings; the root
+    as URI and path."""
     uri, top = _root(spark, root)
-    # Directories that the default rules exclude at any depth aren't entered.
-    pruned = frozenset(IGNORED_DIRS if exclude is None else ())
     wide = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     listed = spark.createDataFrame([("", True)], "rel string, dir boolean")
     for deep in (False, False, True):
-        listed = listed.mapInArrow(_by_value(_lister(uri, deep, pruned)), "rel string, dir boolean").repartition(wide, "rel")
+        listed = listed.mapInArrow(_by_value(_lister(uri, deep, pruned, endings)), "rel string, dir boolean").repartition(wide, "rel")
     return listed.select("rel"), uri, top
 
 
+def _files(spark: SparkSession, root: str, exclude) -> tuple[DataFrame, str, str]:
+    # Directories that the default rules exclude at any depth aren't entered.
+    return listed_files(spark, root, frozenset(IGNORED_DIRS if exclude is None else ()), EXTENSIONS)
+
+
 def _read(files: DataFrame, uri: str, include, exclude) -> DataFrame:
     """Content of ``repo, path, rel_path, under`` rows that the path rules keep."""
     kept = path_rules(files, "rel_path", include, exclude)

@@ -61,10 +61,23 @@ def write_gate_batch(status: DataFrame, batch_id: int, sink_dir: str, verdict_di
 def start_gate_verdict_stream(spark: SparkSession, source_dir: str, sink_dir: str,
                               verdict_dir: str, name: str = "gate-verdict", fmt: str = "parquet",
                               available_now: bool = False, **kw) -> StreamingQuery:
-    """The gate stream with a per-commit verdict for every micro-batch (a batch
-    of staged files is one hook run)."""
+    """The gate stream with a verdict of each commit in every micro-batch. A commit
+    whose files arrive in several batches has a part in each;
+    :func:`read_gate_verdicts` merges them."""
     df = gate_stream_frame(spark, source_dir, fmt, **kw)
     w = (df.writeStream.option("checkpointLocation", checkpoint_path(spark, f"stream-{name}"))
          .foreachBatch(lambda b, i: write_gate_batch(b, i, sink_dir, verdict_dir)))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
+
+
+def read_gate_verdicts(spark: SparkSession, verdict_dir: str, fmt: str = "parquet") -> DataFrame:
+    """One verdict per commit over all batches so far: counts add up, and a commit
+    fails if it failed in any batch. Empty before the first batch."""
+    schema = "repo string, commit_id string, n_checked long, n_flagged long, failed boolean"
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(verdict_dir)
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).format(fmt).load(verdict_dir).groupBy("repo", "commit_id").agg(
+        F.sum("n_checked").alias("n_checked"), F.sum("n_flagged").alias("n_flagged"), F.bool_or("failed").alias("failed"))

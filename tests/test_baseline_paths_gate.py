@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from faultline.functions import display, paths
 from faultline.operators import baseline as BL, gate as G
 from faultline.sources import baseline_store as BS
-from faultline.streaming.gate_stream import start_gate_stream, start_gate_verdict_stream
+from faultline.streaming.gate_stream import read_gate_verdicts, start_gate_stream, start_gate_verdict_stream
 
 
 def metrics_df(spark, rows):
@@ -65,22 +65,47 @@ def test_corrupt_document_ignored(spark, tmp_dir):
     rows = BS.load_baseline_documents(spark, d).collect()
     assert [(r.repo, r.rel_path, r.complexity) for r in rows] == [("r", "src/a.ts", 2)]
     assert BS.load_baseline_documents(spark, os.path.join(tmp_dir, "none")) is None
+    assert [r.file.rsplit("/", 1)[1] for r in BS.corrupt_documents(spark, d).collect()] == ["bad.json"]
+
+
+def test_documents_without_a_repo_member(spark, tmp_dir):
+    doc = {"createdAt": "2026-01-02T03:04:05.000Z", "toolVersion": "0.1.0",
+           "files": {"a.ts": {"lines": 5, "cyclomaticComplexity": 2, "fanIn": 1, "exportCount": 1, "touchCount": 3}}}
+    for name in ("alpha.json", "repo=beta/baseline.json"):
+        at = os.path.join(tmp_dir, "docs", name)
+        os.makedirs(os.path.dirname(at), exist_ok=True)
+        with open(at, "w") as f:
+            json.dump(doc, f)
+    assert [r.repo for r in BS.load_baseline_documents(spark, os.path.join(tmp_dir, "docs", "alpha.json")).collect()] == ["alpha"]
+    assert [r.repo for r in BS.load_baseline_documents(spark, os.path.join(tmp_dir, "docs", "repo=beta", "baseline.json")).collect()] == ["beta"]
+    assert [r.repo for r in BS.load_baseline_documents(spark, os.path.join(tmp_dir, "docs", "alpha.json"), repo="given").collect()] == ["given"]
+
+
+def test_broken_baseline_lines_are_absent(spark, tmp_dir):
+    rows = metrics_df(spark, [("r", "a.ts", 5, 2, 0, [], None), ("r", "b.ts", 6, 2, 0, [], None)]).withColumn("rel_path", F.col("path"))
+    at = os.path.join(tmp_dir, "baseline")
+    BS.save_baseline(BL.baseline_rows(rows, "2026-01-02 03:04:05", "0.1.0"), at, fmt="json")
+    with open(os.path.join(at, "repo=r", "extra.json"), "w") as f:
+        f.write('{"rel_path": "c.ts", "lin\n{"lines": 3}\n')
+    assert sorted(r.rel_path for r in BS.load_baseline(spark, at, "json").collect()) == ["a.ts", "b.ts"]
+
+
+def test_baseline_keys_must_be_relative(spark):
+    with pytest.raises(ValueError, match="relative"):
+        BL.baseline_rows(metrics_df(spark, [("r", "/x/a.ts", 5, 2, 0, [], None)]), "2026-01-02 03:04:05", "0.1.0")
 
 
 def test_path_functions(spark):
-    df = spark.createDataFrame([("/c/Users/HP/desktop/pwmngerTS",), ("/d/projects/myrepo",),
-                                ("C:/Users/HP/desktop/pwmngerTS",), ("/home/user/linux-repo",),
+    df = spark.createDataFrame([("/e/Depot/Tools/lathe",), ("/z/mill",), ("E:/Depot/Tools/lathe",), ("/srv/mill/press",),
                                 ("a\\b/c/d.ts",), ("x.ts",)], "p string")
     got = [r.d for r in df.select(paths.drive_path("p").alias("d")).collect()]
-    assert got[:4] == ["C:/Users/HP/desktop/pwmngerTS", "D:/projects/myrepo",
-                       "C:/Users/HP/desktop/pwmngerTS", "/home/user/linux-repo"]
+    assert got[:4] == ["E:/Depot/Tools/lathe", "Z:/mill", "E:/Depot/Tools/lathe", "/srv/mill/press"]
     sp = [r.s for r in df.select(paths.short_path("p").alias("s")).collect()]
     assert sp[4] == "b/c/d.ts" and sp[5] == "x.ts"
-    keys = spark.createDataFrame([("C:/Users/HP/Desktop/x/popup.ts", True),
-                                  ("C:/Users/HP/desktop/x/popup.ts", True),
-                                  ("/Home/User/Repo", False)], "p string, ci boolean")
+    keys = spark.createDataFrame([("E:/Depot/TOOLS/gear.ts", True), ("E:\\depot\\tools\\Gear.ts", True),
+                                  ("/Srv/Mill", False)], "p string, ci boolean")
     k = [r.k for r in keys.select(paths.path_key("p", F.col("ci")).alias("k")).collect()]
-    assert k[0] == k[1] and k[2] == "/Home/User/Repo"
+    assert k[0] == k[1] and k[2] == "/Srv/Mill"
     rk = spark.createDataFrame([("/repo/src/a.ts",), ("/repo2/x.ts",), ("/elsewhere/y.ts",)], "p string")
     assert [r.k for r in rk.select(paths.relative_key("p", F.lit("/repo")).alias("k")).collect()] == \
         ["src/a.ts", "/repo2/x.ts", "/elsewhere/y.ts"]
@@ -136,3 +161,17 @@ def test_gate_verdict_stream(spark, tmp_dir):
     v = {r.commit_id: (r.n_flagged, r.failed) for r in spark.read.parquet(ver).collect()}
     assert v == {"c1": (1, True), "c2": (0, False)}
     assert spark.read.parquet(out).count() == 2
+
+
+def test_verdicts_merge_over_batches(spark, tmp_dir):
+    src, ver = os.path.join(tmp_dir, "in"), os.path.join(tmp_dir, "verdict")
+    assert read_gate_verdicts(spark, ver).count() == 0
+    rows = [("r", "c1", "A", "src/big.ts", big_source()), ("r", "c1", "M", "src/ok.ts", "export const a = 1;"), ("r", "c2", "M", "src/ok.ts", "")]
+    for row in rows:
+        spark.createDataFrame([row], "repo string, commit_id string, status string, path string, content string").write.mode("append").parquet(src)
+    q = start_gate_verdict_stream(spark, src, os.path.join(tmp_dir, "status"), ver, name=f"m{os.getpid()}-{os.path.basename(tmp_dir)}",
+                                  available_now=True, strict=True, max_files_per_trigger=1)
+    q.awaitTermination(120)
+    assert spark.read.parquet(ver).count() == 3
+    got = {r.commit_id: (r.n_checked, r.n_flagged, r.failed) for r in read_gate_verdicts(spark, ver).collect()}
+    assert got == {"c1": (2, 1, True), "c2": (1, 0, False)}

@@ -64,8 +64,8 @@ def test_fresh_baseline_gives_zero_deltas_and_repos_accumulate(spark, tmp_dir):
         "repo string, path string, lines int, complexity int, fan_in long, "
         "exported_symbols array<string>, touch_count long")
     path = os.path.join(tmp_dir, "bl")
-    BS.save_baseline(BL.baseline_rows(m.filter("repo = 'a'"), "2026-01-01 00:00:00", "v"), path)
-    BS.save_baseline(BL.baseline_rows(m.filter("repo = 'b'"), "2026-01-01 00:00:00", "v"), path)
+    BS.save_baseline(BL.baseline_rows(m.filter("repo = 'a'").withColumn("rel_path", m.path), "2026-01-01 00:00:00", "v"), path)
+    BS.save_baseline(BL.baseline_rows(m.filter("repo = 'b'").withColumn("rel_path", m.path), "2026-01-01 00:00:00", "v"), path)
     base = BS.load_baseline(spark, path)
     assert sorted(r.repo for r in base.select("repo").distinct().collect()) == ["a", "b"]
     d = BL.delta_vs_baseline(m.withColumnRenamed("path", "rel_path"), base).collect()
@@ -77,7 +77,7 @@ def test_baseline_json_lines_round_trip(spark, tmp_dir):
                               "repo string, path string, lines int, complexity int, fan_in long, "
                               "exported_symbols array<string>, touch_count long")
     path = os.path.join(tmp_dir, "blj")
-    BS.save_baseline(BL.baseline_rows(m, "2026-01-01 00:00:00", "v"), path, fmt="json")
+    BS.save_baseline(BL.baseline_rows(m.withColumn("rel_path", m.path), "2026-01-01 00:00:00", "v"), path, fmt="json")
     (r,) = BS.load_baseline(spark, path, fmt="json").collect()
     assert (r.repo, r.rel_path, r.lines, r.export_count, r.touch_count) == ("a", "x.ts", 10, 1, 2)
 

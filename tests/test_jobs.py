@@ -39,9 +39,9 @@ def test_scan_baseline_drift_gate(spark, tmp_dir):
     logs = os.path.join(tmp_dir, "logs")
     write(logs, "r.log", "src/a.ts\nsrc/b.ts\n\nsrc/a.ts\n\nsrc/a.ts\nsrc/util.ts\n")
     files = read_source_tree(spark, root, repo="r")
-    commits = read_commit_log(spark, logs, git_root={"r": os.path.realpath(root)})
+    roots = spark.createDataFrame([("r", os.path.realpath(root))], "repo string, git_root string")
+    commits = read_commit_log(spark, logs, git_root=roots)
     scored = jobs.scored_files(files, commits, history_repos(spark, logs))
-    scored = scored.join(files.select("path", "rel_path"), "path")
     by = {r.rel_path: r for r in scored.collect()}
     assert by["src/util.ts"].fan_in == 2 and by["src/dir/index.ts"].fan_in == 1   # ./dir.js is not dir/index
     assert by["src/a.ts"].touch_count == 3 and by["src/c.ts"].touch_count == 0
@@ -62,10 +62,9 @@ def test_scan_baseline_drift_gate(spark, tmp_dir):
     write(root, "src/b.ts", big("beta", n_if=5, pad=5))
     write(root, "src/new.ts", "export const n = 1;\n")
     files2 = read_source_tree(spark, root, repo="r")
-    scored2 = jobs.scored_files(files2, commits, history_repos(spark, logs)).join(
-        files2.select("path", "rel_path"), "path")
-    base = BS.load_baseline(spark, bpath).withColumn(
-        "rel_path", F.regexp_replace("rel_path", "^.*/repo/", ""))
+    scored2 = jobs.scored_files(files2, commits, history_repos(spark, logs))
+    base = BS.load_baseline(spark, bpath)
+    assert sorted(r.rel_path for r in base.collect())[:2] == ["src/a.ts", "src/b.ts"]
     res2 = jobs.scan_report(scored2, base, k=10)
     got = {r.rel_path: r.delta_text for r in res2.top.collect()}
     assert got["src/b.ts"] == "Δcomplexity=+3 Δlines=+3" and got["src/new.ts"] == "NEW"
@@ -106,3 +105,20 @@ def test_scan_baseline_drift_gate(spark, tmp_dir):
     flagged = sorted(r.path for r in status.filter("flagged").collect())
     assert flagged == ["src/a.ts"]
     assert verdict.collect()[0].failed is True
+
+
+def test_touches_meet_by_match_keys(spark):
+    files = spark.createDataFrame([("r", "C:/Work/App/main.ts", "export const a = 1;"), ("q", "/w/b.ts", "export const b = 1;"),
+                                   ("none", "/n/c.ts", "")], "repo string, path string, content string")
+    commits = spark.createDataFrame([("r", "/c/work/app/Main.ts"), ("r", "c:\\work\\app\\main.ts"), ("q", "/w/readme.md")], "repo string, path string")
+    exact = {r.repo: r.touch_count for r in jobs.scored_files(files, commits).collect()}
+    folded = {r.repo: r.touch_count for r in jobs.scored_files(files, commits, case_insensitive=True).collect()}
+    # a repository whose history touches no source file has 0, one without history null
+    assert exact == {"r": 0, "q": 0, "none": None} and folded == {"r": 2, "q": 0, "none": None}
+
+
+def test_empty_logs_are_history(spark, tmp_dir):
+    write(tmp_dir, "x.log", "")
+    write(tmp_dir, "repo=_y/history.txt", "src/a.ts\n")
+    assert sorted(r.repo for r in history_repos(spark, tmp_dir).collect()) == ["_y", "x"]
+    assert [(r.repo, r.path) for r in read_commit_log(spark, tmp_dir).collect()] == [("_y", "src/a.ts")]

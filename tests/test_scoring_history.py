@@ -29,7 +29,7 @@ def test_commit_log_counts(spark, tmp_dir):
     with open(os.path.join(tmp_dir, "logs", "r.log"), "w") as f:
         f.write("src/a.ts\n  src/b.tsx \n\nsrc/a.ts\nREADME.md\nnode_modules/x/y.ts\n\nsrc/a.ts\n")
     open(os.path.join(tmp_dir, "logs", "empty.log"), "w").close()
-    log = read_commit_log(spark, os.path.join(tmp_dir, "logs"), git_root={"r": "/home/u/r/"})
+    log = read_commit_log(spark, os.path.join(tmp_dir, "logs"), git_root=spark.createDataFrame([("r", "/home/u/r/")], "repo string, git_root string"))
     counts = {r.path: r.touches for r in H.touch_frequency(log, commit=None).collect()}
     assert counts == {"/home/u/r/src/a.ts": 3, "/home/u/r/src/b.tsx": 1}
     repos = sorted(r.repo for r in history_repos(spark, os.path.join(tmp_dir, "logs")).collect())
