@@ -23,6 +23,7 @@ HEADLINE = [
     "baseline_delta", "drift_candidates", "gate_verdict", "scan_report", "validation_full",
     "drift_summary", "split_duplicates", "symbol_membership", "decision_points", "line_count",
     "prompt_build", "link_fan_in", "path_keys", "json_required", "import_resolution",
+    "source_metrics", "source_scan", "drift_prompts", "gate_changes",
 ]
 
 

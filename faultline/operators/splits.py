@@ -55,21 +55,21 @@ def symbol_membership(moved: DataFrame, exports: DataFrame, imports: DataFrame,
     ``unverified`` (distinct symbols in first-seen order), or ``no_exports``
     for an answer whose file exports nothing.
 
-    Moved occurrences are reduced to the first of each symbol before anything
-    else (a map-side combined ``min`` of numeric positions), so an answer's
-    list gathers its distinct symbols only, which are the output. Membership is
-    relational: those symbols anti-join the exports, semi-join the answers that
-    export anything, and left-join an imports marker.
+    One aggregate over all three tables gives each (answer, symbol) its first
+    moved position (a map-side combined ``min`` of numeric positions) and whether
+    it is exported or imported; an answer's lists gather its distinct symbols
+    only, which are the output.
     """
     keys = list(keys)
-    ex = exports.select(*keys, symbol).distinct()
-    im = imports.select(*keys, symbol).distinct().withColumn("_imported", F.lit(True))
-    has_exports = ex.select(*keys).distinct()
-    occ = moved.groupBy(*keys, symbol).agg(F.min(pos).alias(pos))
-    foreign = (occ.join(ex, [*keys, symbol], "left_anti")
-               .join(has_exports, keys, "left_semi")
-               .join(im, [*keys, symbol], "left")
-               .withColumn("kind", F.when(F.col("_imported"), "imported").otherwise("unverified")))
+    none = F.lit(None).cast(moved.schema[pos].dataType)
+    marked = moved.select(*keys, symbol, pos, F.lit(False).alias("_ex"), F.lit(False).alias("_im")).union(
+        exports.select(*keys, symbol, none, F.lit(True), F.lit(False))).union(
+        imports.select(*keys, symbol, none, F.lit(False), F.lit(True)))
+    symbols = marked.groupBy(*keys, symbol).agg(F.min(pos).alias(pos), F.bool_or("_ex").alias("_ex"), F.bool_or("_im").alias("_im"))
+    answers = symbols.groupBy(*keys).agg(F.bool_or("_ex").alias("_exports"), F.count(pos).alias("_moved")).filter("_moved > 0")
+    foreign = (symbols.filter(F.col(pos).isNotNull() & ~F.col("_ex"))
+               .join(answers.filter("_exports").select(*keys), keys, "left_semi")
+               .withColumn("kind", F.when(F.col("_im"), "imported").otherwise("unverified")))
     grouped = foreign.groupBy(*keys, "kind").agg(
         F.sort_array(F.collect_list(F.struct(pos, F.col(symbol).cast("string").alias("s")))).alias("_l"))
     listed = grouped.select(*keys, "kind", F.transform("_l", lambda x: x["s"]).alias("_syms"))
@@ -78,7 +78,7 @@ def symbol_membership(moved: DataFrame, exports: DataFrame, imports: DataFrame,
     text = F.when(F.col("kind") == "imported", F.format_string(MSG_IMPORTED, n, names)) \
         .otherwise(F.format_string(MSG_UNVERIFIED, n, names))
     warned = listed.select(*keys, "kind", n.alias("n"), names.alias("symbols"), text.alias("warning"))
-    summary = (occ.select(*keys).distinct().join(has_exports, keys, "left_anti")
+    summary = (answers.filter("NOT _exports")
                .select(*keys, F.lit("no_exports").alias("kind"), F.lit(0).cast("long").alias("n"),
                        F.lit("").alias("symbols"), F.lit(MSG_NO_EXPORTS).alias("warning")))
     return warned.unionByName(summary)

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from faultline.schemas import SPLIT_ENTRY
+from faultline.session import stored
 
 # ---------------------------------------------------------------- fixed values
 REQUIRED_FIELDS = ["inferredOriginalPurpose", "currentResponsibilities", "hasDrifted",
@@ -221,6 +222,7 @@ def pair_answers(candidates: DataFrame, responses: DataFrame, keys=("repo",),
     a file with several answers keeps the count and becomes an error row at
     validation, as does a file with none."""
     on = [*keys, path]
+    candidates = stored(candidates, "candidates")  # a few rows, used three times
     mine = responses.join(candidates.select(*on), on, "left_semi")
     counts = mine.groupBy(*on).agg(F.count(F.lit(1)).alias("_answers"))
     single = mine.join(counts.filter("_answers = 1").select(*on), on, "left_semi").select(*on, "raw_text")
