@@ -62,7 +62,8 @@ def log_ratios(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float |
         some = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(raw[some]), pa.array(target[some])], ["bucket", "raw", "target"])
 
-    joined = docs.select("doc_id", "text").join(good, "doc_id", "left").select("text", F.coalesce("good", F.lit(0.0)).alias("good"))
+    # Labels grow with the input: at any size they meet the texts by a shuffle, not a broadcast.
+    joined = docs.select("doc_id", "text").join(good.hint("shuffle_hash"), "doc_id", "left").select("text", F.coalesce("good", F.lit(0.0)).alias("good"))
     sums = joined.mapInArrow(run, "bucket int, raw double, target double").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
     raw, target = np.ones(BUCKETS), np.ones(BUCKETS)
     at = sums.column("bucket").to_numpy()
