@@ -56,12 +56,12 @@ def checkpoint_root(spark: SparkSession) -> str:
     driver's own would be lost to the executors and to a restarted job. Only a
     local session (tests) gets a scratch folder.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        d = tempfile.mkdtemp(prefix="faultline-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="faultline-ckpt-"))
+        d = spark.sparkContext.getCheckpointDir()
     return d
 
 
