@@ -21,14 +21,14 @@ def metrics_df(spark, rows):
 
 def test_delta_cases_and_relative_keys(spark, tmp_dir):
     root = "/home/u/repo"
-    before = metrics_df(spark, [("r", root + "/src/growing.ts", 5, 2, 0, ["g"], None),
-                                ("r", root + "/src/stable.ts", 10, 2, 1, ["s"], None),
-                                ("r", root + "/src/nested/deep.ts", 3, 1, 0, [], None),
-                                ("r", root + "/src/gone.ts", 3, 1, 0, [], None)])
+    before = metrics_df(spark, [("r", root + "/lib/mill.ts", 12, 4, 0, ["g"], None),
+                                ("r", root + "/lib/press.ts", 10, 2, 1, ["s"], None),
+                                ("r", root + "/lib/a/b/gear.ts", 3, 1, 0, [], None),
+                                ("r", root + "/lib/old.ts", 3, 1, 0, [], None)])
     rows = BL.baseline_rows(before.withColumn("root", F.lit(root)), "2026-01-02 03:04:05",
                             "0.1.0", root="root")
     keys = sorted(r.rel_path for r in rows.collect())
-    assert "src/nested/deep.ts" in keys and not any(root in k for k in keys)
+    assert "lib/a/b/gear.ts" in keys and not any(root in k for k in keys)
     path = os.path.join(tmp_dir, "baseline")
     BS.save_baseline(rows, path)
     assert BS.baseline_exists(spark, path)
@@ -36,27 +36,27 @@ def test_delta_cases_and_relative_keys(spark, tmp_dir):
         BS.save_baseline(rows, path)
     BS.save_baseline(rows, path, force=True)
     base = BS.load_baseline(spark, path)
-    after = metrics_df(spark, [("r", root + "/src/growing.ts", 10, 5, 0, ["g"], None),
-                               ("r", root + "/src/stable.ts", 10, 2, 1, ["s"], None),
-                               ("r", root + "/src/brand-new.ts", 1, 1, 0, [], None),
+    after = metrics_df(spark, [("r", root + "/lib/mill.ts", 31, 3, 0, ["g"], None),
+                               ("r", root + "/lib/press.ts", 10, 2, 1, ["s"], None),
+                               ("r", root + "/lib/fresh.ts", 1, 1, 0, [], None),
                                ("q", "/q/x.ts", 1, 1, 0, [], None)])
     cur = after.withColumn("rel_path", paths.relative_key("path", F.lit(root)))
     got = {r.rel_path: r for r in BL.delta_vs_baseline(cur, base).collect()}
-    g = got["src/growing.ts"]
-    assert (g.complexity_delta, g.lines_delta, g.is_new, g.delta_text) == (3, 5, False, "Δcomplexity=+3 Δlines=+5")
-    s = got["src/stable.ts"]
+    g = got["lib/mill.ts"]
+    assert (g.complexity_delta, g.lines_delta, g.is_new, g.delta_text) == (-1, 19, False, "Δcomplexity=-1 Δlines=+19")
+    s = got["lib/press.ts"]
     assert (s.complexity_delta, s.lines_delta, s.is_new, s.delta_text) == (0, 0, False, "Δcomplexity=±0 Δlines=±0")
-    n = got["src/brand-new.ts"]
+    n = got["lib/fresh.ts"]
     assert n.is_new and n.delta_text == "NEW" and n.lines_delta == 0
     assert got["/q/x.ts"].delta_text == "" and not got["/q/x.ts"].has_baseline   # no baseline at all
-    assert "src/gone.ts" not in got and len(got) == 4                           # deletions not reported
+    assert "lib/old.ts" not in got and len(got) == 4                           # deletions not reported
 
 
 def test_corrupt_document_ignored(spark, tmp_dir):
     d = os.path.join(tmp_dir, "docs")
     os.makedirs(d)
     with open(os.path.join(d, "bad.json"), "w") as f:
-        f.write("{ not valid json !!!")
+        f.write('{"files": [1,')
     doc = {"repo": "r", "createdAt": "2026-01-02T03:04:05.000Z", "toolVersion": "0.1.0",
            "files": {"src/a.ts": {"lines": 5, "cyclomaticComplexity": 2, "fanIn": 1,
                                   "exportCount": 1, "touchCount": None}}}
