@@ -29,10 +29,12 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import math
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,24 +44,28 @@ from faultline.llm._shared import slices, stored
 
 WINDOW = 2048
 END = 1
-#: Rows of a rank bucket on average.
-BUCKET = 1 << 14
+#: Rows of a rank bucket on average, and the least number of buckets.
+BUCKET, BUCKETS = 1 << 14, 64
 
 _ODD = re.compile(r"[^\x00-⿿]|\S{4000}|\s{4000}")
 
 
 def encoder(tokenizer: str, ranks: str | None) -> Callable[[list[str]], list[np.ndarray]]:
     """Texts to id arrays by a tokenizers file, through the same vocabulary's ranks where that gives the same ids."""
-    from tokenizers import Tokenizer
+    @cache
+    def slow():
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(tokenizer)
 
-    slow = Tokenizer.from_file(tokenizer)
-    special = [t.content for t in slow.get_added_tokens_decoder().values()]
     if ranks:
         import base64
 
         import tiktoken
         from public_tokenizers import PATTERN
 
+        with open(tokenizer, encoding="utf-8") as described:
+            special = [t["content"] for t in json.load(described).get("added_tokens") or []]
         with open(ranks, "rb") as lines:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
@@ -67,7 +73,7 @@ def encoder(tokenizer: str, ranks: str | None) -> Callable[[list[str]], list[np.
     def one(text: str) -> np.ndarray:
         if ranks and not any(s in text for s in special) and not _ODD.search(text):
             return np.array(fast.encode_ordinary(text), np.uint32)
-        return np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.array(slow().encode(text, add_special_tokens=False).ids, np.uint32)
 
     return lambda texts: [one(t) for t in texts]
 
@@ -202,7 +208,7 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, window: int
         histogram[r.rest] = r.n
     total, histogram[0] = int(histogram.sum()), 0
     ranges, _ = plan(histogram, window)
-    buckets = max(8, math.ceil(total / BUCKET))
+    buckets = max(BUCKETS, math.ceil(total / BUCKET))
     dealt = rows.select("doc_id", "key", "tokens", "crcs", "rest", "rest_crc").withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
     # Whole windows are sequences of their own, numbered within a bucket; the plan's come before all of them.
     before = F.coalesce(F.sum(F.size("crcs")).over(Window.partitionBy("bucket").orderBy("doc_id", "key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
