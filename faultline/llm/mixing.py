@@ -42,9 +42,9 @@ SHARE = 1.5
 BOUND = 2.0
 BLOCK = 256
 FINE = 256
-#: Slots of an output shard, and rows of a bucket, on average.
+#: Slots of an output shard, and rows of a bucket, on average; the least number of buckets.
 SHARD = 1 << 14
-BUCKET = 1 << 14
+BUCKET, BUCKETS = 1 << 14, 64
 SEED = 20
 
 
@@ -104,7 +104,7 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> tup
     spark = docs.sparkSession
     rows = stored(_sized(docs, id_col, text_col, source_col), "sizes")
     n = rows.count()
-    buckets = max(8, math.ceil(n / BUCKET))
+    buckets = max(BUCKETS, math.ceil(n / BUCKET))
     dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
     sums = dealt.groupBy("source", "bucket").agg(F.sum("size").alias("of"))
     before = sums.select("source", "bucket", (F.sum("of").over(Window.partitionBy("source").orderBy("bucket")) - F.col("of")).alias("before"))
