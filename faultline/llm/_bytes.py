@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -62,6 +63,8 @@ def letters() -> np.ndarray:
 #: [\x20\x09-\x0D]
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 BY_SPACE = separators(SPACES)
+#: Bytes that are hashed at once.
+BLOCK = 1 << 20
 BY_LETTERS = letters()
 
 
@@ -72,7 +75,14 @@ class Words(NamedTuple):
     first: np.ndarray  #: of each text its first word, and the number of words at the end
 
     def hashes(self, seed: int = 0) -> np.ndarray:
-        return span_hashes(self.symbols, self.starts, self.ends, seed)
+        """A hash of each word; block by block, so a long text needs little beside itself."""
+        out, i = np.empty(len(self.starts), np.uint64), 0
+        while i < len(out):
+            first = self.starts[i]
+            j = max(i + 1, int(np.searchsorted(self.starts, first + BLOCK)))
+            out[i:j] = span_hashes(self.symbols[first: self.ends[j - 1]], self.starts[i:j] - first, self.ends[i:j] - first, seed)
+            i = j
+        return out
 
     def owner(self) -> np.ndarray:
         """The text of each word."""
@@ -94,3 +104,25 @@ def gram_hashes(hashes: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
     """Hashes of all runs of n consecutive words, across text borders too."""
     at = np.arange(max(0, len(hashes) - n + 1))
     return span_hashes(hashes, at, at + n, seed)
+
+
+def pieces(texts: list[bytes], size: int = BLOCK) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    """Lists of texts of about ``size`` bytes together, and the place of each in
+    ``texts``; a longer text comes as several pieces, cut at a space."""
+    some: list[bytes] = []
+    of: list[int] = []
+    total = 0
+    for i, text in enumerate(texts):
+        at = 0
+        while at < len(text) or not at:
+            end = len(text) if len(text) - at <= size else text.find(b" ", at + size)
+            end = len(text) if end < 0 else end
+            some.append(text[at:end])
+            of.append(i)
+            total += end - at
+            at = max(end, 1)
+            if total >= size:
+                yield some, np.array(of)
+                some, of, total = [], [], 0
+    if some:
+        yield some, np.array(of)

@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from faultline.llm._bytes import BY_LETTERS, mix
+from faultline.llm._bytes import BY_LETTERS, mix, pieces
 from faultline.llm._shared import slices, stored, utf8
 
 BUCKETS = 1 << 16
@@ -62,6 +62,12 @@ def address(url: str) -> tuple[str, str, str]:
 
 
 def _trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of each trigram, and its text."""
+    parts = [(at, of[owner]) for some, of in pieces(texts) for at, owner in [_trigrams_of(some)]]
+    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _trigrams_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     symbols = BY_LETTERS[np.frombuffer(b"\n".join([b"", *texts, b""]), np.uint8)]
     ends = np.cumsum([len(x) + 1 for x in texts])
     keep = np.flatnonzero((symbols[1:] != 0) | (symbols[:-1] != 0)) + 1
