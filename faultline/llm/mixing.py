@@ -21,7 +21,7 @@ one bucket of one source in a task at most; everything per source (sizes,
 targets, shard counts) is as many rows as sources times buckets or shards.
 
 Defined results: a null or empty text has size 0 and is never taken; a null
-source is a source; rows that repeat an id are ordered by size, equal rows are alike;
+source is a source; rows that repeat an id are ordered by size and a hash of the text, equal rows are alike;
 a source of size 0 has the target 0; an empty table gives no rows; other columns are ignored.
 """
 
@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from faultline.llm._bytes import mix as mixed
 from faultline.llm._shared import slices, stored, utf8
@@ -85,21 +85,25 @@ def permuted(j: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def _mark(text_col: str) -> Column:
+    return F.unhex(F.md5(text_col))
+
+
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """(doc_id, source, size): the words of each row."""
+    """(doc_id, source, size, mark): the words of each row, and a hash of its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 sizes = [len(t.split()) for t in utf8(part.column("text"))]  # at ASCII white space, as bytes
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), pa.array(sizes, pa.int64())], ["doc_id", "source", "size"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), pa.array(sizes, pa.int64()), part.column("mark")], ["doc_id", "source", "size", "mark"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text")).mapInArrow(
-        run, "doc_id long, source string, size long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"), _mark(text_col).alias("mark")).mapInArrow(
+        run, "doc_id long, source string, size long, mark binary")
 
 
 def _placed(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, source, size, start): each row's place in its source's words; and
+    """(doc_id, source, size, mark, start): each row's place in its source's words; and
     (source, code, source_size, target, width, blocks) of each source, code by code point, null last."""
     spark = docs.sparkSession
     rows = stored(_sized(docs, id_col, text_col, source_col), "sizes")
@@ -108,10 +112,10 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> tup
     dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
     sums = dealt.groupBy("source", "bucket").agg(F.sum("size").alias("of"))
     before = sums.select("source", "bucket", (F.sum("of").over(Window.partitionBy("source").orderBy("bucket")) - F.col("of")).alias("before"))
-    within = Window.partitionBy("source", "bucket").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "bucket").orderBy("doc_id", "size", "mark").rowsBetween(Window.unboundedPreceding, -1)
     placed = dealt.withColumn("within", F.coalesce(F.sum("size").over(within), F.lit(0))).alias("d").join(
         before.alias("b"), F.col("d.source").eqNullSafe(F.col("b.source")) & (F.col("d.bucket") == F.col("b.bucket"))).select(
-        "d.doc_id", "d.source", "d.size", (F.col("b.before") + F.col("d.within")).alias("start"))
+        "d.doc_id", "d.source", "d.size", "d.mark", (F.col("b.before") + F.col("d.within")).alias("start"))
     # One row per source.
     sources = sorted(rows.groupBy("source").agg(F.sum("size").alias("size")).collect(), key=lambda r: (r.source is None, r.source or ""))
     made = []
@@ -172,15 +176,15 @@ def slots(sources: DataFrame, seed: int = SEED) -> DataFrame:
 
 
 def _taken(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows and sources as :func:`_placed` has them, rows with their code; and (doc_id, code, start, pass, shard, slot, a, b): the
+    """Rows and sources as :func:`_placed` has them, rows with their code; and (doc_id, code, mark, start, pass, shard, slot, a, b): the
     pieces taken, words a to b of a row."""
     placed, sources = _placed(docs, id_col, text_col, source_col)
     placed = placed.alias("p").join(sources.alias("s"), F.col("p.source").eqNullSafe(F.col("s.source"))).select(
-        "p.doc_id", "p.size", "p.start", "s.code", "s.source_size", "s.target", "s.width")
+        "p.doc_id", "p.size", "p.mark", "p.start", "s.code", "s.source_size", "s.target", "s.width")
     spread = placed.filter("size > 0").select(
-        "doc_id", "code", "start", "size", "width", F.explode(F.expr("sequence(start div width, (start + size - 1) div width)")).alias("block"))
+        "doc_id", "code", "mark", "start", "size", "width", F.explode(F.expr("sequence(start div width, (start + size - 1) div width)")).alias("block"))
     pieces = spread.join(slots(sources, seed), ["code", "block"]).select(
-        "doc_id", "code", "start", "pass", "shard", "slot",
+        "doc_id", "code", "mark", "start", "pass", "shard", "slot",
         F.greatest(F.lit(0), F.col("block") * F.col("width") - F.col("start")).alias("a"),
         F.least(F.col("size"), (F.col("block") + 1) * F.col("width") - F.col("start")).alias("b"))
     return placed, sources, pieces
@@ -201,16 +205,21 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """The mix as documents: for each pass in which the mix takes words of a row,
     the row with the words taken, in their order; the text is as it was where
-    all are taken. Rows that repeat an id share their pieces by rank."""
-    _, _, pieces = _taken(docs, "doc_id", "text", "source", seed)
-    spans = pieces.groupBy("doc_id", "code", "start", "pass").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"), F.max("b").alias("b"))
-    rank = Window.partitionBy("doc_id", "pass").orderBy("code", "b", "start")
-    lists = spans.withColumn("rank", F.row_number().over(rank)).select("doc_id", "rank", "spans")
+    all are taken. A row is known by its id, source and text; rows that repeat all
+    three have the same words, and are told apart by rank."""
+    _, sources, pieces = _taken(docs, "doc_id", "text", "source", seed)
+    spans = pieces.groupBy("doc_id", "code", "mark", "start", "pass").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"))
+    # a start is one row of its source, in every pass
+    rank = Window.partitionBy("doc_id", "code", "mark").orderBy("start")
+    lists = spans.withColumn("copy", F.dense_rank().over(rank)).join(sources.select("code", F.col("source").alias("of")), "code")
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # their names can't clash with ours
     own = {c: f"c{docs.columns.index(c)}" for c in ("doc_id", "text", "source")}
-    same = Window.partitionBy(own["doc_id"]).orderBy(F.col(own["source"]).asc_nulls_last(), F.length(own["text"]), F.xxhash64(own["text"]))
-    rows = plain.withColumn("rank", F.row_number().over(same)).alias("d")
-    joined = rows.join(lists.alias("l"), F.col(f"d.{own['doc_id']}").eqNullSafe(F.col("l.doc_id")) & (F.col("d.rank") == F.col("l.rank"))).select(
+    keyed = plain.withColumns({"id": F.col(own["doc_id"]).cast("long"), "of": F.col(own["source"]).cast("string"), "mark": _mark(own["text"])})
+    hashed = [c for c, t in plain.dtypes if "map<" not in t and "variant" not in t]
+    same = Window.partitionBy("id", "of", "mark").orderBy(F.xxhash64(*hashed))
+    rows = keyed.withColumn("copy", F.row_number().over(same)).alias("d")
+    joined = rows.join(lists.alias("l"), F.col("d.id").eqNullSafe(F.col("l.doc_id")) & F.col("d.of").eqNullSafe(F.col("l.of"))
+                       & (F.col("d.mark") == F.col("l.mark")) & (F.col("d.copy") == F.col("l.copy"))).select(
         *[F.col(c).alias(name) for c, name in zip(plain.columns, docs.columns)], F.col("l.spans").alias("taken spans"))
     names, at = docs.columns, docs.columns.index("text")
 

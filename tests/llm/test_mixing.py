@@ -84,3 +84,20 @@ def test_repeats_nulls_and_empty(spark):
     assert words == sum(r.taken for r in mixing.mix(frame(spark, rows)).collect()) > 0
     assert mixing.mix(frame(spark, [])).count() == 0 and mixing.mixed_documents(frame(spark, [])).count() == 0
     assert {r.taken for r in mixing.mix(frame(spark, [(1, None), (2, "")])).collect()} == {0}
+
+
+def test_documents_of_one_id_keep_their_own_words(spark, rng):
+    # every word names its row, so a word in another row's output shows
+    rows = [(None if i % 2 else 7, " ".join(f"r{i}w{k}" for k in range(n)), "en", "ab"[i % 4 // 2]) for i, n in enumerate(rng.choices(range(1, 90), k=60))]
+    rows += [rows[3], rows[3], rows[4]]
+    own = {t: t.split() for _, t, _, _ in rows}
+    got = [r.text.split() for r in mixing.mixed_documents(frame(spark, rows)).collect()]
+    assert all(words and len({w.split("w")[0] for w in words}) == 1 for words in got)
+    by_row = defaultdict(int)
+    for words in got:
+        by_row[words[0].split("w")[0]] += len(words)
+    copies = defaultdict(int)
+    for _, t, _, _ in rows:
+        copies[t.split("w")[0]] += 1
+    assert all(by_row[t.split("w")[0]] <= 2 * len(w) * copies[t.split("w")[0]] for t, w in own.items())
+    assert sum(map(len, got)) == sum(r.taken for r in mixing.mix(frame(spark, rows)).collect())
