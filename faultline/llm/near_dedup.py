@@ -54,15 +54,21 @@ def fingerprint(text: bytes, shingle: int) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp): a row for each row of ``docs``."""
+    return _fingerprinted(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), shingle)
+
+
+def _fingerprinted(rows: DataFrame, shingle: int) -> DataFrame:
+    """The columns of ``rows``, with the fingerprint for the text."""
+    keep = [c for c in rows.columns if c != "text"]
+    kinds = dict(rows.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 fps = [fingerprint(x, shingle) for x in utf8(part.column("text"))]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(fps, pa.int64())], [*keep, "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, ", ".join([*(f"{c} {kinds[c]}" for c in keep), "fp long"]))
 
 
 def segments(radius: int) -> list[tuple[int, int]]:
@@ -169,8 +175,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, id_col:
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is their component's smallest, one of
-    those that repeat an id; rows with a null doc_id, which nothing can name, stay."""
-    found = near_duplicates(docs, shingle, radius)
-    keys = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(keys, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).union(docs.filter("doc_id is null"))
+    """One row of ``docs`` of each component: the one with the smallest doc_id, of
+    rows that repeat it the first by hashes of the text and of all columns. Rows
+    with a null doc_id are a kind of their own: of a component's, the first by
+    those hashes stays, also beside a named one."""
+    hashed = [c for c, t in docs.dtypes if "map<" not in t and "variant" not in t]
+    keyed = docs.withColumns({"own id": F.col("doc_id").cast("long"), "own mark": F.coalesce(F.unhex(F.md5("text")), F.lit(b"")), "own hash": F.xxhash64(*hashed)})
+    rows = _fingerprinted(keyed.select(F.col("own id").alias("doc_id"), F.col("own mark").alias("mark"), F.col("own hash").alias("hash"), "text"), shingle)
+    key = F.struct("doc_id", "mark", "hash")
+    kinds = {"named": F.col("doc_id").isNotNull(), "nameless": F.col("doc_id").isNull()}
+    fps = stored(rows.groupBy("fp").agg(*[F.min(F.when(is_kind, key)).alias(c) for c, is_kind in kinds.items()]), "distinct-fingerprints")
+    roots = components(links(fps.select("fp"), radius))
+    of = fps.join(roots, fps.fp == roots.node, "left").withColumn("root", F.coalesce("root", "fp"))
+    least = of.groupBy("root").agg(*[F.min(c).alias(c) for c in kinds])
+    keys = least.select(F.explode(F.array(*kinds)).alias("k")).filter("k is not null").select("k.*")
+    kept = keyed.join(keys, F.col("own id").eqNullSafe(keys.doc_id) & (F.col("own mark") == keys.mark) & (F.col("own hash") == keys.hash), "left_semi")
+    return kept.dropDuplicates(["own id", "own mark", "own hash"]).select(*docs.columns)

@@ -90,3 +90,18 @@ def test_nulls_ties_repeats_and_empty(spark):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([3, 8, None, None], key=str)
     assert near_dedup.near_duplicates(frame(spark, [])).count() == 0
     assert near_dedup.keep_one(frame(spark, [])).count() == 0
+
+
+def test_repeated_and_null_ids_are_decided_by_row(spark, rng):
+    one, two, three = (prose(rng, 120) for _ in range(3))
+    rows = [(1, one), (5, one), (5, two), (5, two), (6, two), (None, three), (None, three), (None, three), (2, "lone"), (2, None), (7, one, "de")]
+    want = sorted([(1, one), (5, two), (None, three), (2, "lone"), (2, None)], key=str)
+    for given in (rows, rows[::-1]):
+        kept = near_dedup.keep_one(frame(spark, given).repartition(3)).collect()
+        assert sorted(((r.doc_id, r.text) for r in kept), key=str) == want
+
+
+def test_equal_rows_but_for_a_column_choose_alike(spark):
+    rows = [(4, "a b c d", lang) for lang in ("en", "de", "fr", "it")]
+    kept = [near_dedup.keep_one(frame(spark, x).repartition(n)).collect() for x, n in ((rows, 4), (rows[::-1], 3))]
+    assert len(kept[0]) == 1 and kept[0] == kept[1]
