@@ -2,10 +2,12 @@
 
 Four kinds of evidence add up in log space for each language:
 
-* the text: trigrams of the page's visible bytes (markup, scripts and styles
-  cut out) under each language's trigram model, learnt from all labelled
+* the text: trigrams of the page's visible bytes (markup, scripts, styles and all
+  of <head>, <nav> and <footer>, the title included, cut out; a page with text only
+  there has no text evidence) under each language's trigram model, learnt from all labelled
   documents and tempered, as neighbouring trigrams say much the same;
-* the language that the markup declares, and the address suffix (top-level
+* the language that the first <html> tag with one declares, wherever in the page
+  it stands outside comments, scripts and styles, and the address suffix (top-level
   domain, and the first path part where it is a language code): P(value |
   language) from grouped counts over all pages, smoothed;
 * a prior of the host: its pages' languages, smoothed towards its domain's, and
@@ -42,7 +44,9 @@ PRIOR = 5.0
 SMOOTH = 1.0
 
 _CUT = re.compile(r"(?is)<(script|style|nav|footer|head)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
-_LANG = re.compile(r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?\s*([a-z]{2,3})\b")
+#: Comments, scripts and styles (unclosed ones reach to the end) and <html> tags: each match is used up, so a page is read once.
+_HTML = re.compile(r"(?is)<!--(?:-?>|.*?(?:--!?>|\Z))|<(script|style)\b.*?(?:</\1\s*>|\Z)|<html\b[^>]*")
+_LANG = re.compile(r"(?i)\blang\s*=\s*[\"']?\s*([a-z]{2,3})\b")
 _CODE = re.compile(r"[a-z]{2}")
 
 
@@ -50,6 +54,13 @@ def visible(page: str) -> str:
     return markup.unescape(_CUT.sub(" ", page))
 
 
+def declared(page: str) -> str:
+    for tag in _HTML.finditer(page):
+        if tag[0][:5].lower() == "<html" and (found := _LANG.search(tag[0], 5)):
+            return found[1].lower()
+    return ""
+
+
 def address(url: str) -> tuple[str, str, str]:
     """Host, domain (its last two labels) and suffix of an address."""
     rest = url.split("://", 1)[-1]
@@ -120,10 +131,9 @@ def _evidence(pages: DataFrame, langs: list[str], table: np.ndarray) -> DataFram
                 some = np.bincount(owner, minlength=len(texts)) > 0
                 vote = np.where(some, sums.argmax(axis=1), -1)
                 places = [address(x or "") for x in part.column("url").to_pylist()]
-                found = [_LANG.search(x[:4096]) for x in texts]
                 yield pa.RecordBatch.from_arrays([
                     part.column("page_id"), *(pa.array([p[i] for p in places], pa.string()) for i in range(3)),
-                    pa.array([m[1].lower() if m else "" for m in found], pa.string()), pa.array(sums.tolist(), pa.list_(pa.float64())), pa.array(vote, pa.int32())],
+                    pa.array([declared(x) for x in texts], pa.string()), pa.array(sums.tolist(), pa.list_(pa.float64())), pa.array(vote, pa.int32())],
                     ["page_id", "host", "domain", "suffix", "declared", "logs", "vote"])
 
     return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(

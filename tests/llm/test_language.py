@@ -43,3 +43,16 @@ def test_no_languages_and_empty(spark, rng):
     pages = spark.createDataFrame([(1, "http://a.org/", "<p>bako</p>", None, None, 0)], PAGES)
     assert [tuple(r)[:2] for r in language.identify(pages, frame(spark, [])).collect()] == [(1, None)]
     assert language.identify(pages.limit(0), teach(spark, rng)).count() == 0
+
+
+def test_a_declaration_counts_wherever_it_stands(spark, rng):
+    long = "licence " * 2_000
+    pages = {
+        1: f'<!-- {long} --><html lang="cc"><body>1</body></html>',
+        2: f'<!DOCTYPE html {long}><HTML\n data-x="{long}" LANG = cc><body>1</body></html>',
+        3: '<!-- <html lang="aa"> --><script>"<html lang=aa>"</script><html lang="cc"><body>1</body></html>',
+        4: "<html><body>1</body></html>",
+    }
+    got = language.identify(spark.createDataFrame([(i, None, x, None, None, 0) for i, x in pages.items()], PAGES), teach(spark, rng)).collect()
+    assert {r.page_id: r.declared for r in got} == {1: "cc", 2: "cc", 3: "cc", 4: ""}
+    assert language.declared("<html " * 200_000) == language.declared("<!--" * 200_000) == ""  # read once
