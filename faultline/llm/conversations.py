@@ -111,7 +111,6 @@ def _entry(value: tuple[int, int] | None, width: int) -> Entry | None:
     return cost, letters.to_bytes(width, "big").rstrip(b"\0").decode("ascii")
 
 
-@lru_cache(maxsize=1 << 12)
 def run_table(symbols: str) -> tuple[Entry | None, ...]:
     """For a run of rows, as comma-joined symbols, the cheapest, then ASCII-least
     audit from each state to each state: entry 4 * from + to, None where no edits
@@ -176,10 +175,11 @@ def _tables(part: pa.RecordBatch, tables) -> pa.RecordBatch:
 
 
 def _solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    solve = lru_cache(maxsize=1 << 12)(run_table)  # short conversations are often alike
     for batch in batches:
         for i in range(0, batch.num_rows, 256):
             part = batch.slice(i, 256)
-            yield _tables(part, [run_table(s) for s in part.column("symbols").to_pylist()])
+            yield _tables(part, [solve(s) for s in part.column("symbols").to_pylist()])
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from faultline.llm import conversations, fingerprints, language, mixing, near_dedup, packing, pii, quality, substrings, topk, toxicity
+from faultline.llm import alignment, conversations, fingerprints, language, mixing, near_dedup, packing, pii, quality, substrings, topk, toxicity
 from faultline.llm._shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,7 +115,75 @@ FROM d LEFT JOIN kept USING (doc_id)
 """
 
 
+@query
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.report(table(spark, sf_dir, "documents"), *map(public_tokenizers.path, ("byte_bpe_50k.json", "piece_bpe_32k.model", "byte_bpe_50k.tiktoken")))
+
+
 @query
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     convs = table(spark, sf_dir, "conversations")
     return conversations.report(conversations.damage(convs), convs)
+
+
+ORACLE["op13_conversation_repair"] = r"""
+WITH RECURSIVE keyed AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name
+    FROM conversations
+), coded AS (  -- CRC-32, a bit at a time
+    SELECT *, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(name, ''), lambda x: CAST(ascii(x) AS BIGINT))),
+        lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 20 AS fault
+    FROM keyed
+), damaged AS (
+    SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+           CASE fault WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+           unnest(range(0, CASE WHEN fault = 3 THEN 2 ELSE 1 END)) AS copy
+    FROM coded WHERE fault <> 0
+), placed AS (
+    SELECT conv_id, turn, role, text, substr(role, 1, 1) AS initial, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS seen,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+           row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS again
+    FROM damaged
+), faults AS (
+    SELECT conv_id, turn, role, text, initial, i,
+           CASE WHEN seen = '' THEN 'blank' WHEN again > 1 THEN 'duplicate' WHEN right(seen, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+           coalesce(lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial NOT IN ('su', 'ua', 'au'), FALSE) AS illegal
+    FROM placed
+), walk AS (  -- the cheapest, then least (cost, audit, rows) that ends with nothing, a system, a user and an assistant row
+    SELECT conv_id, CAST(0 AS BIGINT) AS i, {'c': 0, 'a': '', 'r': ''} AS v0, {'c': 1000000000, 'a': '~', 'r': ''} AS v1,
+           {'c': 5, 'a': 'I', 'r': chr(10) || 'user:'} AS v2, {'c': 10, 'a': 'II', 'r': chr(10) || 'user:' || chr(10) || 'assistant:'} AS v3
+    FROM (SELECT DISTINCT conv_id FROM conversations)
+    UNION ALL
+    SELECT conv_id, i, n0, n1, m2, least(n3, {'c': m2.c + 5, 'a': m2.a || 'I', 'r': m2.r || chr(10) || 'assistant:'})
+    FROM (
+        SELECT conv_id, i, n0, n1, n3, least(n2, {'c': b.c + 5, 'a': b.a || 'I', 'r': b.r || chr(10) || 'user:'}) AS m2
+        FROM (
+            SELECT conv_id, i, n0, n1, n2, n3, least(n0, n1, n3) AS b
+            FROM (
+                SELECT w.conv_id, f.i, {'c': v0.c + 2, 'a': v0.a || 'D', 'r': v0.r} AS n0,
+                       least({'c': v1.c + 2, 'a': v1.a || 'D', 'r': v1.r},
+                             {'c': v0.c + more + CASE WHEN initial = 's' THEN 0 ELSE 1000000000 END, 'a': v0.a || 'K', 'r': v0.r || own}) AS n1,
+                       least({'c': v2.c + 2, 'a': v2.a || 'D', 'r': v2.r},
+                             {'c': u.c + more + CASE WHEN initial = 'u' THEN 0 ELSE 1000000000 END, 'a': u.a || 'K', 'r': u.r || own},
+                             {'c': u.c + more + 1, 'a': u.a || 'R', 'r': u.r || chr(10) || 'user:' || text}) AS n2,
+                       least({'c': v3.c + 2, 'a': v3.a || 'D', 'r': v3.r},
+                             {'c': v2.c + more + CASE WHEN initial = 'a' THEN 0 ELSE 1000000000 END, 'a': v2.a || 'K', 'r': v2.r || own},
+                             {'c': v2.c + more + 1, 'a': v2.a || 'R', 'r': v2.r || chr(10) || 'assistant:' || text}) AS n3
+                FROM (SELECT *, least(v0, v1, v3) AS u FROM walk) w JOIN (
+                    SELECT *, chr(10) || role || ':' || text AS own,
+                           CASE fault WHEN 'blank' THEN 1000000000 WHEN 'duplicate' THEN 1000000000 WHEN 'truncated' THEN 5 ELSE 0 END AS more
+                    FROM faults) f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1)))
+), ended AS (
+    SELECT conv_id, least(v0, v3) AS v FROM walk QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1
+), counted AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+           count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (illegal) AS illegal
+    FROM faults GROUP BY conv_id
+)
+SELECT e.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, CAST(e.v.c AS BIGINT) AS cost, e.v.a AS audit, sha256(substr(e.v.r, 2)) AS repaired_sha256
+FROM ended e LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
