@@ -11,7 +11,7 @@ and cost few bytes; random keys match nothing. A candidate whose cost is at
 least ``NOVEL`` of its length and ``LEAST`` bytes is reported, as kind ``novel``.
 
 The dictionary holds the identifiers that occur most often in all documents
-(the letters' runs of words and names; nothing inside a base span or candidate
+(the letters' runs of words and names, in lower case, as all that is compressed; nothing inside a base span or candidate
 counts, so a key that is copied often doesn't make itself known), up to
 ``PRIMED`` bytes, the most frequent last. Tasks count, Spark sums; only the top
 of the list reaches the driver.
@@ -37,7 +37,7 @@ from faultline.llm._shared import slices
 #: Base kinds in order, then the added one.
 KINDS = ("assign", "access", "hex", "novel")
 #: Least share of its length, and least bytes, that a candidate has to cost.
-NOVEL, LEAST = 0.5, 8
+NOVEL, LEAST = 0.65, 8
 #: Code points of surroundings on either side, and bytes of the dictionary.
 AROUND, PRIMED = 256, 1 << 16
 LEVEL = 9
@@ -98,7 +98,7 @@ class Novelty:
         self.compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=primed, write_checksum=False, write_content_size=False, write_dict_id=False)
 
     def size(self, code: str) -> int:
-        return len(self.compressor.compress(code.encode("utf-8", "surrogatepass")))
+        return len(self.compressor.compress(code.lower().encode("utf-8", "surrogatepass")))
 
     def cost(self, text: str, start: int, end: int) -> int:
         own = text[start:end]
@@ -144,7 +144,7 @@ def identifiers(docs: DataFrame, text_col: str = "text") -> DataFrame:
         for batch in batches:
             for text in batch.column(0):
                 for part in _outside(text.as_py() or ""):
-                    counts.update(_IDENTIFIER.findall(part))
+                    counts.update(_IDENTIFIER.findall(part.lower()))
                 if len(counts) > HELD:
                     yield sent()
                     counts.clear()
