@@ -2,22 +2,22 @@
 line count (P1), decision points (P2), exported symbols (P3), import
 declarations (P4) and a syntax-integrity flag (P5).
 
-There is no parser here. Comments, string, template and regular-expression
-literals are consumed as tokens by one alternation, so nothing inside them is
-seen as code: the masked text (tokens blanked) is counted and searched, and
-declarations that need their strings are alternatives of the same pattern.
-
-Known lexical deviations from an AST: conditional types and optional methods
-``m?()`` look like ternaries; ``cond ?.5 : 1`` is missed; code inside ``${…}``
-is masked with its template; a ``/`` after ``)`` or ``}`` is a division; JSX text
-may hold apostrophes inside words only; a pattern nested in a destructuring
-export gives no names.
+There is no parser here. :mod:`faultline.functions.tokens` reads the text once
+with a stack of modes; decision points are counted in the code that it leaves,
+declarations are searched in what it leaves of the module's own level.
+
+Known lexical deviations from an AST: a conditional type inside a generic
+argument or parameter list may count as a ternary; type parameters in markup
+files are told from tags by a comma, ``extends`` or one capital letter; names are
+ASCII; an ambient module's own declarations are no exports.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from faultline.functions.tokens import IDENT
+
 # ---------------------------------------------------------------- fixed patterns
 # Strings: possessive, unrolled loops (no stack growth on long literals).
 # An apostrophe inside a word (JSX text) opens nothing.
@@ -26,14 +26,8 @@ DQ_STRING = r'"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"'
 TEMPLATE = r"`[^`\\]*+(?:\\.[^`\\]*+)*+`"
 LINE_COMMENT = r"//[^\n]*+"
 BLOCK_COMMENT = r"/\*.*?\*/"
-# A slash starts a regular expression where a value may start: after no operand,
-# or after a keyword.
-REGEX = (r"(?:(?<![\w$)\]}\"'`.<]\s{0,8})|(?<=\b(?:return|typeof|case|in|of|delete|void|throw|new|else|do|await|yield)\s{1,8}))"
-         r"/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*+\])++/[a-z]*+")
 STRINGS = "|".join([SQ_STRING, DQ_STRING, TEMPLATE])
 COMMENTS = "|".join([LINE_COMMENT, BLOCK_COMMENT])
-LITERALS = "(?s)" + STRINGS + "|" + REGEX
-KEEP_LITERALS = "(?s)" + COMMENTS + "|(" + STRINGS + "|" + REGEX + ")"
 
 # Decision points: if, for / for-in / for-of / for await, while (one per while
 # and per do-while), case (not default), catch, &&, ||, ??, and the ternary ?.
@@ -41,9 +35,8 @@ KEEP_LITERALS = "(?s)" + COMMENTS + "|(" + STRINGS + "|" + REGEX + ")"
 KEYWORD_GUARD = r"(?<![.\w$])"
 DECISION_POINT = (
     KEYWORD_GUARD + r"(?:if\s*\(|for\s*(?:await\s*)?\(|while\s*\(|case(?![\w$])(?!\s*[:=,})])|catch\s*[({])"
-    r"|&&(?!=)|\|\|(?!=)|\?\?(?!=)|(?<!\?)\?(?![?.:,)=;\]>])")
+    r"|&&(?!=)|\|\|(?!=)|\?\?(?!=)|(?<!\?)\?(?:(?![?.]|\s*[:,)=;\]>])|(?=\.\d))")
 
-IDENT = r"[A-Za-z_$][\w$]*"
 # What a line that doesn't continue a declaration starts with.
 NEXT_STATEMENT = (r"(?:export|import|const|let|var|function|async|class|abstract|interface|type|enum|declare|namespace|if|for|while|do|switch|try|return|throw)"
                   r"(?![\w$])|\}")
@@ -51,16 +44,14 @@ EXPORT_STMT = (
     r"(?<![\w$.])export\s+(?:default\b"
     r"|(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?"
     r"(?:function\b\s*\*?|class\b|const\s+enum\b|interface\b"
-    r"|type\b(?!\s*\{)|enum\b|namespace\b|module\b)\s*" + IDENT +
+    r"|type\b(?!\s*[\{*])|enum\b|namespace\b|module\b|import\s+(?:type\s+)?(?=" + IDENT + r"\s*=))\s*" + IDENT +
     r"|(?:declare\s+)?(?:const|let|var)\b(?!\s+enum\b)[^;]*?(?=;|\n\s*(?:" + NEXT_STATEMENT + r")|\z)"
     r"|(?:type\s+)?\{[^}]*\}|\*\s*as\s+" + IDENT + ")")
-# Without its literals a declaration is a keyword, a clause and the module string.
-GAP = r"(?:\s|//[^\n]*+|/\*.*?\*/)*+"
-IMPORT_DECL = (r"(?<![\w$.])import\b" + GAP + r"(?:type\b\s+)?(?:[\w$*{](?:[^;'\"`/]|//[^\n]*+|/\*.*?\*/)*?\bfrom" + GAP + r")?"
-               r"(?:'[^'\n]*'|\"[^\"\n]*\")")
-STAR_EXPORT = r"(?<![\w$.])export" + GAP + r"\*" + GAP + r"from" + GAP + r"(?:'[^'\n]*'|\"[^\"\n]*\")"
-# The declarations in group 1; literals and comments are consumed beside them.
-DECLARATIONS = "(?s)" + COMMENTS + "|(" + IMPORT_DECL + "|" + STAR_EXPORT + ")|" + STRINGS + "|" + REGEX
+# In the module text a declaration is a keyword, a clause and the module's name.
+MODULE_NAME = r"(?:'[^'\n]*'|\"[^\"\n]*\")"
+IMPORT_DECL = r"(?<![\w$.])import\b\s*(?:type\b\s*)?(?:[\w$*{][^;'\"=()]*?\bfrom\s*)?" + MODULE_NAME
+STAR_EXPORT = r"(?<![\w$.])export\s+(?:type\s+)?\*\s*from\s*" + MODULE_NAME
+DECLARATIONS = IMPORT_DECL + "|" + STAR_EXPORT.replace(r"export\s+", r"export\s*")
 # Of an unterminated literal or comment; an apostrophe in a word is text.
 LEFTOVER = r"(?<![\w$])'|[\"`]|/\*"
 BRACKET_PAIRS = {")": "(", "]": "[", "}": "{"}
@@ -77,16 +68,6 @@ def line_count(text) -> Column:
     return (F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit(""))) + 1).cast("int")
 
 
-def mask_code(text) -> Column:
-    """Comments blanked, and every literal a plain value (`` 0 ``)."""
-    return F.regexp_replace(F.regexp_replace(_c(text), KEEP_LITERALS, "$1 "), LITERALS, " 0 ")
-
-
-def strip_comments(text) -> Column:
-    """Comments removed, literals kept."""
-    return F.regexp_replace(_c(text), KEEP_LITERALS, "$1")
-
-
 def decision_points(masked, pattern: str = DECISION_POINT) -> Column:
     """1 + decision points, counted in one regex pass over masked text."""
     return (F.regexp_count(_c(masked), F.lit(pattern)) + 1).cast("int")
@@ -99,25 +80,29 @@ def _names_in_braces(s: Column) -> Column:
     return items
 
 
+def _bound_names(pattern: Column) -> Column:
+    """Names that destructuring patterns bind, at any depth: what no colon follows,
+    without defaults and computed keys."""
+    plain = F.regexp_replace(F.regexp_replace(pattern, r"\[[^\[\]]*\]\s*:", ":"), r"=[^,}\]]*", "")
+    return F.regexp_extract_all(plain, F.lit(r"(" + IDENT + r")\s*(?=[,}\]])"), 1)
+
+
 def _declared_names(m: Column) -> Column:
-    """Names that ``export const …`` declares: what a destructuring pattern binds,
-    or each declarator outside all brackets."""
+    """Names that ``export const …`` declares: what destructuring patterns bind,
+    or each declarator."""
     rest = F.regexp_replace(m, r"^export\s+(?:declare\s+)?(?:const|let|var)\s*", "")
-    items = F.split(F.regexp_extract(rest, r"^[{\[]([^{}\[\]]*)[}\]]", 1), ",")
-    bound = F.transform(items, lambda x: F.regexp_extract(
-        F.regexp_replace(F.regexp_replace(x, r"(?s)=.*$", ""), r"^[^:]*:", ""), r"^\s*(?:\.\.\.)?\s*(" + IDENT + r")\s*$", 1))
-    # One round per bracket empties every nesting; what an unclosed bracket holds is no declarator.
-    rounds = F.sequence(F.lit(1), F.regexp_count(rest, F.lit(r"[(\[{<]")) + 1)
-    flat = F.aggregate(rounds, F.regexp_replace(rest, "=>", " "), lambda t, _: F.regexp_replace(t, r"\([^()\[\]{}]*\)|\[[^()\[\]{}]*\]|\{[^()\[\]{}]*\}|<[^<>()\[\]{}=;]*>", " "))
-    flat = F.regexp_replace(flat, r"(?s)[(\[{].*$", "")
+    pattern = F.regexp_extract(rest, r"(?s)^[{\[].*[}\]](?=\s*(?::[^=]*)?=(?![=>]))", 0)
+    # The module text has nothing inside brackets; type arguments go from the innermost out.
+    rounds = F.sequence(F.lit(1), F.regexp_count(rest, F.lit("<")) + 1)
+    flat = F.aggregate(rounds, F.regexp_replace(rest, "=>", " "), lambda t, _: F.regexp_replace(t, r"<[^<>()\[\]{}=;]*>", " "))
     plain = F.transform(F.split(flat, ","), lambda x: F.regexp_extract(x, r"^\s*(" + IDENT + r")\s*!?\s*(?:[:=]|$)", 1))
-    return F.when(rest.rlike(r"^[{\[]"), bound).otherwise(plain)
+    return F.when(rest.rlike(r"^[{\[]"), _bound_names(F.when(pattern == "", rest).otherwise(pattern))).otherwise(plain)
 
 
-def exported_symbols(masked) -> Column:
-    """Distinct exported names in source order; a default export is ``default``;
+def exported_symbols(module) -> Column:
+    """Distinct exported names in source order, of module text; a default export is ``default``;
     ``export {a as b}`` and re-export lists give ``b``."""
-    stmts = F.regexp_extract_all(_c(masked), F.lit(EXPORT_STMT), 0)
+    stmts = F.regexp_extract_all(_c(module), F.lit(EXPORT_STMT), 0)
 
     def names(m: Column) -> Column:
         last_ident = F.array(F.regexp_extract(m, "(" + IDENT + r")$", 1))
@@ -131,11 +116,9 @@ def exported_symbols(masked) -> Column:
     return F.array_distinct(F.filter(F.flatten(F.transform(stmts, names)), lambda x: x != ""))
 
 
-def module_declarations(text) -> Column:
-    """Import and ``export * from`` declarations of source text, without their
-    comments; nothing inside a literal or a comment is one."""
-    found = F.filter(F.regexp_extract_all(_c(text), F.lit(DECLARATIONS), 1), lambda m: m != "")
-    return F.transform(found, strip_comments)
+def module_declarations(module) -> Column:
+    """Import and ``export * from`` declarations of module text."""
+    return F.regexp_extract_all(_c(module), F.lit(DECLARATIONS), 0)
 
 
 def import_declarations(declarations) -> Column:
@@ -192,7 +175,7 @@ def brackets_balanced(masked) -> Column:
 
 
 def has_syntax_errors(masked, leftover: str = LEFTOVER) -> Column:
-    """Lexical integrity check standing in for syntax diagnostics: a quote,
+    """Lexical integrity of masked text of any kind: a quote,
     backtick or ``/*`` left after masking (an unterminated literal or comment),
     or unbalanced brackets."""
     m = _c(masked)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from faultline.functions import text as tx
+from faultline.functions import text as tx, tokens as tk
 from faultline.operators.graph import fan_in, resolve_import_rows, resolve_imports
 from faultline.session import stored
 
@@ -14,27 +14,27 @@ def file_metrics(source_files: DataFrame, keys=("repo",), path: str = "path",
     """``keys…, path, [rel_path,] lines, complexity, exported_symbols, import_count,
     imported_from, imported_symbol_names, has_syntax_errors, star_exports``.
 
-    The masked text and the declarations are computed once in an inner
-    projection and shared by every metric; the raw content is dropped after.
-    A ``rel_path`` column is carried along.
+    One scan of the tokens reads each file (markup where its path ends in
+    ``.tsx``); every metric starts from the code and the module text that it
+    leaves, and the raw content is dropped after. A ``rel_path`` column is carried along.
     """
     own = [*keys, path] + [c for c in ("rel_path",) if c in source_files.columns and c != path]
-    staged = source_files.select(
-        *own, tx.line_count(content).alias("lines"),
-        tx.mask_code(content).alias("_masked"),
-        tx.module_declarations(content).alias("_declarations")).select(
-        *own, "lines", "_masked",
-        tx.import_declarations("_declarations").alias("_imports"),
-        tx.star_export_specifiers("_declarations").alias("star_exports"))
+    markup = F.lower(F.col(path).cast("string")).endswith(".tsx")
+    read = source_files.select(*own, tx.line_count(content).alias("lines"), markup.alias("_markup"), tk.source_tokens(content).alias("_tokens")).select(
+        *own, "lines", "_tokens", tk.scan_modes(F.col("_tokens"), F.col("_markup")).alias("_read")).select(
+        *own, "lines", F.col("_read.broken").alias("has_syntax_errors"),
+        tk.code_text(F.col("_tokens"), F.col("_read.letters")).alias("_code"),
+        tk.module_text(F.col("_tokens"), F.col("_read.letters")).alias("_module"))
+    staged = read.select(
+        *own, "lines", "has_syntax_errors", tx.decision_points("_code").alias("complexity"),
+        tx.exported_symbols("_module").alias("exported_symbols"), tx.module_declarations("_module").alias("_declarations"))
+    imports = tx.import_declarations("_declarations")
     return staged.select(
-        *own, "lines",
-        tx.decision_points("_masked").alias("complexity"),
-        tx.exported_symbols("_masked").alias("exported_symbols"),
-        F.size("_imports").alias("import_count"),
-        tx.import_specifiers("_imports").alias("imported_from"),
-        tx.imported_symbol_names("_imports").alias("imported_symbol_names"),
-        tx.has_syntax_errors("_masked").alias("has_syntax_errors"),
-        "star_exports")
+        *own, "lines", "complexity", "exported_symbols",
+        F.size(imports).alias("import_count"),
+        tx.import_specifiers(imports).alias("imported_from"),
+        tx.imported_symbol_names(imports).alias("imported_symbol_names"),
+        "has_syntax_errors", tx.star_export_specifiers("_declarations").alias("star_exports"))
 
 
 def star_closure(metrics: DataFrame, keys=("repo",), path: str = "path") -> DataFrame:

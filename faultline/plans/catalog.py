@@ -932,10 +932,13 @@ WITH src AS (
          {B.SOURCE_PATH_SQL} AS path, {B.SOURCE_SQL} AS content,
          p_type = 'PROMO' AND p_size >= 45 AS broken FROM part),
 met AS (
-  SELECT *, CAST(6 + s % 7 + CASE WHEN t IN ('SMALL', 'LARGE', 'MEDIUM') THEN 1 ELSE 0 END
-              + CASE WHEN k % 4 IN (1, 2) THEN 1 ELSE 0 END + CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END AS INTEGER) AS lines,
-         CAST(1 + s % 7 + CASE WHEN t IN ('SMALL', 'LARGE') THEN 2 ELSE 0 END AS INTEGER) AS complexity,
-         [w1 || CAST(k AS VARCHAR), w2 || CAST(k AS VARCHAR)] || CASE WHEN broken THEN ['broken'] ELSE [] END AS own FROM src),
+  SELECT *, CAST(6 + s % 7 + CASE WHEN t IN ('SMALL', 'LARGE', 'MEDIUM', 'STANDARD') THEN 1 ELSE 0 END + CASE WHEN k % 3 = 0 AND k <> 0 THEN 1 ELSE 0 END
+              + CASE WHEN k % 6 = 1 THEN 3 ELSE 0 END + CASE WHEN k % 7 = 3 THEN 2 ELSE 0 END + CASE WHEN k % 11 = 4 THEN 1 ELSE 0 END
+              + CASE WHEN k % 13 = 5 THEN 2 ELSE 0 END + CASE WHEN k % 4 IN (1, 2) THEN 1 ELSE 0 END + CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END AS INTEGER) AS lines,
+         CAST(2 + s % 7 + CASE WHEN t IN ('SMALL', 'LARGE') THEN 2 WHEN t IN ('MEDIUM', 'STANDARD') THEN 1 ELSE 0 END
+              + CASE WHEN k % 3 = 0 AND k <> 0 THEN 1 ELSE 0 END + CASE WHEN k % 11 = 4 THEN 1 ELSE 0 END AS INTEGER) AS complexity,
+         [w1 || CAST(k AS VARCHAR), w2 || CAST(k AS VARCHAR)] || CASE WHEN k % 6 = 1 THEN ['I1'] ELSE [] END
+           || CASE WHEN k % 13 = 5 THEN ['b1', 'c1', 'd1', 'A1'] ELSE [] END || CASE WHEN broken THEN ['broken'] ELSE [] END AS own FROM src),
 edge AS (
   SELECT k AS a, k - s AS b FROM src WHERE k - s >= 1 UNION SELECT k, 0 FROM src WHERE k % 5 = 0 AND k <> 0),
 fans AS (SELECT b AS k, count(DISTINCT a) AS fan_in FROM edge GROUP BY 1),
@@ -982,7 +985,8 @@ def _source_commits(spark, d):
     """History lines of the parts' files, with the drive spelled as a prefix."""
     return table(spark, d, "lineitem").filter(F.col("l_shipdate") < B.cut(B.TOUCH_CUT)).select(
         F.lit("parts").alias("repo"), F.col("l_orderkey").alias("commit_id"),
-        F.expr("CASE WHEN l_partkey = 0 THEN '/c/w/src/index.ts' ELSE '/c/w/src/m' || CAST(l_partkey AS VARCHAR(20)) || '.ts' END").alias("path"))
+        F.expr("CASE WHEN l_partkey = 0 THEN '/c/w/src/index.ts' ELSE '/c/w/src/m' || CAST(l_partkey AS VARCHAR(20)) || "
+               + B.SOURCE_SUFFIX_SQL.format("l_partkey") + " END").alias("path"))
 
 
 PROMPT_K, PROMPT_LINES, PROMPT_COMPLEXITY = 40, 11, 6

@@ -177,7 +177,9 @@ def first_line_import_decls(lineitem: DataFrame, part: DataFrame) -> DataFrame:
 
 # A TypeScript file per part, as text: the same SQL writes it in Spark and in
 # the oracle, which counts from the columns what the metrics find in the text.
-SOURCE_PATH_SQL = "CASE WHEN p_partkey = 0 THEN 'C:/w/src/index.ts' ELSE 'C:/w/src/m' || CAST(p_partkey AS VARCHAR(20)) || '.ts' END"
+SOURCE_SUFFIX_SQL = "CASE WHEN {0} % 3 = 0 THEN '.tsx' ELSE '.ts' END"
+SOURCE_PATH_SQL = ("CASE WHEN p_partkey = 0 THEN 'C:/w/src/index.ts' ELSE 'C:/w/src/m' || CAST(p_partkey AS VARCHAR(20)) || "
+                   + SOURCE_SUFFIX_SQL.format("p_partkey") + " END")
 SOURCE_SQL = """
 'import { ' || split_part(p_name, ' ', 1) || ' as x, ' || split_part(p_name, ' ', 2) || ' } from "./m'
 || CAST(p_partkey - p_size AS VARCHAR(20)) || '";' || chr(10)
@@ -189,7 +191,14 @@ SOURCE_SQL = """
 || repeat('if (a > 1) { b(); }' || chr(10), p_size % 7)
 || CASE p_type WHEN 'SMALL' THEN 'switch (a) { case "x": break; case C.D: break; }' || chr(10)
      WHEN 'LARGE' THEN 'const o = { case: 1 }, v = a ? b : c ?? d;' || chr(10)
-     WHEN 'MEDIUM' THEN 'const p = <p>Don' || chr(39) || 't stop</p>;' || chr(10) ELSE '' END
+     WHEN 'MEDIUM' THEN 'const c = css`${p => p.on ? `a{${c}` : ""}`;' || chr(10)
+     WHEN 'STANDARD' THEN 'if (a) /[' || chr(39) || '"]/.test(b);' || chr(10) ELSE '' END
+|| CASE WHEN p_partkey % 3 = 0 AND p_partkey <> 0 THEN 'const p = <p title="it' || chr(39) || 's">Don' || chr(39) || 't stop? see http://x.y/z {a && <b>rock ' || chr(39) || 'n roll</b>}</p>;' || chr(10) ELSE '' END
+|| CASE WHEN p_partkey % 6 = 1 THEN 'export interface I1 { m?(): void; n?<T>(x: T): void }' || chr(10) || 'type C1<T> = T extends (infer U)[] ? U : never;' || chr(10)
+     || 'function g(a? : string) {}' || chr(10) ELSE '' END
+|| CASE WHEN p_partkey % 7 = 3 THEN 'namespace N { export const hid = 1; export function hid2() {} }' || chr(10) || 'declare module "q" { export function hid3(): void }' || chr(10) ELSE '' END
+|| CASE WHEN p_partkey % 11 = 4 THEN 'class P { if(x) { return x ?? 1; } catch(f) {} }' || chr(10) ELSE '' END
+|| CASE WHEN p_partkey % 13 = 5 THEN 'export const { a: { b1, c1 = [1, 2] }, ...d1 } = e;' || chr(10) || 'export import A1 = B.C;' || chr(10) ELSE '' END
 || CASE WHEN p_partkey % 4 IN (1, 2) THEN 'export * from ' || chr(39) || './m' || CAST(p_partkey - 1 AS VARCHAR(20)) || '.js' || chr(39) || ';' || chr(10) ELSE '' END
 || CASE WHEN p_partkey % 5 = 0 THEN 'import ".";' || chr(10) ELSE '' END
 || CASE WHEN p_type = 'PROMO' AND p_size >= 45 THEN 'export const broken = (' ELSE '' END
@@ -198,7 +207,10 @@ SOURCE_SQL = """
 
 def part_sources(part: DataFrame) -> DataFrame:
     """``repo, path, rel_path, content``: a source file per part."""
-    narrow = part.select("p_partkey", "p_name", "p_type", "p_size").repartition("p_partkey")
+    spark = part.sparkSession
+    # A count of its own keeps adaptive execution from making one task of narrow rows with much work.
+    wide = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    narrow = part.select("p_partkey", "p_name", "p_type", "p_size").repartition(wide, "p_partkey")
     path = F.expr(SOURCE_PATH_SQL)
     return narrow.select(F.lit("parts").alias("repo"), path.alias("path"), F.regexp_replace(path, "^C:/w/", "").alias("rel_path"),
                          F.expr(SOURCE_SQL).alias("content"))
