@@ -16,8 +16,9 @@ each row's links.
 A: the ``tokenizers`` file on a space and the text; special tokens are plain text.
 Texts of ordinary script are encoded with the same vocabulary's ranks, which
 give the same ids. B: the ``sentencepiece`` model on the text, to which it adds
-the space. Dictionaries are filled a block of bytes at a time, so a long text
-needs little beside its ids.
+the space. About a megabyte of texts is aligned as one, since a text's end is a common
+end; dictionaries are filled a block of bytes at a time, so a long text needs little
+beside its ids.
 
 Defined results: a null or empty text, and one whose tokens' bytes are not the
 space and the text, has no tokens: zeros and an empty digest; repeated rows
@@ -31,6 +32,8 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -38,13 +41,17 @@ from pyspark.sql import DataFrame, functions as F
 
 from faultline.llm._shared import slices, stored
 
-#: Bytes of a text whose ends are in the dictionaries at once.
-BLOCK = 1 << 20
+#: Bytes whose ends are in the dictionaries at once.
+BLOCK = 1 << 12
 #: Distinct links that a task holds before it sends their counts on.
 HELD = 1 << 20
 
 # Where the ranks' splitting rule may know other letters, or take long.
-_ODD = re.compile(r"[^\x00-⿿]|\S{4000}|\s{4000}")
+_UNKNOWN, _RUN, _GAP = re.compile("[^\x00-\u2fff]"), 4000, re.compile(r"\s{4000}")
+
+
+def _ordinary(text: str) -> bool:
+    return (text.isascii() or not _UNKNOWN.search(text)) and (len(text) < _RUN or max(map(len, text.split()), default=0) < _RUN and not _GAP.search(text))
 
 
 def byte_letters() -> dict[str, int]:
@@ -82,18 +89,27 @@ class Pair:
             self.b.append(bytes([int(piece[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", piece) else piece.replace("▁", " ").encode())
         self.sizes_a, self.sizes_b = (np.array([len(x) for x in v], np.int64) for v in (self.a, self.b))
 
-    def encode(self, text: str) -> tuple[list[int], list[int]]:
+    def encode(self, text: str | None) -> tuple[np.ndarray, list[int]]:
         """Ids of both, or none if either doesn't spell the space and the text."""
-        if not text:
-            return [], []
-        spaced = " " + text
-        if self.fast and not _ODD.search(text):
-            a = self.fast.encode_ordinary(spaced)
-        else:
-            a = self.slow.encode(spaced, add_special_tokens=False).ids
-        b = self.other.encode(text)
-        want = spaced.encode("utf-8", "surrogatepass")
-        return (a, b) if b"".join(map(self.a.__getitem__, a)) == want == b"".join(map(self.b.__getitem__, b)) else ([], [])
+        if text:
+            spaced = " " + text
+            want = spaced.encode("utf-8", "surrogatepass")
+            if self.fast and _ordinary(text):
+                a = self.fast.encode_to_numpy(spaced, disallowed_special=())
+                same = self.fast.decode_bytes(a) == want
+            else:
+                a = np.array(self.slow.encode(spaced, add_special_tokens=False).ids, np.uint32)
+                same = b"".join(map(self.a.__getitem__, a.tolist())) == want
+            if same:
+                b = self.other.encode(text)
+                if b"".join(map(self.b.__getitem__, b)) == want:
+                    return a, b
+        return np.empty(0, np.uint32), []
+
+    def names(self) -> list[str]:
+        """Each id of A and of B as text inside a group, then each as the last of its side."""
+        a, b = ([str(i) for i in range(len(v))] for v in (self.a, self.b))
+        return [x + "," for x in a] + [x + "," for x in b] + [x + "|" for x in a] + [x + ";" for x in b]
 
     def most_links(self) -> int:
         """No more than so many different ids can be linked: of two that end together one spells a suffix of the other."""
@@ -104,49 +120,56 @@ class Pair:
         return sum(other.get(x[i:], 0) for v, other in ((self.a, spelled_b), (self.b, spelled_a)) for x in v for i in range(len(x)))
 
 
-def cuts(ends_a: np.ndarray, ends_b: np.ndarray, block: int = BLOCK) -> tuple[list[int], list[int]]:
+def cuts(ends_a: np.ndarray, ends_b: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
     """Of two rising lists of ends the indices of those in both, by dictionaries
     from end to index over one block of bytes after the other."""
-    at_a, at_b, low = [], [], 0
     total = int(ends_a[-1]) if len(ends_a) else 0
-    i = j = 0
-    while low < total:
-        low += block
-        to_i, to_j = int(np.searchsorted(ends_a, low, "right")), int(np.searchsorted(ends_b, low, "right"))
+    at_a, at_b, i, j = [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0, 0
+    borders = np.arange(block, total + block, block)
+    for to_i, to_j in zip(np.searchsorted(ends_a, borders, "right").tolist(), np.searchsorted(ends_b, borders, "right").tolist()):
         index_a = dict(zip(ends_a[i:to_i].tolist(), range(i, to_i)))
         index_b = dict(zip(ends_b[j:to_j].tolist(), range(j, to_j)))
         common = sorted(index_a.keys() & index_b.keys())
-        at_a += map(index_a.__getitem__, common)
-        at_b += map(index_b.__getitem__, common)
+        at_a.append(np.fromiter(map(index_a.__getitem__, common), np.int64, len(common)))
+        at_b.append(np.fromiter(map(index_b.__getitem__, common), np.int64, len(common)))
         i, j = to_i, to_j
-    return at_a, at_b
+    return np.concatenate(at_a), np.concatenate(at_b)
+
 
+class Aligned(NamedTuple):
+    """Texts one behind the other: a text's end is a common end, so they align as one."""
 
-def groups(a: list[int], b: list[int], at_a: list[int], at_b: list[int]) -> Iterator[tuple[list[int], list[int]]]:
-    """The id lists, sliced behind the common ends."""
-    i = j = 0
-    for x, y in zip(at_a, at_b):
-        yield a[i: x + 1], b[j: y + 1]
-        i, j = x + 1, y + 1
+    a: np.ndarray  #: ids
+    b: np.ndarray
+    last_a: np.ndarray  #: of each group the indices of its last ids
+    last_b: np.ndarray
+    of_a: np.ndarray  #: of each text the indices of its first ids and group, and their numbers at the end
+    of_b: np.ndarray
+    of_group: np.ndarray
 
 
-def spelled(a: list[int], b: list[int], at_a: list[int], at_b: list[int]) -> str:
-    """``a1,a2|b1;a3|b2,b3``: the groups as text."""
-    names_a, names_b, out, i, j = list(map(str, a)), list(map(str, b)), [], 0, 0
-    for x, y in zip(at_a, at_b):
-        x += 1
-        y += 1
-        out.append((names_a[i] if x - i == 1 else ",".join(names_a[i:x])) + "|" + (names_b[j] if y - j == 1 else ",".join(names_b[j:y])))
-        i, j = x, y
-    return ";".join(out)
+def aligned(pair: Pair, texts: list[str | None]) -> Aligned:
+    encoded = [pair.encode(t) for t in texts]
+    of_a, of_b = (np.cumsum([0, *(len(x[k]) for x in encoded)]) for k in (0, 1))
+    a = np.concatenate([np.empty(0, np.uint32), *(x[0] for x in encoded)]).astype(np.int64)
+    b = np.fromiter(chain.from_iterable(x[1] for x in encoded), np.int64, int(of_b[-1]))
+    last_a, last_b = cuts(np.cumsum(pair.sizes_a[a]), np.cumsum(pair.sizes_b[b]))
+    return Aligned(a, b, last_a, last_b, of_a, of_b, np.searchsorted(last_a, of_a))
 
 
-def _aligned(pair: Pair, text: str | None) -> tuple[list[int], list[int], list[int], list[int]]:
-    a, b = pair.encode(text or "")
-    if not a:
-        return [], [], [], []
-    ids_a, ids_b = np.array(a, np.int64), np.array(b, np.int64)
-    return a, b, *cuts(np.cumsum(pair.sizes_a[ids_a]), np.cumsum(pair.sizes_b[ids_b]))
+def spelled(found: Aligned, names: list[str]) -> list[str]:
+    """``a1,a2|b1;a3|b2,b3``: of each text the groups as text."""
+    size_a, half = names.index("0,", 1), len(names) // 2
+    to_a, to_b = np.append(0, found.last_a + 1), np.append(0, found.last_b + 1)
+    # An id stands behind its own and the other list's earlier groups; B's behind A's of its group, too.
+    place_a = np.arange(len(found.a)) + np.repeat(to_b[:-1], np.diff(to_a))
+    place_b = np.arange(len(found.b)) + np.repeat(to_a[1:], np.diff(to_b))
+    out = np.empty(len(found.a) + len(found.b), np.int64)
+    out[place_a], out[place_b] = found.a, found.b + size_a
+    out[place_a[found.last_a]] += half
+    out[place_b[found.last_b]] += half
+    text, at = list(map(names.__getitem__, out.tolist())), (found.of_a + found.of_b).tolist()
+    return ["".join(text[i:j])[:-1] for i, j in zip(at, at[1:])]
 
 
 def align(docs: DataFrame, bpe: str, pieces: str, ranks: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -157,7 +180,9 @@ def align(docs: DataFrame, bpe: str, pieces: str, ranks: str | None = None, id_c
         pair = Pair(bpe, pieces, ranks)
         for batch in batches:
             for part in slices(batch, "text"):
-                rows = [[{"a": x, "b": y} for x, y in groups(*_aligned(pair, t))] for t in part.column("text").to_pylist()]
+                found = aligned(pair, part.column("text").to_pylist())
+                own = [{"a": x, "b": y} for x, y in zip(np.split(found.a, found.last_a + 1), np.split(found.b, found.last_b + 1))]
+                rows = [own[i:j] for i, j in zip(found.of_group, found.of_group[1:])]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(rows, kind)], ["doc_id", "groups"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
@@ -171,17 +196,24 @@ def linked(docs: DataFrame, bpe: str, pieces: str, ranks: str | None = None, id_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = Pair(bpe, pieces, ranks)
+        spelling, wide = pair.names(), len(pair.b)
         for batch in batches:
             for part in slices(batch, "text"):
-                rows = []
-                for text in part.column("text").to_pylist():
-                    a, b, at_a, at_b = _aligned(pair, text)
-                    ids = (np.array(a, np.int64)[at_a] << 32) + np.array(b, np.int64)[at_b] if a else np.empty(0, np.int64)
-                    own, times = np.unique(ids, return_counts=True)
-                    rows.append((len(a), len(b), len(at_a), own, times, hashlib.sha256(spelled(a, b, at_a, at_b).encode()).hexdigest() if a else ""))
-                columns = list(zip(*rows))
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.string()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, columns, kinds)], names)
+                found = aligned(pair, part.column("text").to_pylist())
+                n = [pa.array(np.diff(x)) for x in (found.of_a, found.of_b, found.of_group)]
+                digests = [hashlib.sha256(x.encode()).hexdigest() if x else "" for x in spelled(found, spelling)]
+                # Different links of each text: text, then link, as one number where that has 64 bits.
+                links, owner = found.a[found.last_a] * wide + found.b[found.last_b], np.repeat(np.arange(part.num_rows), np.diff(found.of_group))
+                span = len(pair.a) * wide
+                if part.num_rows * span < 1 << 63:
+                    own, times = np.unique(owner * span + links, return_counts=True)
+                    owner, links = np.divmod(own, span)
+                else:
+                    (owner, links), times = np.unique(np.stack([owner, links]), axis=1, return_counts=True)
+                edges = pa.array(np.searchsorted(owner, np.arange(part.num_rows + 1)), pa.int32())
+                links = (links // wide << 32) + links % wide
+                lists = [pa.ListArray.from_arrays(edges, pa.array(x)) for x in (links, times.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *n, *lists, pa.array(digests, pa.string())], names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return stored(rows.mapInArrow(run, "doc_id long, n_a long, n_b long, n_groups long, links array<long>, times array<int>, groups_sha256 string"), "links")
