@@ -71,9 +71,9 @@ def import_targets(files: DataFrame, keys=("repo",), path: str = "path") -> Data
 
 
 def resolve_import_rows(decls: DataFrame, files: DataFrame, keys=("repo",),
-                        path: str = "path") -> DataFrame:
+                        path: str = "path", carry=()) -> DataFrame:
     """Import edges ``(keys…, src_path, dst_path)`` from declaration rows
-    ``(keys…, src_path, decl_pos, spec)``.
+    ``(keys…, src_path, decl_pos, spec)``; ``carry`` names further columns that edges keep apart.
 
     Only relative specifiers (``.``, ``..``, ``./…``, ``../…``) resolve; bare
     package names and path aliases do not (no tsconfig is read). A specifier
@@ -85,14 +85,14 @@ def resolve_import_rows(decls: DataFrame, files: DataFrame, keys=("repo",),
     keys = list(keys)
     decl = decls.filter(F.col("spec").rlike(r"^\.{1,2}(/|$)"))
     src_dir = parent_dir(F.col("src_path").cast("string"))
-    folded = decl.select(*keys, "src_path", _fold_dots(join_dir(src_dir, F.col("spec"))).alias("_base"),
+    folded = decl.select(*keys, "src_path", *carry, _fold_dots(join_dir(src_dir, F.col("spec"))).alias("_base"),
                          F.col("spec").rlike(r"(^|/)\.{0,2}$").alias("_dir"))
     is_js = F.col("_base").rlike(JS_EXTENSION) & ~F.col("_dir")
-    spelled = folded.select(*keys, "src_path", "_dir", is_js.alias("_js"),
+    spelled = folded.select(*keys, "src_path", *carry, "_dir", is_js.alias("_js"),
                             F.when(is_js, F.regexp_replace("_base", JS_EXTENSION, "")).otherwise(F.col("_base")).alias("key"))
     hits = spelled.join(import_targets(files, keys, path), [*keys, "key"])
     to = F.when(F.col("_dir"), F.col("to_dir")).when(F.col("_js"), F.col("to_file")).otherwise(F.col("to_any"))
-    return (hits.select(*keys, "src_path", to.alias("dst_path"))
+    return (hits.select(*keys, "src_path", to.alias("dst_path"), *carry)
             .filter(F.col("dst_path").isNotNull() & (F.col("dst_path") != F.col("src_path").cast("string"))).distinct())
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from faultline.functions import text as tx, tokens as tk
-from faultline.operators.graph import fan_in, resolve_import_rows, resolve_imports
+from faultline.operators.graph import fan_in, resolve_import_rows
 from faultline.session import stored
 
 
@@ -37,35 +37,68 @@ def file_metrics(source_files: DataFrame, keys=("repo",), path: str = "path",
         "has_syntax_errors", tx.star_export_specifiers("_declarations").alias("star_exports"))
 
 
-def star_closure(metrics: DataFrame, keys=("repo",), path: str = "path") -> DataFrame:
+def star_edges(metrics: DataFrame, keys=("repo",), path: str = "path") -> DataFrame:
+    """``(keys…, src_path, dst_path)`` of ``export * from "…"`` declarations."""
+    decls = metrics.filter(F.size("star_exports") > 0).select(
+        *keys, F.col(path).alias("src_path"), F.posexplode("star_exports").alias("decl_pos", "spec"))
+    return resolve_import_rows(decls, metrics, keys, path)
+
+
+def star_closure(metrics: DataFrame, keys=("repo",), path: str = "path", edges: DataFrame | None = None) -> DataFrame:
     """``(keys…, path, symbol)``: the names that each file re-exports through
     ``export * from "…"`` (never ``default``), over chains of any length.
 
-    Names move one file further per round, only the new ones, until none is
-    new; each round's names are a stored table, so a round costs a join of the
-    new names with the star edges whatever the rounds before it did.
+    Reachable pairs of files double their distance each round (new pairs met with
+    all pairs on either side), so a chain of n files takes about log2 n rounds,
+    each of one aggregate into one stored table. Files that reach each other are
+    one from then on (the least of them), so a cycle doesn't make pairs of all
+    its files. Names join the pairs once, at the end.
     """
     keys = list(keys)
-    decls = metrics.filter(F.size("star_exports") > 0).select(
-        *keys, F.col(path).alias("src_path"), F.posexplode("star_exports").alias("decl_pos", "spec"))
-    edges = stored(resolve_import_rows(decls, metrics, keys, path), "star-edges")
-    targets = edges.select(*keys, F.col("dst_path").alias(path)).distinct()
-    new = stored(metrics.join(targets, [*keys, path], "left_semi").select(
-        *keys, path, F.explode("exported_symbols").alias("symbol")).filter("symbol <> 'default'").distinct(), "star-names")
-    known = new.limit(0)
-    while not new.isEmpty():
-        moved = new.withColumnRenamed(path, "dst_path").join(edges, [*keys, "dst_path"]).select(
-            *keys, F.col("src_path").alias(path), "symbol").distinct()
-        new = stored(moved.join(known, [*keys, path, "symbol"], "left_anti"), "star-names")
-        known = known.union(new)
-    return known
-
-
-def follow_star_exports(metrics: DataFrame, keys=("repo",), path: str = "path") -> DataFrame:
+    start = star_edges(metrics, keys, path) if edges is None else edges
+    reach = stored(start.select(*keys, F.col("src_path").alias("a"), F.col("dst_path").alias("b"), F.lit(0).alias("round")), "star-pairs")
+    # The file that stands for each; only those that were in a cycle have a row.
+    standing = reach.limit(0).select(*keys, F.col("a").alias(path), F.col("b").alias("stands"))
+    n = 0
+    while not reach.filter(F.col("round") == n).isEmpty():
+        n += 1
+        new = reach.filter(F.col("round") == n - 1)
+        forth = new.select(*keys, "a", F.col("b").alias("m")).join(reach.select(*keys, F.col("a").alias("m"), "b"), [*keys, "m"])
+        back = reach.select(*keys, "a", F.col("b").alias("m")).join(new.select(*keys, F.col("a").alias("m"), "b"), [*keys, "m"])
+        met = forth.union(back).select(*keys, "a", "b", F.lit(n).alias("round"))
+        reach = stored(reach.union(met).groupBy(*keys, "a", "b").agg(F.min("round").alias("round")), "star-pairs")
+        loops = reach.groupBy(*keys, F.greatest("a", "b").alias(path), F.least("a", "b").alias("low")).agg(
+            F.count_if(F.col("a") <= F.col("b")).alias("up"), F.count_if(F.col("a") >= F.col("b")).alias("down")).filter(
+            (F.col("up") > 0) & (F.col("down") > 0) & (F.col(path) != F.col("low")))
+        merged = stored(loops.groupBy(*keys, path).agg(F.min("low").alias("into")), "star-loops")
+        if merged.isEmpty():
+            continue
+        # All pairs count as new: a merged cycle brings its files' neighbours nearer.
+        ends = reach.select(*keys, "a", "b")
+        for end in ("a", "b"):
+            ends = ends.join(merged.select(*keys, F.col(path).alias(end), F.col("into").alias("_into")), [*keys, end], "left").withColumn(
+                end, F.coalesce("_into", end)).drop("_into")
+        reach = stored(ends.filter(F.col("a") != F.col("b")).select(*keys, "a", "b").distinct().withColumn("round", F.lit(n)), "star-pairs")
+        moved = standing.join(merged.select(*keys, F.col(path).alias("stands"), "into"), [*keys, "stands"], "left").select(
+            *keys, path, F.coalesce("into", "stands").alias("stands"))
+        fresh = merged.join(standing.select(*keys, path), [*keys, path], "left_anti").select(*keys, path, F.col("into").alias("stands"))
+        standing = stored(moved.union(fresh), "star-standing")
+    names = metrics.select(*keys, F.col(path).cast("string").alias(path), F.explode("exported_symbols").alias("symbol")).filter("symbol <> 'default'")
+    held = names.join(standing, [*keys, path], "left").select(*keys, F.coalesce("stands", path).alias("b"), "symbol").distinct()
+    # A file of a cycle also gets the names of the file that stands for it.
+    looped = standing.select(*keys, F.col("stands").alias("a")).distinct()
+    pairs = reach.select(*keys, "a", "b").union(looped.select(*keys, "a", F.col("a").alias("b")))
+    given = pairs.join(held, [*keys, "b"]).select(*keys, "a", "symbol").distinct()
+    alone = given.select(*keys, F.col("a").alias(path), "symbol")
+    members = standing.withColumnRenamed("stands", "a").join(given, [*keys, "a"]).select(*keys, path, "symbol")
+    return alone.union(members)
+
+
+def follow_star_exports(metrics: DataFrame, keys=("repo",), path: str = "path", edges: DataFrame | None = None) -> DataFrame:
     """``metrics`` with the names of :func:`star_closure` added to
     ``exported_symbols``: the file's own first, the re-exported ones sorted."""
     keys = list(keys)
-    added = star_closure(metrics, keys, path).groupBy(*keys, path).agg(F.array_sort(F.collect_set("symbol")).alias("_more"))
+    added = star_closure(metrics, keys, path, edges).groupBy(*keys, path).agg(F.array_sort(F.collect_set("symbol")).alias("_more"))
     joined = metrics.join(added, [*keys, path], "left")
     return joined.withColumn("exported_symbols", F.array_distinct(F.concat(
         "exported_symbols", F.coalesce("_more", F.array().cast("array<string>"))))).select(*metrics.columns)
@@ -79,5 +112,15 @@ def scan(source_files: DataFrame, keys=("repo",), path: str = "path",
     stored table that edges, closure and fan-in start from.
     """
     m = stored(file_metrics(source_files, keys, path, content), "file-metrics")
-    edges = resolve_imports(m, keys=keys, path=path)
-    return fan_in(follow_star_exports(m, keys, path), edges, keys=keys, path=path)
+    return scan_metrics(m, keys, path)
+
+
+def scan_metrics(m: DataFrame, keys=("repo",), path: str = "path") -> DataFrame:
+    """:func:`scan` from stored file metrics. Imports and star exports are resolved by one
+    join against one index of the files' keys; the edges are a stored table."""
+    keys = list(keys)
+    spelled = [m.select(*keys, F.col(path).alias("src_path"), F.explode(specs).alias("spec"), F.lit(star).alias("star"))
+               for specs, star in (("imported_from", False), ("star_exports", True))]
+    edges = stored(resolve_import_rows(spelled[0].union(spelled[1]), m, keys, path, carry=("star",)), "edges")
+    pairs = lambda star: edges.filter(F.col("star") == star).drop("star")
+    return fan_in(follow_star_exports(m, keys, path, pairs(True)), pairs(False), keys=keys, path=path)

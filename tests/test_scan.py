@@ -122,3 +122,53 @@ def test_forest_reads_many_repos_at_once(spark, tmp_dir):
     assert got == [("one", "src/a.ts"), ("one", "src/b.ts"), ("two", "b.ts")]
     fans = {(r.repo, r.path.rsplit("/", 1)[1]): r.fan_in for r in scan(df).collect()}
     assert fans == {("one", "a.ts"): 0, ("one", "b.ts"): 1, ("two", "b.ts"): 0}
+
+
+def closure_of(spark, files, monkeypatch=None):
+    """Names by file through star_closure, and the rounds it took."""
+    from faultline.operators import metrics as M
+    rows = [("r", p, own, [f"./{t}" for t in stars]) for p, own, stars in files]
+    df = spark.createDataFrame(rows, "repo string, path string, exported_symbols array<string>, star_exports array<string>")
+    tables = []
+    if monkeypatch:
+        plain = M.stored
+        monkeypatch.setattr(M, "stored", lambda d, name: tables.append(name) or plain(d, name))
+    got = {}
+    for r in M.star_closure(df).collect():
+        got.setdefault(r.path, set()).add(r.symbol)
+    return got, tables.count("star-pairs")
+
+
+def test_chain_of_forty_in_eight_rounds(spark, monkeypatch):
+    files = [(f"f{i:02}.ts", [f"n{i}", "default"], [f"f{i + 1:02}"] if i < 39 else []) for i in range(40)]
+    got, rounds = closure_of(spark, files, monkeypatch)
+    assert got == {f"f{i:02}.ts": {f"n{j}" for j in range(i + 1, 40)} for i in range(39)}
+    assert rounds <= 8
+
+
+def test_closure_of_random_graphs(spark):
+    import random
+    rng = random.Random(2)
+    for n, m in ((6, 9), (14, 16), (30, 34)):
+        stars = {i: sorted({rng.randrange(n) for _ in range(m // n + (rng.random() < m / n % 1))} - {i}) for i in range(n)}
+        got, _ = closure_of(spark, [(f"f{i}.ts", [f"n{i}"], [f"f{j}" for j in stars[i]]) for i in range(n)])
+        for i in range(n):
+            seen, todo = set(), list(stars[i])
+            while todo:
+                j = todo.pop()
+                if j not in seen:
+                    seen.add(j)
+                    todo += stars[j]
+            # a file in a cycle has its own names anyway
+            assert got.get(f"f{i}.ts", set()) - {f"n{i}"} == {f"n{j}" for j in seen} - {f"n{i}"}
+
+
+def test_one_join_resolves_imports_and_stars(spark, tmp_dir):
+    from faultline.operators.metrics import file_metrics, scan_metrics
+    from faultline.session import stored
+    write(tmp_dir, "a.ts", 'import { b } from "./b";\nexport * from "./b";\nexport * from "./c";')
+    write(tmp_dir, "b.ts", "export const b = 1;")
+    write(tmp_dir, "c.ts", "export const c = 1;\nexport * from './a';")
+    m = stored(file_metrics(read_source_tree(spark, tmp_dir, repo="r")), "file-metrics")
+    got = {r.rel_path: (r.fan_in, sorted(r.exported_symbols)) for r in scan_metrics(m).collect()}
+    assert got == {"a.ts": (0, ["b", "c"]), "b.ts": (1, ["b"]), "c.ts": (0, ["b", "c"])}
