@@ -1008,6 +1008,25 @@ def q_drift_prompts(spark, d):
         "path", F.col("rank").cast("long").alias("rank"), "prompt")
 
 
+@register("forest_prompts", ORACLE["drift_prompts"])
+def q_forest_prompts(spark, d):
+    """The parts' files written as a tree, scanned as a forest; only the candidates' files are opened again."""
+    from faultline.plans import jobs
+    from faultline.sources.source_tree import read_source_forest, write_source_tree
+    at = _fresh(spark, "forest")
+    write_source_tree(_sources(spark, d).withColumn("rel_path", F.concat(F.lit("parts/"), F.col("rel_path"))), at)
+    files = read_source_forest(spark, at)
+    top = F.regexp_extract("path", "^(.*/)parts/src/[^/]*$", 1)
+    commits = _source_commits(spark, d).withColumn("path", F.regexp_replace("path", "^/c/w/", ""))
+    # History lines name files from their repository's root.
+    rooted = files.select("repo", F.concat(top, F.lit("parts/")).alias("root")).limit(1)
+    commits = commits.join(rooted, "repo").withColumn("path", F.concat("root", "path")).drop("root")
+    scored = jobs.scored_files(files, commits)
+    return jobs.drift_prompts(scored, at, PROMPT_K, PROMPT_LINES, PROMPT_COMPLEXITY).select(
+        F.concat(F.lit("C:/w/"), F.col("rel_path")).alias("path"), F.col("rank").cast("long").alias("rank"),
+        F.replace("prompt", F.concat(top, F.lit("parts/")), F.lit("C:/w/")).alias("prompt"))
+
+
 def _source_changes(spark, d):
     """Staged changes: each order line changes its part's file (open lines) or a script."""
     part = table(spark, d, "part").select("p_partkey", "p_name", "p_type", "p_size")

@@ -1,5 +1,7 @@
-"""User-level jobs (E1-E5), composed from the operators. Each returns
-DataFrames; nothing runs until the caller writes or collects."""
+"""User-level jobs (E1-E5), composed from the operators. Each returns DataFrames.
+A scan, the candidates of a prompt job and paired answers are written to the
+shared folder while a job is put together; what comes after them runs when the
+caller writes or collects."""
 
 from __future__ import annotations
 
@@ -13,6 +15,7 @@ from faultline.operators import baseline as BL, candidates as C, gate as G, hist
 from faultline.operators import scoring as S, validation as V
 from faultline.operators.metrics import file_metrics, scan
 from faultline.session import stored
+from faultline.sources.source_tree import read_contents
 
 DEFAULT_SCAN_TOP = 25
 #: Candidate rows (a few hundred bytes each) that may be broadcast.
@@ -86,21 +89,26 @@ def baseline_snapshot(scored: DataFrame, created_at, tool_version: str, keys=("r
     return BL.baseline_rows(scored, created_at, tool_version, keys=keys, root=root)
 
 
-def drift_prompts(scored: DataFrame, source_files: DataFrame, k: int = C.DEFAULT_TOP,
+def drift_prompts(scored: DataFrame, source_files: DataFrame | str, k: int = C.DEFAULT_TOP,
                   min_lines: int = C.DEFAULT_MIN_LINES,
                   min_complexity: int = C.DEFAULT_MIN_COMPLEXITY, keys=("repo",)) -> DataFrame:
     """Drop broken files, take the top k per repository, apply the
     thresholds, and build the analysis prompt of each remaining candidate.
 
-    The candidates are stored and counted: up to ``SENT`` of them (k for each of
-    many repositories) are sent to the contents, so those aren't shuffled;
+    ``source_files`` is the root of the tree that was scanned, of which then only
+    the candidates' files are opened, or a table with the contents. The
+    candidates are stored first. Up to ``SENT`` of them (k for each of
+    many repositories) are sent to a table's contents, so those aren't shuffled;
     beyond that both sides meet in a shuffle."""
     cand = C.drift_candidates(scored, k, min_lines, min_complexity, keys=keys)
     chosen = stored(cand.filter(F.col("status") == "candidate"), "drift-candidates")
-    src = source_files.select(*keys, "path", "content")
-    few = chosen.count() <= SENT
-    return src.join(F.broadcast(chosen) if few else chosen, [*keys, "path"]).select(*chosen.columns, "content").withColumn(
-        "prompt", build_prompt("path", "exported_symbols", "content", "touch_count")).drop("content")
+    if isinstance(source_files, str):
+        found = read_contents(scored.sparkSession, source_files, chosen)
+    else:
+        src = source_files.select(*keys, "path", "content")
+        few = chosen.count() <= SENT
+        found = src.join(F.broadcast(chosen) if few else chosen, [*keys, "path"]).select(*chosen.columns, "content")
+    return found.withColumn("prompt", build_prompt("path", "exported_symbols", "content", "touch_count")).drop("content")
 
 
 def drift_results(candidates: DataFrame, responses: DataFrame, keys=("repo",)):

@@ -191,7 +191,7 @@ SOURCE_SQL = """
 || repeat('if (a > 1) { b(); }' || chr(10), p_size % 7)
 || CASE p_type WHEN 'SMALL' THEN 'switch (a) { case "x": break; case C.D: break; }' || chr(10)
      WHEN 'LARGE' THEN 'const o = { case: 1 }, v = a ? b : c ?? d;' || chr(10)
-     WHEN 'MEDIUM' THEN 'const c = css`${p => p.on ? `a{${c}` : ""}`;' || chr(10)
+     WHEN 'MEDIUM' THEN 'const c = css`${p => p.on ? `a{${ c }` : ""}`;' || chr(10)
      WHEN 'STANDARD' THEN 'if (a) /[' || chr(39) || '"]/.test(b);' || chr(10) ELSE '' END
 || CASE WHEN p_partkey % 3 = 0 AND p_partkey <> 0 THEN 'const p = <p title="it' || chr(39) || 's">Don' || chr(39) || 't stop? see http://x.y/z {a && <b>rock ' || chr(39) || 'n roll</b>}</p>;' || chr(10) ELSE '' END
 || CASE WHEN p_partkey % 6 = 1 THEN 'export interface I1 { m?(): void; n?<T>(x: T): void }' || chr(10) || 'type C1<T> = T extends (infer U)[] ? U : never;' || chr(10)

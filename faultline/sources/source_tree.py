@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from faultline.operators.filters import IGNORED_DIRS, path_rules
 
@@ -28,6 +28,16 @@ def _opened(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+#: What Hadoop calls a store that Arrow knows by another scheme.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
+def arrow_uri(uri: str) -> str:
+    """A Hadoop URI as Arrow's file systems spell it."""
+    scheme, colon, rest = uri.partition("://")
+    return f"{SCHEMES.get(scheme, scheme)}{colon}{rest}"
+
+
 def _root(spark: SparkSession, root: str) -> tuple[str, str]:
     """The root as a URI, and its path without the scheme; raises unless it is a directory."""
     jvm = spark.sparkContext._jvm
@@ -38,7 +48,7 @@ def _root(spark: SparkSession, root: str) -> tuple[str, str]:
     if not store.getFileStatus(p).isDirectory():
         raise NotADirectoryError(f"Path is not a directory: {root}")
     uri = store.makeQualified(p).toUri()
-    return (f"file://{uri.getPath()}" if uri.getScheme() == "file" else uri.toString()), uri.getPath().rstrip("/")
+    return (f"file://{uri.getPath()}" if uri.getScheme() == "file" else arrow_uri(uri.toString())), uri.getPath().rstrip("/")
 
 
 def _lister(uri: str, deep: bool, pruned: frozenset[str], endings: tuple[str, ...]) -> Callable:
@@ -151,6 +161,57 @@ def read_source_forest(spark: SparkSession, base: str, include=None,
     return _read(rows, uri, include, exclude)
 
 
+def read_contents(spark: SparkSession, root: str, files: DataFrame, path: str = "path") -> DataFrame:
+    """``files`` with the ``content`` of each: only the files of these rows are
+    opened. ``path`` is as :func:`read_source_tree` gives it, under ``root``; content is
+    null for a file that is gone."""
+    uri, top = _root(spark, root)
+    schema = T.StructType([f for f in files.schema.fields if f.name != "content"] + [T.StructField("content", T.StringType())])
+    own = [f.name for f in schema.fields[:-1]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = _opened(uri)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                try:
+                    with store.open_input_stream(base.rstrip("/") + row.column(path)[0].as_py()[len(top):]) as file:
+                        text = file.read().decode("utf-8", "replace")
+                except FileNotFoundError:
+                    text = None
+                yield pa.RecordBatch.from_arrays([*(row.column(c) for c in own), pa.array([text], pa.string())], schema.names)
+
+    wide = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return files.select(*own).repartition(wide, path).mapInArrow(_by_value(run), schema)
+
+
+def write_source_tree(files: DataFrame, root: str, rel_path: str = "rel_path", content: str = "content") -> None:
+    """Writes each row's content to its file under ``root``, in tasks."""
+    spark = files.sparkSession
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(root)
+    store = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.mkdirs(p)
+    uri, _ = _root(spark, root)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        target, base = _opened(uri)
+        made, n = set(), 0
+        for batch in batches:
+            for rel, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                at = f"{base.rstrip('/')}/{rel}"
+                folder = at.rsplit("/", 1)[0]
+                if folder not in made:
+                    target.create_dir(folder, recursive=True)
+                    made.add(folder)
+                with target.open_output_stream(at) as file:
+                    file.write((text or "").encode())
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    files.select(F.col(rel_path), F.col(content)).mapInArrow(_by_value(run), "n long").agg(F.sum("n")).collect()
+
+
 def read_source_table(spark: SparkSession, table_or_path: str, fmt: str = "parquet") -> DataFrame:
     """An existing ``source_files(repo, path, content)`` table or dataset."""
     if "/" in table_or_path:

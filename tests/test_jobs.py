@@ -122,3 +122,20 @@ def test_empty_logs_are_history(spark, tmp_dir):
     write(tmp_dir, "repo=_y/history.txt", "src/a.ts\n")
     assert sorted(r.repo for r in history_repos(spark, tmp_dir).collect()) == ["_y", "x"]
     assert [(r.repo, r.path) for r in read_commit_log(spark, tmp_dir).collect()] == [("_y", "src/a.ts")]
+
+
+def test_prompts_open_only_the_candidates(spark, tmp_dir):
+    root = os.path.join(tmp_dir, "repo")
+    tree(root)
+    scored = jobs.scored_files(read_source_tree(spark, root, repo="r"))
+    scored = scored.cache()
+    want = [r.prompt for r in jobs.drift_prompts(scored, read_source_tree(spark, root, repo="r"), k=2).collect()]
+    for name in ("b.ts", "c.ts", "util.ts"):  # not candidates: they need not be there any more
+        os.truncate(os.path.join(root, "src", name), 0)
+    got = jobs.drift_prompts(scored, root, k=2).collect()
+    assert [r.prompt for r in got] == want and len(want) == 1
+
+
+def test_stores_by_arrow_schemes():
+    from faultline.sources.source_tree import arrow_uri
+    assert arrow_uri("s3a://bucket/a/b") == "s3://bucket/a/b" and arrow_uri("hdfs://h:1/a") == "hdfs://h:1/a" and arrow_uri("gs://b/c") == "gs://b/c"

@@ -57,3 +57,49 @@ def test_candidates_limit_before_threshold(spark):
     assert every == {"big": "candidate", "small": "skipped_small", "broken": "broken",
                      "next": "beyond_top"}
     assert top.filter(F.col("eligible")).count() == 1
+
+
+def test_logs_of_any_name_in_byte_ranges(spark, tmp_dir):
+    import gzip
+    import os
+    import random
+    from faultline.sources.history_log import CommitLogReader, history_repos, read_commit_log
+    rng, want = random.Random(1), {}
+    logs = {"_x.log": "", ".github.log": "", "plain.log": "", "repo=deep/2024/part.txt": "", "zip.log.gz": "", "none.log": ""}
+    for name, repo in (("_x.log", "_x"), (".github.log", ".github"), ("plain.log", "plain"), ("repo=deep/2024/part.txt", "deep"), ("zip.log.gz", "zip")):
+        lines = ["".join(rng.choice("ab/é") for _ in range(rng.choice([0, 1, 3, 40]))) + ".ts" * rng.randrange(2) for _ in range(60)]
+        logs[name] = "\n".join(lines) + ("\n" if rng.random() < 0.5 else "\r\n  src/last.tsx")
+        want[repo] = sorted(x.strip() for x in logs[name].split("\n") if x.strip())
+    for name, text in logs.items():
+        at = os.path.join(tmp_dir, name)
+        os.makedirs(os.path.dirname(at), exist_ok=True)
+        with (gzip.open if name.endswith("gz") else open)(at, "wb") as f:
+            f.write(text.encode())
+    open(os.path.join(tmp_dir, "_SUCCESS"), "w").close()
+    df = read_commit_log(spark, tmp_dir, apply_filter=False, split_bytes=300)
+    got = {}
+    for r in df.collect():
+        got.setdefault(r.repo, []).append(r.path)
+    assert {k: sorted(v) for k, v in got.items()} == want and df.rdd.getNumPartitions() > 10
+    for split in (1, 7, 64, 1000, 1 << 20):
+        reader, got = CommitLogReader({"uri": f"file://{os.path.realpath(tmp_dir)}", "range": split}), {}
+        for part in reader.partitions():
+            for batch in reader.read(part):
+                got.setdefault(part.repo, []).extend(batch.column("path").to_pylist())
+        assert {k: sorted(v) for k, v in got.items()} == want, split
+    assert sorted(r.repo for r in history_repos(spark, tmp_dir).collect()) == sorted([*want, "none"])
+
+
+def test_filters_reach_the_logs(spark, tmp_dir):
+    import os
+    from pyspark.sql import functions as F
+    from faultline.sources import history_log as H
+    for repo in ("one", "two"):
+        with open(os.path.join(tmp_dir, f"{repo}.log"), "w") as f:
+            f.write("src/a.ts\nlib/b.ts\nsrc/c.js\n")
+    df = H.read_commit_log(spark, tmp_dir, apply_filter=False).filter((F.col("repo") == "two") & F.col("path").startswith("src/") & (F.length("path") > 3))
+    assert sorted((r.repo, r.path) for r in df.collect()) == [("two", "src/a.ts"), ("two", "src/c.js")]
+    reader = H.CommitLogReader({"uri": f"file://{os.path.realpath(tmp_dir)}"})
+    left = list(reader.pushFilters([H.EqualTo(("repo",), "two"), H.StringStartsWith(("path",), "src/"), H.StringEndsWith(("repo",), "o")]))
+    assert len(left) == 1 and [p.repo for p in reader.partitions()] == ["two"]
+    assert [b.column("path").to_pylist() for p in reader.partitions() for b in reader.read(p)] == [["src/a.ts", "src/c.js"]]
