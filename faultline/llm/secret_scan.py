@@ -49,7 +49,10 @@ _ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")  # of a run of at least 32 the leftmost match is all of it
 
-_SENSITIVE = re.compile(r"(?ai)pass(?:wor[dt]|wd|phrase|code)|secret|token|api[ _-]?key|access[ _-]?key|private[ _-]?key|signing[ _-]?key|credential|authoriz|bearer|signature|session|cookie|\bauth\b|\bpwd\b|\bpin\b|\bkey\b|\bsalt\b")
+# Sensitive words, anywhere and as words of their own.
+_ASSIGNED = ("password", "passwd", "secret", "token", "apikey", "api_key")
+_INSIDE = (*_ASSIGNED[:4], "apikey", "_key", "passwort", "passphrase", "passcode", "pwd", "credential", "authoriz", "bearer", "signature", "session", "cookie")
+_ALONE = ("auth", "key", "pin", "salt")
 _STRING = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
 #: How far before a string its sensitive word may begin.
 _REACH = 64
@@ -58,16 +61,35 @@ _IDENTIFIER = re.compile(r"[^\W\d_]{3,24}")
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end): leftmost non-overlapping per kind, failing matches dropped."""
-    out = [(0, m.start(), m.end()) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8]
-    out += [(1, m.start(), m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 16]
+    out, low = [], text.lower()
+    if any(x in low for x in _ASSIGNED):
+        out += [(0, m.start(), m.end()) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8]
+    if "AKIA" in text:
+        out += [(1, m.start(), m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 16]
     out += [(2, m.start(), m.end()) for m in _HEX.finditer(text)]
     return sorted(out, key=lambda x: (x[1], x[0]))
 
 
+def sensitive_words(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the sensitive words, in any case, by end."""
+    low = text.lower()
+    if len(low) != len(text):  # some letter is longer in lower case: places have to be the text's
+        low = "".join(c if len(c.lower()) > 1 else c.lower() for c in text)
+    out = []
+    for word in (*_INSIDE, *_ALONE):
+        at = low.find(word)
+        while at >= 0:
+            end = at + len(word)
+            if word not in _ALONE or not (low[at - 1: at].isalnum() or low[at - 1: at] == "_" or low[end: end + 1].isalnum() or low[end: end + 1] == "_"):
+                out.append((at, end))
+            at = low.find(word, end)
+    return sorted(out, key=lambda x: x[1])
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     """(start, end): strings of key letters with a digit or both cases, behind a
     sensitive word on their line, that touch no base span."""
-    words = [(m.start(), m.end()) for m in _SENSITIVE.finditer(text)]
+    words = sensitive_words(text)
     if not words:
         return []
     ends = [b for _, b in words]
@@ -80,7 +102,23 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
         s = m[0]
         if s.strip("=-_+/").isalpha() and (s.islower() or s.isupper() or s.istitle()) or not any(c.isalnum() for c in s):
             continue
-        if not any(x < b and a < y for _, x, y in base):
+        out.append((a, b))
+    return _apart(out, [(x, y) for _, x, y in base])
+
+
+def _apart(found: list[tuple[int, int]], taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Of sorted spans those that meet none of the taken ones."""
+    merged: list[list[int]] = []
+    for x, y in sorted(taken):
+        if merged and x < merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], y)
+        else:
+            merged.append([x, y])
+    edges = [z for x in merged for z in x]
+    out = []
+    for a, b in found:
+        i = bisect_right(edges, a)
+        if i % 2 == 0 and (i == len(edges) or edges[i] >= b):
             out.append((a, b))
     return out
 
