@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from faultline.functions import text as tx, tokens as tk
 from faultline.operators.graph import fan_in, resolve_import_rows
 from faultline.session import stored
 
 
+def markup_path(path: str = "path") -> Column:
+    """May a file hold markup?"""
+    return F.lower(F.col(path).cast("string")).endswith(".tsx")
+
+
 def file_metrics(source_files: DataFrame, keys=("repo",), path: str = "path",
                  content: str = "content") -> DataFrame:
     """``keys…, path, [rel_path,] lines, complexity, exported_symbols, import_count,
@@ -19,7 +24,7 @@ def file_metrics(source_files: DataFrame, keys=("repo",), path: str = "path",
     leaves, and the raw content is dropped after. A ``rel_path`` column is carried along.
     """
     own = [*keys, path] + [c for c in ("rel_path",) if c in source_files.columns and c != path]
-    markup = F.lower(F.col(path).cast("string")).endswith(".tsx")
+    markup = markup_path(path)
     read = source_files.select(*own, tx.line_count(content).alias("lines"), markup.alias("_markup"), tk.source_tokens(content).alias("_tokens")).select(
         *own, "lines", "_tokens", tk.scan_modes(F.col("_tokens"), F.col("_markup")).alias("_read")).select(
         *own, "lines", F.col("_read.broken").alias("has_syntax_errors"),
@@ -105,13 +110,18 @@ def follow_star_exports(metrics: DataFrame, keys=("repo",), path: str = "path",
 
 
 def scan(source_files: DataFrame, keys=("repo",), path: str = "path",
-         content: str = "content") -> DataFrame:
+         content: str = "content", store: str | None = None) -> DataFrame:
     """File metrics plus ``fan_in`` over resolved import edges.
 
     The sources are read once: their metrics, which hold no content, are a
-    stored table that edges, closure and fan-in start from.
+    stored table that edges, closure and fan-in start from. With ``store``, a folder of
+    metrics by content, only contents that no earlier scan has put there are parsed.
     """
-    m = stored(file_metrics(source_files, keys, path, content), "file-metrics")
+    if store:
+        from faultline.operators.metric_store import measured_files
+        m = stored(measured_files(source_files, keys, path, content, store), "file-metrics")
+    else:
+        m = stored(file_metrics(source_files, keys, path, content), "file-metrics")
     return scan_metrics(m, keys, path)
 
 

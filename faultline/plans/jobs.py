@@ -13,7 +13,8 @@ from faultline.functions import display, paths
 from faultline.functions.prompt import build_prompt
 from faultline.operators import baseline as BL, candidates as C, gate as G, history as H
 from faultline.operators import scoring as S, validation as V
-from faultline.operators.metrics import file_metrics, scan
+from faultline.operators.metric_store import measured_files
+from faultline.operators.metrics import scan
 from faultline.session import stored
 from faultline.sources.source_tree import read_contents
 
@@ -31,7 +32,7 @@ class ScanResult:
 
 def scored_files(source_files: DataFrame, commit_files: DataFrame | None = None,
                  history_repos: DataFrame | None = None, keys=("repo",),
-                 case_insensitive: bool = False) -> DataFrame:
+                 case_insensitive: bool | str = False, store: str | None = None) -> DataFrame:
     """S1 rows -> metrics, fan-in (J1, A1), touches (A2, J2) and score.
 
     ``commit_files`` holds ``keys…, path`` per listed file (``commit_id`` when
@@ -41,10 +42,11 @@ def scored_files(source_files: DataFrame, commit_files: DataFrame | None = None,
     column of both tables). The history filter (F2) applies here, so a
     repository whose history touches no source file counts as touched 0 times.
     Repositories absent from ``history_repos`` (by default, from the commits)
-    get null touches; without history at all every touch is null.
+    get null touches; without history at all every touch is null. ``store`` keeps
+    metrics by content from one snapshot to the next.
     """
     flag = [case_insensitive] if isinstance(case_insensitive, str) else []
-    m = scan(source_files, keys=keys)
+    m = scan(source_files, keys=keys, store=store)
     if commit_files is None:
         return S.with_score(m.withColumn("touch_count", F.lit(None).cast("long")))
     if flag:
@@ -123,8 +125,9 @@ def gate(changes: DataFrame, min_lines: int = C.DEFAULT_MIN_LINES,
          min_complexity: int = C.DEFAULT_MIN_COMPLEXITY, strict=False,
          keys=("repo", "commit_id")):
     """E5: changed TypeScript files (F7) -> metrics -> status (F5) -> verdict
-    per commit (F6). Returns (per-file status, per-batch verdict)."""
+    per commit (F6). Returns (per-file status, per-batch verdict). A content that
+    several changes hold is parsed once."""
     files = G.changed_files(changes)
-    m = file_metrics(files, keys=keys)
+    m = measured_files(files, keys=keys)
     st = G.gate_status(m, min_lines, min_complexity, strict)
     return st, G.gate_verdict(st, keys=keys)

@@ -172,3 +172,29 @@ def test_one_join_resolves_imports_and_stars(spark, tmp_dir):
     m = stored(file_metrics(read_source_tree(spark, tmp_dir, repo="r")), "file-metrics")
     got = {r.rel_path: (r.fan_in, sorted(r.exported_symbols)) for r in scan_metrics(m).collect()}
     assert got == {"a.ts": (0, ["b", "c"]), "b.ts": (1, ["b"]), "c.ts": (0, ["b", "c"])}
+
+
+def test_second_snapshot_parses_only_what_changed(spark, tmp_dir, monkeypatch):
+    from faultline.operators import metric_store as S
+    sources = [("r", f"src/f{i}.ts", f"export const n{i % 50} = {i % 50};\nimport './f{i % 50 + 1}';", f"src/f{i}.ts") for i in range(100)]
+    schema = "repo string, path string, content string, rel_path string"
+    parsed, plain = [], S.file_metrics
+
+    def counted(texts, **kw):
+        parsed.append(texts.count())
+        return plain(texts, **kw)
+
+    monkeypatch.setattr(S, "file_metrics", counted)
+    store = os.path.join(tmp_dir, "store")
+
+    def snapshot(rows):
+        return sorted(tuple(r) for r in scan(spark.createDataFrame(rows, schema), store=store).collect())
+
+    first = snapshot(sources)
+    changed = [(*s[:2], s[2] + "\nif (a) {}", s[3]) if i == 7 else s for i, s in enumerate(sources)]
+    second = snapshot(changed + [("r", "src/g.tsx", sources[0][2], "src/g.tsx"), ("q", "none.ts", None, "none.ts")])
+    assert parsed == [50, 3]  # one changed content, one that is now markup, one null
+    monkeypatch.undo()
+    assert first == sorted(tuple(r) for r in scan(spark.createDataFrame(sources, schema)).collect())
+    changed += [("r", "src/g.tsx", sources[0][2], "src/g.tsx"), ("q", "none.ts", None, "none.ts")]
+    assert repr(second) == repr(sorted(tuple(r) for r in scan(spark.createDataFrame(changed, schema)).collect()))
