@@ -66,6 +66,8 @@ BY_SPACE = separators(SPACES)
 #: Bytes that are hashed at once.
 BLOCK = 1 << 20
 BY_LETTERS = letters()
+#: Bytes of a word from which on it is hashed by itself.
+LONG = 64
 
 
 class Words(NamedTuple):
@@ -84,6 +86,29 @@ class Words(NamedTuple):
             i = j
         return out
 
+    def mixed_hashes(self, seed: int = 0) -> np.ndarray:
+        """A hash of each word that no arithmetic of its letters predicts: eight bytes
+        at a time are mixed into the state (words of up to eight bytes never meet
+        others of their length); long words by xxh3."""
+        import xxhash
+
+        size = self.ends - self.starts
+        h = mix(size.astype(np.uint64) * _BASE + mix(np.array([seed + 1], np.uint64)))
+        padded = np.concatenate([self.symbols, np.zeros(8, np.uint8)])
+        view = np.lib.stride_tricks.sliding_window_view(padded, 8)
+        short = np.flatnonzero(size <= LONG)
+        for at in range(0, LONG, 8):
+            short = short[size[short] > at]
+            for a in range(0, len(short), BLOCK >> 3):
+                i = short[a: a + (BLOCK >> 3)]
+                block = view[self.starts[i] + at].view("<u8").ravel()
+                left = np.minimum(size[i] - at, 8).astype(np.uint64)
+                block = block & (~_U(0) >> ((_U(8) - left) * _U(8)))
+                h[i] = mix(h[i] ^ block)
+        for i in np.flatnonzero(size > LONG).tolist():
+            h[i] = xxhash.xxh3_64_intdigest(self.symbols[self.starts[i]: self.ends[i]].tobytes(), seed)
+        return h
+
     def owner(self) -> np.ndarray:
         """The text of each word."""
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))

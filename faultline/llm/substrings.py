@@ -15,7 +15,8 @@ window (50 words). Three steps, each a Spark stage:
    document's are marked there and only those of the smallest one travel, so a
    passage that a third of all documents hold sends a few rows per task.
 3. *Subtrees.* A group sorts its suffixes by the tree's edges (the anchor's words,
-   then the window's first and second half, compared by 64-bit hashes) and reads
+   then the window's first and second half, compared by 64-bit hashes of words that
+   another seed hashes than the anchors') and reads
    the tree off the sorted order: neighbours that agree on all edges hang below
    one internal node of depth 50 or more. Those deep nodes' suffixes repeat; the
    ones outside the node's smallest document are marked.
@@ -35,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from faultline.llm._bytes import gram_hashes, mix, span_hashes, words
+from faultline.llm._bytes import Words, gram_hashes, mix, span_hashes, words
 from faultline.llm._shared import slices, stored, utf8
 
 #: Words of an anchor, the shortest prefix that groups are made of.
@@ -49,13 +50,13 @@ _NO_ID = -(1 << 63)
 _RECORD = np.dtype([("k", "<u8"), ("e1", "<u8"), ("e2", "<u8"), ("doc", "<i8"), ("row", "<i4"), ("pos", "<i4")])
 
 
-def _windows(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all windows: text, first word in the text, first word in the batch, anchor hash; and the batch's word hashes."""
+def _windows(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, Words]:
+    """Of all windows: text, first word in the text, first word in the batch, anchor hash; and the batch's words."""
     found = words(texts)
-    h = found.hashes()
+    h = found.mixed_hashes(1)
     if len(h) < window:
         none = np.zeros(0, np.int64)
-        return none, none, none, np.zeros(0, np.uint64), h
+        return none, none, none, np.zeros(0, np.uint64), found
     grams = gram_hashes(h, PREFIX)
     owner = found.owner()
     at = np.flatnonzero(owner[: len(h) - window + 1] == owner[window - 1:])
@@ -64,7 +65,7 @@ def _windows(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, n
     view = np.lib.stride_tricks.sliding_window_view(grams, span)
     for a in range(0, len(least), 1 << 16):
         least[a: a + (1 << 16)] = view[a: a + (1 << 16)].min(axis=1)
-    return owner[at], at - found.first[owner[at]], at, least[at], h
+    return owner[at], at - found.first[owner[at]], at, least[at], found
 
 
 def _anchors(docs: DataFrame, window: int) -> DataFrame:
@@ -126,7 +127,8 @@ def _suffixes(docs: DataFrame, window: int, groups: int) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
                 texts = utf8(part.column("text"))
-                text, pos, at, least, h = _windows(texts, window)
+                text, pos, at, least, found = _windows(texts, window)
+                h = found.mixed_hashes(2)
                 lists = part.column("grams")
                 owner = np.repeat(np.arange(len(texts)), pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
                 flat = lists.flatten()

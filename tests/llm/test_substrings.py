@@ -66,3 +66,29 @@ def test_spans_are_maximal(spark, rng):
     rows = [(1, passage), (2, "x " + passage + " y")]
     spans = {r.doc_id: [(s.start, s.end) for s in r.removed] for r in substrings.remove_repeats(frame(spark, rows)).collect()}
     assert spans == {1: [], 2: [(1, 121)]}
+
+
+def test_words_that_share_a_polynomial_hash_are_different(spark, rng):
+    from faultline.llm import _bytes
+    # Two letters in Thue-Morse order: hashes by powers of an odd base modulo 2**64 can't tell a word from its opposite.
+    for n in (1024, 2048):
+        bits = [bin(i).count("1") % 2 for i in range(n)]
+        one, two = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+        found = _bytes.words([one.encode(), two.encode()])
+        assert len(set(found.hashes().tolist())) == 1 and len(set(found.mixed_hashes().tolist())) == 2
+        rest = prose(rng, 49)
+        rows = [(1, f"{one} {rest}"), (2, f"{two} {rest}"), (3, f"{two} {rest} x")]
+        assert result(spark, rows) == by_hand(rows, 50)
+
+
+def test_mixed_hashes_tell_words_apart(rng):
+    from faultline.llm import _bytes
+    texts = [" ".join("".join(rng.choice("ab\0é") for _ in range(rng.choice([1, 2, 7, 8, 9, 15, 16, 17, 63, 64, 65, 200]))) for _ in range(300)) for _ in range(20)]
+    found = _bytes.words([t.encode() for t in texts])
+    want = [w.encode() for t in texts for w in t.split(" ")]
+    for seed in (0, 1, 2):
+        of = {}
+        for w, h in zip(want, found.mixed_hashes(seed).tolist(), strict=True):
+            assert of.setdefault(w, h) == h
+        assert len(set(of.values())) == len(of)
+    assert not set(found.mixed_hashes(1).tolist()) & set(found.mixed_hashes(2).tolist())
