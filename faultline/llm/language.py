@@ -43,15 +43,43 @@ TEMPER = 0.1
 PRIOR = 5.0
 SMOOTH = 1.0
 
-_CUT = re.compile(r"(?is)<(script|style|nav|footer|head)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
+#: Elements that go with what they hold, and their ends.
+_OPEN = re.compile(r"(?ia)<(script|style|nav|footer|head)\b")
+_CLOSE = {name: re.compile(rf"(?ia)</{name}\s*>") for name in ("script", "style", "nav", "footer", "head")}
 #: Comments, scripts and styles (unclosed ones reach to the end) and <html> tags: each match is used up, so a page is read once.
 _HTML = re.compile(r"(?is)<!--(?:-?>|.*?(?:--!?>|\Z))|<(script|style)\b.*?(?:</\1\s*>|\Z)|<html\b[^>]*")
 _LANG = re.compile(r"(?i)\blang\s*=\s*[\"']?\s*([a-z]{2,3})\b")
 _CODE = re.compile(r"[a-z]{2}")
 
 
+def without_markup(page: str) -> str:
+    """The page with a blank for each tag, comment and element that goes whole. An
+    end that isn't found once isn't looked for again, so a page is read once."""
+    out, last, gone, at = [], 0, set(), page.find("<")
+    while at >= 0:
+        end, element = -1, _OPEN.match(page, at)
+        if element and (name := element[1].lower()) not in gone:
+            close = _CLOSE[name].search(page, element.end())
+            end = close.end() if close else -1
+            gone |= set() if close else {name}
+        elif "<!--" not in gone and page.startswith("<!--", at):
+            end = page.find("-->", at + 4) + 3
+            if end < 3:
+                end, gone = -1, gone | {"<!--"}
+        if end < 0 and ">" not in gone:
+            end = page.find(">", at + 1) + 1 or -1
+            gone |= set() if end > 0 else {">"}
+        if end > 0:
+            out += [page[last:at], " "]
+            last = end
+        elif ">" in gone:
+            break
+        at = page.find("<", max(end, at + 1))
+    return "".join(out) + page[last:]
+
+
 def visible(page: str) -> str:
-    return markup.unescape(_CUT.sub(" ", page))
+    return markup.unescape(without_markup(page))
 
 
 def declared(page: str) -> str:

@@ -56,3 +56,19 @@ def test_a_declaration_counts_wherever_it_stands(spark, rng):
     got = language.identify(spark.createDataFrame([(i, None, x, None, None, 0) for i, x in pages.items()], PAGES), teach(spark, rng)).collect()
     assert {r.page_id: r.declared for r in got} == {1: "cc", 2: "cc", 3: "cc", 4: ""}
     assert language.declared("<html " * 200_000) == language.declared("<!--" * 200_000) == ""  # read once
+
+
+def test_pages_are_read_once():
+    import random
+    import re
+    import time
+    plain = re.compile(r"(?is)<(script|style|nav|footer|head)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
+    rng = random.Random(8)
+    parts = ["<nav>", "</nav>", "<NAV a>", "</Nav >", "<!--", "-->", "<script", "</script>", "<header>", "</head>", "<head>", "<", ">", "<p>", "text", " ", "--", "<footer>", "\n"]
+    for _ in range(4000):
+        page = "".join(rng.choice(parts) for _ in range(rng.randrange(20)))
+        assert language.without_markup(page) == plain.sub(" ", page), page
+    for part in ("<nav>", "<!--", "<", "<script>x</nav>", "<head", "</nav "):
+        began = time.time()
+        language.visible(part * (1_000_000 // len(part)))
+        assert time.time() - began < 3, part
