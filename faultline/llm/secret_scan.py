@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from faultline.llm._shared import slices
+from faultline.llm._shared import slices, stored
 
 #: Base kinds in order, then the added one.
 KINDS = ("assign", "access", "hex", "novel")
@@ -193,7 +193,16 @@ def identifiers(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def dictionary(docs: DataFrame, text_col: str = "text") -> bytes:
     """The most frequent identifiers, up to ``PRIMED`` bytes, the most frequent last."""
-    top = identifiers(docs, text_col).filter("n > 1").orderBy(F.desc("n"), "word").limit(PRIMED // 4).collect()
+    words = stored(identifiers(docs, text_col).filter("n > 1"), "identifiers")
+    most = PRIMED // 4  # the shortest word and its line end
+    # A task would send its own top of the list: first find the count, in eighths of a power of two, that few enough reach.
+    step = F.floor(F.log2("n") * 8).cast("int")
+    bins, reached, least = words.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("step")).collect(), 0, 0
+    for r in bins:
+        least, reached = r.step, reached + r.words
+        if reached >= most:
+            break
+    top = words.filter(step >= least).orderBy(F.desc("n"), "word").limit(most).collect()
     out, size = [], 0
     for r in top:
         word = r.word.encode()
