@@ -1122,10 +1122,36 @@ def q_answers_round_trip(spark, d):
 def q_gate_stream(spark, d):
     from faultline.streaming.gate_stream import read_gate_verdicts, start_gate_verdict_stream
     at = _fresh(spark, "staged-changes")
-    _source_changes(spark, d).repartition(4).write.parquet(at)
-    # a commit's files arrive in several batches
+    changes = _source_changes(spark, d)
+    changes.repartition(changes.rdd.getNumPartitions(), "path").write.parquet(at)
+    # a commit's files are in several files, which arrive in three batches
+    files = len(spark.read.schema(changes.schema).parquet(at).inputFiles())
     query = start_gate_verdict_stream(spark, at, f"{at}-status", f"{at}-verdict", name=at.rsplit("/", 1)[-1], available_now=True,
-                                      max_files_per_trigger=2, min_lines=PROMPT_LINES, min_complexity=PROMPT_COMPLEXITY,
+                                      max_files_per_trigger=max(1, -(-files // 3)), min_lines=PROMPT_LINES, min_complexity=PROMPT_COMPLEXITY,
                                       strict=F.col("commit_id").cast("long") % 2 == 0)
     query.awaitTermination()
     return read_gate_verdicts(spark, f"{at}-verdict").drop("repo")
+
+
+# The first change of a (commit, part) is the one that counts: its lines repeat in the second and third delivery.
+@register("commit_verdicts", SQL_SOURCES + f"""
+SELECT CAST(l_orderkey AS VARCHAR) AS commit_id, count(DISTINCT l_partkey) AS n_checked,
+       count(DISTINCT l_partkey) FILTER (WHERE lines >= {PROMPT_LINES} AND complexity >= {PROMPT_COMPLEXITY}) AS n_flagged,
+       bool_or(lines >= {PROMPT_LINES} AND complexity >= {PROMPT_COMPLEXITY} AND l_orderkey % 2 = 0) AS failed
+FROM lineitem JOIN met ON met.k = l_partkey WHERE l_linestatus = 'O' AND l_returnflag IN ('A', 'C', 'M') GROUP BY 1
+""")
+def q_commit_verdicts(spark, d):
+    """Changes in three deliveries, the stream stopped and resumed between them: odd lines, all
+    lines (so odd ones repeat), and a change of a later day, which lets the watermark close all commits before."""
+    from faultline.streaming.gate_stream import start_commit_verdict_stream
+    at = _fresh(spark, "timed-changes")
+    timed = _source_changes(spark, d).withColumn("staged_at", F.timestamp_seconds(
+        F.lit(1_700_000_000) + F.pmod(F.xxhash64("commit_id"), F.lit(3600))))
+    later = spark.createDataFrame([("parts", "-1", "A", "later.ts", "")], "repo string, commit_id string, status string, path string, content string").withColumn(
+        "staged_at", F.timestamp_seconds(F.lit(1_700_500_000)))
+    for delivery in (timed.filter(F.pmod(F.xxhash64("path"), F.lit(2)) == 1), timed, later):
+        delivery.write.mode("append").parquet(at)
+        start_commit_verdict_stream(spark, at, f"{at}-verdict", name=at.rsplit("/", 1)[-1], available_now=True, late="2 hours", min_lines=PROMPT_LINES,
+                                    min_complexity=PROMPT_COMPLEXITY, strict=F.col("commit_id").cast("long") % 2 == 0).awaitTermination()
+    return spark.read.schema("repo string, commit_id string, closed_at timestamp, n_checked long, n_flagged long, failed boolean").parquet(f"{at}-verdict").select(
+        "commit_id", "n_checked", "n_flagged", "failed")

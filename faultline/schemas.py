@@ -81,3 +81,6 @@ STAGED_CHANGES = T.StructType([
     T.StructField("path", T.StringType()),
     T.StructField("content", T.StringType()),
 ])
+
+# Staged changes with the time that their commit closes by.
+TIMED_CHANGES = T.StructType([*STAGED_CHANGES.fields, T.StructField("staged_at", T.TimestampType())])

@@ -1,5 +1,9 @@
 """Streaming gate (ST1): each arriving batch of changed files is selected
-(F7), measured (P1-P5) and labelled (F5). Stateless, append-only."""
+(F7), measured (P1-P5) and labelled (F5), append-only.
+
+Three ways out: status rows per file (stateless), status and verdict parts per
+micro-batch, or one final verdict per commit, which keeps state: changes that
+were seen, and the open commits' counts."""
 
 from __future__ import annotations
 
@@ -11,7 +15,7 @@ from pyspark.sql import functions as F
 
 from faultline.operators.gate import changed_files, gate_status, gate_verdict
 from faultline.operators.metrics import file_metrics
-from faultline.schemas import STAGED_CHANGES
+from faultline.schemas import STAGED_CHANGES, TIMED_CHANGES
 from faultline.session import checkpoint_path
 
 
@@ -81,3 +85,39 @@ def read_gate_verdicts(spark: SparkSession, verdict_dir: str, fmt: str = "parque
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).format(fmt).load(verdict_dir).groupBy("repo", "commit_id").agg(
         F.sum("n_checked").alias("n_checked"), F.sum("n_flagged").alias("n_flagged"), F.bool_or("failed").alias("failed"))
+
+
+def commit_verdicts(changes: DataFrame, quiet: str = "10 minutes", late: str = "1 hour",
+                    min_lines: int = C.DEFAULT_MIN_LINES, min_complexity: int = C.DEFAULT_MIN_COMPLEXITY, strict=False) -> DataFrame:
+    """``repo, commit_id, closed_at, n_checked, n_flagged, failed`` of a stream of
+    ``TIMED_CHANGES``: one row per commit, once, when it closes.
+
+    A commit closes when no change of it came for ``quiet`` and the watermark
+    (``late`` behind the newest change) has passed that; a change that is staged again
+    within ``late`` counts once. State is the keys of changes not yet past the
+    watermark and one session per open commit, both spread by their keys; what a
+    commit's micro-batches hold is combined before the shuffle. The last commits of a
+    stream that falls silent stay open until a later change moves the watermark on.
+    """
+    seen = changed_files(changes.withWatermark("staged_at", late)).dropDuplicatesWithinWatermark(["repo", "commit_id", "path"])
+    m = file_metrics(seen, keys=("repo", "commit_id", "staged_at"))
+    st = gate_status(m, min_lines, min_complexity, strict)
+    sessions = st.groupBy("repo", "commit_id", F.session_window("staged_at", quiet).alias("session")).agg(
+        F.count(F.lit(1)).alias("n_checked"), F.count_if(F.col("flagged")).alias("n_flagged"),
+        F.coalesce(F.bool_or(F.col("flagged") & F.col("strict")), F.lit(False)).alias("failed"))
+    return sessions.select("repo", "commit_id", F.col("session.end").alias("closed_at"), "n_checked", "n_flagged", "failed")
+
+
+def start_commit_verdict_stream(spark: SparkSession, source_dir: str, verdict_dir: str, name: str = "commit-verdict",
+                                fmt: str = "parquet", sink_fmt: str = "parquet", available_now: bool = False,
+                                max_files_per_trigger: int | None = None, **kw) -> StreamingQuery:
+    """Final verdicts of the changes that arrive in ``source_dir`` (schema
+    ``TIMED_CHANGES``), appended to ``verdict_dir``. Each file and each verdict is read
+    and written once, also over restarts; readers of ``verdict_dir`` aggregate nothing."""
+    reader = spark.readStream.schema(TIMED_CHANGES).format(fmt)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    w = (commit_verdicts(reader.load(source_dir), **kw).writeStream.outputMode("append").format(sink_fmt)
+         .option("checkpointLocation", checkpoint_path(spark, f"stream-{name}")).option("path", verdict_dir))
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
+    return w.start()
