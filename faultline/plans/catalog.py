@@ -1155,3 +1155,57 @@ def q_commit_verdicts(spark, d):
                                     min_complexity=PROMPT_COMPLEXITY, strict=F.col("commit_id").cast("long") % 2 == 0).awaitTermination()
     return spark.read.schema("repo string, commit_id string, closed_at timestamp, n_checked long, n_flagged long, failed boolean").parquet(f"{at}-verdict").select(
         "commit_id", "n_checked", "n_flagged", "failed")
+
+
+# ---------------------------------------------------------------- any number of snapshots, versions of a baseline
+
+SNAPSHOT_DATES = ["1993-06-01", "1995-02-01", "1996-12-31", "1999-01-01"]
+
+
+@register("baseline_history", f"""
+WITH cuts AS (SELECT unnest([{", ".join(f"TIMESTAMP '{x}'" for x in SNAPSHOT_DATES)}]) AS at),
+lines AS (SELECT l_partkey AS path, l_orderkey AS o, l_suppkey AS s, l_shipdate AS at FROM lineitem),
+now AS (SELECT path, count(DISTINCT o) AS touches, count(DISTINCT s) AS fan_in FROM lines GROUP BY 1),
+past AS (SELECT path, cuts.at, count(DISTINCT o) AS touches, count(DISTINCT s) AS fan_in FROM lines JOIN cuts ON lines.at < cuts.at GROUP BY 1, 2)
+SELECT p_brand AS repo, p_partkey AS path, strftime(cuts.at, '%Y-%m-%d') AS snapshot, COALESCE(past.touches, 0) AS touches, COALESCE(past.fan_in, 0) AS fan_in,
+       COALESCE(now.touches, 0) - COALESCE(past.touches, 0) AS touches_delta, COALESCE(now.fan_in, 0) - COALESCE(past.fan_in, 0) AS fan_in_delta,
+       past.path IS NULL AS is_new
+FROM part CROSS JOIN cuts LEFT JOIN past ON past.path = p_partkey AND past.at = cuts.at LEFT JOIN now ON now.path = p_partkey
+""")
+def q_baseline_history(spark, d):
+    """Touches and importers (suppliers) of every part before each of its brand's snapshot dates, from one read of the lines."""
+    from faultline.operators.snapshots import cumulative_counts, deltas_over_dates
+    files = table(spark, d, "part").select(F.col("p_brand").alias("repo"), F.col("p_partkey").alias("path"))
+    events = table(spark, d, "lineitem").select(F.col("l_partkey").alias("path"), F.col("l_orderkey").alias("commit_id"), F.col("l_suppkey").alias("src_path"),
+                                                F.col("l_shipdate").alias("committed_at"))
+    cumulated = cumulative_counts(events, {"touches": "commit_id", "fan_in": "src_path"}, keys=())
+    dates = files.select("repo").distinct().select("repo", F.explode(F.array(*[B.cut(x) for x in SNAPSHOT_DATES])).alias("committed_at"))
+    # A part is of one brand, so its counts carry over.
+    owned = cumulated.join(files, "path")
+    return deltas_over_dates(owned, files, dates, ["touches", "fan_in"]).select(
+        "repo", "path", F.date_format("committed_at", "yyyy-MM-dd").alias("snapshot"), "touches", "fan_in", "touches_delta", "fan_in_delta", "is_new")
+
+
+@register("baseline_versions", """
+SELECT p_brand AS repo, CAST(p_partkey AS VARCHAR) AS rel_path, CAST(CASE WHEN p_brand LIKE '%3' THEN 7 ELSE p_size END AS INTEGER) AS complexity,
+       CASE WHEN p_brand LIKE '%3' THEN '2' ELSE '1' END AS tool_version
+FROM part WHERE NOT (p_brand LIKE '%3' AND p_size > 25)
+""")
+def q_baseline_versions(spark, d):
+    """A baseline of all brands, a refused second one, a forced one of some brands with fewer
+    files, and a write that was never committed; then what a reader sees."""
+    from faultline.sources import baseline_store as BS, baseline_versions as BV
+    at = _fresh(spark, "baseline-versions")
+    rows = B.part_files(table(spark, d, "part")).select(
+        "repo", F.col("path").cast("string").alias("rel_path"), "lines", "complexity", F.lit(0).cast("long").alias("fan_in"), F.size("exported_symbols").alias("export_count"),
+        F.lit(None).cast("long").alias("touch_count"), F.lit("2026-01-02").cast("timestamp").alias("created_at"), F.lit("1").alias("tool_version"))
+    BV.commit_baseline(rows, at)
+    some = rows.filter("repo LIKE '%3'").withColumn("tool_version", F.lit("2"))
+    try:
+        BV.commit_baseline(some, at)
+        raise AssertionError("the second baseline was not refused")
+    except BS.BaselineExistsError:
+        pass
+    BV.commit_baseline(some.filter("complexity <= 25").withColumn("complexity", F.lit(7)), at, force=True)
+    rows.withColumn("complexity", F.lit(0)).write.partitionBy("repo").parquet(f"{at}/versions/version=never")
+    return BV.read_baseline(spark, at).select("repo", "rel_path", "complexity", "tool_version")

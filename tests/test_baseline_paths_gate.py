@@ -175,3 +175,85 @@ def test_verdicts_merge_over_batches(spark, tmp_dir):
     assert spark.read.parquet(ver).count() == 3
     got = {r.commit_id: (r.n_checked, r.n_flagged, r.failed) for r in read_gate_verdicts(spark, ver).collect()}
     assert got == {"c1": (2, 1, True), "c2": (1, 0, False)}
+
+
+def _baseline(spark, repos, version):
+    return spark.createDataFrame([(r, f"{i}.ts", i, 1, 0, 0, None, None, version) for r in repos for i in range(3)],
+                                 "repo string, rel_path string, lines int, complexity int, fan_in long, export_count int, touch_count long, created_at timestamp, tool_version string")
+
+
+def test_one_of_two_writers_commits(spark, tmp_dir):
+    import threading
+    from faultline.sources import baseline_store as BS, baseline_versions as BV
+    assert BV.read_baseline(spark, tmp_dir) is None
+    done = []
+
+    def write(name):
+        try:
+            BV.commit_baseline(_baseline(spark, ["a", "b"], name), tmp_dir)
+            done.append(name)
+        except BS.BaselineExistsError:
+            pass
+
+    threads = [threading.Thread(target=write, args=(str(i),)) for i in range(3)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert len(done) == 1
+    assert {r.tool_version for r in BV.read_baseline(spark, tmp_dir).collect()} == set(done)
+    BV.commit_baseline(_baseline(spark, ["c"], "other"), tmp_dir)  # another repository has none yet
+    BV.commit_baseline(_baseline(spark, ["b"], "forced"), tmp_dir, force=True)
+    got = {(r.repo, r.tool_version) for r in BV.read_baseline(spark, tmp_dir).collect()}
+    assert got == {("a", done[0]), ("b", "forced"), ("c", "other")}
+
+
+def test_failed_forced_write_leaves_the_old_baseline(spark, tmp_dir, monkeypatch):
+    import pytest
+    from faultline.sources import baseline_versions as BV
+    BV.commit_baseline(_baseline(spark, ["a"], "old"), tmp_dir)
+    bad = _baseline(spark, ["a"], "new").selectExpr("* except (lines)", "IF(lines = 2, CAST(raise_error('lost') AS INT), lines) AS lines")
+    with pytest.raises(Exception, match="lost"):
+        BV.commit_baseline(bad, tmp_dir, force=True)
+    monkeypatch.setattr(BV, "_create", lambda *a: (_ for _ in ()).throw(OSError("no space")))
+    with pytest.raises(OSError):
+        BV.commit_baseline(_baseline(spark, ["a"], "new"), tmp_dir, force=True)
+    assert {r.tool_version for r in BV.read_baseline(spark, tmp_dir).collect()} == {"old"}
+
+
+def test_counts_at_many_dates(spark):
+    import random
+    from pyspark.sql import functions as F
+    from faultline.operators.snapshots import cumulative_counts, deltas_over_dates
+    rng = random.Random(9)
+    rows = [("r", rng.choice("abc"), rng.choice([None, *range(6)]), rng.choice("xyz"), rng.choice([None, *range(1, 9)])) for _ in range(80)]
+    events = spark.createDataFrame(rows, "repo string, path string, commit_id int, src_path string, committed_at int")
+    files = spark.createDataFrame([("r", p) for p in "abcd"] + [("q", "a")], "repo string, path string")
+    dates = spark.createDataFrame([("r", x) for x in (0, 1, 4, 9)], "repo string, committed_at int")
+    found = deltas_over_dates(cumulative_counts(events, {"touches": "commit_id", "fan_in": "src_path"}), files, dates, ["touches", "fan_in"])
+    for r in found.collect():
+        own = [x for x in rows if x[1] == r.path and x[4] is not None]
+        before = [x for x in own if x[4] < r.committed_at]
+        touches = lambda xs: len({x[2] for x in xs if x[2] is not None})
+        fan = lambda xs: len({x[3] for x in xs})
+        assert (r.touches, r.fan_in, r.touches_delta, r.fan_in_delta) == (touches(before), fan(before), touches(own) - touches(before), fan(own) - fan(before))
+        assert r.is_new == (not before)
+    assert found.count() == 16
+
+
+def test_commit_closes_once(spark, tmp_dir):
+    import os
+    from pyspark.sql import functions as F
+    from faultline.streaming.gate_stream import start_commit_verdict_stream
+    source, out = os.path.join(tmp_dir, "changes"), os.path.join(tmp_dir, "verdicts")
+    big = "if (a) {}\n" * 100
+
+    def deliver(rows):
+        spark.createDataFrame([("r", c, s, p, t, x) for c, s, p, t, x in rows], "repo string, commit_id string, status string, path string, content string, at long").select(
+            "repo", "commit_id", "status", "path", "content", F.timestamp_seconds("at").alias("staged_at")).coalesce(1).write.mode("append").parquet(source)
+        start_commit_verdict_stream(spark, source, out, name=os.path.basename(tmp_dir), available_now=True, quiet="1 minute", late="10 minutes", strict=True).awaitTermination()
+        return sorted((r.commit_id, r.n_checked, r.n_flagged, r.failed) for r in spark.read.parquet(out).collect()) if os.path.exists(out) else []
+
+    assert deliver([("c1", "A", "a.ts", big, 1000), ("c1", "M", "b.ts", "", 1000), ("c1", "D", "d.ts", big, 1000), ("c2", "A", "a.ts", "", 1030)]) == []
+    assert deliver([("c1", "A", "a.ts", big, 1010), ("c1", "A", "c.ts", big, 1010)]) == []  # a.ts again
+    first = [("c1", 3, 2, True), ("c2", 1, 0, False)]
+    assert deliver([("c3", "A", "a.ts", big, 9000)]) == first
+    assert deliver([("c4", "A", "a.ts", "", 20000)]) == first + [("c3", 1, 1, True)]
