@@ -62,6 +62,21 @@ _FLAT = r"^[eEdx]*$"
 _LITERAL = "'\"qQuU`*lrRTACJ"
 
 
+_built: dict[int, tuple] = {}
+
+
+def once(build) -> Column:
+    """``build()``, an expression over named columns, put together once per gateway:
+    each of its nodes is a call to the JVM."""
+    from pyspark import SparkContext
+
+    gateway = SparkContext._gateway
+    found = _built.setdefault(id(gateway), (gateway, {}))[1]
+    if build not in found:
+        found[build] = build()
+    return found[build]
+
+
 def source_tokens(text) -> Column:
     """``array<struct<p, a>>``: the stretches of a text and the atoms behind them."""
     t = F.col(text) if isinstance(text, str) else text
@@ -141,7 +156,7 @@ def scan_modes(tokens, markup) -> Column:
 
         def swept(body) -> Column:
             """``body(stack, its top)`` once ``extends`` and ``class`` that lead nowhere are gone."""
-            return F.when(stray, _let(stripped, lambda s: body(s, F.substring(s, -1, 1)))).otherwise(body(st, top))
+            return _let(F.when(stray, stripped).otherwise(st), lambda s: body(s, F.substring(s, -1, 1)))
 
         line_end = to(code, last=F.when((top == "M") & seen.rlike(_OPERAND), ";").otherwise(seen))
         comma = swept(lambda s, t: to(code, s, t, F.when(seen.rlike(_DEFAULT_IMPORT), "import,").otherwise(",")))
@@ -162,7 +177,8 @@ def scan_modes(tokens, markup) -> Column:
                     .when(members, push("M", code, under=s)).otherwise(push("{", code, "{", under=s)))
 
         # Members behind extends belong to a conditional type, which goes on.
-        opened_brace = F.when((top == "x") & ~seen.rlike(r"extends\s*$"), _let(F.regexp_replace(st, "x+$", ""), lambda s: brace(s, F.substring(s, -1, 1)))).otherwise(brace(st, top))
+        kept = F.when((top == "x") & ~seen.rlike(r"extends\s*$"), F.regexp_replace(st, "x+$", "")).otherwise(st)
+        opened_brace = _let(kept, lambda s: brace(s, F.substring(s, -1, 1)))
         closed_brace = swept(lambda s, t: F.when(t.isin("{", "M", "e"), pop("c", F.when(flat, "C").otherwise("e"), F.when(t == "{", ";").otherwise("0"), under=s))
                              .when(t.isin("$", "j"), pop("o", "o", under=s)).otherwise(to(code, bad=F.lit(True))))
         quote = F.when(flat & seen.rlike(_MODULE_NAME), push(F.when(a == "'", "q").otherwise("Q"), "C")).otherwise(push(a, own("o", "O")))
@@ -197,3 +213,8 @@ def module_text(tokens, letters) -> Column:
     """What stands outside all brackets, with import, export and pattern lists and the names of modules."""
     return _rendered(tokens, letters, lambda t, m: F.when(m.isin("C", "S"), F.concat(t["p"], t["a"])).when(m == "O", F.concat(t["p"], F.lit(" ")))
                      .when(m == "Z", " 0 ").when(m == "N", "\n").when(m == "e", t["a"]).otherwise(""))
+
+
+def modes_column() -> Column:
+    """:func:`scan_modes` of the columns ``_tokens`` and ``_markup``."""
+    return scan_modes(F.col("_tokens"), F.col("_markup"))

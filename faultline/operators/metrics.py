@@ -26,7 +26,7 @@ def file_metrics(source_files: DataFrame, keys=("repo",), path: str = "path",
     own = [*keys, path] + [c for c in ("rel_path",) if c in source_files.columns and c != path]
     markup = markup_path(path)
     read = source_files.select(*own, tx.line_count(content).alias("lines"), markup.alias("_markup"), tk.source_tokens(content).alias("_tokens")).select(
-        *own, "lines", "_tokens", tk.scan_modes(F.col("_tokens"), F.col("_markup")).alias("_read")).select(
+        *own, "lines", "_tokens", tk.once(tk.modes_column).alias("_read")).select(
         *own, "lines", F.col("_read.broken").alias("has_syntax_errors"),
         tk.code_text(F.col("_tokens"), F.col("_read.letters")).alias("_code"),
         tk.module_text(F.col("_tokens"), F.col("_read.letters")).alias("_module"))

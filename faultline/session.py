@@ -7,7 +7,7 @@ session-level decisions are the ones that matter at scale:
   join are split at run time and tiny shuffles are merged.
 * Broadcast joins only below Spark's measured-size threshold
   (``autoBroadcastJoinThreshold`` at plan time, the AQE variant at run time);
-  no code path in this package hints ``broadcast``.
+  the one hint (prompt candidates, ``plans/jobs.py``) stands behind a count.
 * UI off (no server), UTC session time zone (the oracle is UTC-naive).
 """
 

@@ -76,7 +76,7 @@ def _current(spark: SparkSession, path: str, versions: list[str]) -> DataFrame:
     """``repo, version``: each repository's last committed version."""
     order = spark.createDataFrame([(v, i) for i, v in enumerate(versions)], "version string, n int")
     held = spark.read.schema(_STORED).parquet(f"{path}/versions").select("repo", "version").distinct()
-    return held.join(F.broadcast(order), "version").groupBy("repo").agg(F.max_by("version", "n").alias("version"))
+    return held.join(order, "version").groupBy("repo").agg(F.max_by("version", "n").alias("version"))
 
 
 def commit_baseline(rows: DataFrame, path: str, force: bool = False) -> str:
