@@ -264,11 +264,16 @@ def drift_summary(analyses: DataFrame, keys=("repo",)) -> DataFrame:
                           & (F.col("errored") == F.col("analyzed")))
 
 
-def required_fields(raw, required=None) -> tuple[Column, Column]:
-    """X1+X2 on their own: (is the cleaned text a strict JSON object, the
-    required keys it lacks in the given order). A null value counts as present."""
+def required_fields(df: DataFrame, raw: str = "raw_text", required=None) -> DataFrame:
+    """X1+X2 on their own: ``df`` with ``is_object`` (is the cleaned text a strict JSON
+    object) and ``missing``, the required keys it lacks in the given order, null for
+    anything else. A null value counts as present. The text is parsed once."""
     required = REQUIRED_FIELDS if required is None else required
-    whole, complete = _wrapped(clean_answer(raw))
-    is_obj = F.coalesce(complete & _vtype(whole, "$.answer").startswith("OBJECT"), F.lit(False))
-    missing = F.filter(F.array(*[F.when(_vtype(whole, f"$.answer.{k}").isNull(), F.lit(k)) for k in required]), lambda k: k.isNotNull())
-    return is_obj, F.when(is_obj, missing)
+    cleaned = df.select("*", clean_answer(raw).alias("_clean"))
+    whole, _ = _wrapped(F.col("_clean"))
+    parsed = cleaned.select("*", whole.alias("_whole"))
+    complete = F.try_variant_get("_whole", "$.checksum", "long") == F.crc32(F.col("_clean").cast("binary"))
+    checked = parsed.select("*", F.coalesce(complete & _vtype(F.col("_whole"), "$.answer").startswith("OBJECT"), F.lit(False)).alias("is_object"))
+    lacks = [F.when(_vtype(F.col("_whole"), f"$.answer.{k}").isNull(), F.lit(k)) for k in required]
+    missing = F.when(F.col("is_object"), F.filter(F.array(*lacks), lambda k: k.isNotNull()))
+    return checked.select("*", missing.alias("missing")).drop("_clean", "_whole")

@@ -611,9 +611,8 @@ def q_json_required(spark, d):
     from faultline.operators.validation import required_fields
     # a list around the object, or a second value behind it, is no object
     text = F.expr("CASE WHEN event_id % 5 = 0 THEN '[' || props || ']' WHEN event_id % 7 = 0 THEN props || ' 1' ELSE props END")
-    is_obj, missing = required_fields(text, ["k", "v", "w"])
-    return table(spark, d, "events").select("event_id", is_obj.alias("is_object"),
-                                            F.array_join(missing, ", ").alias("missing"))
+    checked = required_fields(table(spark, d, "events").select("event_id", text.alias("raw_text")), required=["k", "v", "w"])
+    return checked.select("event_id", "is_object", F.array_join("missing", ", ").alias("missing"))
 
 
 # ---------------------------------------------------------------- A8 / J4 relational
