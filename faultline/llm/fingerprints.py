@@ -149,9 +149,9 @@ def _choices(radius: int, blocks: int) -> list[tuple[int, ...]]:
     return list(combinations(range(blocks), blocks - radius))
 
 
-def near_counts(fps: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
-    """(fingerprint, near): for the distinct fingerprints (hex) that have any, how
-    many others are within ``radius`` bits."""
+def _block_pairs(fps: DataFrame, radius: int, blocks: int | None) -> tuple[DataFrame, list[np.ndarray]]:
+    """(tab, same, others, fps): pairs of chunks of fingerprints that agree on a table's
+    blocks, and each table's mask."""
     blocks = blocks or radius + 1
     if not radius < blocks <= BITS:
         raise ValueError("there are more blocks than bits may differ, and at most 128")
@@ -174,30 +174,66 @@ def near_counts(fps: DataFrame, radius: int = RADIUS, blocks: int | None = None)
     chunks = stored(chunks, "block-chunks")
     left = chunks.select("tab", "key", F.col("chunk").alias("a"), F.explode(F.sequence("chunk", F.col("chunks") - 1)).alias("chunk"), F.col("fps").alias("others"))
     pairs = left.join(chunks.select("tab", "key", "chunk", "fps"), ["tab", "key", "chunk"]).select("tab", (F.col("a") == F.col("chunk")).alias("same"), "others", "fps")
+    return pairs, [np.frombuffer(m.to_bytes(BITS // 8, "big"), np.uint8) for m in masks]
+
+
+def _near(batch: pa.RecordBatch, radius: int, masks: list[np.ndarray]) -> Iterator[tuple[bytes, list[bytes], list[int]]]:
+    """Of each fingerprint of a batch of chunk pairs those within the radius that no earlier table has, and their distances."""
     popcount = np.array([bin(i).count("1") for i in range(256)], np.uint8)
-    mask_bytes = [np.frombuffer(m.to_bytes(BITS // 8, "big"), np.uint8) for m in masks]
+    for tab, same, a, b in zip(*(batch.column(c).to_pylist() for c in ("tab", "same", "others", "fps"))):
+        x, y = (np.frombuffer(b"".join(v), np.uint8).reshape(len(v), -1) for v in (a, b))
+        for i in range(len(x)):
+            first = i + 1 if same else 0
+            differ = y[first:] ^ x[i]
+            distance = popcount[differ].sum(axis=1)
+            hit = distance <= radius
+            for m in masks[:tab]:
+                hit &= (differ & m).any(axis=1)
+            if hit.any():
+                found = np.flatnonzero(hit)
+                yield a[i], [b[first + j] for j in found.tolist()], distance[found].tolist()
+
+
+def near_counts(fps: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
+    """(fingerprint, near): for the distinct fingerprints (hex) that have any, how
+    many others are within ``radius`` bits."""
+    pairs, masks = _block_pairs(fps, radius, blocks)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: dict[bytes, int] = {}
-            for tab, same, a, b in zip(*(batch.column(c).to_pylist() for c in ("tab", "same", "others", "fps"))):
-                x, y = (np.frombuffer(b"".join(v), np.uint8).reshape(len(v), -1) for v in (a, b))
-                for i in range(len(x)):
-                    differ = y[i + 1 if same else 0:] ^ x[i]
-                    hit = popcount[differ].sum(axis=1) <= radius
-                    for m in mask_bytes[:tab]:  # an earlier table has this pair
-                        hit &= (differ & m).any(axis=1)
-                    n = int(hit.sum())
-                    if n:
-                        found[a[i]] = found.get(a[i], 0) + n
-                        for j in np.flatnonzero(hit).tolist():
-                            other = b[j + (i + 1 if same else 0)]
-                            found[other] = found.get(other, 0) + 1
+            for own, others, _ in _near(batch, radius, masks):
+                found[own] = found.get(own, 0) + len(others)
+                for other in others:
+                    found[other] = found.get(other, 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array([k.hex() for k in found], pa.string()), pa.array(list(found.values()), pa.int64())], ["fingerprint", "near"])
 
     return pairs.mapInArrow(count, "fingerprint string, near long").groupBy("fingerprint").agg(F.sum("near").alias("near"))
 
 
+def near_pairs(fps: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
+    """(fingerprint, near, distance): every two different fingerprints (hex) within
+    ``radius`` bits, once, the smaller first. Rows leave a task as they are found."""
+    pairs, masks = _block_pairs(fps, radius, blocks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple[str, str, int]] = []
+
+        def sent() -> pa.RecordBatch:
+            columns = list(zip(*rows)) or [(), (), ()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32()))], ["fingerprint", "near", "distance"])
+
+        for batch in batches:
+            for own, others, distances in _near(batch, radius, masks):
+                rows += [(*sorted((own.hex(), other.hex())), d) for other, d in zip(others, distances)]
+                if len(rows) >= 10_000:
+                    yield sent()
+                    rows = []
+        yield sent()
+
+    return pairs.mapInArrow(run, "fingerprint string, near string, distance int")
+
+
 def fingerprint_report(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The columns of :func:`compared` and near_fingerprints, how many other
     fingerprints of the table are within ``radius`` bits of the row's."""

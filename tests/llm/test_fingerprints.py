@@ -61,3 +61,5 @@ def test_near_counts_match_all_pairs(spark, monkeypatch, radius, blocks, chunk):
     want = {f"{a:032x}": n for a in values if (n := sum((a ^ b).bit_count() <= radius for b in values) - 1)}
     rows = spark.createDataFrame([(f"{x:032x}",) for x in sorted(values)] * 2, "fingerprint string")
     assert {r.fingerprint: r.near for r in fingerprints.near_counts(rows, radius, blocks).collect()} == want
+    pairs = [tuple(r) for r in fingerprints.near_pairs(rows, radius, blocks).collect()]
+    assert sorted(pairs) == sorted((f"{a:032x}", f"{b:032x}", (a ^ b).bit_count()) for a in values for b in values if a < b and (a ^ b).bit_count() <= radius)
