@@ -212,7 +212,13 @@ def validate_answers(df: DataFrame, raw: str = "raw_text", exports: str = "expor
         .otherwise(F.try_variant_get(v, "$.driftSummary", "string")).alias("drift_summary"),
         F.when(err, F.lit(None)).otherwise(F.col("_split")).alias("suggested_split"),
         F.when(err, empty).otherwise(F.col("_warnings")).alias("warnings"))
-    return result
+    return _worked_out(result)
+
+
+def _worked_out(df: DataFrame) -> DataFrame:
+    """``df`` behind a generator of one row. A filter on what was worked out stays above
+    it: pushed down, it would hold all of the expressions once per use, with their parse."""
+    return df.select(F.inline(F.array(F.struct("*"))))
 
 
 def pair_answers(candidates: DataFrame, responses: DataFrame, keys=("repo",),
