@@ -48,7 +48,8 @@ def measured_files(source_files: DataFrame, keys=("repo",), path: str = "path",
     if known is not None:
         unseen = files.select("fingerprint").distinct().join(known.select("fingerprint"), "fingerprint", "left_anti")
         texts = texts.join(unseen, "fingerprint", "left_semi")
-    parsed = file_metrics(texts.dropDuplicates(["fingerprint"]), keys=(), path="fingerprint", content="content").select("fingerprint", *MEASURES)
+    # A fingerprint has one content, so both are the key: a hash aggregate, where a first content per fingerprint would sort the texts.
+    parsed = file_metrics(texts.distinct(), keys=(), path="fingerprint", content="content").select("fingerprint", *MEASURES)
     if known is not None:
         parsed = stored(parsed, "new-metrics")
         parsed.write.mode("append").parquet(store)

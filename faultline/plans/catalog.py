@@ -494,7 +494,9 @@ END || CASE WHEN p_size = 6 THEN ', "hasDrifted": true}' ELSE '}' END
 def part_answers(spark: SparkSession, d: str) -> DataFrame:
     """``repo, path, raw_text, exported_symbols, imported_symbol_names`` for
     part answers plus conversation turns (prose, so error rows)."""
-    part = table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size").repartition("p_partkey")
+    # A count of its own keeps adaptive execution from making one task of narrow rows with much work.
+    wide = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    part = table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size").repartition(wide, "p_partkey")
     pa = part.select(
         F.col("p_brand").alias("repo"),
         F.concat(F.lit("part/"), F.col("p_partkey").cast("string")).alias("path"),
@@ -1043,17 +1045,18 @@ def q_incremental_scan(spark, d):
     return found.join(prints, "path").select("path", "lines", "complexity", "fan_in", F.array_join("exported_symbols", ",").alias("exports"), "parsed")
 
 
-def _source_changes(spark, d):
-    """Staged changes: each order line changes its part's file (open lines) or a script."""
+def _source_changes(spark, d, by_path=False):
+    """Staged changes: each order line changes its part's file (open lines) or a script. They are
+    dealt out by commit, or by ranges of path and commit: one path may have half of the lines."""
     part = table(spark, d, "part").select("p_partkey", "p_name", "p_type", "p_size")
     li = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag", "l_linestatus")
     x = li.join(part, li.l_partkey == part.p_partkey)
     # Few narrow rows become much text: adaptive execution must not make one task of them.
     wide = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    x = x.repartition(wide, "l_orderkey")
-    path = F.when(F.col("l_linestatus") == "O", F.expr(B.SOURCE_PATH_SQL)).otherwise("C:/w/run.js")
+    x = x.withColumn("path", F.when(F.col("l_linestatus") == "O", F.expr(B.SOURCE_PATH_SQL)).otherwise("C:/w/run.js"))
+    x = x.repartitionByRange(wide, "path", "l_orderkey") if by_path else x.repartition(wide, "l_orderkey")
     return x.select(F.lit("parts").alias("repo"), F.col("l_orderkey").cast("string").alias("commit_id"), F.col("l_returnflag").alias("status"),
-                    path.alias("path"), F.expr(B.SOURCE_SQL).alias("content"))
+                    "path", F.expr(B.SOURCE_SQL).alias("content"))
 
 
 SQL_CHANGES = SQL_SOURCES + f""",
@@ -1121,8 +1124,8 @@ def q_answers_round_trip(spark, d):
 def q_gate_stream(spark, d):
     from faultline.streaming.gate_stream import read_gate_verdicts, start_gate_verdict_stream
     at = _fresh(spark, "staged-changes")
-    changes = _source_changes(spark, d)
-    changes.repartition(changes.rdd.getNumPartitions(), "path").write.parquet(at)
+    changes = _source_changes(spark, d, by_path=True)
+    changes.write.parquet(at)
     # a commit's files are in several files, which arrive in three batches
     files = len(spark.read.schema(changes.schema).parquet(at).inputFiles())
     query = start_gate_verdict_stream(spark, at, f"{at}-status", f"{at}-verdict", name=at.rsplit("/", 1)[-1], available_now=True,

@@ -14,6 +14,7 @@ from faultline.operators import candidates as C
 from pyspark.sql import functions as F
 
 from faultline.operators.gate import changed_files, gate_status, gate_verdict
+from faultline.operators.metric_store import measured_files
 from faultline.operators.metrics import file_metrics
 from faultline.schemas import STAGED_CHANGES, TIMED_CHANGES
 from faultline.session import checkpoint_path
@@ -45,6 +46,13 @@ def start_gate_stream(spark: SparkSession, source_dir: str, sink_dir: str,
     return w.start()
 
 
+def gate_batch(changes: DataFrame, min_lines: int = C.DEFAULT_MIN_LINES,
+               min_complexity: int = C.DEFAULT_MIN_COMPLEXITY, strict=False) -> DataFrame:
+    """Gate rows of one micro-batch of changes. A content that several of them hold is parsed once."""
+    m = measured_files(changed_files(changes), keys=("repo", "commit_id"))
+    return gate_status(m, min_lines, min_complexity, strict)
+
+
 def write_gate_batch(status: DataFrame, batch_id: int, sink_dir: str, verdict_dir: str,
                      fmt: str = "parquet") -> None:
     """One micro-batch: per-file status rows and the verdict of each commit
@@ -64,13 +72,17 @@ def write_gate_batch(status: DataFrame, batch_id: int, sink_dir: str, verdict_di
 
 def start_gate_verdict_stream(spark: SparkSession, source_dir: str, sink_dir: str,
                               verdict_dir: str, name: str = "gate-verdict", fmt: str = "parquet",
-                              available_now: bool = False, **kw) -> StreamingQuery:
+                              available_now: bool = False, min_lines: int = C.DEFAULT_MIN_LINES,
+                              min_complexity: int = C.DEFAULT_MIN_COMPLEXITY, strict=False,
+                              max_files_per_trigger: int | None = None) -> StreamingQuery:
     """The gate stream with a verdict of each commit in every micro-batch. A commit
     whose files arrive in several batches has a part in each;
     :func:`read_gate_verdicts` merges them."""
-    df = gate_stream_frame(spark, source_dir, fmt, **kw)
-    w = (df.writeStream.option("checkpointLocation", checkpoint_path(spark, f"stream-{name}"))
-         .foreachBatch(lambda b, i: write_gate_batch(b, i, sink_dir, verdict_dir)))
+    reader = spark.readStream.schema(STAGED_CHANGES).format(fmt)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    w = (reader.load(source_dir).writeStream.option("checkpointLocation", checkpoint_path(spark, f"stream-{name}"))
+         .foreachBatch(lambda b, i: write_gate_batch(gate_batch(b, min_lines, min_complexity, strict), i, sink_dir, verdict_dir)))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
 

@@ -257,3 +257,27 @@ def test_commit_closes_once(spark, tmp_dir):
     first = [("c1", 3, 2, True), ("c2", 1, 0, False)]
     assert deliver([("c3", "A", "a.ts", big, 9000)]) == first
     assert deliver([("c4", "A", "a.ts", "", 20000)]) == first + [("c3", 1, 1, True)]
+
+
+def test_gate_batch_parses_a_content_once(spark):
+    from faultline.operators.metrics import file_metrics
+    from faultline.streaming.gate_stream import gate_batch
+    rows = [("r", f"c{i % 7}", "A", f"src/{i}.ts", big_source() if i % 2 else "export const a = 1;") for i in range(40)]
+    rows += [rows[1], ("r", "c1", "M", "src/n.tsx", None), ("r", "c1", "D", "src/0.ts", "x")]
+    changes = spark.createDataFrame(rows, "repo string, commit_id string, status string, path string, content string")
+    got = gate_batch(changes)
+    want = G.gate_status(file_metrics(G.changed_files(changes), keys=("repo", "commit_id")))
+    columns = ["repo", "commit_id", "path", "lines", "complexity", "flagged", "status", "message"]
+    assert sorted(map(str, got.select(columns).collect())) == sorted(map(str, want.select(columns).collect()))
+    # the texts meet in a hash aggregate before they are cut into tokens
+    assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_changes_of_one_path_are_dealt_out(spark, tmp_dir):
+    from faultline.plans import catalog
+    spark.range(20).selectExpr("id AS p_partkey", "'red blue' AS p_name", "'SMALL' AS p_type", "cast(id + 1 AS int) AS p_size").write.parquet(f"{tmp_dir}/part.parquet")
+    spark.range(4000).selectExpr("id AS l_orderkey", "id % 20 AS l_partkey", "'A' AS l_returnflag", "if(id % 2 = 0, 'F', 'O') AS l_linestatus").write.parquet(
+        f"{tmp_dir}/lineitem.parquet")
+    changes = catalog._source_changes(spark, tmp_dir, by_path=True).groupBy("path", F.spark_partition_id().alias("file")).count()
+    script = [r["count"] for r in changes.filter("path = 'C:/w/run.js'").collect()]
+    assert sum(script) == 2000 and len(script) > 1
