@@ -44,6 +44,25 @@ def join_dir(d: Column, rel: Column) -> Column:
     return F.when(d == "", rel).otherwise(F.concat(d, F.lit("/"), rel))
 
 
+#: A specifier that climbs first and names plain segments then; a directory that needs folding itself.
+_PLAIN = r"^(?:\./)?(?:\.\./)*+(?!\.{0,2}(?:/|\z))[^/]++(?:/(?!\.{0,2}(?:/|\z))[^/]++)*+\z"
+_CLIMB = r"^(?:\./)?(?:\.\./)*+"
+_UNFOLDED = r"(?:^|/)\.{1,2}(?:/|\z)|//|/\z"
+
+
+def spelled_path(src_dir: Column, spec: Column) -> Column:
+    """``_fold_dots(join_dir(src_dir, spec))``. Most specifiers climb some directories
+    and name plain segments: for those the directory is cut by its count of segments,
+    only the others are folded segment by segment."""
+    rest = F.regexp_replace(spec, _CLIMB, "")
+    climbed = F.length(spec) - F.length(rest)
+    ups = F.when(spec.startswith("./"), climbed - 2).otherwise(climbed) / 3
+    segments = F.length(src_dir) - F.length(F.replace(src_dir, F.lit("/"), F.lit(""))) + 1
+    kept = F.call_function("substring_index", src_dir, F.lit("/"), (segments - ups).cast("int"))
+    plain = spec.rlike(_PLAIN) & (src_dir != "") & ~src_dir.rlike(_UNFOLDED) & (ups < segments)
+    return F.when(plain, F.concat(kept, F.lit("/"), rest)).otherwise(_fold_dots(join_dir(src_dir, spec)))
+
+
 def import_targets(files: DataFrame, keys=("repo",), path: str = "path") -> DataFrame:
     """``(keys…, key, to_any, to_file, to_dir)``: what each path that an import may
     spell resolves to: by all of the order, as a file only, as a directory only.
@@ -83,13 +102,14 @@ def resolve_import_rows(decls: DataFrame, files: DataFrame, keys=("repo",),
     and edges are de-duplicated per importer.
     """
     keys = list(keys)
-    decl = decls.filter(F.col("spec").rlike(r"^\.{1,2}(/|$)"))
+    decl = decls.filter(F.col("spec").rlike(r"^\.{1,2}(/|$)") & F.col("src_path").isNotNull())
     src_dir = parent_dir(F.col("src_path").cast("string"))
-    folded = decl.select(*keys, "src_path", *carry, _fold_dots(join_dir(src_dir, F.col("spec"))).alias("_base"),
+    folded = decl.select(*keys, "src_path", *carry, spelled_path(src_dir, F.col("spec")).alias("_base"),
                          F.col("spec").rlike(r"(^|/)\.{0,2}$").alias("_dir"))
     is_js = F.col("_base").rlike(JS_EXTENSION) & ~F.col("_dir")
-    spelled = folded.select(*keys, "src_path", *carry, "_dir", is_js.alias("_js"),
-                            F.when(is_js, F.regexp_replace("_base", JS_EXTENSION, "")).otherwise(F.col("_base")).alias("key"))
+    key = F.when(is_js, F.regexp_replace("_base", JS_EXTENSION, "")).otherwise(F.col("_base"))
+    # Never null, and seen to be: the join's own check for nulls, pushed down, would fold each path several times more.
+    spelled = folded.select(*keys, "src_path", *carry, "_dir", is_js.alias("_js"), F.coalesce(key, F.lit("")).alias("key"))
     hits = spelled.join(import_targets(files, keys, path), [*keys, "key"])
     to = F.when(F.col("_dir"), F.col("to_dir")).when(F.col("_js"), F.col("to_file")).otherwise(F.col("to_any"))
     return (hits.select(*keys, "src_path", to.alias("dst_path"), *carry)
