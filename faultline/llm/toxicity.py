@@ -5,22 +5,27 @@ letters and digits, each with a border sign. For each class (toxic, ordinary)
 P(symbol | the five before it) interpolates that class's discounted counts of
 six-symbol runs with a model that both classes share: the Kneser-Ney estimate
 from both classes' counts together, which in turn backs off to the continuation
-of the last three symbols, counted over distinct runs. So a rare run, or one
-that a class has never seen, falls back to the same value in both classes and
-says nothing. Runs of six symbols also reach expressions of which only the stem
-was labelled.
-
-A text's evidence is the difference of its two log-likelihoods, normalised by
-its length, and a logistic curve of that evidence, fitted on a part of the
-labelled rows that the counts don't have, gives the score. A run whose class
-counts could well be alike, by their deviance, takes the shared estimate in both
-classes; the same part of the rows picks how large a deviance it takes.
+of the last three symbols, counted over distinct runs. What the discounts leave,
+and ``STRENGTH`` counts for each five symbols, go to the shared estimate, so a rare
+run says little. A run that no labelled text has still says how much of its five
+symbols' weight each class leaves to the shared estimate, so every symbol has its
+likelihood in both classes. Runs of six symbols also reach expressions of which
+only the stem was labelled.
+
+A word's two likelihoods are the products over all its symbols and the border
+behind it. A toxic text is mostly ordinary words: each is of the toxic model with
+a small probability, the share, else of the ordinary one. A text's evidence is the
+difference of its log-likelihoods under that mixture and under the ordinary model,
+normalised by its length, and a logistic curve of that evidence, fitted on a part of
+the labelled rows that the counts don't have, gives the score. The same part of the
+rows picks the share. No run, word or text is left out.
 
 All counts are grouped sums over every labelled training row. Log ratios are a
-table by exact run, of every run that has a say. The ``SENT`` most frequent ones
-(6 MB) are sent to the tasks; if there are more, the texts' runs meet the others
-by a join. Log ratios are whole multiples of a small unit, so both ways give the
-same sums, in any order.
+table by exact run (and by the five symbols before, for unseen runs). The most
+frequent ones, ``SENT`` at most (32 MB), are sent to the tasks; if there are more, the
+words that may need one of the others (by a bitmap of fixed size, which only spares
+rows) meet them by a join. Log ratios are whole multiples of a small unit, so both ways
+give the same sums, in any order.
 
 Defined results: a null or empty text (and one without letters) has evidence 0; labels
 other than 0 and 1, and null ones, are not used; a label whose doc_id is null
@@ -38,20 +43,26 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from faultline.llm._bytes import BY_LETTERS, mix, pieces
+from faultline.llm._bytes import BY_LETTERS, mix, pieces, words
 from faultline.llm._shared import slices, stored, utf8
 
 ORDER = 6
-#: The most runs whose log ratios are sent to tasks (24 bytes each).
-SENT = 1 << 18
+#: The most log ratios that are sent to tasks (16 bytes each).
+SENT = 1 << 21
+#: Bits of the places in the bitmap of the others (8 MB).
+PLACE = 26
 #: Log ratios are whole multiples of 1 / UNIT.
 UNIT = 1 << 32
 FOLDS = 5
-#: The absolute discount, and the deviances to choose from below which the classes count as alike.
+#: The absolute discount, and how many counts the shared estimate has beside a class's own.
 DISCOUNT = 0.75
-DEVIANCES = (6.0, 12.0, 24.0, 48.0, 96.0, 192.0)
+STRENGTH = 30.0
+#: The shares to choose from: how many of a toxic text's words the toxic model writes.
+SHARES = (0.1, 0.03, 0.01, 0.003, 0.001)
 #: Log-likelihoods are divided by this power of the number of runs.
 LENGTH = 0.5
+#: Marks the five symbols before a run, which have the log ratio of unseen runs.
+BEFORE = 1 << 48
 
 
 def fold(doc_id: Column) -> Column:
@@ -115,12 +126,14 @@ def _counts(labelled: DataFrame) -> DataFrame:
 
 
 def log_ratios(labelled: DataFrame) -> DataFrame:
-    """(run, n, deviance, ratio): ln P(last | before, toxic) - ln P(last | before, ordinary)
-    in units, of every run whose deviance is above the least of ``DEVIANCES``."""
+    """(run, n, ratio, over): ln P(last | before, toxic) - ln P(last | before, ordinary)
+    in units, of every run that a text has, and under ``BEFORE`` + the five symbols before,
+    of all runs behind them that none has. ``over`` is what a run's ratio adds to that
+    one, so a text's sum is over its runs and over what is before them."""
     counts = stored(_counts(labelled), "runs").withColumn("n", F.col("toxic") + F.col("ordinary")).withColumn("before", F.shiftright("run", 8))
     total = counts.agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).first()
     if not total.toxic or not total.ordinary:
-        return labelled.sparkSession.createDataFrame([], "run long, n long, deviance double, ratio long")
+        return labelled.sparkSession.createDataFrame([], "run long, n long, ratio long, over long")
     # The shared lower order: in how many distinct runs three symbols end, by interpolated discounting over those.
     tails = counts.groupBy(F.col("run").bitwiseAND(F.lit(0xFFFFFF)).alias("tail")).agg(F.count(F.lit(1)).alias("runs"))
     heads = tails.groupBy(F.shiftright("tail", 8).alias("head")).agg(F.sum("runs").alias("of"), F.count(F.lit(1)).alias("kinds"))
@@ -130,27 +143,100 @@ def log_ratios(labelled: DataFrame) -> DataFrame:
     for c in ("toxic", "ordinary"):
         sums += [F.sum(c).alias(f"{c}_of"), F.sum(F.least(F.col(c), F.lit(DISCOUNT))).alias(f"{c}_left")]
     shared = (F.col("n") - DISCOUNT + DISCOUNT * F.col("kinds") * F.col("low")) / F.col("of")
-    p, deviance = [], F.lit(0.0)
+    p, left = [], []
     for c in ("toxic", "ordinary"):
-        p.append(F.when(F.col(f"{c}_of") > 0, (F.col(c) - F.least(F.col(c), F.lit(DISCOUNT)) + F.col(f"{c}_left") * F.col("shared")) / F.col(f"{c}_of")).otherwise(F.col("shared")))
-        # twice the count times the log of observed over expected, were the classes alike after these five symbols
-        deviance += F.when(F.col(c) > 0, 2 * F.col(c) * F.log(F.col(c) * F.col("of") / (F.col("n") * F.col(f"{c}_of")))).otherwise(0.0)
-    found = counts.join(counts.groupBy("before").agg(*sums), "before").join(low, F.col("run").bitwiseAND(F.lit(0xFFFFFF)) == F.col("tail")).withColumn(
-        "shared", shared).select("run", "n", deviance.alias("deviance"), F.round((F.log(p[0]) - F.log(p[1])) * UNIT).cast("long").alias("ratio"))
-    return stored(found.filter(F.col("deviance") > min(DEVIANCES)), "log-ratios")
+        # without a count of its own a class has the shared estimate: all weight is left to it
+        left.append((F.col(f"{c}_left") + STRENGTH) / (F.col(f"{c}_of") + STRENGTH))
+        p.append((F.col(c) - F.least(F.col(c), F.lit(DISCOUNT))) / (F.col(f"{c}_of") + STRENGTH) + left[-1] * F.col("shared"))
+    units = lambda a, b: F.round((F.log(a) - F.log(b)) * UNIT).cast("long")
+    befores = stored(counts.groupBy("before").agg(*sums).withColumn("unseen", units(*left)), "befores")
+    found = counts.join(befores, "before").join(low, F.col("run").bitwiseAND(F.lit(0xFFFFFF)) == F.col("tail")).withColumn(
+        "shared", shared).select("run", "n", units(*p).alias("ratio"), "unseen").select("run", "n", "ratio", (F.col("ratio") - F.col("unseen")).alias("over"))
+    unseen = befores.select((F.col("before") + BEFORE).alias("run"), F.col("of").alias("n"), F.col("unseen").alias("ratio"), F.col("unseen").alias("over"))
+    return stored(found.union(unseen), "log-ratios")
+
+
+def _slots(runs: np.ndarray) -> np.ndarray:
+    """Each run's place in the bitmap."""
+    return mix(runs.astype(np.uint64)) >> np.uint64(64 - PLACE)
 
 
 def _most_frequent(ratios: DataFrame, sent: int) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], DataFrame | None]:
-    """Runs (in order), deviances and ratios of the ``sent`` most frequent runs, and the table of all others, if any."""
-    top = ratios.orderBy(F.col("n").desc(), "run").limit(sent).toArrow()
-    run, n = (top.column(c).to_numpy() for c in ("run", "n"))
+    """Runs (in order) and ratios of the most frequent runs, ``sent`` at most, a bitmap of
+    all others, and their table, if any. Runs as frequent as each other stay together."""
+    top, rest, places = ratios, None, np.zeros(0, np.uint64)
+    if ratios.count() > sent:
+        # how many runs have each count: far fewer rows than runs
+        ns = ratios.groupBy("n").agg(F.count(F.lit(1)).alias("runs")).toArrow()
+        n, runs = (ns.column(c).to_numpy() for c in ("n", "runs"))
+        order = np.argsort(-n)
+        least = int(n[order[np.searchsorted(np.cumsum(runs[order]), sent, side="right")]])
+        top, rest = ratios.filter(F.col("n") > least), ratios.filter(F.col("n") <= least)
+
+        def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = _slots(batch.column("run").to_numpy())
+                bits = np.uint64(1) << (at & np.uint64(63))
+                yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).view(np.int64)), pa.array(bits.view(np.int64))], ["place", "bits"])
+
+        marked = rest.select("run").mapInArrow(marks, "place long, bits long").groupBy("place").agg(F.bit_or("bits").alias("bits")).toArrow()
+        places = np.zeros(1 << (PLACE - 6), np.uint64)
+        places[marked.column("place").to_numpy()] = marked.column("bits").to_numpy().view(np.uint64)
+    top = top.select("run", "over").toArrow()
+    run = top.column("run").to_numpy()
     order = np.argsort(run)
-    arrays = run[order].astype(np.uint64), top.column("deviance").to_numpy()[order], top.column("ratio").to_numpy()[order]
-    if len(run) < sent:
-        return arrays, None
-    least = int(n.min())
-    rest = ratios.filter((F.col("n") < least) | ((F.col("n") == least) & (F.col("run") > int(run[n == least].max()))))
-    return arrays, None if rest.isEmpty() else rest
+    return (run[order].astype(np.uint64), top.column("over").to_numpy()[order], places), rest
+
+
+def _words(texts: list[bytes], table: tuple[np.ndarray, np.ndarray, np.ndarray], held: bool = False) -> tuple[np.ndarray, ...]:
+    """Of each text's distinct words: a hash, the text, the number of runs, the log ratio
+    by the runs that were sent, and whether it may need others; with ``held`` also those
+    that it may need, as runs and the place of their word."""
+    runs, over, places = table
+    parts, keys, at = [], [], 0
+    for some, of in pieces(texts):
+        found = words(some, BY_LETTERS)
+        h, owner = found.mixed_hashes(), of[found.owner()]
+        _, one = np.unique(h, return_index=True)
+        starts, size = found.starts[one], found.ends[one] - found.starts[one] + 1  # with the border behind
+        first = np.cumsum(size) - size
+        own = np.repeat(np.arange(len(one)), size)
+        depth = np.arange(len(own)) - first[own] + 1
+        place = starts[own] + depth - 1
+        codes = np.zeros(len(own), np.uint64)
+        for i in range(ORDER):
+            codes |= np.where(depth > i, found.symbols[np.maximum(place - i, 0)], 0).astype(np.uint64) << np.uint64(8 * i)
+        before = (codes >> np.uint64(8)) + np.uint64(BEFORE)
+        total, asks = np.zeros(len(own), np.int64), np.zeros(len(own), bool)
+        for some_runs in (codes, before):
+            where, known = _places(runs, some_runs)
+            total[known] += over[where[known]]
+            if len(places):
+                slot = _slots(some_runs)
+                ask = (places[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool) & ~known
+                asks |= ask
+                if held:
+                    keys.append((some_runs[ask], at + own[ask]))
+        sums = (np.add.reduceat(total, first), np.logical_or.reduceat(asks, first)) if len(one) else (total, asks)
+        which = np.searchsorted(h[one], h)
+        parts.append((h, owner, size[which], sums[0][which], sums[1][which], at + which))
+        at += len(one)
+    if not parts:
+        parts = [tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64, bool, np.int64))]
+    h, owner, size, total, asks, which = (np.concatenate(x) for x in zip(*parts))
+    _, one = np.unique(mix(h ^ mix(owner.astype(np.uint64) + np.uint64(1 << 56))), return_index=True)
+    out = tuple(x[one] for x in (h, owner, size, total, asks))
+    if not held:
+        return out
+    asked = [np.concatenate(x) for x in zip(*keys)] if keys else [np.zeros(0, np.uint64), np.zeros(0, np.int64)]
+    return *out, which[one], *asked
+
+
+def _mixed(ratio: np.ndarray, share: float) -> np.ndarray:
+    """A word's evidence in units when the toxic model writes ``share`` of the words (1 or more: all), from its log ratio in units."""
+    if share >= 1:
+        return ratio
+    return np.rint(np.logaddexp(math.log1p(-share), math.log(share) + ratio / UNIT) * UNIT).astype(np.int64)
 
 
 def _places(runs: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -161,34 +247,46 @@ def _places(runs: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, runs[at] == codes
 
 
-def _evidence(docs: DataFrame, ratios: DataFrame, limits: tuple[float, ...], keep: list[str], sent: int | None = None) -> DataFrame:
-    """``keep`` columns, the number of runs, and e0, e1, ...: the evidence of each
-    text by the log ratios whose deviance is above each limit."""
+def _evidence(docs: DataFrame, ratios: DataFrame, shares: tuple[float, ...], keep: list[str], sent: int | None = None) -> DataFrame:
+    """``keep`` columns, the number of runs in the distinct words, and e0, e1, ...: the
+    evidence of each text by each share."""
     arrays, rest = _most_frequent(ratios, sent or SENT)
     table = docs.sparkSession.sparkContext.broadcast(arrays)
-    names = [f"s{i}" for i in range(len(limits))]
+    names = [f"s{i}" for i in range(len(shares))]
     named = [*keep, "text key"] if rest is not None else keep
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs, deviance, ratio = table.value
         for batch in batches:
             for part in slices(batch, "text"):
-                codes, owner = _runs(utf8(part.column("text")))
-                n = np.bincount(owner, minlength=part.num_rows)
-                at, known = _places(runs, codes)
-                at, owner = at[known], owner[known]
-                sums = [np.zeros(part.num_rows, np.int64) for _ in limits]
-                for limit, out in zip(limits, sums):
-                    above = deviance[at] > limit
-                    np.add.at(out, owner[above], ratio[at[above]])
+                _, owner, size, ratio, asks = _words(utf8(part.column("text")), table.value)
+                n = np.bincount(owner, size, part.num_rows).astype(np.int64)
+                sums = [np.zeros(part.num_rows, np.int64) for _ in shares]
+                for share, out in zip(shares, sums):
+                    np.add.at(out, owner[~asks], _mixed(ratio[~asks], share))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in named), pa.array(n), *map(pa.array, sums)], [*named, "n", *names])
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                codes, owner = _runs(utf8(part.column("text")))
-                left = ~_places(table.value[0], codes)[1]
-                yield pa.RecordBatch.from_arrays([part.column("text key").take(pa.array(owner[left])), pa.array(codes[left].view(np.int64))], ["text key", "run"])
+                h, owner, _, ratio, asks, place, runs, of = _words(utf8(part.column("text")), table.value, held=True)
+                # each word that asks, with each run that it asks for and how often
+                order = np.argsort(of, kind="stable")
+                runs, of = runs[order], of[order]
+                h, owner, ratio, place = h[asks], owner[asks], ratio[asks], place[asks]
+                a, b = np.searchsorted(of, place), np.searchsorted(of, place, side="right")
+                word = np.repeat(np.arange(len(place)), b - a)
+                at = np.arange(len(word)) - np.repeat(np.cumsum(b - a) - (b - a), b - a) + a[word]
+                # a text's key once for each of its words, so that copies of a text give the same rows
+                _, one, times = np.unique(mix(runs[at] ^ mix(word.astype(np.uint64) + np.uint64(1 << 56))), return_index=True, return_counts=True)
+                word, at = word[one], at[one]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("text key").take(pa.array(owner[word])), pa.array(h[word].view(np.int64)), pa.array(ratio[word]), pa.array(runs[at].view(np.int64)), pa.array(times)],
+                    ["text key", "word", "part", "run", "times"])
+
+    def mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ratio = batch.column("ratio").to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column("text key"), *(pa.array(_mixed(ratio, share)) for share in shares)], ["text key", *names])
 
     if rest is not None:
         docs = docs.withColumn("text key", F.md5("text"))
@@ -197,9 +295,11 @@ def _evidence(docs: DataFrame, ratios: DataFrame, limits: tuple[float, ...], kee
         run, ", ".join([*(f"`{c}` {kinds[c]}" for c in named), "n long", *(f"{c} long" for c in names)]))
     if rest is not None:
         # A text's evidence is its own, so copies of a text share theirs.
-        met = docs.filter("text is not null").select("text key", "text").mapInArrow(others, "`text key` string, run long").join(
-            rest.select("run", "deviance", "ratio"), "run").distinct()
-        far = met.groupBy("text key").agg(*[F.sum(F.when(F.col("deviance") > d, F.col("ratio")).otherwise(0)).alias(f"far {c}") for d, c in zip(limits, names)])
+        met = docs.filter("text is not null").select("text key", "text").mapInArrow(
+            others, "`text key` string, word long, part long, run long, times long").distinct().join(rest.select("run", "over"), "run", "left")
+        far = met.groupBy("text key", "word").agg((F.max("part") + F.sum(F.coalesce(F.col("over") * F.col("times"), F.lit(0)))).alias("ratio")).select(
+            "text key", "ratio").mapInArrow(mixed, ", ".join(["`text key` string", *(f"{c} long" for c in names)])).groupBy("text key").agg(
+            *[F.sum(c).alias(f"far {c}") for c in names])
         out = out.join(far, "text key", "left").withColumns({c: F.col(c) + F.coalesce(F.col(f"far {c}"), F.lit(0)) for c in names})
     return out.select(*keep, "n", *[(F.col(c) / F.lit(float(UNIT)) / F.pow(F.greatest("n", F.lit(1)), F.lit(LENGTH))).alias(f"e{i}") for i, c in enumerate(names)])
 
@@ -231,26 +331,24 @@ def _curve(rows: DataFrame) -> tuple[float, float, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sent: int | None = None) -> tuple[DataFrame, float, float, float]:
-    """The table of log ratios, the deviance to be above, and the curve's slope and
-    offset, from all labelled rows outside fold 0."""
+    """The table of log ratios, the share, and the curve's slope and offset, from all labelled rows outside fold 0."""
     voted = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.avg("toxic").alias("mean")).filter(
         "mean <> 0.5").select("doc_id", F.round("mean").cast("int").alias("toxic"))
     # Labels grow with the input: at any size they meet the texts by a shuffle, not a broadcast.
     rows = docs.select("doc_id", "text").filter("text is not null").withColumn("fold", fold(F.col("doc_id"))).filter("fold <> 0").join(
         voted.hint("shuffle_hash"), "doc_id")
     ratios = log_ratios(rows.filter(f"fold <> {FOLDS - 1}"))
-    held = stored(_evidence(rows.filter(f"fold = {FOLDS - 1}"), ratios, DEVIANCES, ["toxic"], sent).filter("n > 0"), "calibration")
-    fits = [_curve(held.select("toxic", F.col(f"e{i}").alias("evidence"))) for i in range(len(DEVIANCES))]
-    best = min(range(len(DEVIANCES)), key=lambda i: fits[i][0])
-    return ratios, DEVIANCES[best], fits[best][1], fits[best][2]
+    held = stored(_evidence(rows.filter(f"fold = {FOLDS - 1}"), ratios, SHARES, ["toxic"], sent).filter("n > 0"), "calibration")
+    fits = [_curve(held.select("toxic", F.col(f"e{i}").alias("evidence"))) for i in range(len(SHARES))]
+    best = min(range(len(SHARES)), key=lambda i: fits[i][0])
+    return ratios, SHARES[best], fits[best][1], fits[best][2]
 
 
 def _scored(docs: DataFrame, labels: DataFrame, keep: list[str], sent: int | None = None) -> DataFrame:
-    ratios, limit, slope, offset = fit(docs, labels, sent)
-    ratios = ratios.filter(F.col("deviance") > limit)
+    ratios, share, slope, offset = fit(docs, labels, sent)
     z = F.col("e0") * slope + offset
     p = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.lit(-700.0), F.least(F.lit(700.0), z)))) if not ratios.isEmpty() else F.lit(0.0)
-    return _evidence(docs, ratios, (limit,), keep, sent).select(*keep, F.col("e0").alias("evidence"), p.alias("score"))
+    return _evidence(docs, ratios, (share,), keep, sent).select(*keep, F.col("e0").alias("evidence"), p.alias("score"))
 
 
 def score(docs: DataFrame, labels: DataFrame, sent: int | None = None) -> DataFrame:

@@ -1,4 +1,6 @@
+import math
 import zlib
+from collections import Counter, defaultdict
 
 from faultline.llm import toxicity
 from tests.llm.conftest import frame, prose
@@ -83,3 +85,54 @@ def test_what_is_not_sent_is_joined(spark, rng):
     want = sorted((tuple(r) for r in toxicity.score(frame(spark, rows), labelled).collect()), key=str)
     for sent in (1, 40):
         assert sorted((tuple(r) for r in toxicity.score(frame(spark, rows), labelled, sent).collect()), key=str) == want
+
+
+def runs_of(text):
+    """(five symbols before, symbol) of each symbol of each word, and of the border behind it."""
+    words = "".join(c if c.isalnum() else " " for c in text.lower()).split()
+    return [[((("\0" * 5) + w)[i: i + 5], (w + "\0")[i]) for i in range(len(w) + 1)] for w in words]
+
+
+def test_every_run_has_its_kneser_ney_ratio(spark, rng):
+    # runs whose classes may be alike were left out, and so were runs that no labelled text has
+    rows, labels = corpus(rng, 60)
+    rows.append((60, "zyqxo vuka zyqxo"))
+    voted = {i: t for i, _, t in labels} | {60: 1}
+    counts = {c: Counter(r for i, x in rows if voted[i] == c for r in {r for w in runs_of(x) for r in w}) for c in (0, 1)}
+    both = counts[0] + counts[1]
+    sides = {c: defaultdict(list) for c in (0, 1, 2)}
+    for c, found in ((0, counts[0]), (1, counts[1]), (2, both)):
+        for (before, _), n in found.items():
+            sides[c][before].append(n)
+    tails = Counter((before[-2:], last) for before, last in both)
+    heads = defaultdict(list)
+    for (head, _), n in tails.items():
+        heads[head].append(n)
+
+    def of(c, before, last):
+        if c == 2:  # the shared estimate
+            low = (tails[before[-2:], last] - 0.75 + 0.75 * len(heads[before[-2:]]) / 256) / sum(heads[before[-2:]])
+            return (both[before, last] - 0.75 + 0.75 * len(sides[2][before]) * low) / sum(sides[2][before])
+        n, total = counts[c][before, last], sum(sides[c][before]) + toxicity.STRENGTH
+        return max(n - 0.75, 0) / total + left(c, before) * of(2, before, last)
+
+    left = lambda c, before: (0.75 * len(sides[c][before]) + toxicity.STRENGTH) / (sum(sides[c][before]) + toxicity.STRENGTH)
+    code = lambda symbols: sum(ord(x) << 8 * i for i, x in enumerate(reversed(symbols)))
+    want = {code(before + last): math.log(of(1, before, last) / of(0, before, last)) for before, last in both}
+    want |= {toxicity.BEFORE + code(before): math.log(left(1, before) / left(0, before)) for before in sides[2]}
+    table = toxicity.log_ratios(spark.createDataFrame([(x, voted[i]) for i, x in rows], "text string, toxic int"))
+    got = {r.run: r.ratio / toxicity.UNIT for r in table.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-8 for k in want)
+    # the evidence of texts with seen and unseen runs, an expression that one text had among them
+    texts = ["vuka zyqxo", "zyqxoka GROTZELIG vukaloup", "ka kageno 77", "vuka zyqxo zyqxo"]
+
+    def evidence(text, share):
+        words = {tuple(w) for w in runs_of(text)}
+        ratio = lambda w: sum(want.get(code(b + x), want.get(toxicity.BEFORE + code(b), 0.0)) for b, x in w)
+        return sum(math.log(1 - share + share * math.exp(ratio(w))) for w in words) / sum(map(len, words)) ** 0.5
+
+    for sent in (None, 30):
+        found = {r.text: r for r in toxicity._evidence(frame(spark, list(enumerate(texts))), table, (0.1, 0.003), ["text"], sent).collect()}
+        for x in texts:
+            assert abs(found[x].e0 - evidence(x, 0.1)) < 1e-7 and abs(found[x].e1 - evidence(x, 0.003)) < 1e-7
+    assert found[texts[0]].e0 == found[texts[3]].e0 != 0
