@@ -9,11 +9,19 @@ and appends those metrics; the files then get theirs by a join that moves no con
 
 from __future__ import annotations
 
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from faultline.operators.metrics import file_metrics, markup_path
 from faultline.session import stored
 
+#: Bytes of rows that a task holds while it looks for equal contents.
+HELD = 64 << 20
+#: Changes of one content in one task from which they are measured apart from those of other tasks.
+MANY = 64
+
 MEASURES = ["lines", "complexity", "exported_symbols", "import_count", "imported_from", "imported_symbol_names", "has_syntax_errors", "star_exports"]
 SCHEMA = ("fingerprint string, lines int, complexity int, exported_symbols array<string>, import_count int, imported_from array<string>, "
           "imported_symbol_names array<string>, has_syntax_errors boolean, star_exports array<string>")
@@ -55,3 +63,55 @@ def measured_files(source_files: DataFrame, keys=("repo",), path: str = "path",
         parsed.write.mode("append").parquet(store)
         parsed = parsed.union(known.select(*parsed.columns))
     return files.join(parsed, "fingerprint").select(*own, *MEASURES)
+
+
+def _merged(batches):
+    """The rows of Arrow batches (``content, markup, changes``) with those of equal content and markup made one."""
+    import numpy as np
+    import pyarrow as pa
+    t = pa.Table.from_batches(batches).combine_chunks()
+    content, markup, changes = (t[c].combine_chunks() for c in ("content", "markup", "changes"))
+    code = content.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False) * 2 + markup.to_numpy(zero_copy_only=False)
+    order = np.argsort(code, kind="stable")
+    starts = np.flatnonzero(np.diff(code[order], prepend=-1))
+    lists = changes.take(pa.array(order))
+    ends = lists.offsets.to_numpy()
+    first = pa.array(order[starts])
+    joined = pa.ListArray.from_arrays(pa.array(np.append(ends[starts], ends[-1])), lists.values, type=changes.type)
+    return pa.RecordBatch.from_arrays([content.take(first), markup.take(first), joined], schema=t.schema)
+
+
+def gathered(batches, held: int = HELD):
+    """:func:`_merged` over a task's batches, of which about ``held`` bytes are kept at a time."""
+    kept, size = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        kept.append(batch)
+        size += batch.nbytes
+        if size > held:
+            kept = [_merged(kept)]
+            size = kept[0].nbytes
+            if size > held // 2:
+                yield kept.pop()
+                size = 0
+    if kept:
+        yield _merged(kept)
+
+
+def measured_changes(files: DataFrame, keys=("repo",), path: str = "path", content: str = "content") -> DataFrame:
+    """:func:`measured_files` of a stream, whose contents can't be told apart by an aggregate or a join:
+    each content of a micro-batch is parsed once.
+
+    Rows of equal content are gathered, first in the task that has them, then in one task for each
+    content; one that a task has often stays in a row of its own, so that no task gets all its
+    changes. No state is kept, every row comes out, and event time stays event time.
+    """
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    rows = files.select(F.col(content).alias("content"), markup_path(path).alias("markup"), F.array(F.struct(*keys, path)).alias("changes"))
+    often = F.when(F.size("changes") >= MANY, F.xxhash64("changes")).otherwise(F.lit(0).cast("long"))
+    near = rows.mapInArrow(gathered, rows.schema)
+    once = near.repartition("content", "markup", often).mapInArrow(gathered, rows.schema)
+    ending = F.when(F.col("markup"), ".tsx").otherwise(".ts")
+    parsed = file_metrics(once.select("changes", ending.alias("ending"), "content"), keys=("changes",), path="ending")
+    return parsed.select(F.inline("changes"), *MEASURES)

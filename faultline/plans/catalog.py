@@ -1047,16 +1047,21 @@ def q_incremental_scan(spark, d):
 
 def _source_changes(spark, d, by_path=False):
     """Staged changes: each order line changes its part's file (open lines) or a script. They are
-    dealt out by commit, or by ranges of path and commit: one path may have half of the lines."""
+    dealt out by part, whose file is written once for all its lines, or by ranges of path and commit:
+    one path may have half of the lines."""
     part = table(spark, d, "part").select("p_partkey", "p_name", "p_type", "p_size")
     li = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag", "l_linestatus")
-    x = li.join(part, li.l_partkey == part.p_partkey)
-    # Few narrow rows become much text: adaptive execution must not make one task of them.
-    wide = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    x = x.withColumn("path", F.when(F.col("l_linestatus") == "O", F.expr(B.SOURCE_PATH_SQL)).otherwise("C:/w/run.js"))
-    x = x.repartitionByRange(wide, "path", "l_orderkey") if by_path else x.repartition(wide, "l_orderkey")
-    return x.select(F.lit("parts").alias("repo"), F.col("l_orderkey").cast("string").alias("commit_id"), F.col("l_returnflag").alias("status"),
-                    "path", F.expr(B.SOURCE_SQL).alias("content"))
+    path = F.when(F.col("l_linestatus") == "O", F.expr(B.SOURCE_PATH_SQL)).otherwise("C:/w/run.js")
+    if by_path:
+        # Few narrow rows become much text: adaptive execution must not make one task of them.
+        wide = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        x = li.join(part, li.l_partkey == part.p_partkey).withColumn("path", path).repartitionByRange(wide, "path", "l_orderkey")
+        x = x.withColumn("content", F.expr(B.SOURCE_SQL))
+    else:
+        # Never broadcast, as the texts are many times what their columns take; a part of many lines is split by adaptive execution.
+        texts = part.withColumn("content", F.expr(B.SOURCE_SQL)).hint("merge")
+        x = li.join(texts, li.l_partkey == texts.p_partkey).withColumn("path", path)
+    return x.select(F.lit("parts").alias("repo"), F.col("l_orderkey").cast("string").alias("commit_id"), F.col("l_returnflag").alias("status"), "path", "content")
 
 
 SQL_CHANGES = SQL_SOURCES + f""",

@@ -14,7 +14,7 @@ from faultline.operators import candidates as C
 from pyspark.sql import functions as F
 
 from faultline.operators.gate import changed_files, gate_status, gate_verdict
-from faultline.operators.metric_store import measured_files
+from faultline.operators.metric_store import measured_changes, measured_files
 from faultline.operators.metrics import file_metrics
 from faultline.schemas import STAGED_CHANGES, TIMED_CHANGES
 from faultline.session import checkpoint_path
@@ -106,13 +106,14 @@ def commit_verdicts(changes: DataFrame, quiet: str = "10 minutes", late: str = "
 
     A commit closes when no change of it came for ``quiet`` and the watermark
     (``late`` behind the newest change) has passed that; a change that is staged again
-    within ``late`` counts once. State is the keys of changes not yet past the
+    within ``late`` counts once. A content that several changes of a micro-batch hold is
+    parsed once. State is the keys of changes not yet past the
     watermark and one session per open commit, both spread by their keys; what a
     commit's micro-batches hold is combined before the shuffle. The last commits of a
     stream that falls silent stay open until a later change moves the watermark on.
     """
     seen = changed_files(changes.withWatermark("staged_at", late)).dropDuplicatesWithinWatermark(["repo", "commit_id", "path"])
-    m = file_metrics(seen, keys=("repo", "commit_id", "staged_at"))
+    m = measured_changes(seen, keys=("repo", "commit_id", "staged_at"))
     st = gate_status(m, min_lines, min_complexity, strict)
     sessions = st.groupBy("repo", "commit_id", F.session_window("staged_at", quiet).alias("session")).agg(
         F.count(F.lit(1)).alias("n_checked"), F.count_if(F.col("flagged")).alias("n_flagged"),

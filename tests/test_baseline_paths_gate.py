@@ -281,3 +281,52 @@ def test_changes_of_one_path_are_dealt_out(spark, tmp_dir):
     changes = catalog._source_changes(spark, tmp_dir, by_path=True).groupBy("path", F.spark_partition_id().alias("file")).count()
     script = [r["count"] for r in changes.filter("path = 'C:/w/run.js'").collect()]
     assert sum(script) == 2000 and len(script) > 1
+
+
+def test_commit_verdicts_parse_a_content_once(spark, tmp_dir):
+    from faultline.operators import metric_store as MS
+    from faultline.operators.metrics import file_metrics
+    rows = [("r", f"c{i % 50}", f"src/{i}.{'tsx' if i % 3 else 'ts'}", [big_source(), "export const a = <b>x ? y</b>;", "", None][min(i % 9, 3)]) for i in range(900)]
+    files = spark.createDataFrame(rows, "repo string, commit_id string, path string, content string").repartition(3)
+    got = MS.measured_changes(files, keys=("repo", "commit_id"))
+    want = file_metrics(files, keys=("repo", "commit_id")).select(*got.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    # what is cut into tokens: a row per content, but for those that one task has often
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and plan.index("Generate inline") < plan.index("regexp_extract_all") < plan.index("MapInArrow")
+    rows = files.select("content", F.lit(False).alias("markup"), F.array(F.struct("path")).alias("changes"))
+    assert rows.repartition(2, "content").mapInArrow(MS.gathered, rows.schema).count() == 4
+
+
+def test_gathered_contents():
+    import pyarrow as pa
+    from faultline.operators import metric_store as MS
+    schema = pa.schema([("content", pa.string()), ("markup", pa.bool_()), ("changes", pa.list_(pa.struct([("path", pa.string()), ("n", pa.int64())])))])
+
+    def batch(rows):
+        return pa.RecordBatch.from_pylist([{"content": c, "markup": m, "changes": [{"path": p, "n": n} for p, n in x]} for c, m, x in rows], schema=schema)
+
+    given = [batch([("a", False, [("1", 1)]), ("b", False, [("2", 2)]), ("a", True, [("3", None)]), (None, False, [(None, 4)])]), batch([]),
+             batch([("", False, [("5", 5)]), ("a", False, [("6", 6), ("7", 7)]), (None, False, [("8", 8)]), ("a", False, [("1", 1)])]).slice(1)]
+
+    def rows(batches):
+        return [(r["content"], r["markup"], [(x["path"], x["n"]) for x in r["changes"]]) for b in batches for r in b.to_pylist()]
+
+    together = sorted(rows(MS.gathered(iter(given))), key=str)
+    assert together == sorted([("a", False, [("1", 1), ("6", 6), ("7", 7), ("1", 1)]), ("b", False, [("2", 2)]), ("a", True, [("3", None)]),
+                               (None, False, [(None, 4), ("8", 8)])], key=str)
+    # with less held at a time no change is lost
+    each = [(c, m, x) for c, m, xs in rows(MS.gathered(iter(given), held=1)) for x in xs]
+    assert sorted(each, key=str) == sorted([(c, m, x) for c, m, xs in together for x in xs], key=str)
+    assert list(MS.gathered(iter([]))) == []
+
+
+def test_changes_hold_a_text_made_once_for_its_part(spark, tmp_dir):
+    from faultline.plans import catalog
+    spark.range(20).selectExpr("id AS p_partkey", "'red blue' AS p_name", "'SMALL' AS p_type", "cast(id + 1 AS int) AS p_size").write.parquet(f"{tmp_dir}/part.parquet")
+    spark.range(400).selectExpr("id AS l_orderkey", "id % 20 AS l_partkey", "'A' AS l_returnflag", "if(id % 2 = 0, 'F', 'O') AS l_linestatus").write.parquet(
+        f"{tmp_dir}/lineitem.parquet")
+    changes = catalog._source_changes(spark, tmp_dir)
+    plan = changes._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("SortMergeJoin") < plan.index("repeat(")
+    assert changes.count() == 400 and changes.select("content").distinct().count() == 20
